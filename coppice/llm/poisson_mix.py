@@ -52,9 +52,9 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, budget_bytes
     else:
         mass = mass.withColumn("weight", F.pow(F.col("mass").cast("double"), F.lit(alpha)))
     mass = stage(mass)
-    whole = mass.agg(F.sum("weight").alias("w"), F.sum("mass").alias("m"))
-    budget = F.col("m") if budget_bytes is None else F.lit(budget_bytes)
-    return mass.crossJoin(F.broadcast(whole)).select("source", "mass", F.round(budget * F.col("weight") / F.col("w") / F.col("mass"), 6).alias("rate"))
+    whole = mass.agg(F.sum("weight").cast("double").alias("w"), F.sum("mass").alias("m")).first()  # two numbers
+    budget = F.lit((whole["m"] or 0) if budget_bytes is None else budget_bytes).cast("long")
+    return mass.select("source", "mass", F.round(budget * F.col("weight") / F.lit(whole["w"]) / F.col("mass"), 6).alias("rate"))
 
 
 def poisson_mix(docs: DataFrame, rates: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
