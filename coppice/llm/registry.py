@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from coppice.llm import exact_dedup, kd_shard, poisson_mix, token_counts
+from coppice.llm import bpe_roundtrip, exact_dedup, kd_shard, language_id, poisson_mix, preference, simhash, token_counts, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.query,
         "op2_token_counts": token_counts.query,
+        "op3_bpe_roundtrip": bpe_roundtrip.query,
         "op4_kd_shard": kd_shard.query,
         "op5_poisson_mix": poisson_mix.query,
+        "op6_simhash": simhash.query,
+        "op7_language_id": language_id.query,
+        "op8_toxicity": toxicity.query,
+        "op9_exact_topk": topk.query,
+        "op10_preference": preference.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op5_poisson_mix": poisson_mix.SQL}
+    """Texts in SQL for what SQL can express."""
+    return {"op1_exact_dedup": exact_dedup.SQL, "op5_poisson_mix": poisson_mix.SQL, "op9_exact_topk": topk.SQL, "op10_preference": preference.SQL}
