@@ -17,7 +17,7 @@ DIM, GRAM, CLASSES, SEED = 512, 3, 40, 11
 BLOCK_CHARS = 1 << 20
 GRAMS = CLASSES**GRAM
 #: A document whose cosine with every profile is lower is like none of them.
-SCORE_LEAST = 0.2
+SCORE_LEAST = 0.05
 #: Profiles are broadcast: this many languages are 20 MB.
 LANGUAGES_MOST = 10_000
 
@@ -31,8 +31,8 @@ def _letters() -> np.ndarray:
         for p in range(0x3000):
             c = chr(p)
             if c.isalpha():
-                low = c.lower()
-                out[p] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low[0]) % (CLASSES - 27))
+                low = c.lower()[0]
+                out[p] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) % (CLASSES - 27))
         _made["letters"] = out
     return _made["letters"]
 
