@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import maybe_broadcast, rows_of, stage, table
+from coppice.llm.common import maybe_broadcast, rows_of, ship, stage, table
 from coppice.llm.token_counts import tokenizer
 
 #: Chunks end where a rolling hash over WINDOW characters has its top CUT_BITS bits zero: 512 characters on average.
@@ -192,6 +192,7 @@ def bpe_roundtrip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     key of the join to the encoded chunks, where both sides come from exchanges AQE may split.
     Texts cross one shuffle, to meet what their document is lent.
     """
+    ship(docs.sparkSession)
     clean = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     listed = stage(clean.mapInArrow(_list_chunks, "id long, key binary"))
     shared = stage(listed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n > 1 and id is not null").select("key", "id"))

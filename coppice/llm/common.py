@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,20 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a session, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_coppice_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="coppice-")) / "coppice_package.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._coppice_shipped = True
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """df hinted for broadcast if a count shows that it is within the bound; the other way is a shuffled join that AQE may split."""
     small = df.limit(max_rows + 1).count() <= max_rows

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import rows_of, table
+from coppice.llm.common import rows_of, ship, table
 
 #: Width of the vectors, letters in an n-gram, and classes of letters (0 is the gap between words).
 DIM, GRAM, CLASSES, SEED = 512, 3, 40, 11
@@ -115,6 +115,7 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """A bundled vector for each non-null language. Tasks sum their own documents first; the driver gets one vector a language."""
+    ship(docs.sparkSession)
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sums = rows.mapInArrow(_bundle, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     vectors = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "value")))["value"].alias("v"))
@@ -153,6 +154,7 @@ def language_id(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str =
 
     Scale: one pass, no shuffle. The model is one vector of 512 numbers a language.
     """
+    ship(docs.sparkSession)
     names = sorted(profiles)
     matrix = np.stack([profiles[n] for n in names]) if names else np.zeros((0, DIM))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import drop_ids, rows_of, stage, table
+from coppice.llm.common import drop_ids, rows_of, ship, stage, table
 from coppice.llm.components import connected_components
 
 WORDS, BITS = 4, 4
@@ -226,6 +226,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if bits > 4:
         raise ValueError("the keys find links of at most 4 bits")
+    ship(docs.sparkSession)
     clean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = stage(clean.mapInArrow(_fingerprints(words), "doc_id long, fp long"))
     nodes = stage(made.groupBy("fp").agg(F.min("doc_id").alias("least")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from coppice.llm.common import rows_of, stage, table
+from coppice.llm.common import rows_of, ship, stage, table
 
 K, SCALE, EVERY = 5, 256, 50
 #: Queries scored in one pass over the rows: 2048 queries of 64 components are 1 MB.
@@ -124,6 +124,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int =
     def clean(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("id is not null and v is not null").dropDuplicates(["id", "v"])
 
+    ship(vectors.sparkSession)
     rows, asked = stage(clean(vectors)), stage(clean(queries))
     wide = rows.union(asked).agg(F.max(F.expr("array_max(transform(v, x -> abs(x)))"))).first()[0] or 0
     if wide >= 1 << COMPONENT_BITS:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import rows_of, stage, table
+from coppice.llm.common import rows_of, ship, stage, table
 from coppice.llm.language_id import fold
 
 #: Hashed features; weights are 4 bytes each.
@@ -87,6 +87,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, rows_most: int = ROWS_MOS
     At most about rows_most labelled rows, by a hash of their ids; the driver gets at most
     SLOTS weights, whatever the input.
     """
+    ship(docs.sparkSession)
     marked = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     marked = stage(marked.groupBy("id").agg(F.max("label").alias("label")))
     keep = min(1.0, rows_most / max(1, marked.count()))
@@ -126,6 +127,7 @@ def toxicity(docs: DataFrame, model: dict[int, float], id_col: str = "doc_id", t
 
     Scale: one pass, no shuffle. The weights are sparse and at most 2 ** 19.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = rows.mapInArrow(_score(model), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
