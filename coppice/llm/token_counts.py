@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import rows_of, stage, table
+from coppice.llm.common import rows_of, ship, stage, table
 
 OVER = 512
 #: Texts are packed in blocks of about so many characters; a longer text is a block of its own.
@@ -58,6 +58,14 @@ def _bucket(part: str, buckets: int) -> int:
     return zlib.crc32(part.encode("utf-8", "surrogatepass")) % buckets
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(n).astype(np.int64)
+
+
 def _pack(buckets: int):
     """Blocks of documents: a row of packed frequencies for each block, and a row of its distinct pre-tokens for each bucket."""
 
@@ -67,12 +75,16 @@ def _pack(buckets: int):
         order = np.argsort(home, kind="stable")
         place = np.empty(len(parts), np.uint32)
         place[order] = np.arange(len(parts), dtype=np.uint32)
-        index = np.concatenate([x[0] for x in freqs]) if freqs else np.empty(0, np.int64)
-        matrix = b"".join(a.tobytes() for a in (
-            np.array([len(ids), len(index)], np.uint64), np.array([len(x[0]) for x in freqs], np.uint32), place[index],
-            np.concatenate([x[1] for x in freqs]).astype(np.uint32) if freqs else np.empty(0, np.uint32),
-        ))
-        matrix = zlib.compress(matrix, 1)
+        each = np.array([len(x[0]) for x in freqs], np.int64)
+        index = place[np.concatenate([x[0] for x in freqs])].astype(np.int64)
+        freq = np.concatenate([x[1] for x in freqs])
+        sort = np.lexsort((index, np.repeat(np.arange(len(ids)), each)))
+        index, freq = index[sort], freq[sort]
+        first = (np.cumsum(each) - each)[each > 0]
+        gaps = np.diff(index, prepend=0)
+        gaps[first] = index[first]
+        # gaps of sorted indices, stored byte plane by byte plane, pack to half the size of the indices
+        matrix = zlib.compress(b"".join([np.array([len(ids), len(index)], np.uint64).tobytes(), _planes(each), _planes(gaps), _planes(freq)]), 1)
         name = hashlib.md5(matrix + repr(ids[:1]).encode()).hexdigest()
         out = [(name, -1, ids, sizes, matrix)]
         bounds = np.searchsorted(home[order], np.arange(buckets + 1))
@@ -130,9 +142,10 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, sizes, matrices, answers in rows_of(batches, 1):
         raw = zlib.decompress(matrices[0])
         n, m = (int(x) for x in np.frombuffer(raw, np.uint64, 2))
-        each = np.frombuffer(raw, np.uint32, n, 16)
-        index = np.frombuffer(raw, np.uint32, m, 16 + 4 * n)
-        freq = np.frombuffer(raw, np.uint32, m, 16 + 4 * n + 4 * m)
+        each, gaps, freq = (_from_planes(raw, k, 16 + 4 * at) for k, at in ((n, 0), (m, n), (m, n + m)))
+        index = np.cumsum(gaps)
+        first = (np.cumsum(each) - each)[each > 0]
+        index -= np.repeat(index[first] - gaps[first], each[each > 0])
         counts = [np.frombuffer(zlib.decompress(a["counts"]), np.uint32) for a in sorted(answers[0] or [], key=lambda a: a["bucket"])]
         counts = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
         sums = np.concatenate([[0], np.cumsum(counts[index] * freq)])
@@ -158,6 +171,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     Scale: blocks hold about 12 MB of text and buckets grow in number with the input, so no
     task holds more than its share. A very common pre-token arrives once a block.
     """
+    ship(docs.sparkSession)
     clean = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS_LEAST, int(size // BUCKET_BYTES))
