@@ -5,7 +5,13 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function of spark and folder) and SQL (name -> DuckDB text).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = (
+    "coppice.operators.tree",
+    "coppice.operators.refs",
+    "coppice.operators.versions",
+    "coppice.operators.edits",
+    "coppice.operators.stats",
+)
 
 
 def queries() -> dict:
