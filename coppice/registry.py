@@ -11,6 +11,12 @@ MODULES: tuple[str, ...] = (
     "coppice.operators.versions",
     "coppice.operators.edits",
     "coppice.operators.stats",
+    "coppice.operators.admission",
+    "coppice.operators.audit",
+    "coppice.operators.scalars",
+    "coppice.operators.vectors",
+    "coppice.sources.files",
+    "coppice.streaming.jobs",
 )
 
 
