@@ -22,7 +22,7 @@ CACHE_WORDS = 120_000
 
 
 def _powers(base: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(_BLOCK + WINDOW, base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_BLOCK + WINDOW, base, np.uint64)]), dtype=np.uint64)
 
 
 _UP, _DOWN = _powers(_MULTIPLIER), _powers(pow(_MULTIPLIER, -1, 1 << 64))
