@@ -16,13 +16,21 @@ from coppice.sources.adapters import LOG_SQL, log, read, with_sql
 from coppice.sources.files import folder
 
 REG = Registry()
-FILES = 4
+PARTS = 4
 
 
-def file_stream(df: DataFrame, order: str, files: int = FILES, per_batch: int = 1) -> DataFrame:
-    """df written as some files in order and read back as a stream, a file a micro-batch."""
+def file_stream(df: DataFrame, order: str, parts: int = PARTS, per_batch: int = 1) -> DataFrame:
+    """df written range by range and read back as a stream, a file a micro-batch.
+
+    Ranges are written one after another: a file stream takes files by their time, and state
+    that follows the order of events needs them so.
+    """
     spark, path = df.sparkSession, folder(df.sparkSession, "feed")
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    lo, hi = span["lo"] or 0, (span["hi"] or 0) + 1
+    for i in range(parts):
+        at = (F.col(order) >= lo + (hi - lo) * i // parts) & (F.col(order) < lo + (hi - lo) * (i + 1) // parts)
+        df.filter(at).repartitionByRange(1, order).sortWithinPartitions(order).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
