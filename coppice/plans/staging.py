@@ -19,7 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back; the files go when the driver ends."""
+    """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing of it.
+
+    Parquet rather than checkpoint(): it is compressed, and the reader forgets the writer's
+    partitioning, so that a later join gets exchanges which AQE may split when a key is hot.
+    The files go when the driver's file system handle closes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/coppice-{uuid.uuid4().hex}"
     df.write.parquet(path)
