@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coppice.plans.staging import shared_dir, stage
+
+__all__ = ["BROADCAST_ROWS", "drop_ids", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table", "text_of"]
+
 #: Rows of a narrow key table (some 50 bytes a row) that may be broadcast: 1,000,000 rows are about 50 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -20,32 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="coppice-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing of it.
-
-    Parquet rather than checkpoint(): it is compressed, and the reader forgets the writer's
-    partitioning, so that a later join gets exchanges which AQE may split when a key is hot.
-    Files go when the driver's file system handle closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/coppice-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, so that they need no copy of their own."""
     sc = spark.sparkContext

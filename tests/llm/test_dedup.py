@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
-from conftest import hard_rows  # noqa: F401
+from hard import hard_rows
 
 from coppice.llm import components, exact_dedup, simhash
 

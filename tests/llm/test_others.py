@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import SCHEMA, hard_rows, text
+from hard import SCHEMA, hard_rows, text
 from pyspark.sql import functions as F
 
 from coppice.llm import kd_shard, language_id, poisson_mix, preference, registry, topk, toxicity

@@ -21,7 +21,7 @@ def draws(doc_id, rate):
 
 
 def test_pipeline(spark, tmp_path):
-    from conftest import hard_rows, text
+    from hard import hard_rows, text
 
     rows = [r[:5] for r in hard_rows()[:26]] + [(100 + i, text(i, 30 + i % 40), "en", f"s{i % 4}", 1) for i in range(80)] + [(300 + i, text(i, 30 + i % 40), "en", "s1", 1) for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
-from conftest import hard_rows
+from hard import hard_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
