@@ -17,7 +17,7 @@ from coppice.llm.language_id import fold
 #: Hashed features; weights are 4 bytes each.
 SLOTS = 1 << 19
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 16.0, 0.1
 EPOCHS = 4
 #: The fit takes about this many labelled rows at most, chosen by a hash of their ids. They are read by one task.
 ROWS_MOST = 12_000
