@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coppice.plans.staging import stage
 from coppice.registration import Registry
 from coppice.sources.adapters import EDGES_SQL, NODES_SQL, edges, nodes, read, with_sql
 
@@ -94,6 +95,7 @@ def joi_refresh_edges(spark, sf_dir):
 
 def violations(tree: DataFrame, refs: DataFrame) -> DataFrame:
     """JOI-7: rule, key, n: duplicate ids, missing parents, more than one edge a source, missing endpoints."""
+    tree, refs = stage(tree.select("id", "parent_id")), stage(refs.select("from_id", "to_id"))  # each is read several times
     ids = tree.select("id").distinct()
     out = tree.groupBy(F.col("id").alias("key")).count().filter("count > 1").select(F.lit("duplicate_id").alias("rule"), "key", F.col("count").alias("n"))
     out = out.union(refs.groupBy(F.col("from_id").alias("key")).count().filter("count > 1").select(F.lit("many_edges"), "key", "count"))

@@ -20,6 +20,7 @@ def descend(tree: DataFrame, tops: DataFrame, depth_most: int = DEPTH_MOST) -> D
     One join a level against the frontier only, staged; it ends with the tree, not with a cap:
     deeper than depth_most is an error, as in a cycle that tops reach.
     """
+    tree = stage(tree.select("id", "kind", "parent_id"))  # read once a level
     level = stage(tree.join(tops.select(F.col("id")), "id").select("id", "kind", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("id").alias("path")))
     levels = [level]
     for depth in range(1, depth_most + 2):
@@ -68,7 +69,7 @@ def enclosing(tree: DataFrame, of: DataFrame, kinds: list[str], steps: int = 16)
     """HIE-2: the nearest ancestor-or-self of one of the kinds within so many steps, for each id in `of`."""
     at = of.select("id", F.col("id").alias("at"))
     found: DataFrame | None = None
-    up = tree.select(F.col("id").alias("at"), "kind", "parent_id", "payload")
+    up = stage(tree.select(F.col("id").alias("at"), "kind", "parent_id", "payload"))
     for step in range(steps + 1):
         here = stage(at.join(up, "at"))
         if here.isEmpty():
