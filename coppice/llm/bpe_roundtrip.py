@@ -111,19 +111,24 @@ class Words:
                 counts.append(len(_ASCII_PIECES.findall(w.lower())))
                 joined.append(w)
             else:
-                self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                self.one(w)
         for at in range(0, len(joined), JOINED):
             part, pieces = joined[at : at + JOINED], np.array(counts[at : at + JOINED])
             ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != pieces.sum():
-                raise ValueError("pieces of words do not end as counted")
+            if len(ends) != pieces.sum():  # not as counted: one by one, then
+                for w in part:
+                    self.one(w)
+                continue
             stops = (4 * ends[np.cumsum(pieces) - 1]).tolist()
             raw, start = ids.tobytes(), 0
             for w, stop in zip(part, stops, strict=True):
                 self.known[w] = raw[start:stop]
                 start = stop
 
+    def one(self, word: str) -> None:
+        self.known[word] = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, words: list[str]) -> bytes:
         known = self.known
         return b"".join([known[w] for w in words])

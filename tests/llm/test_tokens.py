@@ -75,3 +75,23 @@ def test_shared_passages_are_cut_alike():
     passage = " ".join(f"word{i}" for i in range(2000))
     a, b = bpe_roundtrip.chunks("short start " + passage), bpe_roundtrip.chunks("another, longer start of the text " * 30 + passage)
     assert len(set(a) & set(b)) > len(a) * 0.8
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aZé'st0,.!İß日<|endoftext|>\x1ć-")), min_size=1, max_size=9), max_size=30))
+def test_words_are_as_the_library_has_them(words):
+    """Joined by blanks or one by one, and with a cache of two words a generation."""
+    words = [w for w in words if w]
+    made = bpe_roundtrip.Words(WORD)
+    for at in range(0, len(words), 5):
+        made.learn(set(words[at : at + 5]))
+        got = np.frombuffer(made.ids(words[at : at + 5]), "<u4").tolist()
+        assert got == [i for w in words[at : at + 5] for i in made.tok.encode(w, add_special_tokens=False).ids]
+
+
+def test_small_cache(monkeypatch):
+    monkeypatch.setattr(bpe_roundtrip, "CACHE_WORDS", 2)
+    made, words = bpe_roundtrip.Words(WORD), ["one", "two", "three", "one", "four", "two"]
+    for w in words:
+        made.learn({w, "one"})
+        assert made.ids([w]) == np.array(made.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
