@@ -8,24 +8,28 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.plans.staging import shared_dir, stage
 
-__all__ = ["BROADCAST_ROWS", "drop_ids", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table", "text_of"]
+__all__ = ["BROADCAST_ROWS", "drop_ids", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table"]
 
 #: Rows of a narrow key table (some 50 bytes a row) that may be broadcast: 1,000,000 rows are about 50 MB.
 BROADCAST_ROWS = 1_000_000
 
+#: Texts go to Python in batches of so many bytes, or one text where that is longer: both sides hold a batch in full.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, so that they need no copy of their own."""
+    """Sends this package to the executors once a session, so that they need no copy of their own; and keeps Arrow batches of texts small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_coppice_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -43,10 +47,6 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[Data
     return (F.broadcast(df) if small else df), small
 
 
-def text_of(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list[list]]:
     """Column lists of a few hundred rows at a time, so that only these texts are Python strings at once."""
     for batch in batches:
