@@ -244,7 +244,8 @@ def bpe_roundtrip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
 
     Scale: chunk keys are counted with map-side sums; a chunk in very many documents is a hot
     key of the join to the encoded chunks, where both sides come from exchanges AQE may split.
-    Texts cross one shuffle, to meet what their document is lent.
+    Texts cross one shuffle, to meet what their document is lent; those that are lent nothing
+    stay where they are, as long as the ids of the others are few enough to broadcast.
     """
     ship(docs.sparkSession)
     clean = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -253,10 +254,16 @@ def bpe_roundtrip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     owners = shared.groupBy("id").agg(F.collect_list("key").alias("keys"))  # a document's own chunks
     owners, _ = maybe_broadcast(owners, 300_000)
     encoded = stage(clean.join(owners, "id").select("text", "keys").mapInArrow(_encode_owned(tokenizer_file), "key long, check long, coded binary"))
-    lent = listed.join(encoded, "key").groupBy("id").agg(F.collect_set(F.struct("key", "check", "coded")).alias("lent"))
-    return clean.join(lent, "id", "left").select("id", "text", "lent").mapInArrow(
-        _assemble(tokenizer_file), "doc_id long, n_tokens long, ids binary, decoded string"
-    )
+    keys, _ = maybe_broadcast(shared.select("key"))
+    pairs = stage(listed.join(keys, "key", "left_semi"))
+    lent = pairs.join(encoded, "key").groupBy("id").agg(F.collect_set(F.struct("key", "check", "coded")).alias("lent"))
+    ids, small = maybe_broadcast(pairs.select("id").distinct())
+    if small:  # documents that are lent nothing need not move
+        meet = clean.join(ids, "id", "left_semi").join(lent, "id", "left").select("id", "text", "lent")
+        rows = meet.union(clean.join(ids, "id", "left_anti").select("id", "text", F.lit(None).cast(meet.schema["lent"].dataType)))
+    else:
+        rows = clean.join(lent, "id", "left").select("id", "text", "lent")
+    return rows.mapInArrow(_assemble(tokenizer_file), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:
