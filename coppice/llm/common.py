@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from coppice.plans.staging import shared_dir, stage
 
-__all__ = ["BROADCAST_ROWS", "drop_ids", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table"]
+__all__ = ["BROADCAST_ROWS", "drop_rows", "keep_smallest", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table", "with_rows"]
 
 #: Rows of a narrow key table (some 50 bytes a row) that may be broadcast: 1,000,000 rows are about 50 MB.
 BROADCAST_ROWS = 1_000_000
@@ -55,7 +55,30 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list
             yield [c.to_pylist() for c in part.columns]
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the ids in dropped (one narrow column); rows with a null id stay."""
-    ids, _ = maybe_broadcast(dropped)
-    return docs.join(ids, id_col, "left_anti").select(*docs.columns)
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of its own for each row, and _tie, a hash of its columns.
+
+    The key must be the same at every read: of Parquet files it is the number of the file and
+    the place in it, and any other input is staged with a number.
+    """
+    tie = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]).alias("_tie")
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or not plan.relation().toString().lower().startswith("parquet"):
+        return stage(docs.select("*", tie, F.monotonically_increasing_id().alias("_row")))
+    # one short row a file; in one partition the numbers have no gaps
+    files = stage(docs.select(F.col("_metadata.file_path").alias("_path")).distinct().coalesce(1).withColumn("_file", F.monotonically_increasing_id()))
+    placed = docs.select("*", tie, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    return placed.join(F.broadcast(files), "_path").select(*docs.columns, "_tie", (F.shiftleft("_file", 36) + F.col("_at")).alias("_row"))
+
+
+def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """What with_rows was given, without the rows whose _row is in dropped (one narrow column)."""
+    keys, _ = maybe_broadcast(dropped)
+    return rows.join(keys, "_row", "left_anti").drop("_row", "_tie")
+
+
+def keep_smallest(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group stays: the one with the smallest non-null id. groups has _row and component; rows not in it stay."""
+    ranked = groups.join(rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_tie", "_row").alias("_rank")), "_row")
+    stay = ranked.groupBy("component").agg(F.min("_rank")["_row"].alias("_row"))
+    return drop_rows(rows, stage(groups.join(stay, "_row", "left_anti").select("_row")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import drop_ids, maybe_broadcast, stage
+from coppice.llm.common import drop_rows, maybe_broadcast, stage, with_rows
 
 PREFIX_CHARS = 64
 
@@ -71,9 +71,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts; all columns stay."""
-    verdict = exact_dedup(docs)
-    return drop_ids(docs, stage(verdict.filter(~F.col("kept")).select("doc_id")))
+    """docs with one row of each group of equal texts, also where ids are null or shared; all columns stay."""
+    rows = with_rows(docs)
+    carry = {"_row": F.col("_row"), "_tie": F.col("_tie"), "_hash": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)}
+    verdict = stage(exact_dedup(rows, carry=carry).filter("group_size > 1").select("kept", *carry))
+    stay = verdict.filter("kept").groupBy("_hash").agg(F.min(F.struct("_tie", "_row"))["_row"].alias("_row"))
+    return drop_rows(rows, stage(verdict.join(stay, "_row", "left_anti").select("_row")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import drop_ids, rows_of, ship, stage, table
+from coppice.llm.common import keep_smallest, rows_of, ship, stage, table, with_rows
 from coppice.llm.components import connected_components
 
 WORDS, BITS = 4, 4
@@ -241,9 +241,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with the smallest id of each group of linked fingerprints; all columns stay."""
-    verdict = simhash_groups(docs)
-    return drop_ids(docs, stage(verdict.filter("doc_id <> component_id").select("doc_id")))
+    """docs with the smallest id of each group of linked fingerprints, one row where ids are null or shared; all columns stay."""
+    rows = with_rows(docs)
+    groups = stage(simhash_groups(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")))
+    return keep_smallest(rows, groups)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
