@@ -8,12 +8,15 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.plans.staging import shared_dir, stage
 
-__all__ = ["BROADCAST_ROWS", "drop_rows", "keep_smallest", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table", "with_rows"]
+__all__ = ["BROADCAST_ROWS", "ROW", "TIE", "columns_of", "drop_rows", "free_name", "keep_smallest", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table", "with_rows"]
+
+#: Columns that with_rows adds; no input column may have these names.
+ROW, TIE = "coppice_row", "coppice_tie"
 
 #: Rows of a narrow key table (some 50 bytes a row) that may be broadcast: 1,000,000 rows are about 50 MB.
 BROADCAST_ROWS = 1_000_000
@@ -47,6 +50,19 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[Data
     return (F.broadcast(df) if small else df), small
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of df (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list[list]]:
     """Column lists of a few hundred rows at a time, so that only these texts are Python strings at once."""
     for batch in batches:
@@ -56,29 +72,31 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with _row, a key of its own for each row, and _tie, a hash of its columns.
+    """docs with a key of its own for each row (ROW), and a hash of its columns (TIE).
 
     The key must be the same at every read: of Parquet files it is the number of the file and
     the place in it, and any other input is staged with a number.
     """
-    tie = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]).alias("_tie")
+    mine = columns_of(docs)
+    tie = F.xxhash64(*[c for c, (_, kind) in zip(mine, docs.dtypes, strict=True) if "map<" not in kind]).alias(TIE)
     plan = docs._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation" or not plan.relation().toString().lower().startswith("parquet"):
-        return stage(docs.select("*", tie, F.monotonically_increasing_id().alias("_row")))
+        return stage(docs.select(*mine, tie, F.monotonically_increasing_id().alias(ROW)))
     # one short row a file; in one partition the numbers have no gaps
-    files = stage(docs.select(F.col("_metadata.file_path").alias("_path")).distinct().coalesce(1).withColumn("_file", F.monotonically_increasing_id()))
-    placed = docs.select("*", tie, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
-    return placed.join(F.broadcast(files), "_path").select(*docs.columns, "_tie", (F.shiftleft("_file", 36) + F.col("_at")).alias("_row"))
+    files = stage(docs.select(F.col("_metadata.file_path").alias("coppice_path")).distinct().coalesce(1).withColumn("coppice_file", F.monotonically_increasing_id()))
+    placed = docs.select(*mine, tie, F.col("_metadata.file_path").alias("coppice_path"), F.col("_metadata.row_index").alias("coppice_at"))
+    files, _ = maybe_broadcast(files)
+    return placed.join(files, "coppice_path").select(*mine, TIE, (F.shiftleft("coppice_file", 36) + F.col("coppice_at")).alias(ROW))
 
 
 def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """What with_rows was given, without the rows whose _row is in dropped (one narrow column)."""
+    """What with_rows was given, without the rows whose key is in dropped (one narrow column, ROW)."""
     keys, _ = maybe_broadcast(dropped)
-    return rows.join(keys, "_row", "left_anti").drop("_row", "_tie")
+    return rows.join(keys, ROW, "left_anti").drop(ROW, TIE)
 
 
 def keep_smallest(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of each group stays: the one with the smallest non-null id. groups has _row and component; rows not in it stay."""
-    ranked = groups.join(rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_tie", "_row").alias("_rank")), "_row")
-    stay = ranked.groupBy("component").agg(F.min("_rank")["_row"].alias("_row"))
-    return drop_rows(rows, stage(groups.join(stay, "_row", "left_anti").select("_row")))
+    """One row of each group stays: the one with the smallest non-null id. groups has ROW and component; rows not in it stay."""
+    ranked = groups.join(rows.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", TIE, ROW).alias("rank")), ROW)
+    stay = ranked.groupBy("component").agg(F.min("rank")[ROW].alias(ROW))
+    return drop_rows(rows, stage(groups.join(stay, ROW, "left_anti").select(ROW)))

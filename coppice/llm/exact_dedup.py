@@ -5,67 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import drop_rows, maybe_broadcast, stage, with_rows
+from coppice.llm.common import ROW, TIE, drop_rows, maybe_broadcast, stage, with_rows
 
 PREFIX_CHARS = 64
+#: The repeated (length, prefix hash) keys are marked in a bit map of 16 bits a key, between these powers of two of bits.
+#: The largest map is 2 ** 29 bits, 64 MB: beyond some 100 million keys it fills up, and more texts than need be are hashed in full.
+MAP_LEAST, MAP_MOST = 15, 29
+
+
+def _marked(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Rows (_cell, _bits) of a bit map in which the hash of each key is set, and its size in bits."""
+    size = 1 << min(MAP_MOST, max(MAP_LEAST, (16 * n).bit_length()))
+    slot = _slot(size)
+    return keys.groupBy(F.bitmap_bucket_number(slot).alias("_cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits")), size
+
+
+def _slot(size: int) -> Column:
+    return F.xxhash64("_len", "_prefix").bitwiseAND(size - 1)
+
+
+def _is_marked(size: int) -> Column:
+    place = F.bitmap_bit_position(_slot(size))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (place % 8).cast("int")) == 1
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, and the carried columns.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_hash, and the carried columns.
 
     Texts are equal when identical; null counts as empty. The largest id of a group stays.
-    Each step looks only at what the step before left: byte lengths that occur once end
-    there, then (length, prefix hash) pairs, and only the rest have their whole text hashed.
+    Refinement: texts are grouped by byte length, and inside a length by a hash of their first
+    64 characters (one aggregation, keyed by both); only texts of groups with more than one
+    member are read to their end, for a SHA-256 (text_hash, null for all others); groups of
+    equal length and SHA-256 are copies.
 
     - repeated rows (same id, same text) count in group_size and share one verdict;
     - null ids never stay unless all ids of the group are null, then all of them do;
-    - an empty table gives an empty result; other columns are ignored unless carried.
-
-    Scale: shuffles carry lengths and hashes, never texts. Groups are pre-aggregated; the
-    last join puts rows of a hot group to its one summary row and is split by AQE.
+    - a very long text is hashed whole like any other; an empty table gives an empty result;
+    - other columns are ignored unless carried.
+
+    Scale: the text column is read twice, and texts are never shuffled: shuffles carry lengths
+    and hashes. Which texts get a full hash is looked up in a bit map of at most 64 MB (a
+    broadcast of proven size); two keys may share a bit, which costs a hash and changes
+    nothing. Groups are pre-aggregated; the last join puts rows of a hot group to its one
+    summary row and is split by AQE.
     """
     carry = carry or {}
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
-        F.col(id_col).alias("_id"), text.alias("_text"), F.octet_length(text).alias("_len"),
+        F.col(id_col).alias("_id"), text.alias("_text"), F.octet_length(text).alias("_len"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("_prefix"),
         *[c.alias(f"_c_{k}") for k, c in carry.items()],
     )
-    prefix = F.xxhash64(F.substring("_text", 1, PREFIX_CHARS)).alias("_prefix")
     carried = [f"_c_{k}" for k in carry]
-
-    lengths = stage(base.groupBy("_len").count().filter("count > 1").select("_len"))
-    shared_lengths, _ = maybe_broadcast(lengths)
-    prefixes = stage(
-        base.select("_len", prefix).join(shared_lengths, "_len")
-        .groupBy("_len", "_prefix").count().filter("count > 1")
-        .select("_len", "_prefix", F.lit(True).alias("_hit"))
-    )
-    shared, small = maybe_broadcast(prefixes)
-    full = F.sha2("_text", 256)
-    if small:
-        probe = base.select("*", prefix).join(shared, ["_len", "_prefix"], "left")
-        probe = probe.select("_id", "_len", F.when(F.col("_hit"), full).alias("_full"), *carried)
-    else:  # hashing every text in the scan is cheaper than sending texts through the join
-        probe = base.select("_id", "_len", prefix, full.alias("_all"), *carried).join(shared, ["_len", "_prefix"], "left")
-        probe = probe.select("_id", "_len", F.when(F.col("_hit"), F.col("_all")).alias("_full"), *carried)
-    probe = stage(probe)
-
-    candidates = probe.filter("_full is not null")
+    keys = stage(base.groupBy("_len", "_prefix").count().filter("count > 1").select("_len", "_prefix"))
+    marks, size = _marked(keys, keys.count())
+    seen = base.withColumn("_cell", F.bitmap_bucket_number(_slot(size))).join(F.broadcast(stage(marks)), "_cell", "left")
+    hashed = F.when(F.coalesce(_is_marked(size), F.lit(False)), F.sha2("_text", 256))
+    # texts with a hash and those without lie in folders of their own, so that each is read once
+    probe = stage(seen.select("_id", "_len", hashed.alias("_full"), *carried).withColumn("_hit", F.col("_full").isNotNull()), by="_hit")
+    candidates = probe.filter("_hit")
     groups = stage(
         candidates.groupBy("_len", "_full").agg(F.count("*").alias("_n"), F.max("_id").alias("_keep"))
         .filter("_n > 1").select("_full", "_n", "_keep")
     )
+    few, _ = maybe_broadcast(groups)
     named = [F.col(f"_c_{k}").alias(k) for k in carry]
-    dup = candidates.join(groups, "_full", "left").select(
+    dup = candidates.join(few, "_full", "left").select(
         F.col("_id").alias("doc_id"),
         F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_n", F.lit(1).cast("long")).alias("group_size"),
         (F.col("_n").isNull() | F.col("_id").eqNullSafe(F.col("_keep"))).alias("kept"),
-        *named,
+        F.when(F.col("_n").isNotNull(), F.col("_full")).alias("text_hash"), *named,
     )
-    alone = probe.filter("_full is null").select(
+    alone = probe.filter("not _hit").select(
         F.col("_id").alias("doc_id"), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), *named,
+        F.lit(True).alias("kept"), F.lit(None).cast("string").alias("text_hash"), *named,
     )
     return dup.unionByName(alone)
 
@@ -73,15 +87,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, also where ids are null or shared; all columns stay."""
     rows = with_rows(docs)
-    carry = {"_row": F.col("_row"), "_tie": F.col("_tie"), "_hash": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)}
-    verdict = stage(exact_dedup(rows, carry=carry).filter("group_size > 1").select("kept", *carry))
-    stay = verdict.filter("kept").groupBy("_hash").agg(F.min(F.struct("_tie", "_row"))["_row"].alias("_row"))
-    return drop_rows(rows, stage(verdict.join(stay, "_row", "left_anti").select("_row")))
+    found = exact_dedup(rows, carry={ROW: F.col(ROW), TIE: F.col(TIE)})
+    verdict = stage(found.filter("group_size > 1").select("kept", "text_hash", ROW, TIE))
+    stay = verdict.filter("kept").groupBy("text_hash").agg(F.min(F.struct(TIE, ROW))[ROW].alias(ROW))
+    return drop_rows(rows, stage(verdict.join(stay, ROW, "left_anti").select(ROW)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return exact_dedup(docs, carry={"text_sha256": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
+    return exact_dedup(docs, carry={"text_sha256": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)}).drop("text_hash")
 
 
 SQL = """

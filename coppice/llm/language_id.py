@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import drop_rows, rows_of, ship, stage, table, with_rows
+from coppice.llm.common import ROW, drop_rows, rows_of, ship, stage, table, with_rows
 
 #: Width of the vectors, letters in an n-gram, and classes of letters (0 is the gap between words).
 DIM, GRAM, CLASSES, SEED = 512, 3, 40, 11
@@ -174,8 +174,8 @@ def learned_on_folds(docs: DataFrame) -> dict[str, np.ndarray]:
 def drop_unidentified(docs: DataFrame, least: float = SCORE_LEAST) -> DataFrame:
     """docs without the texts that have no letter or are like no learned language; all columns stay."""
     rows = with_rows(docs)
-    said = language_id(rows, learned_on_folds(rows), id_col="_row")
-    return drop_rows(rows, stage(said.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("_row"))))
+    said = language_id(rows, learned_on_folds(rows), id_col=ROW)
+    return drop_rows(rows, stage(said.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias(ROW))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
 import zlib
@@ -10,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +69,7 @@ def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
 def _pack(buckets: int):
     """Blocks of documents: a row of packed frequencies for each block, and a row of its distinct pre-tokens for each bucket."""
 
-    def block(ids: list, sizes: list, seen: dict[str, int], freqs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def block(name: int, ids: list, sizes: list, seen: dict[str, int], freqs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         parts = list(seen)
         home = np.fromiter((_bucket(p, buckets) for p in parts), np.int32, len(parts))
         order = np.argsort(home, kind="stable")
@@ -85,7 +85,6 @@ def _pack(buckets: int):
         gaps[first] = index[first]
         # gaps of sorted indices, stored byte plane by byte plane, pack to half the size of the indices
         matrix = zlib.compress(b"".join([np.array([len(ids), len(index)], np.uint64).tobytes(), _planes(each), _planes(gaps), _planes(freq)]), 1)
-        name = hashlib.md5(matrix + repr(ids[:1]).encode()).hexdigest()
         out = [(name, -1, ids, sizes, matrix)]
         bounds = np.searchsorted(home[order], np.arange(buckets + 1))
         for b in range(buckets):
@@ -94,16 +93,19 @@ def _pack(buckets: int):
                 out.append((name, b, None, None, zlib.compress(payload.encode("utf-8", "surrogatepass"), 1)))
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
+            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
             ["block", "bucket", "ids", "sizes", "payload"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # partition and number name a block: no two blocks share a name, whatever they hold
+        name = TaskContext.get().partitionId() << 32
         ids, sizes, seen, freqs, chars = [], [], {}, [], 0
         for doc_ids, texts in rows_of(batches):
             for doc_id, text in zip(doc_ids, texts, strict=True):
                 if ids and chars + len(text) > BLOCK_CHARS:
-                    yield block(ids, sizes, seen, freqs)
+                    yield block(name, ids, sizes, seen, freqs)
+                    name += 1
                     ids, sizes, seen, freqs, chars = [], [], {}, [], 0
                 parts = pre_tokens(text)
                 got = np.fromiter((seen.setdefault(p, len(seen)) for p in parts), np.int64, len(parts))
@@ -112,7 +114,7 @@ def _pack(buckets: int):
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 chars += len(text)
         if ids:
-            yield block(ids, sizes, seen, freqs)
+            yield block(name, ids, sizes, seen, freqs)
 
     return run
 
@@ -133,7 +135,7 @@ def _count(path: str):
                 counts = np.fromiter((have[p] for p in parts), np.uint32, len(parts))
                 out.append((name, b, zlib.compress(counts.tobytes(), 1)))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["block", "bucket", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["block", "bucket", "counts"])
 
     return run
 
@@ -166,7 +168,11 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
 
     Null text counts as empty (0 tokens); repeated rows and null ids are rows like any other;
     special strings in a text are special tokens, as is the library's default; an empty table
-    gives no rows. ids must be integers.
+    gives no rows; ids must be integers; columns other than id and text are not read. A text
+    longer than a block is a block of its own, counted whole.
+
+    A block is named by the partition and the place where it was made, and written before it is
+    read, so equal blocks stay apart.
 
     Scale: blocks hold about 12 MB of text and buckets grow in number with the input, so no
     task holds more than its share. A very common pre-token arrives once a block.
@@ -175,9 +181,9 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     clean = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS_LEAST, int(size // BUCKET_BYTES))
-    packed = stage(clean.mapInArrow(_pack(buckets), "block string, bucket int, ids array<long>, sizes array<long>, payload binary"))
+    packed = stage(clean.mapInArrow(_pack(buckets), "block long, bucket int, ids array<long>, sizes array<long>, payload binary"))
     asked = packed.filter("bucket >= 0").select("block", "bucket", "payload").repartition("bucket")
-    counted = asked.mapInArrow(_count(tokenizer_file), "block string, bucket int, counts binary")
+    counted = asked.mapInArrow(_count(tokenizer_file), "block long, bucket int, counts binary")
     answers = counted.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))  # at most one a bucket, 12 MB of text a block
     blocks = packed.filter("bucket < 0").select("block", "ids", "sizes", F.col("payload").alias("matrix"))
     out = blocks.join(answers, "block", "left").select("ids", "sizes", "matrix", "answers").mapInArrow(_total, "doc_id long, n_bytes long, n_tokens long")

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from hard import hard_rows
 
@@ -13,9 +14,7 @@ from coppice.llm import components, exact_dedup, simhash
 
 
 def test_exact(hard):
-    from pyspark.sql import functions as F
-
-    got = exact_dedup.exact_dedup(hard, carry={"h": F.sha2(F.coalesce("text", F.lit("")), 256)}).collect()
+    got = exact_dedup.exact_dedup(hard, carry={"h": F.sha2(F.coalesce("text", F.lit("")), 256)}).drop("text_hash").collect()
     rows = hard_rows()
     groups = defaultdict(list)
     for r in rows:
@@ -36,6 +35,24 @@ def test_exact_by_shuffled_path(hard, monkeypatch):
     assert sorted(map(str, exact_dedup.exact_dedup(hard).collect())) == sorted(map(str, near))
 
 
+def test_exact_with_a_full_map(hard, monkeypatch):
+    """A map too small for its keys costs hashes and changes no answer; so does one whose every bit is set."""
+    want = sorted(str(tuple(r)[:4]) for r in exact_dedup.exact_dedup(hard).collect())
+    monkeypatch.setattr(exact_dedup, "_is_marked", lambda size: F.lit(True))
+    assert sorted(str(tuple(r)[:4]) for r in exact_dedup.exact_dedup(hard).collect()) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(exact_dedup, "_slot", lambda size: F.lit(0).cast("long"))
+    assert sorted(str(tuple(r)[:4]) for r in exact_dedup.exact_dedup(hard).collect()) == want
+
+
+def test_exact_hashes_survivors_only(spark):
+    """Texts whose length or beginning is their own are never hashed in full."""
+    texts = ["a", "bb", "cc", "x" * 70 + "1", "x" * 70 + "2", "same", "same"]
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r.text_hash} == {5, 6}
+    assert [got[i].group_size for i in range(7)] == [1, 1, 1, 1, 1, 2, 2]
+
+
 def test_empty(none):
     assert exact_dedup.exact_dedup(none).count() == 0
     assert simhash.simhash_groups(none).count() == 0

@@ -28,6 +28,17 @@ def test_counts(hard):
     assert order(token_counts.token_counts(hard, BYTE).collect()) == order(want)
 
 
+def test_equal_blocks_stay_apart(spark, hard):
+    """The same rows twice in other tasks, and null-id rows of one word each in tasks of their own."""
+    tok = Tokenizer.from_file(BYTE)
+    once = order(token_counts.token_counts(hard, BYTE).collect())
+    assert order(token_counts.token_counts(hard.union(hard), BYTE).collect()) == order(once + once)
+    long_ = "internationalisation " * 9
+    lone = spark.createDataFrame([(None, "one")], "doc_id long, text string").union(spark.createDataFrame([(None, long_)], "doc_id long, text string"))
+    want = [(None, len(t), len(tok.encode(t, add_special_tokens=False).ids), False) for t in ("one", long_)]
+    assert order(token_counts.token_counts(lone, BYTE).collect()) == order(want)
+
+
 def test_counts_in_many_blocks(hard, monkeypatch):
     """Blocks of a text each, many buckets."""
     want = order(token_counts.token_counts(hard, BYTE).collect())
