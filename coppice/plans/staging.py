@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,25 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset, a local folder if Spark runs in one process (tests), else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="coppice-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing of it.
 
     Parquet rather than checkpoint(): it is compressed, and the reader forgets the writer's
     partitioning, so that a later join gets exchanges which AQE may split when a key is hot.
+    With `by`, rows lie in folders by that column, and a filter on it reads its folders alone.
     The files go when the driver's file system handle closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/coppice-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     return spark.read.schema(df.schema).parquet(path)
