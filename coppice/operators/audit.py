@@ -14,25 +14,48 @@ TERMINAL = ("purchase",)
 
 
 def chain_breaks(journal: DataFrame, stream: str) -> DataFrame:
-    """WIN-6: stream, first_break (-1 if none), entries. journal: stream, seq, previous_hash, entry_hash, body; the hash covers previous hash and body."""
-    prev = F.lag("entry_hash", 1, "").over(Window.partitionBy(stream).orderBy("seq"))
-    bad = (F.col("previous_hash") != prev) | (F.col("entry_hash") != F.sha2(F.concat_ws("|", "previous_hash", "body"), 256))
-    return journal.select(stream, "seq", bad.alias("bad")).groupBy(stream).agg(F.coalesce(F.min(F.when(F.col("bad"), F.col("seq"))), F.lit(-1).cast("long")).alias("first_break"), F.count("*").alias("entries"))
+    """WIN-6: stream, first_break (-1 if none), entries, truncated. journal: stream, seq, previous_hash, entry_hash, body; the hash covers previous hash and body.
 
-
-JOURNAL_SQL = """SELECT session, seq, body, previous_hash, CASE WHEN seq % 211 = 17 THEN 'bad' ELSE sha256(previous_hash || '|' || body) END AS entry_hash FROM (
- SELECT session, seq, kind || ':' || k AS body, coalesce(sha256('p' || lag(seq) OVER (PARTITION BY session ORDER BY seq)), '') AS previous_hash FROM l)"""
-
-
-@REG.add("win_hash_chain", with_sql("""
-SELECT session, coalesce(min(seq) FILTER (WHERE previous_hash <> prev OR entry_hash <> sha256(previous_hash || '|' || body)), -1) AS first_break, count(*) AS entries FROM (
-  SELECT *, coalesce(lag(entry_hash) OVER (PARTITION BY session ORDER BY seq), '') AS prev FROM j) GROUP BY session""", l=LOG_SQL, j=JOURNAL_SQL))
+    A last entry without a hash is a tail cut short: it is dropped and no break. One inside a
+    stream is a break.
+    """
+    w = Window.partitionBy(stream).orderBy("seq")
+    rows = journal.select(stream, "seq", "previous_hash", "entry_hash", "body", F.lag("entry_hash", 1, "").over(w).alias("prev"), F.lead("seq").over(w).isNull().alias("is_last"))
+    cut = F.col("is_last") & F.col("entry_hash").isNull()
+    bad = ~F.col("previous_hash").eqNullSafe(F.col("prev")) | ~F.col("entry_hash").eqNullSafe(F.sha2(F.concat_ws("|", "previous_hash", "body"), 256))
+    return rows.select(stream, "seq", (bad & ~cut).alias("bad"), cut.alias("cut")).groupBy(stream).agg(
+        F.coalesce(F.min(F.when(F.col("bad"), F.col("seq"))), F.lit(-1).cast("long")).alias("first_break"), F.count_if(~F.col("cut")).alias("entries"), F.bool_or("cut").alias("truncated"))
+
+
+#: Entries of one journal. A session's log is a journal for each so many sequence numbers, so that each is short enough to be chained in one fold.
+JOURNAL_SPAN = 5000
+JOURNAL_SQL = f"""
+WITH RECURSIVE l AS ({LOG_SQL}),
+r AS (SELECT session || '/' || seq // {JOURNAL_SPAN} AS journal, seq, kind || ':' || k AS body, row_number() OVER (PARTITION BY session, seq // {JOURNAL_SPAN} ORDER BY seq) AS i, count(*) OVER (PARTITION BY session, seq // {JOURNAL_SPAN}) AS n FROM l),
+c(journal, i, n, seq, body, previous_hash, entry_hash) AS (
+  SELECT journal, i, n, seq, body, '', sha256('|' || body) FROM r WHERE i = 1
+  UNION ALL SELECT r.journal, r.i, r.n, r.seq, r.body, c.entry_hash, sha256(c.entry_hash || '|' || r.body) FROM c JOIN r ON r.journal = c.journal AND r.i = c.i + 1),
+j AS (SELECT journal, seq, i, n, previous_hash, CASE WHEN seq % 211 = 17 THEN body || '!' ELSE body END AS body, CASE WHEN seq % 97 = 5 AND i = n THEN NULL ELSE entry_hash END AS entry_hash FROM c)"""
+
+
+def journals(spark, sf_dir) -> DataFrame:
+    """journal, seq, previous_hash, entry_hash, body: sound chains, then some bodies changed after the fact and some last lines cut short."""
+    rows = log(spark, sf_dir).select(F.concat_ws("/", F.col("session").cast("string"), F.floor(F.col("seq") / JOURNAL_SPAN).cast("string")).alias("journal"), F.struct("seq", F.concat_ws(":", "kind", F.col("k").cast("string")).alias("body")).alias("e"))
+    entries = rows.groupBy("journal").agg(F.array_sort(F.collect_list("e")).alias("e"))  # at most JOURNAL_SPAN
+    start = F.array(F.struct(F.lit(None).cast("long").alias("seq"), F.lit("").alias("body"), F.lit("").alias("previous_hash"), F.lit("").alias("entry_hash")))
+    link = lambda s, x: F.struct(x["seq"].alias("seq"), x["body"].alias("body"), F.element_at(s, -1)["entry_hash"].alias("previous_hash"), F.sha2(F.concat_ws("|", F.element_at(s, -1)["entry_hash"], x["body"]), 256).alias("entry_hash"))
+    chained = entries.select("journal", F.posexplode(F.aggregate("e", start, lambda s, x: F.concat(s, F.array(link(s, x))))).alias("i", "c"), F.size("e").alias("n")).filter("i > 0")
+    rows = chained.select("journal", "i", "n", "c.*")
+    return rows.select("journal", "seq", "previous_hash", F.when(F.col("seq") % 211 == 17, F.concat("body", F.lit("!"))).otherwise(F.col("body")).alias("body"),
+        F.when(~((F.col("seq") % 97 == 5) & (F.col("i") == F.col("n"))), F.col("entry_hash")).alias("entry_hash"))
+
+
+@REG.add("win_hash_chain", JOURNAL_SQL + """
+SELECT journal, coalesce(min(seq) FILTER (WHERE NOT cut AND (previous_hash <> prev OR entry_hash IS DISTINCT FROM sha256(previous_hash || '|' || body))), -1) AS first_break, count_if(NOT cut)::BIGINT AS entries, bool_or(cut) AS truncated FROM (
+  SELECT *, coalesce(lag(entry_hash) OVER (PARTITION BY journal ORDER BY seq), '') AS prev, entry_hash IS NULL AND i = n AS cut FROM j) GROUP BY journal""")
 def win_hash_chain(spark, sf_dir):
-    """Journals of sessions; entries name their predecessor by another hash than its own, so each chain breaks at its second entry, or where the hash is bad."""
-    before = F.lag("seq").over(Window.partitionBy("session").orderBy("seq"))
-    j = log(spark, sf_dir).select("session", "seq", F.concat_ws(":", "kind", F.col("k").cast("string")).alias("body"), F.coalesce(F.sha2(F.concat(F.lit("p"), before.cast("string")), 256), F.lit("")).alias("previous_hash"))
-    j = j.withColumn("entry_hash", F.when(F.col("seq") % 211 == 17, "bad").otherwise(F.sha2(F.concat_ws("|", "previous_hash", "body"), 256)))
-    return chain_breaks(j, "session")
+    """Most journals are sound; in some a body was changed, in some the last line was cut short."""
+    return chain_breaks(journals(spark, sf_dir), "journal")
 
 
 def numbered(rows: DataFrame, order: list[str], block: str, start: int = 0) -> DataFrame:
@@ -77,10 +100,18 @@ def win_running_tick(spark, sf_dir):
     return log(spark, sf_dir).select("session", "seq", F.max("k").over(Window.partitionBy("session").orderBy("seq")).alias("tick"))
 
 
+def page_after(rows: DataFrame, order: str, after: int, limit: int, complete: bool = False) -> DataFrame:
+    """SRT-3: the first rows after a cursor. Where the result must be complete, more rows than the limit are an error."""
+    found = rows.filter(F.col(order) > after)
+    if complete and found.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} rows after {after}")
+    return found.orderBy(order).limit(limit)
+
+
 @REG.add("srt_page_after", with_sql("SELECT seq, kind, session FROM l WHERE seq > 100 ORDER BY seq LIMIT 64", l=LOG_SQL))
 def srt_page_after(spark, sf_dir, after: int = 100, limit: int = 64):
     """SRT-3, STR-1: the page after a cursor (a limit is the feature here)."""
-    return log(spark, sf_dir).filter(F.col("seq") > after).orderBy("seq").limit(limit).select("seq", "kind", "session")
+    return page_after(log(spark, sf_dir), "seq", after, limit).select("seq", "kind", "session")
 
 
 @REG.add("str_acknowledge", with_sql("SELECT session, least(max(k * 20), (SELECT max(seq) FROM l)) AS acknowledged FROM l GROUP BY session", l=LOG_SQL))
@@ -104,23 +135,47 @@ LEASE = {"click": 120, "view": 30, "signup": 60}
 
 
 @REG.add("str_expire_leases", with_sql("""
+SELECT session, seq, kind, expires_at, expired, CASE WHEN NOT expired THEN 'none' WHEN kind = 'click' THEN 'cancelled' ELSE 'requeued' END AS outcome, CASE WHEN expired THEN 'lease_expired' END AS event FROM (
 SELECT session, seq, kind, ts_ms // 60000 + CASE kind WHEN 'click' THEN 120 WHEN 'view' THEN 30 ELSE 60 END AS expires_at, coalesce(next_at >= ts_ms // 60000 + CASE kind WHEN 'click' THEN 120 WHEN 'view' THEN 30 ELSE 60 END, true) AS expired
-FROM (SELECT *, lead(ts_ms // 60000) OVER (PARTITION BY session ORDER BY seq) AS next_at FROM l) WHERE kind IN ('click', 'view', 'signup')""", l=LOG_SQL))
+FROM (SELECT *, lead(ts_ms // 60000) OVER (PARTITION BY session ORDER BY seq) AS next_at FROM l) WHERE kind IN ('click', 'view', 'signup'))""", l=LOG_SQL))
 def str_expire_leases(spark, sf_dir):
-    """STR-4 (batch): a lease ends at tick + 120, 30 or 60 unless the session's next event comes before that."""
+    """STR-4 (batch): a draft (click), offer (view) or claim (signup) ends at tick + 120, 30 or 60 unless the session's next event comes before that. What expires leaves an event; a draft is cancelled, the others go back to the queue."""
+    return expired_leases(log(spark, sf_dir))
+
+
+def expired_leases(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("session").orderBy("seq")
     tick = F.floor(F.col("ts_ms") / 60000)
-    length = F.when(F.col("kind") == "click", 120).when(F.col("kind") == "view", 30).otherwise(60)
-    rows = log(spark, sf_dir).withColumns({"tick": tick, "next_at": F.lead(tick).over(w)}).filter(F.col("kind").isin(*LEASE))
-    return rows.select("session", "seq", "kind", (F.col("tick") + length).alias("expires_at"), F.coalesce(F.col("next_at") >= F.col("tick") + length, F.lit(True)).alias("expired"))
+    length = F.when(F.col("kind") == "click", LEASE["click"]).when(F.col("kind") == "view", LEASE["view"]).otherwise(LEASE["signup"])
+    rows = rows.withColumns({"tick": tick, "next_at": F.lead(tick).over(w)}).filter(F.col("kind").isin(*LEASE))
+    gone = F.coalesce(F.col("next_at") >= F.col("tick") + length, F.lit(True))
+    outcome = F.when(~gone, "none").when(F.col("kind") == "click", "cancelled").otherwise("requeued")
+    return rows.select("session", "seq", "kind", (F.col("tick") + length).alias("expires_at"), gone.alias("expired"), outcome.alias("outcome"), F.when(gone, "lease_expired").alias("event"))
+
 
+#: Which state may follow which; a purchase ends a lifecycle.
+ALLOWED = {"signup": ("view", "click"), "view": ("view", "click", "purchase", "error"), "click": ("view", "click", "purchase", "error"), "error": ("view", "click"), "purchase": ()}
+ALLOWED_SQL = " OR ".join(f"(prev = '{a}' AND kind IN ({', '.join(repr(b) for b in bs)}))" for a, bs in ALLOWED.items() if bs)
 
-@REG.add("str_lifecycle", with_sql("""
-SELECT session, last(kind ORDER BY seq) AS state, count(*) AS transitions, max(ts_ms) - min(ts_ms) AS lifetime_ms, max(dwell) AS longest_ms FROM (SELECT *, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY session ORDER BY seq), 0) AS dwell FROM l) GROUP BY session""", l=LOG_SQL))
+
+def may_follow(prev, kind):
+    """True where a transition is allowed; anything may come first."""
+    out = prev.isNull()
+    for a, bs in ALLOWED.items():
+        if bs:
+            out = out | ((prev == a) & kind.isin(*bs))
+    return out
+
+
+@REG.add("str_lifecycle", with_sql(f"""
+SELECT session, last(kind ORDER BY seq) AS state, count(*) AS transitions, count_if(NOT coalesce(prev IS NULL OR {ALLOWED_SQL}, false))::BIGINT AS refused, max(ts_ms) - min(ts_ms) AS lifetime_ms, max(dwell) AS longest_ms
+FROM (SELECT *, lag(kind) OVER (PARTITION BY session ORDER BY seq) AS prev, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY session ORDER BY seq), 0) AS dwell FROM l) GROUP BY session""", l=LOG_SQL))
 def str_lifecycle(spark, sf_dir):
-    """STR-5 (batch): last state and dwell times of each change set."""
-    rows = log(spark, sf_dir).withColumn("dwell", F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("session").orderBy("seq")), F.lit(0).cast("long")))
-    return rows.groupBy("session").agg(F.max_by("kind", "seq").alias("state"), F.count("*").alias("transitions"), (F.max("ts_ms") - F.min("ts_ms")).alias("lifetime_ms"), F.max("dwell").alias("longest_ms"))
+    """STR-5 (batch): last state, dwell times, and transitions that the rule refuses, of each change set."""
+    w = Window.partitionBy("session").orderBy("seq")
+    rows = log(spark, sf_dir).withColumns({"prev": F.lag("kind").over(w), "dwell": F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w), F.lit(0).cast("long"))})
+    return rows.groupBy("session").agg(F.max_by("kind", "seq").alias("state"), F.count("*").alias("transitions"), F.count_if(~may_follow(F.col("prev"), F.col("kind"))).alias("refused"),
+        (F.max("ts_ms") - F.min("ts_ms")).alias("lifetime_ms"), F.max("dwell").alias("longest_ms"))
 
 
 @REG.add("str_log_audit", with_sql("""

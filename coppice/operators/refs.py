@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coppice.functions.columns import capped
+from coppice.operators.edits import tokens
+from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
 from coppice.plans.staging import stage
 from coppice.registration import Registry
-from coppice.sources.adapters import EDGES_SQL, NODES_SQL, edges, nodes, read, with_sql
+from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges, nodes, read, segments, with_sql
 
 REG = Registry()
 
@@ -53,24 +56,45 @@ def joi_enriched_uses(spark, sf_dir):
     return joined.groupBy("kind", F.coalesce("under", F.lit("unknown")).alias("under")).agg(F.count("*").alias("uses"), F.countDistinct("parent_id").alias("modules"))
 
 
-CALL, ALIAS, PASSED = r"^\s*[,;:]", r"^\s*[.!?]", r"^\s*$"
+#: What follows a name says how it is used: a call, passed on, given another name, or something else.
+AFTER = (("call", "^,"), ("aliased", "^[.;:]"), ("passed", "^ [a-z]"))
 
+#: Uses are the long words of lines; by rule some of their token rows, some of their lines, and some of the texts at their offsets are not there.
+USES_SQL = """SELECT module, child_index, i AS token_index, found[i] AS word, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0))::BIGINT AS place, payload
+FROM (SELECT *, regexp_split_to_array(payload, '[a-z]{8,}') AS gaps, regexp_extract_all(payload, '[a-z]{8,}') AS found FROM seg WHERE regexp_matches(payload, '[a-z]{8,}')), LATERAL (SELECT unnest(range(1, len(found) + 1)) AS i)"""
 
-@REG.add("joi_classify_uses", r"""
-WITH words AS (
-  SELECT doc_id, lower(regexp_extract(rest, '^(\w+)', 1)) AS word, substr(rest, length(regexp_extract(rest, '^(\w+)', 1)) + 1, 12) AS after
-  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\bthe [a-z]+[^a-z]{0,3}')) AS hit FROM documents), LATERAL (SELECT substr(hit, 5) AS rest))
-SELECT CASE WHEN regexp_matches(after, '^[,;:]') THEN 'call' WHEN regexp_matches(after, '^[.!?]') THEN 'end' WHEN regexp_matches(after, '^\s') THEN 'passed' ELSE 'other' END AS class,
-       count(*) AS uses, count(DISTINCT word) AS words, count(DISTINCT doc_id) AS modules
-FROM words GROUP BY 1""")
+
+@REG.add("joi_classify_uses", with_sql("""
+SELECT class, count(*) AS uses, count(DISTINCT word) AS words, count(DISTINCT module) AS modules FROM (
+  SELECT *, CASE WHEN (module + place) % 17 = 3 THEN 'missing_reference' WHEN (module + child_index) % 19 = 4 THEN 'missing_statement' WHEN (module + place) % 23 = 5 THEN 'not_found'
+    WHEN regexp_matches(after, '^,') THEN 'call' WHEN regexp_matches(after, '^[.;:]') THEN 'aliased' WHEN regexp_matches(after, '^ [a-z]') THEN 'passed' ELSE 'other' END AS class
+  FROM (SELECT *, substr(payload, place + length(word) + 1, 4) AS after FROM u)) GROUP BY class""", seg=SEGMENTS_SQL, u=USES_SQL))
 def joi_classify_uses(spark, sf_dir):
-    """JOI-5 (re-aimed): uses of a name by what follows it in the text."""
-    hits = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\bthe [a-z]+[^a-z]{0,3}"), 0)).alias("hit"))
-    rest = F.substring("hit", 5, 1 << 30)
-    word = F.regexp_extract(rest, r"^(\w+)", 1)
-    rows = hits.select("doc_id", F.lower(word).alias("word"), F.substring(rest, F.char_length(word) + 1, F.lit(12)).alias("after"))
-    kind = F.when(F.col("after").rlike("^[,;:]"), "call").when(F.col("after").rlike("^[.!?]"), "end").when(F.col("after").rlike(r"^\s"), "passed").otherwise("other")
-    return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("uses"), F.countDistinct("word").alias("words"), F.countDistinct("doc_id").alias("modules"))
+    """JOI-5 (re-aimed): every use of a name by what follows it in its line, or by the reason why it cannot be told."""
+    segs = stage(segments(spark, sf_dir))
+    found = stage(tokens(segs, "[a-z]{8,}"))
+    uses = found.select("module", "child_index", F.col("offset").alias("place"), F.col("token").alias("word"))
+    known = found.filter("(module + offset) % 17 <> 3").select("module", "child_index", F.col("offset").alias("place"), F.when(F.expr("(module + offset) % 23 = 5"), "?").otherwise(F.col("token")).alias("text"))
+    lines = segs.filter("(module + child_index) % 19 <> 4")
+    classed = classify_uses(uses, known, lines)
+    return classed.groupBy("class").agg(F.count("*").alias("uses"), F.countDistinct("word").alias("words"), F.countDistinct("module").alias("modules"))
+
+
+def classify_uses(uses: DataFrame, known: DataFrame, lines: DataFrame) -> DataFrame:
+    """module, child_index, place, word, class for each use: left joins to its token row and to its line, then the text at the offset.
+
+    missing_reference: there is no token row; missing_statement: no line; not_found: the line
+    has another text at the offset. Else by what follows the word.
+    """
+    rows = uses.join(known.select("module", "child_index", "place", "text"), ["module", "child_index", "place"], "left")
+    rows = rows.join(lines.select("module", "child_index", "payload"), ["module", "child_index"], "left")
+    start = F.col("place").cast("int") + 1
+    after = F.substring(F.col("payload"), start + F.char_length("text"), F.lit(4))
+    kind = (F.when(F.col("text").isNull(), "missing_reference").when(F.col("payload").isNull(), "missing_statement")
+            .when(F.substring(F.col("payload"), start, F.char_length("text")) != F.col("text"), "not_found"))
+    for name, pattern in AFTER:
+        kind = kind.when(after.rlike(pattern), name)
+    return rows.select("module", "child_index", "place", "word", kind.otherwise("other").alias("class"))
 
 
 def refresh_edges(refs: DataFrame, owned: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -133,25 +157,69 @@ def links(spark, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
 
 
-@REG.add("ing_import_edges", with_sql(r"""
-SELECT page_id, href, rank, target FROM (SELECT l.page_id, l.href, c.rank, min(p.page_id) AS target FROM links l
+PAGE_NAMES_SQL = r"""SELECT page_id, lower(regexp_extract(html, '<title>\s*([^\s<]+)', 1)) || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.html' ELSE '/index' END AS name FROM pages"""
+ING_EDGES_SQL = with_sql("", links="SELECT DISTINCT * FROM (" + LINKS_SQL + ")", names=PAGE_NAMES_SQL, edges="""SELECT page_id, href, rank, target FROM (SELECT l.page_id, l.href, c.rank, min(p.page_id) AS target FROM links l
 JOIN (SELECT 0 AS rank, '' AS ext UNION ALL SELECT 1, '.html' UNION ALL SELECT 2, '/index') c ON true
 JOIN names p ON p.name = lower(trim(l.href, '/')) || c.ext
 GROUP BY l.page_id, l.href, c.rank)
-QUALIFY rank = min(rank) OVER (PARTITION BY page_id, href)""", links="SELECT DISTINCT * FROM (" + LINKS_SQL + ")",
-    names=r"""SELECT page_id, lower(regexp_extract(html, '<title>\s*([^\s<]+)', 1)) || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.html' ELSE '/index' END AS name FROM pages"""))
-def ing_import_edges(spark, sf_dir):
-    """ING-7 (re-aimed): a link resolves to the first candidate spelling (bare, .html, /index) that a page is known by."""
-    spelled = links(spark, sf_dir).distinct().withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("ext")) for i, e in enumerate(("", ".html", "/index"))])))
-    spelled = spelled.select("page_id", "href", F.col("c.rank").alias("rank"), F.concat(F.lower(F.trim("href", F.lit("/"))), "c.ext").alias("name"))
+QUALIFY rank = min(rank) OVER (PARTITION BY page_id, href)""")
+
+
+def spelled(spark, sf_dir: str) -> DataFrame:
+    """page_id, href, rank, name: the spellings (bare, .html, /index) that a link may mean."""
+    rows = links(spark, sf_dir).distinct().withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("ext")) for i, e in enumerate(("", ".html", "/index"))])))
+    return rows.select("page_id", "href", F.col("c.rank").alias("rank"), F.concat(F.lower(F.trim("href", F.lit("/"))), "c.ext").alias("name"))
+
+
+def page_names(spark, sf_dir: str) -> DataFrame:
+    """name, target: what each page is known by."""
     page = F.col("page_id")
-    names = read(spark, sf_dir, "pages").select(
-        F.concat(F.lower(F.regexp_extract("html", r"<title>\s*([^\s<]+)", 1)), F.when(page % 3 == 0, "").when(page % 3 == 1, ".html").otherwise("/index")).alias("name"), page.alias("target")
-    ).groupBy("name").agg(F.min("target").alias("target"))
-    best = spelled.join(names, "name").groupBy("page_id", "href").agg(F.min(F.struct("rank", "target")).alias("b"))
+    ending = F.when(page % 3 == 0, "").when(page % 3 == 1, ".html").otherwise("/index")
+    return read(spark, sf_dir, "pages").select(F.concat(F.lower(F.regexp_extract("html", r"<title>\s*([^\s<]+)", 1)), ending).alias("name"), page.alias("target"))
+
+
+def import_edges(spark, sf_dir: str) -> DataFrame:
+    names = page_names(spark, sf_dir).groupBy("name").agg(F.min("target").alias("target"))
+    best = spelled(spark, sf_dir).join(names, "name").groupBy("page_id", "href").agg(F.min(F.struct("rank", "target")).alias("b"))
     return best.select("page_id", "href", F.col("b.rank").alias("rank"), F.col("b.target").alias("target"))
 
 
+@REG.add("ing_import_edges", ING_EDGES_SQL + " SELECT * FROM edges")
+def ing_import_edges(spark, sf_dir):
+    """ING-7 (re-aimed): a link resolves to the first candidate spelling that a page is known by."""
+    return import_edges(spark, sf_dir)
+
+
+#: A page's links one hop around those that changed.
+DIRTY = "page_id % 10 = 3"
+
+
+@REG.add("ing_dirty_closure", ING_EDGES_SQL + f""",
+dirty AS (SELECT page_id FROM pages WHERE {DIRTY})
+SELECT page_id, min(hop) AS hop FROM (SELECT page_id, 0 AS hop FROM dirty
+  UNION ALL SELECT target, 1 FROM edges WHERE page_id IN (SELECT page_id FROM dirty) UNION ALL SELECT page_id, 1 FROM edges WHERE target IN (SELECT page_id FROM dirty)) GROUP BY page_id""")
+def ing_dirty_closure(spark, sf_dir):
+    """ING-7: the changed pages, and those that link to them or are linked from them."""
+    refs = stage(import_edges(spark, sf_dir).select("page_id", "target"))
+    return one_hop(read(spark, sf_dir, "pages").filter(DIRTY).select("page_id"), refs)
+
+
+def one_hop(dirty: DataFrame, refs: DataFrame) -> DataFrame:
+    """page_id, hop: dirty pages (0) and their neighbours over refs (page_id, target) either way (1)."""
+    out = refs.join(dirty, "page_id", "left_semi").select(F.col("target").alias("page_id"))
+    back = refs.join(dirty.select(F.col("page_id").alias("target")), "target", "left_semi").select("page_id")
+    near = out.union(back).distinct().join(dirty, "page_id", "left_anti").select("page_id", F.lit(1).alias("hop"))
+    return dirty.distinct().select("page_id", F.lit(0).alias("hop")).union(near)
+
+
+@REG.add("joi_resolve_all", with_sql(r"""
+SELECT l.page_id, l.href, c.rank, p.page_id AS target FROM links l JOIN (SELECT 0 AS rank, '' AS ext UNION ALL SELECT 1, '.html' UNION ALL SELECT 2, '/index') c ON true
+JOIN names p ON p.name = lower(trim(l.href, '/')) || c.ext WHERE p.page_id <> l.page_id""", links="SELECT DISTINCT * FROM (" + LINKS_SQL + ")", names=PAGE_NAMES_SQL))
+def joi_resolve_all(spark, sf_dir):
+    """JOI-15: a link to every page known by one of its spellings; all pages of one name are kept, a page itself is not."""
+    return spelled(spark, sf_dir).join(page_names(spark, sf_dir), "name").filter("target <> page_id").select("page_id", "href", "rank", "target").distinct()
+
+
 @REG.add("ing_resolve_names", r"""
 WITH words AS (SELECT DISTINCT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS name FROM documents),
 own AS (SELECT source, name, min(doc_id) AS target FROM words GROUP BY ALL),
@@ -161,13 +229,45 @@ SELECT via, count(*) AS n, count(DISTINCT name) AS names, sum(target)::BIGINT AS
   FROM words w JOIN own o ON w.source = o.source AND w.name = o.name JOIN far f ON w.lang = f.lang AND w.name = f.name)
 WHERE target <> doc_id GROUP BY via""")
 def ing_resolve_names(spark, sf_dir):
-    """ING-4, JOI-15: a word refers to its first document in the own source, else in the language; self-edges go."""
-    words = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), 0)).alias("name")).distinct()
+    """ING-4: a word refers to its first document in the own source, else in the language; self-edges go."""
+    got = resolved_words(read(spark, sf_dir, "documents"))
+    return got.groupBy("via").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.sum("target").alias("targets"))
+
+
+def resolved_words(docs: DataFrame, pattern: str = "[a-z]{9,}") -> DataFrame:
+    """doc_id, name, via, target."""
+    words = docs.select("doc_id", "lang", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), 0)).alias("name")).distinct()
     own = words.groupBy("source", "name").agg(F.min("doc_id").alias("own"))
     far = words.groupBy("lang", "name").agg(F.min("doc_id").alias("far"))
     got = words.join(own, ["source", "name"]).join(far, ["lang", "name"])
-    got = got.select("doc_id", "name", F.when(F.col("own") != F.col("doc_id"), "own").otherwise("import").alias("via"), F.when(F.col("own") != F.col("doc_id"), F.col("own")).otherwise(F.col("far")).alias("target"))
-    return got.filter("target <> doc_id").groupBy("via").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.sum("target").alias("targets"))
+    here = F.col("own") != F.col("doc_id")
+    return got.select("doc_id", "name", F.when(here, "own").otherwise("import").alias("via"), F.when(here, F.col("own")).otherwise(F.col("far")).alias("target")).filter("target <> doc_id")
+
+
+@REG.add("ing_batch", with_sql(f"""
+SELECT 'nodes' AS part, count(*) AS n, {summed_digest_sql(row_text_sql("module", "child_index", "md5(payload)"))} AS digest FROM seg
+UNION ALL SELECT 'tokens', count(*), {summed_digest_sql(row_text_sql("module", "child_index", "place", "word"))} FROM u
+UNION ALL SELECT 'edges', count(*), {summed_digest_sql(row_text_sql("doc_id", "name", "target"))} FROM r
+UNION ALL SELECT 'modules', count(*), {summed_digest_sql("doc_id::VARCHAR")} FROM documents""", seg=SEGMENTS_SQL, u=USES_SQL,
+    words="SELECT DISTINCT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS name FROM documents",
+    r="""SELECT doc_id, name, target FROM (SELECT w.doc_id, w.name, CASE WHEN o.target <> w.doc_id THEN o.target ELSE f.target END AS target FROM words w
+      JOIN (SELECT source, name, min(doc_id) AS target FROM words GROUP BY ALL) o ON w.source = o.source AND w.name = o.name
+      JOIN (SELECT lang, name, min(doc_id) AS target FROM words GROUP BY ALL) f ON w.lang = f.lang AND w.name = f.name) WHERE target <> doc_id"""))
+def ing_batch(spark, sf_dir):
+    """ING-6: a corpus taken in as a whole: lines, their tokens, edges between documents, and the list of modules; a count and a digest of each part."""
+    parts = ingest(read(spark, sf_dir, "documents"), segments(spark, sf_dir))
+    texts = {"nodes": row_text("module", "child_index", F.md5("payload")), "tokens": row_text("module", "child_index", "offset", "token"), "edges": row_text("doc_id", "name", "target"), "modules": F.col("module").cast("string")}
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("n"), summed_digest(texts[name]).alias("digest")).select(F.lit(name).alias("part"), "n", "digest")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def ingest(docs: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+    """ING-6: nodes, tokens, edges and modules of a corpus."""
+    lines = stage(lines)
+    return {"nodes": lines, "tokens": tokens(lines, "[a-z]{8,}"), "edges": resolved_words(docs), "modules": docs.select(F.col("doc_id").alias("module"))}
 
 
 @REG.add("ing_edge_kind", with_sql("""
@@ -178,15 +278,25 @@ def ing_edge_kind(spark, sf_dir):
     return edges(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+TARGETS = ("the", "and", "de", "die")
+
+
 @REG.add("ing_occurrences", r"""
-SELECT d.doc_id, t.target, count(*)::BIGINT AS n, CASE WHEN count(*) > 20 THEN 'many' ELSE 'few' END AS class, md5(t.target || ':' || count(*)) AS digest
-FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\s]+')) AS w FROM documents) d JOIN (SELECT unnest(['the', 'and', 'de', 'die']) AS target) t ON d.w = t.target
-GROUP BY d.doc_id, t.target""")
+WITH w AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[^\s]+')) AS w FROM documents),
+n AS (SELECT doc_id, source, w AS target, count(*) AS n FROM w WHERE w IN ('the', 'and', 'de', 'die') GROUP BY ALL),
+f AS (SELECT source, target, min(doc_id) AS first_doc FROM n GROUP BY ALL)
+SELECT n.doc_id, n.target, n.n, CASE WHEN f.first_doc IS NULL OR f.first_doc = n.doc_id THEN 0 ELSE n.n END AS resolved,
+  CASE WHEN f.first_doc IS NULL OR f.first_doc = n.doc_id THEN 'textual' WHEN n.n > 20 THEN 'many' ELSE 'few' END AS class, md5(n.target || ':' || n.n) AS digest
+FROM n LEFT JOIN f ON n.source = f.source AND n.target = f.target""")
 def ing_occurrences(spark, sf_dir):
-    """ING-8: how often each target occurs in each file."""
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]+"), 0)).alias("target"))
-    n = words.filter(F.col("target").isin("the", "and", "de", "die")).groupBy("doc_id", "target").agg(F.count("*").alias("n"))
-    return n.select("doc_id", "target", "n", F.when(F.col("n") > 20, "many").otherwise("few").alias("class"), F.md5(F.concat_ws(":", "target", "n")).alias("digest"))
+    """ING-8: how often each target occurs in each file, how many of these resolve to an edge (to the source's first file that has the word), and a class."""
+    words = read(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]+"), 0)).alias("target"))
+    n = words.filter(F.col("target").isin(*TARGETS)).groupBy("doc_id", "source", "target").agg(F.count("*").alias("n"))
+    first = n.groupBy("source", "target").agg(F.min("doc_id").alias("first_doc"))
+    rows = n.join(first, ["source", "target"], "left")
+    own = F.col("first_doc").isNull() | (F.col("first_doc") == F.col("doc_id"))
+    return rows.select("doc_id", "target", "n", F.when(own, 0).otherwise(F.col("n")).alias("resolved"),
+        F.when(own, "textual").when(F.col("n") > 20, "many").otherwise("few").alias("class"), F.md5(F.concat_ws(":", "target", "n")).alias("digest"))
 
 
 @REG.add("agg_in_degree", with_sql("SELECT n.id, coalesce(e.n, 0) AS in_degree FROM nodes n LEFT JOIN (SELECT to_id, count(*) AS n FROM edges GROUP BY to_id) e ON e.to_id = n.id WHERE n.kind = 'Customer'", nodes=NODES_SQL, edges=EDGES_SQL))
@@ -203,15 +313,38 @@ def rename(tree: DataFrame, refs: DataFrame, renames: DataFrame) -> DataFrame:
     return hits.select("id", "to_name", F.col("id").alias("declaration")).union(uses)
 
 
+RENAMES_SQL = "SELECT id, CASE WHEN child_index % 2 = 0 THEN 'renamed_' || id ELSE payload END AS to_name FROM nodes WHERE kind = 'Customer' AND child_index % 2 = 0"
+NAMED_SQL = "SELECT id, to_name, id AS declaration FROM hits UNION ALL SELECT e.from_id, h.to_name, h.id FROM edges e JOIN hits h ON e.to_id = h.id"
+
+
+def asked_renames(tree: DataFrame) -> DataFrame:
+    """Even customers get a new name, odd ones their own, which is a no-op."""
+    return tree.filter("kind = 'Customer'").select("id", F.when(F.col("child_index") % 2 == 0, F.concat(F.lit("renamed_"), "id")).otherwise(F.col("payload")).alias("to_name"))
+
+
+def renamed(tree: DataFrame, named: DataFrame) -> DataFrame:
+    """EDT-1: the next version of the tree. A row that several renames touch takes the name of the least declaration."""
+    new = named.groupBy("id").agg(F.min_by("to_name", "declaration").alias("to_name"))
+    return tree.join(new, "id", "left").withColumn("payload", F.coalesce("to_name", "payload")).drop("to_name")
+
+
 @REG.add("edt_rename", with_sql("""
-SELECT declaration, to_name, count(*) AS affected, min(id) AS first_id, max(id) AS last_id FROM (
-  SELECT id, to_name, id AS declaration FROM hits UNION ALL SELECT e.from_id, h.to_name, h.id FROM edges e JOIN hits h ON e.to_id = h.id) GROUP BY ALL""",
-    nodes=NODES_SQL, edges=EDGES_SQL, hits="SELECT id, CASE WHEN child_index % 2 = 0 THEN 'renamed_' || id ELSE payload END AS to_name FROM nodes WHERE kind = 'Customer' AND child_index % 2 = 0"))
+SELECT declaration, to_name, count(*) AS affected, min(id) AS first_id, max(id) AS last_id FROM named GROUP BY ALL""", nodes=NODES_SQL, edges=EDGES_SQL, hits=RENAMES_SQL, named=NAMED_SQL))
 def edt_rename(spark, sf_dir):
-    """One log row a rename, with how many rows it touches; odd customers are renamed to their own name, a no-op."""
-    tree = nodes(spark, sf_dir)
-    asked = tree.filter("kind = 'Customer'").select("id", F.when(F.col("child_index") % 2 == 0, F.concat(F.lit("renamed_"), "id")).otherwise(F.col("payload")).alias("to_name"))
-    return rename(tree, edges(spark, sf_dir), asked).groupBy("declaration", "to_name").agg(F.count("*").alias("affected"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    """EDT-1: one log row a rename that is none to the same name, with how many rows it touches."""
+    tree = stage(nodes(spark, sf_dir))
+    return rename(tree, edges(spark, sf_dir), asked_renames(tree)).groupBy("declaration", "to_name").agg(F.count("*").alias("affected"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@REG.add("edt_rename_version", with_sql(f"""
+SELECT n.kind, count(*) AS n, count_if(c.to_name IS NOT NULL)::BIGINT AS renamed, {summed_digest_sql(row_text_sql("n.id", "n.parent_id", "n.child_index", "coalesce(c.to_name, n.payload)"))} AS digest
+FROM nodes n LEFT JOIN (SELECT id, min_by(to_name, declaration) AS to_name FROM named GROUP BY id) c ON c.id = n.id GROUP BY n.kind""", nodes=NODES_SQL, edges=EDGES_SQL, hits=RENAMES_SQL, named=NAMED_SQL))
+def edt_rename_version(spark, sf_dir):
+    """EDT-1: the version of the whole tree after all renames, by kind, with how many rows have another text and a digest."""
+    tree = stage(nodes(spark, sf_dir))
+    new = renamed(tree, rename(tree, edges(spark, sf_dir), asked_renames(tree)))
+    both = new.join(tree.select("id", F.col("payload").alias("was")), "id")
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("payload") != F.col("was")).alias("renamed"), summed_digest(row_text("id", "parent_id", "child_index", "payload")).alias("digest"))
 
 
 # --- projections --------------------------------------------------------------------------
@@ -235,22 +368,50 @@ def prj_declarations(spark, sf_dir):
     return nodes(spark, sf_dir).filter("kind in ('Order', 'Nation') and payload = '1-URGENT' or kind = 'Nation'").select("id", "parent_id", "payload")
 
 
-@REG.add("prj_module_exports", with_sql("SELECT parent_id, id, payload, payload LIKE '1-%' OR payload LIKE '2-%' AS exported FROM nodes WHERE kind = 'Order' AND parent_id LIKE 'C1%'", nodes=NODES_SQL))
+@REG.add("prj_module_exports", with_sql("SELECT parent_id, id, payload, payload LIKE '1-%' OR payload LIKE '2-%' AS exported FROM nodes WHERE kind = 'Order'", nodes=NODES_SQL))
 def prj_module_exports(spark, sf_dir):
-    """PRJ-6, PRJ-7, PRJ-8: a module's declarations with an exported flag from the payload."""
-    return nodes(spark, sf_dir).filter("kind = 'Order' and parent_id like 'C1%'").select("parent_id", "id", "payload", F.col("payload").rlike("^[12]-").alias("exported"))
+    """PRJ-6, PRJ-7, PRJ-8: every module's declarations with an exported flag from the payload."""
+    return module_exports(nodes(spark, sf_dir))
+
+
+def module_exports(tree: DataFrame, module: str | None = None) -> DataFrame:
+    """Declarations of one module, or of all."""
+    rows = tree.filter("kind = 'Order'")
+    rows = rows.filter(F.col("parent_id") == module) if module else rows
+    return rows.select("parent_id", "id", "payload", F.col("payload").rlike("^[12]-").alias("exported"))
+
+
+def matches_within(found: DataFrame, bound: int = 64) -> DataFrame:
+    """PRJ-5: found, or an error if it has more rows than the bound."""
+    if found.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} matches")
+    return found
+
+
+@REG.add("prj_find_declarations", with_sql("SELECT 7::BIGINT AS generation, id, kind, payload FROM nodes WHERE kind = 'Customer' AND payload LIKE '%00000001_'", nodes=NODES_SQL))
+def prj_find_declarations(spark, sf_dir, generation: int = 7):
+    """PRJ-5: declarations of one version of the tree by kind and name, with the version; rows without a name are none, more than 64 are an error."""
+    found = nodes(spark, sf_dir).filter("kind = 'Customer' and payload is not null and payload like '%00000001_'")
+    return matches_within(found).select(F.lit(generation).cast("long").alias("generation"), "id", "kind", "payload")
 
 
 @REG.add("prj_bounded_matches", with_sql("""
-SELECT payload, count(*) AS n, count(*) > 64 AS too_many, string_agg(id, ',' ORDER BY id) FILTER (WHERE rn <= 3) AS first_ids
+SELECT payload, count(*) AS n, count(*) > 64 AS truncated, string_agg(id, ',' ORDER BY id) FILTER (WHERE rn <= 64) AS first_ids
 FROM (SELECT *, row_number() OVER (PARTITION BY payload ORDER BY id) AS rn FROM nodes WHERE kind = 'Order') GROUP BY payload""", nodes=NODES_SQL))
-def prj_bounded_matches(spark, sf_dir):
-    """PRJ-5, PRJ-16: matches by name, flagged above 64, the first three ids and the total."""
+def prj_bounded_matches(spark, sf_dir, bound: int = 64):
+    """PRJ-16: matches by name: the first 64 ids, the total, and whether there are more."""
     found = nodes(spark, sf_dir).filter("kind = 'Order'")
-    first = found.withColumn("rn", F.row_number().over(Window.partitionBy("payload").orderBy("id"))).filter("rn <= 3")  # pruned before the shuffle
+    first = found.withColumn("rn", F.row_number().over(Window.partitionBy("payload").orderBy("id"))).filter(F.col("rn") <= bound)  # pruned before the shuffle
     ids = first.groupBy("payload").agg(F.concat_ws(",", F.array_sort(F.collect_list("id"))).alias("first_ids"))
     n = found.groupBy("payload").agg(F.count("*").alias("n"))
-    return n.join(ids, "payload").select("payload", "n", (F.col("n") > 64).alias("too_many"), "first_ids")
+    return n.join(ids, "payload").select("payload", "n", (F.col("n") > bound).alias("truncated"), "first_ids")
+
+
+@REG.add("prj_bounded_payload", "SELECT doc_id, CASE WHEN length(text) > 240 THEN substr(text, 1, 239) || '~' ELSE text END AS value, length(text)::BIGINT AS total, length(text) > 240 AS truncated FROM documents")
+def prj_bounded_payload(spark, sf_dir, bound: int = 240):
+    """PRJ-16: a payload cut at 240 characters, with its full length and whether it was cut."""
+    n = F.char_length("text")
+    return read(spark, sf_dir, "documents").select("doc_id", capped(F.col("text"), bound).alias("value"), n.cast("long").alias("total"), (n > bound).alias("truncated"))
 
 
 @REG.add("prj_kind_labels", with_sql("""SELECT CASE kind WHEN 'Module' THEN 'module' WHEN 'Nation' THEN 'namespace' WHEN 'Customer' THEN 'class' WHEN 'Order' THEN 'function' ELSE 'statement' END AS label, count(*) AS n FROM nodes GROUP BY 1""", nodes=NODES_SQL))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
 from coppice.plans.joins import as_of
+from coppice.plans.staging import stage
 from coppice.registration import Registry
 from coppice.sources.adapters import LOG_SQL, log, read, with_sql
 
@@ -14,27 +16,63 @@ REG = Registry()
 MUTATING = ("purchase", "signup")
 
 
-def distribution(value: Column, prefix: str = "") -> list[Column]:
+def percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], interpolated: bool = False) -> DataFrame:
+    """AGG-1, AGG-2: keys and a column for each wanted share, exact. Nulls are no values; a group without any has no row.
+
+    Nearest rank: the value at rank ceil(p n), an observed one. Interpolated: between the two
+    values around place p (n - 1). Values are counted first, counts are added up over 1024
+    blocks of values, and places are looked up block by block, so that a group's values come
+    together in one task only where they are equal or close.
+    """
+    v = F.col(value).cast("double")
+    counts = rows.filter(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count("*").alias("c"))
+    span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    block = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1023)).otherwise(0).cast("int")
+    placed = counts.join(span, keys).withColumn("block", block)
+    sums = placed.groupBy(*keys, "block").agg(F.sum("c").alias("b"))
+    before = F.coalesce(F.sum("b").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 1024 rows a group
+    start = sums.select(*keys, "block", before.alias("start"))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.join(start, [*keys, "block"]).withColumn("last", F.col("start") + upto).withColumn("first", F.col("last") - F.col("c"))
+    out = []
+    for name, p in wanted.items():
+        at = (F.col("n") - 1) * F.lit(p)
+        if interpolated:
+            low = F.max(F.when((F.col("first") <= F.floor(at)) & (F.floor(at) < F.col("last")), F.col("v")))
+            high = F.max(F.when((F.col("first") <= F.ceil(at)) & (F.ceil(at) < F.col("last")), F.col("v")))
+            share = F.max(at - F.floor(at))
+            out.append((low + (high - low) * share).alias(name))
+        else:
+            rank = F.greatest(F.ceil(F.col("n") * F.lit(p)), F.lit(1)) - 1
+            out.append(F.max(F.when((F.col("first") <= rank) & (rank < F.col("last")), F.col("v"))).alias(name))
+    return ranked.groupBy(*keys).agg(*out)
+
+
+def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """AGG-1: n, mean, interpolated quartiles, population deviation, extremes; null on no values. Rounded to 6 places."""
-    r = lambda c, n: F.round(c, 6).alias(prefix + n)
-    return [F.count(value).alias(prefix + "n"), r(F.avg(value), "mean"), r(F.percentile(value, 0.25), "p25"), r(F.percentile(value, 0.5), "p50"), r(F.percentile(value, 0.75), "p75"),
-            r(F.stddev_pop(value), "sd"), F.min(value).alias(prefix + "least"), F.max(value).alias(prefix + "most")]
+    r = lambda c, n: F.round(c, 6).alias(n)
+    v = F.col(value)
+    plain = rows.groupBy(*keys).agg(F.count(v).alias("n"), r(F.avg(v), "mean"), r(F.stddev_pop(v), "sd"), F.min(v).alias("least"), F.max(v).alias("most"))
+    shares = percentiles(rows, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, interpolated=True)
+    return plain.join(shares.select(*keys, *[r(F.col(c), c) for c in ("p25", "p50", "p75")]), keys, "left")
 
 
 def nearest_rank(value: str, p: float, name: str) -> Column:
-    """AGG-2: the value at rank ceil(p n), an observed one."""
+    """AGG-2 as an aggregate, for groups whose values are few enough for one task each (resamples, arms)."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(name)
 
 
 @REG.add("agg_distribution", """SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(quantile_cont(l_quantity, 0.25), 6) AS p25, round(quantile_cont(l_quantity, 0.5), 6) AS p50,
   round(quantile_cont(l_quantity, 0.75), 6) AS p75, round(stddev_pop(l_quantity), 6) AS sd, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY ALL""")
 def agg_distribution(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*distribution(F.col("l_quantity")))
+    return distribution(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
 @REG.add("agg_nearest_rank", """SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, min(value) AS least, max(value) AS most FROM events GROUP BY event_type""")
 def agg_nearest_rank(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), *[nearest_rank("value", p, f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)], F.min("value").alias("least"), F.max("value").alias("most"))
+    rows = read(spark, sf_dir, "events")
+    plain = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return plain.join(percentiles(rows, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}), "event_type", "left")
 
 
 @REG.add("agg_trial_summary", """
@@ -42,9 +80,12 @@ SELECT o_orderpriority AS config, count(*) AS trials, count_if(o_orderstatus = '
   round(quantile_cont(o_totalprice, 0.5), 4) AS cost_p50, round(avg(o_totalprice), 4) AS cost_mean, count_if(o_totalprice > 250000)::BIGINT AS expensive FROM orders GROUP BY 1""")
 def agg_trial_summary(spark, sf_dir):
     """AGG-3."""
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("config")).agg(
-        F.count("*").alias("trials"), F.count_if(F.col("o_orderstatus") == "F").alias("successes"), F.round(F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 6).alias("rate"),
-        F.round(F.percentile("o_totalprice", 0.5), 4).alias("cost_p50"), F.round(F.avg("o_totalprice"), 4).alias("cost_mean"), F.count_if(F.col("o_totalprice") > 250000).alias("expensive"))
+    rows = read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "config")
+    won = F.count_if(F.col("o_orderstatus") == "F")
+    plain = rows.groupBy("config").agg(F.count("*").alias("trials"), won.alias("successes"), F.round(won / F.count("*"), 6).alias("rate"),
+        F.round(F.avg("o_totalprice"), 4).alias("cost_mean"), F.count_if(F.col("o_totalprice") > 250000).alias("expensive"))
+    middle = percentiles(rows, ["config"], "o_totalprice", {"p50": 0.5}, interpolated=True)
+    return plain.join(middle.select("config", F.round("p50", 4).alias("cost_p50")), "config", "left")
 
 
 @REG.add("agg_histogram", with_sql("SELECT session, string_agg(kind || '=' || n, ',' ORDER BY kind) AS histogram FROM (SELECT session, kind, count(*) AS n FROM l GROUP BY ALL) GROUP BY session", l=LOG_SQL))
@@ -106,13 +147,16 @@ def agg_suite_verdict(spark, sf_dir):
 
 
 @REG.add("agg_worst_verdict", """
-SELECT o_orderstatus, CASE max(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'inconclusive' ELSE 'pass' END AS state,
-  count_if(o_orderpriority = '5-LOW') > 0 AS has_required, (max(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END) = 3)::INT AS exit_code FROM orders GROUP BY 1""")
+SELECT o_custkey, CASE WHEN worst = 3 THEN 'fail' WHEN worst = 2 OR NOT has_required THEN 'inconclusive' ELSE 'pass' END AS state, has_required,
+  CASE WHEN worst = 3 THEN 1 WHEN worst = 2 OR NOT has_required THEN 2 ELSE 0 END AS exit_code
+FROM (SELECT o_custkey, max(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END) AS worst, count_if(o_orderpriority = '5-LOW') > 0 AS has_required FROM orders GROUP BY 1)""")
 def agg_worst_verdict(spark, sf_dir):
-    """AGG-14."""
-    worst = F.max(F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(1))
-    return read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.when(worst == 3, "fail").when(worst == 2, "inconclusive").otherwise("pass").alias("state"),
-        (F.count_if(F.col("o_orderpriority") == "5-LOW") > 0).alias("has_required"), (worst == 3).cast("int").alias("exit_code"))
+    """AGG-14: the worst state of a customer's orders; without one of the required kind there is no pass."""
+    level = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(1)
+    t = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(level).alias("worst"), (F.count_if(F.col("o_orderpriority") == "5-LOW") > 0).alias("has_required"))
+    capped = (F.col("worst") == 2) | ~F.col("has_required")
+    return t.select("o_custkey", F.when(F.col("worst") == 3, "fail").when(capped, "inconclusive").otherwise("pass").alias("state"), "has_required",
+        F.when(F.col("worst") == 3, 1).when(capped, 2).otherwise(0).alias("exit_code"))
 
 
 def draw(n: Column, *parts: Column) -> Column:
@@ -142,32 +186,73 @@ def joi_paired_arms(spark, sf_dir):
     return paired_by_rank(spark, sf_dir).select("i", "kernel", "base", (F.col("kernel") > F.col("base")).alias("slower"))
 
 
-def bootstrap_ratio(pairs: DataFrame, seed: int, resamples: int, n: int) -> DataFrame:
-    """AGG-15, AGG-16: point, lcb, ucb, verdict of the p95 ratio kernel / base over resampled pairs.
+@REG.add("joi_arm_checks", """
+WITH s AS (SELECT event_type AS arm, user_id AS pair, count(*) AS n, min(event_id) AS first_seq FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)
+SELECT coalesce(a.pair, b.pair) AS pair, CASE WHEN a.pair IS NULL THEN 'no_click' WHEN b.pair IS NULL THEN 'no_view' WHEN a.n <> b.n THEN 'uneven' WHEN a.first_seq > b.first_seq THEN 'order' ELSE 'sound' END AS state
+FROM (SELECT * FROM s WHERE arm = 'click') a FULL JOIN (SELECT * FROM s WHERE arm = 'view') b ON a.pair = b.pair""")
+def joi_arm_checks(spark, sf_dir):
+    """JOI-12: users as pairs of two arms; which lack an arm, have other numbers of samples on each side, or came in the wrong order."""
+    rows = read(spark, sf_dir, "events").filter("event_type in ('click', 'view')").select(F.col("event_type").alias("arm"), F.col("user_id").alias("pair"), F.col("event_id").alias("seq"))
+    return arm_checks(rows, "click", "view")
+
+
+def arm_checks(samples: DataFrame, first: str, second: str) -> DataFrame:
+    """JOI-12: pair, state: what is wrong with a pair of arms (samples: arm, pair, seq), or `sound`."""
+    s = samples.groupBy("arm", "pair").agg(F.count("*").alias("n"), F.min("seq").alias("at"))
+    a = s.filter(F.col("arm") == first).select("pair", F.col("n").alias("a_n"), F.col("at").alias("a_at"))
+    b = s.filter(F.col("arm") == second).select("pair", F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    state = F.when(F.col("a_n").isNull(), f"no_{first}").when(F.col("b_n").isNull(), f"no_{second}").when(F.col("a_n") != F.col("b_n"), "uneven").when(F.col("a_at") > F.col("b_at"), "order").otherwise("sound")
+    return a.join(b, "pair", "full_outer").select("pair", state.alias("state"))
+
 
-    Each draw is a row (resample, index); indices meet the pairs in an equi-join, and each
-    resample is one group of n values. n is the number of pairs, indexed from 0.
+def bootstrap_ratio(pairs: DataFrame, seed: int, resamples: int) -> DataFrame:
+    """AGG-15, AGG-16: point, lcb, ucb, verdict of the p95 ratio kernel / base over resamples of the pairs.
+
+    Distinct pairs are counted, and each bucket of equal pairs (a row) draws by itself how often
+    it comes in a resample: a Poisson number with its count as the mean. So a resample is as
+    many rows as there are distinct pairs, its size varies around n, and a percentile is a
+    running sum of counts; no draw is a row. The numbers depend on seed, resample and pair.
     """
-    spark = pairs.sparkSession
-    draws = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("b"), draw(F.lit(n), F.lit(str(seed)), F.col("id").cast("string")).alias("i"))
-    by = draws.join(pairs, "i").groupBy("b").agg(nearest_rank("kernel", 0.95, "k"), nearest_rank("base", 0.95, "s")).select((F.col("k") / F.col("s")).alias("ratio"))
-    spread = by.agg(nearest_rank("ratio", 0.05, "lcb"), nearest_rank("ratio", 0.95, "ucb"))
-    point = pairs.agg(nearest_rank("kernel", 0.95, "k"), nearest_rank("base", 0.95, "s")).select((F.col("k") / F.col("s")).alias("point"))
+    counted = pairs.groupBy("kernel", "base").agg(F.count("*").alias("c"))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("kernel").cast("string"), F.col("base").cast("string"))
+    drawn = counted.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("c", poisson_count(key, F.col("c"))).filter("c > 0")
+    by = weighted_p95(drawn, "kernel").withColumnRenamed("at", "k").join(weighted_p95(drawn, "base").withColumnRenamed("at", "s"), "b").select((F.col("k") / F.col("s")).alias("ratio"))
+    spread = by.agg(nearest_rank("ratio", 0.05, "lcb"), nearest_rank("ratio", 0.95, "ucb"))  # a row a resample
+    whole = counted.withColumn("b", F.lit(0))
+    point = weighted_p95(whole, "kernel").withColumnRenamed("at", "k").join(weighted_p95(whole, "base").withColumnRenamed("at", "s"), "b").select((F.col("k") / F.col("s")).alias("point"))
     verdict = F.when(F.col("ucb") <= 1.25, "PASS").when(F.col("lcb") > 1.25, "FAIL").otherwise("INCONCLUSIVE")
     return point.join(spread).select(*[F.round(c, 6).alias(c) for c in ("point", "lcb", "ucb")], verdict.alias("verdict"))  # one row each
 
 
-@REG.add("agg_bootstrap_ratio", with_sql("""
+def poisson_count(key: Column, mean: Column) -> Column:
+    """A Poisson number by the key: unit means are drawn one by one, by inversion at 13 hex digits of an MD5; a count is the sum of as many."""
+    one = lambda i: (F.conv(F.substring(F.md5(F.concat_ws(":", key, i.cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402)
+    inverse = lambda u: sum((F.when(u > c, 1).otherwise(0) for c in steps), F.lit(0))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), mean), F.lit(0), lambda s, i: s + inverse(one(i)))
+
+
+def weighted_p95(rows: DataFrame, value: str) -> DataFrame:
+    """b, at: the value at rank ceil(0.95 n) of each b, rows counting c times."""
+    by = rows.groupBy("b", F.col(value).alias("v")).agg(F.sum("c").alias("c"))
+    w = Window.partitionBy("b")
+    ranked = by.withColumns({"upto": F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    return ranked.filter(F.col("upto") >= F.ceil(F.col("n") * 0.95)).groupBy("b").agg(F.min("v").alias("at"))
+
+
+POISSON_SQL = "+".join(f"(u > {c})::INT" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402))
+
+
+@REG.add("agg_bootstrap_ratio", with_sql(f"""
 SELECT round(point, 6) AS point, round(lcb, 6) AS lcb, round(ucb, 6) AS ucb, CASE WHEN ucb <= 1.25 THEN 'PASS' WHEN lcb > 1.25 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM
  (SELECT quantile_disc(kernel, 0.95) / quantile_disc(base, 0.95) AS point FROM p),
  (SELECT quantile_disc(ratio, 0.05) AS lcb, quantile_disc(ratio, 0.95) AS ucb FROM (
-   SELECT b, quantile_disc(kernel, 0.95) / quantile_disc(base, 0.95) AS ratio FROM
-    (SELECT id // n AS b, CAST('0x' || substr(md5('7:' || id), 1, 13) AS BIGINT) % n AS i FROM (SELECT count(*) AS n FROM p), LATERAL (SELECT unnest(range(0, 100 * n)) AS id)) d JOIN p USING (i) GROUP BY b))""", p=PAIRS_SQL))
+   SELECT b, (SELECT min(v) FROM (SELECT v, sum(c) OVER (ORDER BY v) AS upto, sum(c) OVER () AS n FROM (SELECT kernel AS v, sum(c) AS c FROM d WHERE d.b = r.b GROUP BY 1)) WHERE upto >= ceil(n * 0.95)) /
+     (SELECT min(v) FROM (SELECT v, sum(c) OVER (ORDER BY v) AS upto, sum(c) OVER () AS n FROM (SELECT base AS v, sum(c) AS c FROM d WHERE d.b = r.b GROUP BY 1)) WHERE upto >= ceil(n * 0.95)) AS ratio FROM (SELECT DISTINCT b FROM d) r))""", p=PAIRS_SQL,
+    d=f"""SELECT kernel, base, b, sum({POISSON_SQL}) AS c FROM (SELECT kernel, base, b, (CAST('0x' || substr(md5('7:' || b || ':' || kernel || ':' || base || ':' || i), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+      FROM (SELECT kernel, base, count(*) AS n FROM p GROUP BY ALL), LATERAL (SELECT unnest(range(0, 100)) AS b), LATERAL (SELECT unnest(range(1, n + 1)) AS i)) GROUP BY ALL"""))
 def agg_bootstrap_ratio(spark, sf_dir):
-    from coppice.plans.staging import stage
-
-    pairs = stage(paired_by_rank(spark, sf_dir))
-    return bootstrap_ratio(pairs, 7, 100, max(1, pairs.count()))
+    return bootstrap_ratio(stage(paired_by_rank(spark, sf_dir)), 7, 100)
 
 
 @REG.add("agg_memory_verdict", """
@@ -188,28 +273,44 @@ SELECT session, quantile_disc(value, 0.5) FILTER (WHERE r <= n // 2) AS first_p5
  SELECT session, value, row_number() OVER (PARTITION BY session ORDER BY seq) AS r, count(*) OVER (PARTITION BY session) AS n FROM l) WHERE n > 1 GROUP BY session""", l=LOG_SQL))
 def agg_drift(spark, sf_dir):
     """AGG-18: medians of the first and last half of each session, the middle one left out on odd counts."""
-    w = Window.partitionBy("session")
-    rows = log(spark, sf_dir).select("session", "value", F.row_number().over(w.orderBy("seq")).alias("r"), F.count("*").over(w).alias("n")).filter("n > 1")
+    rows = log(spark, sf_dir).select("session", "seq", "value")
+    n = rows.groupBy("session").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("session").orderBy("seq"))).join(n, "session")
     half = F.floor(F.col("n") / 2)
-    rows = rows.select("session", F.when(F.col("r") <= half, F.col("value")).alias("a"), F.when(F.col("r") > F.col("n") - half, F.col("value")).alias("b"))
-    return rows.groupBy("session").agg(nearest_rank("a", 0.5, "first_p50"), nearest_rank("b", 0.5, "last_p50"))
+    side = F.when(F.col("r") <= half, "first").when(F.col("r") > F.col("n") - half, "last")
+    halves = ranked.select("session", side.alias("side"), "value").filter("side is not null")
+    middle = percentiles(halves, ["session", "side"], "value", {"p50": 0.5})
+    return middle.groupBy("session").agg(*[F.max(F.when(F.col("side") == s, F.col("p50"))).alias(f"{s}_p50") for s in ("first", "last")])
 
 
-@REG.add("agg_sequence_parity", with_sql("""
-SELECT session, string_agg(kind, '>' ORDER BY seq) = string_agg(kind, '>' ORDER BY ts_ms, seq) AS same, md5(string_agg(kind, '>' ORDER BY seq)) AS trace FROM l GROUP BY session""", l=LOG_SQL))
+@REG.add("agg_sequence_parity", with_sql(f"""
+SELECT session, count_if(kind <> other) = 0 AS same, min(r) FILTER (WHERE kind <> other) AS first_other, {summed_digest_sql(row_text_sql("r", "kind"))} AS trace FROM (
+  SELECT a.session, a.r, a.kind, b.kind AS other FROM (SELECT session, kind, row_number() OVER (PARTITION BY session ORDER BY seq) AS r FROM l) a
+  JOIN (SELECT session, kind, row_number() OVER (PARTITION BY session ORDER BY ts_ms, seq) AS r FROM l) b ON a.session = b.session AND a.r = b.r) GROUP BY session""", l=LOG_SQL))
 def agg_sequence_parity(spark, sf_dir):
-    """AGG-19: the trace by sequence against the trace by time."""
-    by = lambda *c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c, "kind"))), lambda x: x["kind"]), ">")
-    return log(spark, sf_dir).groupBy("session").agg((by("seq") == by("ts_ms", "seq")).alias("same"), F.md5(by("seq")).alias("trace"))
+    """AGG-19: the trace by sequence against the trace by time, place by place; traces are compared as joined rows and digested as sums."""
+    rows = log(spark, sf_dir)
+    place = lambda *c: F.row_number().over(Window.partitionBy("session").orderBy(*c)).alias("r")
+    a, b = rows.select("session", "kind", place("seq")), rows.select("session", F.col("kind").alias("other"), place("ts_ms", "seq"))
+    return sequence_parity(a, b, "session")
+
+
+def sequence_parity(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, same, first_other (the first place that differs), trace (digest of a). a has key, r, kind; b key, r, other."""
+    both = a.join(b, [key, "r"], "full_outer")
+    differs = ~F.col("kind").eqNullSafe(F.col("other"))
+    return both.groupBy(key).agg((F.count_if(differs) == 0).alias("same"), F.min(F.when(differs, F.col("r"))).cast("long").alias("first_other"), summed_digest(row_text("r", "kind")).alias("trace"))
 
 
 @REG.add("agg_profile_by_leg", with_sql("""
-SELECT session, leg, count(*) AS n, count_if(kind = 'signup')::BIGINT AS starts, count_if(kind = 'purchase')::BIGINT AS runs, max(coalesce(k, 0)) AS high FROM (
- SELECT *, sum((kind = 'signup')::INT) OVER (PARTITION BY session ORDER BY seq)::BIGINT AS leg FROM l) GROUP BY ALL""", l=LOG_SQL))
+SELECT session, leg, n, starts, runs, high, (leg = 0 AND starts = 0) OR (leg > 0 AND starts = 1) AS one_start, starts = runs AS spawns_match FROM (
+ SELECT session, leg, count(*) AS n, count_if(kind = 'signup')::BIGINT AS starts, count_if(kind = 'purchase')::BIGINT AS runs, max(coalesce(k, 0)) AS high FROM (
+  SELECT *, sum((kind = 'signup')::INT) OVER (PARTITION BY session ORDER BY seq)::BIGINT AS leg FROM l) GROUP BY ALL)""", l=LOG_SQL))
 def agg_profile_by_leg(spark, sf_dir):
-    """AGG-20, AGG-23: records split at restarts, with counts that exactly-one checks look at."""
+    """AGG-20: records split at restarts; does each leg have exactly one start (none before the first), and as many runs as starts."""
     leg = F.sum((F.col("kind") == "signup").cast("long")).over(Window.partitionBy("session").orderBy("seq"))
-    return log(spark, sf_dir).withColumn("leg", leg).groupBy("session", "leg").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "signup").alias("starts"), F.count_if(F.col("kind") == "purchase").alias("runs"), F.max(F.coalesce("k", F.lit(0).cast("long"))).alias("high"))
+    t = log(spark, sf_dir).withColumn("leg", leg).groupBy("session", "leg").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "signup").alias("starts"), F.count_if(F.col("kind") == "purchase").alias("runs"), F.max(F.coalesce("k", F.lit(0).cast("long"))).alias("high"))
+    return t.withColumns({"one_start": F.col("starts") == F.when(F.col("leg") == 0, 0).otherwise(1), "spawns_match": F.col("starts") == F.col("runs")})
 
 
 @REG.add("agg_exactly_one", with_sql("SELECT session, ts_ms // 86400000 AS day, count(*) AS n FROM l WHERE kind = 'signup' GROUP BY ALL HAVING count(*) <> 1", l=LOG_SQL))
@@ -290,4 +391,14 @@ def prj_session_operations(spark, sf_dir):
     return log(spark, sf_dir).filter("session = 3").select("seq", "kind", "k", F.row_number().over(Window.partitionBy("session").orderBy("ts_ms", "seq")).cast("long").alias("place"))
 
 
+@REG.add("prj_operation_lookup", with_sql("""SELECT 'id' AS asked_by, seq, session, kind, k FROM l WHERE seq IN (17, 99999999) UNION ALL SELECT 'generation', seq, session, kind, k FROM l WHERE ts_ms // 86400000 = (SELECT min(ts_ms) // 86400000 + 2 FROM l)""", l=LOG_SQL))
+def prj_operation_lookup(spark, sf_dir):
+    """PRJ-18: an operation by its id (an unknown id gives no row), and those of one generation (here a day)."""
+    rows = log(spark, sf_dir)
+    day = rows.agg(F.floor(F.min("ts_ms") / 86400000)).first()[0] + 2
+    cols = ["seq", "session", "kind", "k"]
+    by_id = rows.filter(F.col("seq").isin(17, 99999999)).select(F.lit("id").alias("asked_by"), *cols)
+    return by_id.union(rows.filter(F.floor(F.col("ts_ms") / 86400000) == day).select(F.lit("generation"), *cols))
+
+
 QUERIES, SQL = REG.queries, REG.sql

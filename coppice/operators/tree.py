@@ -6,35 +6,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
 from coppice.plans.staging import stage
 from coppice.registration import Registry
-from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges, nodes, segments, with_sql
+from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges, nodes, read, segments, with_sql
 
 REG = Registry()
-DEPTH_MOST = 64
+#: A narrow frontier or a list of roots of so many rows may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
-def descend(tree: DataFrame, tops: DataFrame, depth_most: int = DEPTH_MOST) -> DataFrame:
-    """id, kind, root, depth, path for every descendant of tops (a column id), tops included.
+def small(df: DataFrame, rows_most: int = BROADCAST_ROWS) -> DataFrame:
+    """df hinted for broadcast if a count shows that it has few rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows_most + 1).count() <= rows_most else df
 
-    One join a level against the frontier only, staged; it ends with the tree, not with a cap:
-    deeper than depth_most is an error, as in a cycle that tops reach.
+
+def ancestry(tree: DataFrame, stops: DataFrame | None = None, path: bool = False) -> DataFrame:
+    """id, kind, root, depth (and path, root/.../id) for every node below a root or below one of `stops` (a column id), these included.
+
+    By pointer doubling: each round a node takes over the pointer of the node it points at, so
+    rounds grow with the logarithm of the depth and no depth is too much. A node counts under
+    the nearest stop at or above it. What hangs on a missing parent or on a cycle is left out:
+    such nodes are those left when a round ends none.
     """
-    tree = stage(tree.select("id", "kind", "parent_id"))  # read once a level
-    level = stage(tree.join(tops.select(F.col("id")), "id").select("id", "kind", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("id").alias("path")))
-    levels = [level]
-    for depth in range(1, depth_most + 2):
-        up = level.select(F.col("id").alias("parent_id"), "root", "path")
-        level = stage(tree.join(up, "parent_id").select("id", "kind", "root", F.lit(depth).cast("long").alias("depth"), F.concat_ws("/", "path", "id").alias("path")))
-        if level.isEmpty():
+    rows = tree.select("id", "kind", "parent_id")
+    if stops is not None:
+        rows = rows.join(stops.select("id", F.lit(True).alias("stop")), "id", "left")
+        rows = rows.select("id", "kind", F.when(F.col("stop").isNull(), F.col("parent_id")).alias("parent_id"))
+    text = [F.col("id").alias("path")] if path else []
+    ends = F.col("parent_id").isNull()
+    state = stage(rows.select("id", "kind", F.when(ends, F.col("id")).alias("root"), F.when(ends, 0).otherwise(1).cast("long").alias("depth"), F.col("parent_id").alias("up"), *text))
+    done, rest = state.filter("up is null"), state.filter("up is not null")
+    left = rest.count()
+    while left:
+        above = done.union(rest).select(F.col("id").alias("up"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("up").alias("a_up"), *([F.col("path").alias("a_path")] if path else []))
+        text = [F.concat_ws("/", "a_path", "path").alias("path")] if path else []
+        state = stage(rest.join(above, "up").select("id", "kind", F.col("a_root").alias("root"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.col("a_up").alias("up"), *text))
+        done, rest = done.union(state.filter("up is null")), state.filter("up is not null")
+        was, left = left, rest.count()
+        if left == was:
             break
-        if depth > depth_most:
-            raise ValueError(f"deeper than {depth_most}")
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+    return done.drop("up")
+
+
+def descend(tree: DataFrame, tops: DataFrame, levels: int = 16) -> DataFrame:
+    """id, kind, root, depth for every descendant of tops (a column id), tops included, each under the nearest top.
+
+    One join a level against the frontier only (a broadcast while that is small); a tree deeper
+    than `levels` is finished by pointer doubling. A cycle through a top is an error.
+    """
+    tree = stage(tree.select("id", "kind", "parent_id"))
+    tops = stage(tops.select("id").distinct())
+    level = stage(tree.join(small(tops), "id").select("id", "kind", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth")))
+    out = level
+    for depth in range(1, levels + 1):
+        up = level.select(F.col("id").alias("parent_id"), "root")
+        level = stage(tree.join(small(up), "parent_id").select("id", "kind", "root", F.lit(depth).cast("long").alias("depth")))
+        if level.filter("id = root").limit(1).count():
+            raise ValueError("a top is its own descendant")
+        level = level.join(small(tops), "id", "left_anti")
+        if level.isEmpty():
+            return out
+        out = out.union(level)
+    ends = stage(level.select("id", F.col("root").alias("first"), F.col("depth").alias("so_far")))
+    deep = ancestry(tree.join(out.select("id"), "id", "left_anti").union(tree.join(ends.select("id"), "id", "left_semi")), ends)
+    deep = deep.filter("depth > 0").join(ends.select(F.col("id").alias("root"), "first", "so_far"), "root")
+    deep = stage(deep.select("id", "kind", F.col("first").alias("root"), (F.col("depth") + F.col("so_far")).alias("depth")))
+    if not deep.join(tops, "id", "left_semi").isEmpty():
+        raise ValueError("a top is its own descendant")
+    return out.union(deep)
 
 
 def roots_of(tree: DataFrame) -> DataFrame:
@@ -53,16 +93,16 @@ def recursive(body: str, walk: str = WALK_SQL, **more: str) -> str:
 
 @REG.add("hie_tree_rollup", recursive("SELECT root, kind, count(*) AS n, max(depth)::BIGINT AS depth, min(path) AS first_path FROM walk GROUP BY root, kind"))
 def hie_tree_rollup(spark, sf_dir):
-    tree = nodes(spark, sf_dir)
-    return descend(tree, roots_of(tree)).groupBy("root", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.min("path").alias("first_path"))
+    walked = ancestry(nodes(spark, sf_dir), path=True)
+    return walked.groupBy("root", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.min("path").alias("first_path"))
 
 
-@REG.add("hie_root_of_all", recursive("SELECT w.id, w.root, r.payload AS root_payload FROM walk w JOIN nodes r ON w.root = r.id WHERE w.kind <> 'Line'"))
+@REG.add("hie_root_of_all", recursive("SELECT w.id, w.root, r.payload AS root_payload FROM walk w JOIN nodes r ON w.root = r.id"))
 def hie_root_of_all(spark, sf_dir):
-    """HIE-1: root and its payload for every inner node."""
+    """HIE-1: root and its payload for every node."""
     tree = nodes(spark, sf_dir)
-    walked = descend(tree.filter("kind <> 'Line'"), roots_of(tree))
-    return walked.select("id", "root").join(F.broadcast(roots_of(tree).select(F.col("id").alias("root"), F.col("payload").alias("root_payload"))), "root").select("id", "root", "root_payload")
+    tops = small(roots_of(tree).select(F.col("id").alias("root"), F.col("payload").alias("root_payload")))
+    return ancestry(tree).join(tops, "root").select("id", "root", "root_payload")
 
 
 def enclosing(tree: DataFrame, of: DataFrame, kinds: list[str], steps: int = 16) -> DataFrame:
@@ -92,18 +132,18 @@ def hie_enclosing(spark, sf_dir):
 
 
 def lifted_closure(tree: DataFrame, seeds: DataFrame) -> DataFrame:
-    """HIE-3: the ids under the top-level ancestors (children of roots) of the seeds."""
-    at = stage(tree.join(seeds.select("id"), "id").select("id", "parent_id"))
-    tops = roots_of(tree).select(F.col("id").alias("parent_id"))
-    lifted: DataFrame | None = None
-    for _ in range(DEPTH_MOST):
-        hit = at.join(F.broadcast(tops), "parent_id", "left_semi").select("id")
-        lifted = hit if lifted is None else lifted.union(hit)
-        rest = at.join(F.broadcast(tops), "parent_id", "left_anti").filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
-        at = stage(tree.join(rest, "id").select("id", "parent_id"))
-        if at.isEmpty():
-            break
-    return descend(tree, lifted.distinct()).select("id")
+    """HIE-3: the ids under the top-level ancestors (children of roots) of the seeds, at any depth."""
+    tree = stage(tree.select("id", "kind", "parent_id"))
+    roots = small(stage(roots_of(tree).select(F.col("id").alias("parent_id"))))
+    tops = tree.join(roots, "parent_id", "left_semi").select("id")
+    under = stage(ancestry(tree.filter("parent_id is not null"), tops).select("id", F.col("root").alias("top")))
+    wanted = stage(under.join(seeds.select("id"), "id", "left_semi").select("top").distinct())
+    return under.join(wanted, "top", "left_semi").select("id")
+
+
+def leaving(inside: DataFrame, refs: DataFrame) -> DataFrame:
+    """Edges from inside a closure to what lies outside it."""
+    return refs.join(inside.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(inside.select(F.col("id").alias("to_id")), "to_id", "left_anti")
 
 
 @REG.add("hie_closure_edges", recursive("""SELECT e.to_id, count(*) AS n FROM edges e JOIN inside i ON e.from_id = i.id
@@ -115,8 +155,25 @@ def hie_closure_edges(spark, sf_dir):
     """HIE-3: edges that leave the closure, counted by target."""
     tree = nodes(spark, sf_dir)
     inside = stage(lifted_closure(tree, tree.filter(F.col("id").isin("O0", "O7", "C3"))))
-    leaving = edges(spark, sf_dir).join(inside.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(inside.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-    return leaving.groupBy("to_id").agg(F.count("*").alias("n"))
+    return leaving(inside, edges(spark, sf_dir)).groupBy("to_id").agg(F.count("*").alias("n"))
+
+
+@REG.add("hie_deep_closure", """
+WITH RECURSIVE tree AS (
+  SELECT c_custkey AS id, CASE WHEN c_custkey = 0 THEN NULL WHEN c_custkey % 200 = 1 THEN 0 ELSE c_custkey - 1 END AS parent_id FROM customer),
+walk(id, top) AS (
+  SELECT id, id FROM tree WHERE parent_id = 0 UNION ALL SELECT t.id, w.top FROM tree t JOIN walk w ON t.parent_id = w.id),
+inside AS (SELECT id FROM walk WHERE top IN (SELECT top FROM walk WHERE id % 1000 IN (70, 700))),
+refs AS (SELECT c_custkey AS from_id, (c_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS to_id FROM customer)
+SELECT to_id::VARCHAR AS to_id, count(*) AS n FROM refs WHERE from_id IN (SELECT id FROM inside) AND to_id NOT IN (SELECT id FROM inside) GROUP BY 1""")
+def hie_deep_closure(spark, sf_dir):
+    """HIE-3 on chains of 200 customers one below the other."""
+    rows, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    parent = F.when(k == 0, F.lit(None)).when(k % 200 == 1, F.lit(0)).otherwise(k - 1)
+    tree = rows.select(k.cast("string").alias("id"), F.lit("Customer").alias("kind"), parent.cast("string").alias("parent_id"))
+    refs = rows.select(k.cast("string").alias("from_id"), ((k * 7 + 3) % F.lit(rows.count())).cast("string").alias("to_id"))
+    inside = stage(lifted_closure(tree, rows.filter((k % 1000).isin(70, 700)).select(k.cast("string").alias("id"))))
+    return leaving(inside, refs).groupBy("to_id").agg(F.count("*").alias("n"))
 
 
 @REG.add("hie_subtree", recursive("SELECT kind, depth::BIGINT AS depth, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM walk WHERE root = 'R1' GROUP BY kind, depth"))
@@ -140,12 +197,9 @@ def parent_faults(tree: DataFrame) -> DataFrame:
     """HIE-6: id and fault: `dangling` (parent missing), `under_dangling`, or `cycle` (no end upwards)."""
     links = tree.select("id", "parent_id")
     lost = stage(links.filter("parent_id is not null").join(links.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id"))
-    with_kind = links.withColumn("kind", F.lit(""))
-    good = stage(descend(with_kind, roots_of(links)).select("id"))
-    below = stage(descend(with_kind, lost).select("id", "depth"))
-    bad = below.select("id", F.when(F.col("depth") == 0, "dangling").otherwise("under_dangling").alias("fault"))
-    looped = links.select("id").join(good, "id", "left_anti").join(below.select("id"), "id", "left_anti").select("id", F.lit("cycle").alias("fault"))
-    return bad.union(looped)
+    ended = stage(ancestry(links.withColumn("kind", F.lit("")), lost).join(lost.select(F.col("id").alias("root"), F.lit(True).alias("lost")), "root", "left").select("id", "depth", "lost"))
+    bad = ended.filter("lost").select("id", F.when(F.col("depth") == 0, "dangling").otherwise("under_dangling").alias("fault"))
+    return bad.union(links.select("id").join(ended.select("id"), "id", "left_anti").select("id", F.lit("cycle").alias("fault")))
 
 
 @REG.add("hie_cycles", """
@@ -161,8 +215,6 @@ UNION ALL SELECT id::VARCHAR, 'cycle' FROM links WHERE id NOT IN (SELECT id FROM
 def hie_cycles(spark, sf_dir):
     """A heap-shaped tree over customers with faults put in by rule."""
     k = F.col("c_custkey")
-    from coppice.sources.adapters import read
-
     links = read(spark, sf_dir, "customer").select(
         k.cast("string").alias("id"),
         F.when(k == 0, F.lit(None)).when(k % 97 == 5, -k).when(k % 101 == 7, k).when(k == 10, F.lit(20)).otherwise(F.floor(k / 2)).cast("string").alias("parent_id"),
@@ -170,12 +222,17 @@ def hie_cycles(spark, sf_dir):
     return parent_faults(links)
 
 
-@REG.add("prj_children", with_sql("SELECT parent_id, string_agg(id, ',' ORDER BY child_index) AS children, count(*) AS n FROM nodes WHERE kind IN ('Nation', 'Order') GROUP BY parent_id", nodes=NODES_SQL))
+@REG.add("prj_children", with_sql("""
+SELECT p.id AS parent_id, p.payload, coalesce(c.child_index, -1) AS place, c.id AS child_id, count(c.id) OVER (PARTITION BY p.id) AS n
+FROM nodes p LEFT JOIN nodes c ON c.parent_id = p.id WHERE p.kind IN ('Module', 'Nation', 'Customer')""", nodes=NODES_SQL))
 def prj_children(spark, sf_dir):
-    """PRJ-3, PRJ-10: nodes with their children in position order."""
-    tree = nodes(spark, sf_dir).filter("kind in ('Nation', 'Order')")
-    kids = F.array_sort(F.collect_list(F.struct("child_index", "id")))
-    return tree.groupBy("parent_id").agg(F.concat_ws(",", F.transform(kids, lambda x: x["id"])).alias("children"), F.count("*").alias("n"))
+    """PRJ-3, PRJ-10: nodes with their children, a row a child with its place; a node without children has one row. No parent's children are gathered."""
+    tree = nodes(spark, sf_dir)
+    kids = tree.filter("parent_id is not null").select(F.col("parent_id").alias("id"), F.col("child_index").alias("place"), F.col("id").alias("child_id"))
+    parents = tree.filter("kind in ('Module', 'Nation', 'Customer')").select("id", "payload")
+    n = kids.groupBy("id").agg(F.count("*").alias("n"))
+    out = parents.join(n, "id", "left").join(kids, "id", "left")
+    return out.select(F.col("id").alias("parent_id"), "payload", F.coalesce("place", F.lit(-1).cast("long")).alias("place"), "child_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @REG.add("agg_children_by_kind", with_sql("SELECT parent_id, kind, count(*) AS n FROM nodes WHERE parent_id IS NOT NULL GROUP BY parent_id, kind", nodes=NODES_SQL))
@@ -192,34 +249,43 @@ def agg_declarations_per_module(spark, sf_dir):
     return tree.filter("kind = 'Customer'").select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("declarations"))
 
 
-@REG.add("agg_resource_versions", with_sql("""
-SELECT 'node:' || id AS resource, sha256(concat_ws('|', id, kind, coalesce(parent_id, ''), coalesce(child_index::VARCHAR, ''), payload)) AS version FROM nodes WHERE kind <> 'Line'
-UNION ALL SELECT 'children:' || parent_id, sha256(string_agg(id || ':' || kind || ':' || child_index, ',' ORDER BY child_index)) FROM nodes WHERE parent_id IS NOT NULL AND kind <> 'Line' GROUP BY parent_id
-UNION ALL SELECT 'edge:' || from_id, sha256(from_id || '|' || to_id || '|' || kind) FROM edges WHERE kind = 'value'
-UNION ALL SELECT 'to:' || to_id, sha256(string_agg(from_id, ',' ORDER BY from_id)) FROM edges WHERE kind = 'value' GROUP BY to_id""", nodes=NODES_SQL, edges=EDGES_SQL))
+@REG.add("agg_resource_versions", with_sql(f"""
+SELECT 'node:' || id AS resource, sha256(concat_ws('|', id, kind, coalesce(parent_id, ''), coalesce(child_index::VARCHAR, ''), payload)) AS version FROM nodes
+UNION ALL SELECT 'children:' || parent_id, {summed_digest_sql(row_text_sql("id", "kind", "child_index"))} FROM nodes WHERE parent_id IS NOT NULL GROUP BY parent_id
+UNION ALL SELECT 'edge:' || from_id, sha256(from_id || '|' || to_id || '|' || kind) FROM edges
+UNION ALL SELECT 'to:' || to_id, {summed_digest_sql(row_text_sql("from_id", "kind"))} FROM edges GROUP BY to_id""", nodes=NODES_SQL, edges=EDGES_SQL))
 def agg_resource_versions(spark, sf_dir):
     """AGG-31: a version hash per node, edge, child membership (shape, not payload) and incoming membership."""
-    tree = nodes(spark, sf_dir).filter("kind <> 'Line'")
-    refs = edges(spark, sf_dir).filter("kind = 'value'")
+    return resource_versions(stage(nodes(spark, sf_dir)), edges(spark, sf_dir))
+
+
+def resource_versions(tree: DataFrame, refs: DataFrame) -> DataFrame:
+    """resource, version. Memberships are summed up, so that a parent of very many children or a much-used target costs one row a task."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    kids = F.array_sort(F.collect_list(F.struct("child_index", F.concat_ws(":", "id", "kind", "child_index").alias("s"))))
+    kids = summed_digest(row_text("id", "kind", "child_index"))
     return (
         tree.select(F.concat(F.lit("node:"), "id").alias("resource"), F.sha2(F.concat_ws("|", "id", "kind", text("parent_id"), text("child_index"), "payload"), 256).alias("version"))
-        .union(tree.filter("parent_id is not null").groupBy("parent_id").agg(kids.alias("k")).select(F.concat(F.lit("children:"), "parent_id"), F.sha2(F.concat_ws(",", F.transform("k", lambda x: x["s"])), 256)))
+        .union(tree.filter("parent_id is not null").groupBy("parent_id").agg(kids.alias("v")).select(F.concat(F.lit("children:"), "parent_id"), "v"))
         .union(refs.select(F.concat(F.lit("edge:"), "from_id"), F.sha2(F.concat_ws("|", "from_id", "to_id", "kind"), 256)))
-        .union(refs.groupBy("to_id").agg(F.array_sort(F.collect_list("from_id")).alias("f")).select(F.concat(F.lit("to:"), "to_id"), F.sha2(F.concat_ws(",", "f"), 256)))
+        .union(refs.groupBy("to_id").agg(summed_digest(row_text("from_id", "kind")).alias("v")).select(F.concat(F.lit("to:"), "to_id"), "v"))
     )
 
 
-@REG.add("agg_module_index", with_sql("""
-SELECT m.id, string_agg(d.payload || CASE WHEN d.child_index % 2 = 0 THEN '*' ELSE '' END, ', ' ORDER BY d.child_index) AS line
-FROM nodes m LEFT JOIN nodes d ON d.parent_id = m.id WHERE m.kind IN ('Module', 'Nation') GROUP BY m.id""", nodes=NODES_SQL))
+#: Declarations on one line of the index.
+LINE_ENTRIES = 100
+
+
+@REG.add("agg_module_index", with_sql(f"""
+SELECT m.id, coalesce(d.child_index // {LINE_ENTRIES}, 0) AS page, string_agg(d.payload || CASE WHEN d.child_index % 2 = 0 THEN '*' ELSE '' END, ', ' ORDER BY d.child_index) AS line
+FROM nodes m LEFT JOIN nodes d ON d.parent_id = m.id WHERE m.kind IN ('Module', 'Nation') GROUP BY ALL""", nodes=NODES_SQL))
 def agg_module_index(spark, sf_dir):
-    """AGG-32: one line a module listing its declarations in order with a flag."""
+    """AGG-32: a module's declarations in order with a flag, a hundred a line, so that a very large module is many lines."""
     tree = nodes(spark, sf_dir)
-    kids = tree.select(F.col("parent_id").alias("id"), F.struct("child_index", F.concat("payload", F.when(F.col("child_index") % 2 == 0, "*").otherwise("")).alias("s")).alias("k"))
-    line = kids.groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("k")).select("id", F.concat_ws(", ", F.transform("k", lambda x: x["s"])).alias("line"))
-    return tree.filter("kind in ('Module', 'Nation')").select("id").join(line, "id", "left").select("id", "line")
+    modules = tree.filter("kind in ('Module', 'Nation')").select("id")
+    entry = F.concat("payload", F.when(F.col("child_index") % 2 == 0, "*").otherwise(""))
+    kids = tree.filter("kind in ('Nation', 'Customer')").select(F.col("parent_id").alias("id"), F.floor(F.col("child_index") / LINE_ENTRIES).alias("page"), F.struct("child_index", entry.alias("s")).alias("k"))
+    line = kids.groupBy("id", "page").agg(F.array_sort(F.collect_list("k")).alias("k")).select("id", "page", F.concat_ws(", ", F.transform("k", lambda x: x["s"])).alias("line"))
+    return modules.join(line, "id", "left").select("id", F.coalesce("page", F.lit(0).cast("long")).alias("page"), "line")
 
 
 @REG.add("win_source_map", with_sql("""
@@ -242,7 +308,37 @@ def derived_id(*parts: str):
     return F.substring(F.sha1(F.concat_ws(chr(0), *[F.col(p).cast("string") for p in parts])), 1, 16)
 
 
-@REG.add("win_append_child", with_sql("""
+# --- growing and shrinking modules: ids derive from places, so edges must follow -----------
+
+#: Edges between lines: every line after the first refers to the line before it, and every fifth line to the first line of the next module.
+LINE_EDGES_SQL = """SELECT module, child_index, 'value' AS kind, module AS to_module, child_index - 1 AS to_index FROM seg WHERE child_index > 0 AND child_index % 5 <> 0
+UNION ALL SELECT s.module, s.child_index, 'type', t.module, 0 FROM seg s JOIN (SELECT DISTINCT module FROM seg) t ON t.module = s.module + 1 WHERE s.child_index % 5 = 0"""
+
+
+def line_edges(segs: DataFrame) -> DataFrame:
+    """from_id, to_id, kind over derived ids of lines."""
+    near = segs.filter("child_index > 0 and child_index % 5 <> 0").select("module", "child_index", F.lit("value").alias("kind"), F.col("module").alias("to_module"), (F.col("child_index") - 1).alias("to_index"))
+    there = segs.select((F.col("module") - 1).alias("module")).distinct()
+    far = segs.filter("child_index % 5 = 0").join(there, "module", "left_semi").select("module", "child_index", F.lit("type"), F.col("module") + 1, F.lit(0).cast("long"))
+    return near.union(far).select(derived_id("module", "child_index").alias("from_id"), derived_id("to_module", "to_index").alias("to_id"), "kind")
+
+
+def rekeyed(refs: DataFrame, moved: DataFrame) -> DataFrame:
+    """Edges with both ends given their new ids (moved: old_id, new_id, one row for each row that is still there); edges with an end that is gone go."""
+    a, b = moved.select(F.col("old_id").alias("from_id"), F.col("new_id").alias("a")), moved.select(F.col("old_id").alias("to_id"), F.col("new_id").alias("b"))
+    return refs.join(a, "from_id").join(b, "to_id").select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "kind")
+
+
+ID_SQL = "left(sha1(concat_ws(chr(0), ({0})::VARCHAR, ({1})::VARCHAR)), 16)"
+
+
+def rekeyed_sql(origin: str = "module") -> str:
+    """The same over e (LINE_EDGES_SQL) and moved (origin, was, module, now)."""
+    return f"""SELECT {ID_SQL.format("a.module", "a.now")} AS from_id, {ID_SQL.format("b.module", "b.now")} AS to_id, e.kind
+FROM e JOIN moved a ON a.{origin} = e.module AND a.was = e.child_index JOIN moved b ON b.{origin} = e.to_module AND b.was = e.to_index"""
+
+
+@REG.add("win_append_child", with_sql(f"""
 SELECT s.module, s.child_index + CASE WHEN s.child_index = c.place THEN 1 ELSE 0 END AS child_index, md5(s.payload) AS payload_md5 FROM seg s JOIN closing c USING (module)
 UNION ALL SELECT module, place, md5('appended' || chr(10)) FROM closing""", seg=SEGMENTS_SQL, closing="SELECT module, max(child_index) AS place FROM seg GROUP BY module"))
 def win_append_child(spark, sf_dir):
@@ -260,6 +356,14 @@ def append_child(segs: DataFrame, payload: str) -> DataFrame:
     return rows.withColumns({"new_id": derived_id("module", "child_index"), "old_id": F.when(F.col("was").isNotNull(), derived_id("module", "was"))})
 
 
+@REG.add("win_append_edges", with_sql(f"SELECT from_id, to_id, kind FROM ({rekeyed_sql()})", seg=SEGMENTS_SQL, e=LINE_EDGES_SQL,
+    moved="SELECT module, child_index AS was, child_index + CASE WHEN child_index = max(child_index) OVER (PARTITION BY module) THEN 1 ELSE 0 END AS now FROM seg"))
+def win_append_edges(spark, sf_dir):
+    """WIN-2: edges from and to the closing row follow it to its new id."""
+    segs = stage(segments(spark, sf_dir))
+    return rekeyed(line_edges(segs), append_child(segs, "appended\n").filter("old_id is not null").select("old_id", "new_id"))
+
+
 @REG.add("win_remove_children", with_sql("""
 SELECT module, child_index AS was, row_number() OVER (PARTITION BY module ORDER BY child_index) - 1 AS child_index,
        left(sha1(concat_ws(chr(0), module::VARCHAR, child_index::VARCHAR)), 16) AS old_id,
@@ -276,4 +380,12 @@ def remove_children(segs: DataFrame, gone) -> DataFrame:
     return kept.withColumns({"old_id": derived_id("module", "was"), "new_id": derived_id("module", "child_index")})
 
 
+@REG.add("win_remove_edges", with_sql(f"SELECT from_id, to_id, kind FROM ({rekeyed_sql()})", seg=SEGMENTS_SQL, e=LINE_EDGES_SQL,
+    moved="SELECT module, child_index AS was, row_number() OVER (PARTITION BY module ORDER BY child_index) - 1 AS now FROM seg WHERE child_index % 3 <> 1"))
+def win_remove_edges(spark, sf_dir):
+    """WIN-3: edges of the removed lines go, the others are keyed by the survivors' new ids."""
+    segs = stage(segments(spark, sf_dir))
+    return rekeyed(line_edges(segs), remove_children(segs, F.col("child_index") % 3 == 1).select("old_id", "new_id"))
+
+
 QUERIES, SQL = REG.queries, REG.sql

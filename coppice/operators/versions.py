@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
 from coppice.plans.joins import as_of
 from coppice.registration import Registry
 from coppice.sources.adapters import LOG_SQL, log, read, with_sql
 
 REG = Registry()
+#: Tables and columns that agg_content_digest goes over.
+DIGESTED = (("documents", ("doc_id", "text", "lang", "source")), ("orders", ("o_orderkey", "o_custkey", "o_orderstatus")))
 
 #: Two snapshots of orders by a fixed rule: the older lacks every 10th and has other statuses on every 7th.
 BEFORE_SQL = "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders WHERE o_orderkey % 10 <> 0"
@@ -55,18 +58,13 @@ def apply_changes(table: DataFrame, delta: DataFrame, key: str, values: list[str
     return kept.unionByName(last.filter("c.op <> 'delete'").select(key, *[F.col(f"c.{v}").alias(v) for v in values]))
 
 
-def content_digest(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
-    """AGG-29: one digest of a table, whatever its order and partitioning; rows are hashed, then summed up by bucket.
+def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """AGG-29: rows and digest of a table, whatever its order and partitioning.
 
-    Sums of hashes stand for the sorted list, so no bucket is gathered; equal tables get equal
-    digests, and repeated rows count.
+    Sums of row hashes stand for the sorted list, so nothing is gathered; equal tables get
+    equal digests, and repeated rows count.
     """
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    part = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
-    sums = df.select(row.alias("h")).groupBy(F.conv(F.substring("h", 61, 2), 16, 10).cast("int").alias("bucket")).agg(
-        F.count("*").alias("n"), *[F.sum(part(i)).alias(f"s{i}") for i in range(4)])
-    line = F.concat_ws(":", "bucket", "n", *[f"s{i}" for i in range(4)])
-    return sums.groupBy().agg(F.sum("n").alias("rows"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("digest"))  # at most 256 lines
+    return df.agg(F.count("*").alias("rows"), summed_digest(row_text(*columns)).alias("digest"))
 
 
 @REG.add("joi_snapshot_diff", with_sql("""
@@ -102,14 +100,31 @@ def joi_snapshot_as_of(spark, sf_dir):
     return as_of(events.filter("kind <> 'signup'").select("session", "seq"), snaps, ["session"], "seq", "at", ["snapshot"]).fillna(-1, ["snapshot"])
 
 
+def bind_next(records: DataFrame, requests: DataFrame, keys: list[str], at: str, trailing: str = "error") -> DataFrame:
+    """JOI-10: each record with the `at` of the next request of its keys as `request`.
+
+    A record after the last request is an error as soon as its row is read; trailing="null"
+    leaves its request null, trailing="drop" leaves the record out.
+    """
+    found = as_of(records, requests.select(*keys, F.col(at).alias("request_at"), F.col(at).alias("request")), keys, at, "request_at", ["request"], forward=True, strict=True)
+    if trailing == "drop":
+        return found.filter("request is not null")
+    if trailing == "null":
+        return found
+    unbound = F.raise_error(F.concat(F.lit("no request follows record "), F.col(at).cast("string")))
+    return found.withColumn("request", F.when(F.col("request").isNull(), unbound.cast("long")).otherwise(F.col("request")))
+
+
 @REG.add("joi_next_request", with_sql("""
-SELECT d.session, d.seq, coalesce(min(s.seq), -1) AS request FROM d LEFT JOIN s ON d.session = s.session AND s.seq > d.seq GROUP BY d.session, d.seq""",
+SELECT d.session, d.seq, min(s.seq) AS request FROM d JOIN s ON d.session = s.session AND s.seq > d.seq GROUP BY d.session, d.seq""",
     l=LOG_SQL, d="SELECT * FROM l WHERE kind = 'view'", s="SELECT * FROM l WHERE kind = 'purchase'"))
 def joi_next_request(spark, sf_dir):
-    """JOI-10: each run record is bound to the next request; unbound ones have a null."""
+    """JOI-10: each view up to its session's last purchase is bound to the next purchase; one that is not would be an error."""
     events = log(spark, sf_dir)
-    reqs = events.filter("kind = 'purchase'").select("session", F.col("seq").alias("at"), F.col("seq").alias("request"))
-    return as_of(events.filter("kind = 'view'").select("session", "seq"), reqs, ["session"], "seq", "at", ["request"], forward=True, strict=True).fillna(-1, ["request"])
+    reqs = events.filter("kind = 'purchase'").select("session", "seq")
+    last = reqs.groupBy("session").agg(F.max("seq").alias("last"))
+    views = events.filter("kind = 'view'").select("session", "seq").join(last, "session").filter("seq < last").select("session", "seq")
+    return bind_next(views, reqs, ["session"], "seq")
 
 
 @REG.add("joi_identity_churn", with_sql("""
@@ -145,36 +160,48 @@ def joi_unexpected_changes(spark, sf_dir):
     return moved.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@REG.add("agg_content_digest")
+@REG.add("agg_content_digest", " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS rows, {summed_digest_sql(row_text_sql(*cols))} AS digest FROM {name}" for name, cols in DIGESTED))
 def agg_content_digest(spark, sf_dir):
-    """AGG-29 over documents and orders; tests hold it to be the same under any order, and to differ on any change."""
-    one = lambda name, cols: content_digest(read(spark, sf_dir, name), cols).select(F.lit(name).alias("name"), "rows", "digest")
-    return one("documents", ["doc_id", "text", "lang", "source"]).union(one("orders", ["o_orderkey", "o_custkey", "o_orderstatus"]))
+    """AGG-29 over documents and orders."""
+    one = lambda name, cols: content_digest(read(spark, sf_dir, name), list(cols)).select(F.lit(name).alias("name"), "rows", "digest")
+    out = [one(*x) for x in DIGESTED]
+    return out[0].union(out[1])
 
 
-@REG.add("agg_generation_digests", with_sql("""
-SELECT generation, count(*) AS n, md5(string_agg(md5(pos || '|' || op || '|' || key || '|' || value), ',' ORDER BY pos)) AS digest FROM c GROUP BY generation""", c=CHANGES_SQL))
+@REG.add("agg_generation_digests", with_sql(f"""
+SELECT generation, count(*) AS n, {summed_digest_sql(row_text_sql("pos", "op", "key", "value"))} AS digest FROM c GROUP BY generation""", c=CHANGES_SQL))
 def agg_generation_digests(spark, sf_dir):
-    """AGG-29 in its small form: a digest of each generation's changes in order."""
-    row = F.md5(F.concat_ws("|", "pos", "op", "key", "value"))
-    g = changes(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", row.alias("h")))).alias("r"))
-    return g.select("generation", "n", F.md5(F.concat_ws(",", F.transform("r", lambda x: x["h"]))).alias("digest"))
+    """AGG-29: a digest of each generation's changes; a place counts as part of its row, so order is in it."""
+    return changes(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("n"), summed_digest(row_text("pos", "op", "key", "value")).alias("digest"))
+
+
+def generation_faults(gens: DataFrame, current: int) -> DataFrame:
+    """WIN-7: fault, prev, generation: `gap` where generations (a column, one row each) are not consecutive, `short_head` where the last one is not `current`."""
+    prev = F.lag("generation").over(Window.orderBy("generation"))  # one row a generation
+    gaps = gens.withColumn("prev", prev).filter("generation - prev <> 1").select(F.lit("gap").alias("fault"), "prev", "generation")
+    head = gens.agg(F.max("generation").alias("prev")).filter(F.coalesce("prev", F.lit(-1)) < current)
+    return gaps.union(head.select(F.lit("short_head"), "prev", F.lit(current).cast("long")))
 
 
 @REG.add("win_generation_gaps", with_sql("""
-SELECT prev, generation FROM (SELECT generation, lag(generation) OVER (ORDER BY generation) AS prev FROM (SELECT DISTINCT generation FROM c WHERE generation % 11 <> 4)) WHERE generation - prev <> 1""", c=CHANGES_SQL))
+SELECT 'gap' AS fault, prev, generation FROM (SELECT generation, lag(generation) OVER (ORDER BY generation) AS prev FROM (SELECT DISTINCT generation FROM c WHERE generation % 11 <> 4)) WHERE generation - prev <> 1
+UNION ALL SELECT 'short_head', max(generation), 1000 FROM c WHERE generation % 11 <> 4 HAVING max(generation) < 1000""", c=CHANGES_SQL))
 def win_generation_gaps(spark, sf_dir):
-    """WIN-7: gaps in consecutive generations; generations are few, so one ordered window is bounded by their number."""
-    gens = changes(spark, sf_dir).filter("generation % 11 <> 4").select("generation").distinct()
-    prev = F.lag("generation").over(Window.orderBy("generation"))
-    return gens.withColumn("prev", prev).filter("generation - prev <> 1").select("prev", "generation")
+    """WIN-7: gaps, and a head shorter than the declared generation 1000."""
+    return generation_faults(changes(spark, sf_dir).filter("generation % 11 <> 4").select("generation").distinct(), 1000)
 
 
-@REG.add("agg_affected_ids", with_sql("SELECT generation, count(DISTINCT key) AS n, md5(string_agg(DISTINCT key::VARCHAR, ',' ORDER BY key::VARCHAR)) AS ids FROM c GROUP BY generation", c=CHANGES_SQL))
+@REG.add("agg_affected_ids", with_sql(f"SELECT generation, count(*) AS n, min(key) AS first_id, max(key) AS last_id, {summed_digest_sql('key::VARCHAR')} AS ids FROM (SELECT DISTINCT generation, key FROM c) GROUP BY generation", c=CHANGES_SQL))
 def agg_affected_ids(spark, sf_dir):
-    """AGG-27: the distinct ids that each delta touches, sorted."""
-    ids = F.array_sort(F.collect_set(F.col("key").cast("string")))
-    return changes(spark, sf_dir).groupBy("generation").agg(F.countDistinct("key").alias("n"), F.md5(F.concat_ws(",", ids)).alias("ids"))
+    """AGG-27: the distinct ids that each delta touches, as a count, bounds and a digest; `affected_ids` has the rows."""
+    ids = affected_ids(changes(spark, sf_dir))
+    return ids.groupBy("generation").agg(F.count("*").alias("n"), F.min("key").alias("first_id"), F.max("key").alias("last_id"), summed_digest(F.col("key").cast("string")).alias("ids"))
+
+
+def affected_ids(delta: DataFrame) -> DataFrame:
+    """AGG-27: generation, key: a row for each distinct id."""
+    return delta.select("generation", "key").distinct()
 
 
 @REG.add("agg_net_renames", with_sql("""
@@ -207,29 +234,62 @@ def set_touched_keys(spark, sf_dir):
 
 
 def retained(delta: DataFrame, entries: int, size: int) -> DataFrame:
-    """STR-8: the newest generations within both caps, oldest dropped first. delta: generation, n, bytes; one row a generation."""
-    w = Window.orderBy(F.desc("generation")).rowsBetween(Window.unboundedPreceding, 0)
-    return delta.withColumns({"entries": F.sum("n").over(w), "total": F.sum("bytes").over(w)}).filter((F.col("entries") <= entries) & (F.col("total") <= size))
+    """STR-8: the newest generations within both caps and without a gap, oldest dropped first. delta: generation, n, bytes; one row a generation.
+
+    Nothing older than a gap is kept: a batch over it would not be sound.
+    """
+    newest = Window.orderBy(F.desc("generation"))  # one row a generation
+    so_far = newest.rowsBetween(Window.unboundedPreceding, 0)
+    gap = (F.lag("generation").over(newest) - F.col("generation")) > 1
+    rows = delta.withColumns({"entries": F.sum("n").over(so_far), "total": F.sum("bytes").over(so_far), "gap": F.coalesce(gap, F.lit(False)).cast("int")})
+    rows = rows.withColumn("gaps", F.sum("gap").over(so_far))
+    return rows.filter((F.col("entries") <= entries) & (F.col("total") <= size) & (F.col("gaps") == 0)).drop("gap", "gaps")
+
+
+def batch_of(log: DataFrame, base_generation: int, target: int) -> DataFrame:
+    """STR-8: the retained generations after base up to target; an error unless all of them are there."""
+    found = log.filter((F.col("generation") > base_generation) & (F.col("generation") <= target))
+    n = found.count()
+    if target <= base_generation or n != target - base_generation:
+        raise ValueError(f"generations {base_generation + 1} to {target} are not all retained: {n} of {target - base_generation}")
+    return found
 
 
 @REG.add("str_retained_log", with_sql("""
-SELECT generation, n, bytes FROM (SELECT *, sum(n) OVER (ORDER BY generation DESC) AS e, sum(bytes) OVER (ORDER BY generation DESC) AS t FROM g) WHERE e <= 4096 AND t <= 30000""",
-    c=CHANGES_SQL, g="SELECT generation, count(*) AS n, sum(strlen(value))::BIGINT AS bytes FROM c GROUP BY generation"))
+SELECT generation, n, bytes FROM (SELECT *, sum(n) OVER w AS e, sum(bytes) OVER w AS t, sum(gap) OVER w AS gaps FROM (SELECT *, coalesce(lag(generation) OVER (ORDER BY generation DESC) - generation > 1, false)::INT AS gap FROM g) WINDOW w AS (ORDER BY generation DESC))
+WHERE e <= 4096 AND t <= 30000 AND gaps = 0""",
+    c=CHANGES_SQL, g="SELECT generation, count(*) AS n, sum(strlen(value))::BIGINT AS bytes FROM c WHERE generation <> 70 GROUP BY generation"))
 def str_retained_log(spark, sf_dir):
-    g = changes(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes"))
+    """Generation 70 is missing, so nothing before it is kept."""
+    g = changes(spark, sf_dir).filter("generation <> 70").groupBy("generation").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes"))
     return retained(g, 4096, 30000).select("generation", "n", "bytes")
 
 
 @REG.add("str_recover", with_sql("""
-SELECT key, value FROM (WITH snap AS (SELECT max(generation) AS g FROM c WHERE generation % 24 = 0 AND generation <= 60),
- last AS (SELECT * FROM c WHERE generation <= 60 QUALIFY row_number() OVER (PARTITION BY key ORDER BY generation DESC, pos DESC) = 1)
+SELECT key, value FROM (WITH last AS (SELECT * FROM c WHERE generation <= 60 QUALIFY row_number() OVER (PARTITION BY key ORDER BY generation DESC, pos DESC) = 1)
 SELECT key, value FROM base WHERE key NOT IN (SELECT key FROM last) UNION ALL SELECT key, value FROM last WHERE op <> 'delete')""", base=BASE_SQL, c=CHANGES_SQL))
 def str_recover(spark, sf_dir, to: int = 60, every: int = 24):
-    """STR-9: the newest snapshot at or before a generation, and the changes after it."""
+    """STR-9: the newest snapshot at or before a generation, and the changes after it, each checked against the digest its writer recorded."""
     c = changes(spark, sf_dir)
+    recorded = c.filter(F.col("generation") <= to).groupBy("generation").agg(F.count("*").alias("n"), summed_digest(row_text("pos", "op", "key", "value")).alias("digest"))
     at = (c.filter((F.col("generation") % every == 0) & (F.col("generation") <= to)).agg(F.max("generation")).first()[0]) or 0
     snapshot = apply_changes(base(spark, sf_dir), c.filter(F.col("generation") <= at), "key", ["value"], ["generation", "pos"])
-    return apply_changes(snapshot, c.filter((F.col("generation") > at) & (F.col("generation") <= to)), "key", ["value"], ["generation", "pos"])
+    return recover(snapshot, at, c.filter(F.col("generation") <= to), recorded)
+
+
+def recover(snapshot: DataFrame, at: int, delta: DataFrame, recorded: DataFrame) -> DataFrame:
+    """STR-9: the snapshot of generation `at` with the later changes of delta folded in.
+
+    recorded (generation, digest) says what each generation's changes must be; a generation
+    that is missing on either side or differs is an error, and nothing is recovered.
+    """
+    later = delta.filter(F.col("generation") > at)
+    found = later.groupBy("generation").agg(summed_digest(row_text("pos", "op", "key", "value")).alias("found"))
+    both = found.join(recorded.filter(F.col("generation") > at).select("generation", "digest"), "generation", "full_outer")
+    wrong = both.filter(~F.col("found").eqNullSafe(F.col("digest"))).agg(F.min("generation")).first()[0]
+    if wrong is not None:
+        raise ValueError(f"generation {wrong} differs from its recorded digest")
+    return apply_changes(snapshot, later, "key", ["value"], ["generation", "pos"])
 
 
 @REG.add("win_first_seen_wins", with_sql("""

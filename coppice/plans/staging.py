@@ -21,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, not there yet; what is written to it goes when the driver's file system handle closes."""
+    above = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(above)
+    files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hpath)
+    files.deleteOnExit(hpath)
+    return f"{above}/data"
+
+
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing of it.
 
@@ -30,8 +40,6 @@ def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     The files go when the driver's file system handle closes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/coppice-{uuid.uuid4().hex}"
+    path = folder(spark, "coppice")
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coppice.functions.columns import redacted
-from coppice.operators.versions import diff
-from coppice.plans.staging import shared_dir
+from coppice.operators.edits import render
+from coppice.operators.versions import content_digest, diff
+from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
+from coppice.plans.staging import folder, stage
 from coppice.registration import Registry
-from coppice.sources.adapters import LOG_SQL, NODES_SQL, log, nodes, read, with_sql
+from coppice.sources.adapters import EDGES_SQL, LOG_SQL, NODES_SQL, edges, log, nodes, read, segments, with_sql
 
 REG = Registry()
 
@@ -24,10 +25,6 @@ METRICS = T.StructType([
 KINDS = ("click", "error", "purchase", "signup", "view")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def scan_tree(spark: SparkSession, path: str, glob: str = "*.txt", excluded: str | None = None) -> DataFrame:
     """SRC-1: path, text of every file below, by name pattern, without excluded directory names."""
     found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -74,8 +71,16 @@ def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def export_snapshot(df: DataFrame, path: str, generation: int, order: list[str]) -> None:
-    """SRC-12, SRC-16: a generation as sorted parquet; writing one twice is an error."""
+def export_snapshot(df: DataFrame, path: str, generation: int, order: list[str], head: int | None = None, digest: str | None = None) -> None:
+    """SRC-12, SRC-16: a generation as sorted parquet; writing one twice is an error.
+
+    Refused when the generation is ahead of the log's head, or when the rows' digest is not the
+    one given; then nothing is written.
+    """
+    if head is not None and generation > head:
+        raise ValueError(f"generation {generation} is ahead of the log, which ends at {head}")
+    if digest is not None and content_digest(df, df.columns).first()["digest"] != digest:
+        raise ValueError(f"generation {generation} differs from its digest")
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(f"{path}/generation={generation}")
 
 
@@ -86,7 +91,7 @@ def metrics(spark, sf_dir) -> DataFrame:
 
 @REG.add("src_scan_tree", "SELECT c_nationkey AS nation, count(*) AS lines, sum(strlen(c_name) + 1)::BIGINT AS bytes FROM customer WHERE c_nationkey NOT IN (3, 4) GROUP BY 1")
 def src_scan_tree(spark, sf_dir):
-    """SRC-1, SRC-17: customers rendered to text files by nation, and the tree scanned back without two directories."""
+    """SRC-1: customers written to text files by nation, and the tree scanned back without two directories."""
     path = folder(spark, "tree")
     read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value")).write.partitionBy("nation").text(path)
     found = scan_tree(spark, path, "*.txt", "nation=3|nation=4")
@@ -94,13 +99,30 @@ def src_scan_tree(spark, sf_dir):
     return by.groupBy("nation").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
 
 
+@REG.add("src_render_tree", "SELECT doc_id AS module, sha256(text || chr(10)) AS sha256, strlen(text)::BIGINT + 1 AS bytes FROM documents")
+def src_render_tree(spark, sf_dir):
+    """SRC-17: every module rendered from its lines to a text file of its own, and the files read back."""
+    path = folder(spark, "rendered")
+    text = render(segments(spark, sf_dir)).select("module", F.col("text").alias("value"))
+    text.repartition("module").write.partitionBy("module").text(path)
+    found = manifest(spark, path, "*.txt")
+    return found.select(F.regexp_extract("path", r"module=(\d+)", 1).cast("long").alias("module"), "sha256", "bytes")
+
+
 @REG.add("src_bulk_load", with_sql("SELECT kind, count(*) AS n, count(DISTINCT parent_id) AS parents FROM nodes GROUP BY kind", nodes=NODES_SQL))
 def src_bulk_load(spark, sf_dir):
-    """SRC-2, SRC-3."""
+    """SRC-2."""
     got = load_unique(nodes(spark, sf_dir), folder(spark, "nodes"), "id", "kind")
     return got.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("parent_id").alias("parents"))
 
 
+@REG.add("src_load_edges", with_sql("SELECT kind, count(*) AS n, count(DISTINCT to_id) AS targets FROM edges GROUP BY kind", edges=EDGES_SQL))
+def src_load_edges(spark, sf_dir):
+    """SRC-3: at most one edge a source."""
+    got = load_unique(edges(spark, sf_dir), folder(spark, "edges"), "from_id", "kind")
+    return got.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("to_id").alias("targets"))
+
+
 @REG.add("src_append_log", with_sql("SELECT session, count(*) AS n, max(seq) AS last FROM l GROUP BY session", l=LOG_SQL))
 def src_append_log(spark, sf_dir):
     """SRC-4: the log appended in two parts."""
@@ -155,23 +177,46 @@ def src_session_log(spark, sf_dir):
     return union.filter("type = 'tool_call'").select("seq", "tool", F.regexp_replace("args", r"[0-9]+", "[handle]").alias("args"))
 
 
-@REG.add("src_snapshot_roundtrip", with_sql("SELECT 3::BIGINT AS generation, count(*) AS n, 0::BIGINT AS differing FROM nodes", nodes=NODES_SQL))
+@REG.add("src_snapshot_roundtrip", with_sql("SELECT 'nodes' AS part, 3::BIGINT AS generation, count(*) AS n, 0::BIGINT AS differing FROM nodes UNION ALL SELECT 'edges', 3, count(*), 0 FROM edges", nodes=NODES_SQL, edges=EDGES_SQL))
 def src_snapshot_roundtrip(spark, sf_dir):
-    """SRC-12, SRC-13, SRC-16: what is imported differs in no row from what was exported."""
-    path, rows = folder(spark, "snapshot"), nodes(spark, sf_dir)
-    export_snapshot(rows, path, 3, ["id"])
-    again = spark.read.option("basePath", path).parquet(f"{path}/generation=3")
-    values = ["kind", "parent_id", "child_index", "payload"]
-    counts = again.groupBy(F.col("generation").cast("long").alias("generation")).agg(F.count("*").alias("n"))
-    differing = diff(rows, again, "id", values).agg(F.count("*").alias("differing"))
-    return counts.join(F.broadcast(differing))  # one row each
-
-
-@REG.add("src_replicate", with_sql("""SELECT 'copy_' || lpad(c::VARCHAR, 4, '0') AS copy, count(*) AS n, min('copy_' || lpad(c::VARCHAR, 4, '0') || '/' || id) AS first_id FROM nodes, (SELECT unnest(range(0, 3)) AS c) WHERE kind <> 'Line' GROUP BY c""", nodes=NODES_SQL))
-def src_replicate(spark, sf_dir, copies: int = 3):
-    """SRC-14: a corpus scaled to N copies under zero-padded prefixes."""
-    out = replicate(nodes(spark, sf_dir).filter("kind <> 'Line'"), copies)
-    return out.groupBy("copy").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    """SRC-12, SRC-13: nodes by id and edges by (from, to, kind); what is imported differs in no row from what was exported."""
+    out = None
+    for part, rows, order, key in (("nodes", nodes(spark, sf_dir), ["id"], "id"), ("edges", edges(spark, sf_dir), ["from_id", "to_id", "kind"], "from_id")):
+        path, rows = folder(spark, part), stage(rows)
+        export_snapshot(rows, path, 3, order)
+        again = spark.read.parquet(path)
+        values = [c for c in rows.columns if c != key]
+        counts = again.groupBy(F.col("generation").cast("long").alias("generation")).agg(F.count("*").alias("n"))
+        one = counts.join(diff(rows, again, key, values).agg(F.count("*").alias("differing"))).select(F.lit(part).alias("part"), "generation", "n", "differing")  # one row each
+        out = one if out is None else out.union(one)
+    return out
+
+
+@REG.add("src_checkpoint", with_sql("""SELECT 'sound' AS attempt, 'written' AS outcome, count(*) AS n FROM nodes UNION ALL SELECT 'again', 'refused', 0 UNION ALL SELECT 'ahead', 'refused', 0 UNION ALL SELECT 'other_digest', 'refused', 0""", nodes=NODES_SQL))
+def src_checkpoint(spark, sf_dir):
+    """SRC-16: a checkpoint of generation 3 of a log that ends at 5; the same once more, one of generation 6, and one whose rows are not those of its digest."""
+    path, rows = folder(spark, "checkpoint"), stage(nodes(spark, sf_dir))
+    digest = content_digest(rows, rows.columns).first()["digest"]
+    out = []
+    for attempt, generation, df in (("sound", 3, rows), ("again", 3, rows), ("ahead", 6, rows), ("other_digest", 4, rows.filter("kind <> 'Order'"))):
+        try:
+            export_snapshot(df, path, generation, ["id"], 5, digest)
+            out.append((attempt, "written", spark.read.parquet(f"{path}/generation={generation}").count()))
+        except (ValueError, AnalysisException):
+            out.append((attempt, "refused", 0))
+    return spark.createDataFrame(out, "attempt string, outcome string, n long")
+
+
+COPIED_SQL = "SELECT 'copy_' || lpad(c::VARCHAR, 4, '0') AS copy, n.*, 'copy_' || lpad(c::VARCHAR, 4, '0') || '/' || n.id AS new_id, 'copy_' || lpad(c::VARCHAR, 4, '0') || '/' || n.parent_id AS new_parent FROM nodes n, (SELECT unnest(range(0, 3)) AS c)"
+
+
+@REG.add("src_replicate", with_sql(f"""
+SELECT copy, count(*) AS n, min(new_id) AS first_id, {summed_digest_sql(row_text_sql("new_id", "kind", "new_parent", "child_index", "payload"))} AS digest, copy = 'copy_' || lpad((5381 % 3)::VARCHAR, 4, '0') AS is_target FROM k GROUP BY copy""", nodes=NODES_SQL, k=COPIED_SQL))
+def src_replicate(spark, sf_dir, copies: int = 3, seed: int = 5381):
+    """SRC-14: a corpus scaled to N copies under zero-padded prefixes, a content digest of each, and the copy that a seed marks as the target."""
+    out = replicate(nodes(spark, sf_dir), copies)
+    target = F.concat(F.lit("copy_"), F.lpad(F.lit(str(seed % copies)), 4, "0"))
+    return out.groupBy("copy").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), summed_digest(row_text("id", "kind", "parent_id", "child_index", "payload")).alias("digest")).withColumn("is_target", F.col("copy") == target)
 
 
 def replicate(df: DataFrame, copies: int) -> DataFrame:

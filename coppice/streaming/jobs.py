@@ -2,62 +2,102 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
+from coppice.operators.audit import ALLOWED_SQL, LEASE, may_follow
 from coppice.operators.versions import apply_changes, content_digest
-from coppice.plans.staging import stage
+from coppice.plans.staging import folder, stage
 from coppice.registration import Registry
 from coppice.sources.adapters import LOG_SQL, log, read, with_sql
-from coppice.sources.files import folder
+from coppice.streaming.mirror import Mirror
 
 REG = Registry()
-PARTS = 4
+#: A feed has four ranges at least, and one for each so many rows; a range has a file for each so many.
+PARTS, RANGE_ROWS, FILE_ROWS = 4, 500_000_000, 1_000_000
 
 
-def file_stream(df: DataFrame, order: str, parts: int = PARTS, per_batch: int = 1) -> DataFrame:
-    """df written range by range and read back as a stream, a file a micro-batch.
+def ranges_of(df: DataFrame, order: str, parts: int = PARTS) -> tuple[list[DataFrame], int]:
+    """Ranges of df by equal spans of `order`, empty ones left out, and how many files each of them can fill."""
+    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
+    lo, hi, parts = span["lo"] or 0, (span["hi"] or 0) + 1, max(parts, -(-span["n"] // RANGE_ROWS))
+    number = F.floor((F.col(order) - lo) * parts / (hi - lo))
+    counts = {r["i"]: r["n"] for r in df.groupBy(number.alias("i")).agg(F.count("*").alias("n")).collect()}  # a row a range
+    return [df.filter(number == i) for i in sorted(counts)], max(1, min(counts.values(), default=1) // FILE_ROWS)
 
-    Ranges are written one after another: a file stream takes files by their time, and state
-    that follows the order of events needs them so.
+
+def write_range(part: DataFrame, path: str, files: int, form: str = "parquet") -> None:
+    """A range as so many files, dealt out row by row."""
+    part.repartition(files).write.mode("append").format(form).save(path)
+
+
+def file_stream(df: DataFrame, order: str, parts: int = PARTS, form: str = "parquet") -> DataFrame:
+    """df written range by range and read back as a stream, a range a micro-batch.
+
+    Ranges are written one after another, since a file stream takes files by their time; the
+    files of one range are read by as many tasks. Rows of a micro-batch are in no order.
     """
-    spark, path = df.sparkSession, folder(df.sparkSession, "feed")
-    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, hi = span["lo"] or 0, (span["hi"] or 0) + 1
-    for i in range(parts):
-        at = (F.col(order) >= lo + (hi - lo) * i // parts) & (F.col(order) < lo + (hi - lo) * (i + 1) // parts)
-        df.filter(at).repartitionByRange(1, order).sortWithinPartitions(order).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    path = folder(df.sparkSession, "feed")
+    ranges, files = ranges_of(df, order, parts)
+    (df.limit(0) if not ranges else ranges[0].limit(0)).write.mode("append").format(form).save(path)
+    for part in ranges:
+        write_range(part, path, files, form)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).format(form).load(path)
 
 
-def run_to_table(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
-    """Runs what is there to its end; with no sink, each batch is appended to a folder, which is returned. A checkpoint makes it resumable."""
+def run_to_table(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> str:
+    """Runs what is there to its end; with no sink, each batch is written to a folder, which is returned. The same checkpoint and folder again go on where the last run ended."""
     spark = stream.sparkSession
-    out = folder(spark, "out")
+    out = out or folder(spark, "out")
 
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", folder(spark, "ckpt")).foreachBatch(sink or append).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or folder(spark, "ckpt")).foreachBatch(sink or append).trigger(availableNow=True).start()
     q.awaitTermination()
     return out
 
 
-@REG.add("stream_resumable_read", with_sql("SELECT seq, kind FROM l WHERE seq > 50", l=LOG_SQL))
-def stream_resumable_read(spark, sf_dir):
-    """STR-1, STR-13: events after a cursor, by a checkpointed file stream of JSON-like rows."""
-    path = run_to_table(file_stream(log(spark, sf_dir).select("seq", "kind"), "seq").filter("seq > 50"))
-    return spark.read.parquet(path).select("seq", "kind")
+def fold_batches(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]) -> str:
+    """State kept as a table: step(batch, state) gives rows and the next state; both are written by batch number, rows to the folder that is returned.
+
+    A repeated batch starts from the state before it and replaces what it wrote. State is a row
+    a key, so that a hot key is no more than a row of it.
+    """
+    spark, out, held = stream.sparkSession, folder(stream.sparkSession, "out"), folder(stream.sparkSession, "state")
+
+    def run(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{held}/batch={number - 1}") if number else None
+        rows, state = step(batch, before)
+        state.write.mode("overwrite").parquet(f"{held}/batch={number}")
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    run_to_table(stream, run)
+    return out
 
 
-@REG.add("stream_acknowledge", with_sql("SELECT session, max(seq) AS acknowledged, count(*) AS n FROM l GROUP BY session", l=LOG_SQL))
+@REG.add("stream_resumable_read", with_sql("SELECT seq, kind FROM l WHERE seq > 50", l=LOG_SQL))
+def stream_resumable_read(spark, sf_dir):
+    """STR-1, STR-13: events after a cursor from a feed of JSON lines; a reader that stops half way and starts again goes on where it was."""
+    rows = log(spark, sf_dir).select("seq", "kind")
+    path, ckpt, out = folder(spark, "feed"), folder(spark, "ckpt"), folder(spark, "out")
+    ranges, files = ranges_of(rows, "seq")
+    for part in (ranges[:2], ranges[2:]):
+        for r in part:
+            write_range(r, path, files, "json")
+        feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).json(path)
+        run_to_table(feed.filter("seq > 50"), checkpoint=ckpt, out=out)
+    return spark.read.schema("seq long, kind string, batch long").parquet(out).select("seq", "kind")
+
+
+@REG.add("stream_acknowledge", with_sql("SELECT session, max(least(k * 20, seq)) AS acknowledged, count(*) AS n FROM l GROUP BY session", l=LOG_SQL))
 def stream_acknowledge(spark, sf_dir):
-    """STR-2: the highest sequence a client has acknowledged, as streaming state; the last batch has all of it."""
-    counts = file_stream(log(spark, sf_dir).select("session", "seq"), "seq").groupBy("session").agg(F.max("seq").alias("acknowledged"), F.count("*").alias("n"))
+    """STR-2: what each client has acknowledged: it never falls, and never passes the head, which is the row's own number when it comes. Streaming state; the last batch has all of it."""
+    feed = file_stream(log(spark, sf_dir).select("session", "seq", "k"), "seq")
+    counts = feed.groupBy("session").agg(F.max(F.least(F.col("k") * 20, F.col("seq"))).alias("acknowledged"), F.count("*").alias("n"))
     done = spark.read.parquet(run_to_table(counts, mode="complete"))
     last = done.agg(F.max("batch")).first()[0]
     return done.filter(F.col("batch") == last).select("session", "acknowledged", "n")
@@ -70,103 +110,110 @@ def stream_idempotent(spark, sf_dir):
     return spark.read.parquet(run_to_table(keys)).select("key")
 
 
-def _lifecycle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: last state, its sequence, transitions."""
-    kind, seq, n = state.get if state.exists else ("", -1, 0)
-    for f in frames:
-        n += len(f)
-        i = f["seq"].idxmax()
-        if f["seq"][i] > seq:
-            kind, seq = f["kind"][i], int(f["seq"][i])
-    state.update((kind, seq, n))
-    yield pd.DataFrame({"session": [key[0]], "state": [kind], "seq": [seq], "transitions": [n]})
-
-
-@REG.add("stream_lifecycle", with_sql("SELECT session, last(kind ORDER BY seq) AS state, count(*) AS transitions FROM l GROUP BY session", l=LOG_SQL))
+@REG.add("stream_lifecycle", with_sql(f"""
+SELECT session, last(kind ORDER BY seq) AS state, count(*) AS transitions, count_if(NOT coalesce(prev IS NULL OR {ALLOWED_SQL}, false))::BIGINT AS refused
+FROM (SELECT *, lag(kind) OVER (PARTITION BY session ORDER BY seq) AS prev FROM l) GROUP BY session""", l=LOG_SQL))
 def stream_lifecycle(spark, sf_dir):
-    """STR-5: state machines keyed by session; what a later batch says wins."""
-    events = file_stream(log(spark, sf_dir).select("session", "kind", "seq"), "seq")
-    steps = events.groupBy("session").applyInPandasWithState(
-        _lifecycle, "session long, state string, seq long, transitions long", "kind string, seq long, n long", "update", GroupStateTimeout.NoTimeout)
-    done = spark.read.parquet(run_to_table(steps, mode="update"))
-    return done.groupBy("session").agg(F.max_by("state", "transitions").alias("state"), F.max("transitions").alias("transitions"))
+    """STR-5: state machines keyed by session: last state, transitions, and those that the rule refuses, also over the bounds of micro-batches."""
+    done = spark.read.parquet(fold_batches(file_stream(log(spark, sf_dir).select("session", "kind", "seq"), "seq"), lifecycle_step))
+    return done.groupBy("session").agg(F.max_by("state", "transitions").alias("state"), F.max("transitions").alias("transitions"), F.max("refused").alias("refused"))
+
+
+def lifecycle_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """State: session, state, seq, transitions, refused. Rows are the sessions that the batch touched."""
+    prev = F.lag("kind").over(Window.partitionBy("session").orderBy("seq"))
+    mine = batch.select("session", "kind", "seq")
+    if state is not None:  # the last state comes before the batch's rows, as a row that counts for nothing
+        mine = mine.withColumn("old", F.lit(0)).union(state.join(batch.select("session").distinct(), "session", "left_semi").select("session", F.col("state").alias("kind"), "seq", F.lit(1)))
+    else:
+        mine = mine.withColumn("old", F.lit(0))
+    marked = mine.select("session", "kind", "seq", "old", (~may_follow(prev, F.col("kind"))).alias("bad"))
+    per = marked.groupBy("session").agg(F.max_by("kind", "seq").alias("state"), F.max("seq").alias("seq"), F.count_if(F.col("old") == 0).alias("transitions"), F.count_if((F.col("old") == 0) & F.col("bad")).alias("refused"))
+    if state is None:
+        per = stage(per)
+        return per, per
+    before = state.select("session", F.col("transitions").alias("t"), F.col("refused").alias("r"))
+    zero = F.lit(0).cast("long")
+    per = stage(per.join(before, "session", "left").select("session", "state", "seq", (F.col("transitions") + F.coalesce("t", zero)).alias("transitions"), (F.col("refused") + F.coalesce("r", zero)).alias("refused")))
+    return per, state.join(per.select("session"), "session", "left_anti").unionByName(per)
 
 
 @REG.add("stream_expire", with_sql("""
-SELECT session, seq FROM (SELECT *, lead(ts_ms // 60000) OVER (PARTITION BY session ORDER BY seq) AS next_at FROM l)
-WHERE kind = 'click' AND next_at >= ts_ms // 60000 + 120""", l=LOG_SQL))
+SELECT session, seq, 'lease_expired' AS event, CASE WHEN kind = 'click' THEN 'cancelled' ELSE 'requeued' END AS outcome FROM (SELECT *, lead(ts_ms // 60000) OVER (PARTITION BY session ORDER BY seq) AS next_at FROM l)
+WHERE kind IN ('click', 'view', 'signup') AND next_at >= ts_ms // 60000 + CASE kind WHEN 'click' THEN 120 WHEN 'view' THEN 30 ELSE 60 END""", l=LOG_SQL))
 def stream_expire(spark, sf_dir):
-    """STR-4: leases that the session's next event finds expired. State is the last open lease of a session."""
-    tick = F.floor(F.col("ts_ms") / 60000)
-    events = file_stream(log(spark, sf_dir).select("session", "kind", "seq", tick.alias("tick")), "seq")
-    out = events.groupBy("session").applyInPandasWithState(_expire, "session long, seq long", "seq long, ends long", "append", GroupStateTimeout.NoTimeout)
-    return spark.read.parquet(run_to_table(out)).select("session", "seq")
-
-
-def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seq, ends = state.get if state.exists else (-1, -1)
-    gone = []
-    rows = pd.concat(list(frames)).sort_values("seq")  # one micro-batch of one session
-    for r in rows.itertuples():
-        if seq >= 0 and r.tick >= ends:
-            gone.append(seq)
-        seq, ends = (int(r.seq), int(r.tick) + 120) if r.kind == "click" else (-1, -1)
-    state.update((seq, ends))
-    yield pd.DataFrame({"session": [key[0]] * len(gone), "seq": gone}, columns=["session", "seq"]).astype("int64")
-
-
-def mirror(spark: SparkSession, table: DataFrame, deltas: DataFrame, key: str, values: list[str]) -> tuple[DataFrame, DataFrame]:
-    """STR-7, STR-16: a stream of deltas (base, pos, op, key, values) merged batch by batch into the next generation of table.
-
-    A batch is merged only if its base is the mirror's generation; others go to the refusals
-    with a reason (gap or ahead). Each merge writes a whole new generation, then moves on.
-    """
-    now = {"table": stage(table), "generation": 0, "refused": []}
+    """STR-4: leases that the session's next event finds expired leave an event; drafts are cancelled, offers and claims queued again. State is each session's last event."""
+    rows = log(spark, sf_dir).select("session", "kind", "seq", F.floor(F.col("ts_ms") / 60000).alias("tick"))
+    return spark.read.parquet(fold_batches(file_stream(rows, "seq"), expire_step)).select("session", "seq", "event", "outcome")
+
+
+def expire_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    cols = ["session", "kind", "seq", "tick"]
+    mine = stage(batch.select(*cols))
+    before = None if state is None else state.join(mine.select("session").distinct(), "session", "left_semi").select(*cols)
+    w = Window.partitionBy("session").orderBy("seq")
+    length = F.when(F.col("kind") == "click", LEASE["click"]).when(F.col("kind") == "view", LEASE["view"]).when(F.col("kind") == "signup", LEASE["signup"])
+    both = (mine if before is None else mine.union(before)).withColumn("next_at", F.lead("tick").over(w))
+    gone = both.filter(F.col("next_at") >= F.col("tick") + length)
+    rows = gone.select("session", "seq", F.lit("lease_expired").alias("event"), F.when(F.col("kind") == "click", "cancelled").otherwise("requeued").alias("outcome"))
+    last = mine.groupBy("session").agg(F.max_by(F.struct("kind", "seq", "tick"), "seq").alias("l")).select("session", "l.*")
+    return rows, last if state is None else state.join(last.select("session"), "session", "left_anti").unionByName(last)
+
+
+def delta_frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A table, and six frames of deltas to it with the digests that their sender states: three that fit, one far ahead, one behind, one on other data than the mirror's."""
+    orders = read(spark, sf_dir, "orders")
+    top = orders.agg(F.max("o_orderkey")).first()[0] + 1
+    rows = stage(orders.select(F.floor(F.col("o_orderkey") * 6 / top).alias("frame"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 6 == 0, "delete").otherwise("upsert").alias("op"),
+        F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("value")))
+    table = stage(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")))
+    digest = lambda t: content_digest(t, ["key", "value"]).first()["digest"]
+    states = [table]
+    for i in range(3):
+        states.append(stage(apply_changes(states[-1], rows.filter(F.col("frame") == i), "key", ["value"], ["pos"])))
+    d = [digest(t) for t in states]
+    stated = spark.createDataFrame([(0, 0, d[0], d[1]), (1, 1, d[1], d[2]), (2, 2, d[2], d[3]), (3, 9, d[3], d[3]), (4, 1, d[1], d[2]), (5, 3, d[2], d[3])], "frame long, base long, base_digest string, target_digest string")
+    return table, rows.join(F.broadcast(stated), "frame")  # six rows
+
+
+FRAMES_SQL = "SELECT o_custkey AS key, o_orderpriority AS value, CASE WHEN o_orderkey % 6 = 0 THEN 'delete' ELSE 'upsert' END AS op, o_orderkey * 6 // (SELECT max(o_orderkey) + 1 FROM orders) AS frame, o_orderkey AS pos FROM orders"
 
-    def merge(batch: DataFrame, number: int) -> None:
-        batch = stage(batch)
-        for r in batch.select("base").distinct().orderBy("base").collect():  # generations in a micro-batch
-            if r["base"] != now["generation"]:
-                reason = "gap" if r["base"] > now["generation"] else "behind"
-                now["refused"].append((r["base"], reason))
-                continue
-            now["table"] = stage(apply_changes(now["table"], batch.filter(F.col("base") == r["base"]), key, values, ["pos"]))
-            now["generation"] += 1
 
-    run_to_table(deltas, merge)
-    return now["table"], spark.createDataFrame(now["refused"], "base long, reason string")
+def mirrored(spark, sf_dir) -> Mirror:
+    table, frames = delta_frames(spark, sf_dir)
+    made = Mirror(spark, folder(spark, "mirror"), "key", ["value"])
+    made.hydrate(table)
+    run_to_table(file_stream(frames, "frame"), made.merge)
+    return made
 
 
 @REG.add("stream_mirror", with_sql("""
 SELECT key, value FROM base WHERE key NOT IN (SELECT key FROM last) UNION ALL SELECT key, value FROM last WHERE op <> 'delete'""",
-    base="SELECT c_custkey AS key, c_mktsegment AS value FROM customer",
-    c="SELECT o_custkey AS key, o_orderpriority AS value, CASE WHEN o_orderkey % 6 = 0 THEN 'delete' ELSE 'upsert' END AS op, least(3, o_orderkey * 4 // (SELECT max(o_orderkey) + 1 FROM orders)) AS base, o_orderkey AS pos FROM orders",
-    last="SELECT * FROM c WHERE base <> 3 QUALIFY row_number() OVER (PARTITION BY key ORDER BY base DESC, pos DESC) = 1"))
+    base="SELECT c_custkey AS key, c_mktsegment AS value FROM customer", c=FRAMES_SQL,
+    last="SELECT * FROM c WHERE frame < 3 QUALIFY row_number() OVER (PARTITION BY key ORDER BY frame DESC, pos DESC) = 1"))
 def stream_mirror(spark, sf_dir):
-    """Four deltas, the last of which claims a base too far ahead and is refused."""
-    orders = read(spark, sf_dir, "orders")
-    top = orders.agg(F.max("o_orderkey")).first()[0] + 1
-    part = F.floor(F.col("o_orderkey") * 4 / top)
-    deltas = orders.select(F.when(part == 3, 9).otherwise(part).cast("long").alias("base"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 6 == 0, "delete").otherwise("upsert").alias("op"),
-        F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("value"))
-    table = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-    merged, _ = mirror(spark, table, file_stream(deltas, "pos", per_batch=1000), "key", ["value"])
-    return merged.select("key", "value")
+    """STR-7, STR-16: the table after six frames, of which three are refused."""
+    return mirrored(spark, sf_dir).rows()
 
 
-def attest(table: DataFrame, columns: list[str], digest: str) -> bool:
-    """STR-7: does a mirror's content digest equal the one it was sent."""
-    return content_digest(table, columns).first()["digest"] == digest
+@REG.add("stream_mirror_refusals", "SELECT * FROM (VALUES (3::BIGINT, 'gap'), (4::BIGINT, 'ahead'), (5::BIGINT, 'digest-mismatch')) t(frame, reason) WHERE frame IN (SELECT o_orderkey * 6 // (SELECT max(o_orderkey) + 1 FROM orders) FROM orders)")
+def stream_mirror_refusals(spark, sf_dir):
+    """STR-7: which frames were refused, and why."""
+    return mirrored(spark, sf_dir).refusals().select("frame", "reason")
 
 
 @REG.add("stream_late_rows", with_sql("""
-SELECT ts_ms // 86400000 AS day, count(*) AS n FROM l GROUP BY 1""", l=LOG_SQL))
+SELECT ts_ms // 86400000 AS day, count_if(NOT late)::BIGINT AS in_time, count_if(late AND (ts_ms // 86400000 + 1) * 86400000 > (SELECT max(ts_ms) - 86400000 FROM l WHERE seq % 50 <> 7))::BIGINT AS late_kept
+FROM (SELECT *, seq % 50 = 7 AS late FROM l) GROUP BY 1 HAVING in_time + late_kept > 0""", l=LOG_SQL))
 def stream_late_rows(spark, sf_dir):
-    """STR-12: counts by event-time day under a watermark; rows come in order, so none is late. Days still open at the end are read off the state by a last batch."""
-    events = file_stream(log(spark, sf_dir).select("seq", "ts_ms", F.timestamp_millis("ts_ms").alias("at")), "seq").withWatermark("at", "1 day")
-    days = events.groupBy(F.window("at", "1 day")).agg(F.min(F.floor(F.col("ts_ms") / 86400000)).alias("day"), F.count("*").alias("n"))
-    done = spark.read.parquet(run_to_table(days.select("day", "n"), mode="update"))
-    return done.groupBy("day").agg(F.max("n").alias("n"))
+    """STR-12: counts by event-time day under a watermark of a day. Every fiftieth row comes after all others; of these, only days that the watermark has not passed still count."""
+    rows = log(spark, sf_dir)
+    top = rows.agg(F.max("seq")).first()[0] + 1
+    late = F.col("seq") % 50 == 7
+    feed = rows.select(F.when(late, F.col("seq") + 3 * top).otherwise(F.col("seq")).alias("place"), late.alias("late"), "ts_ms", F.timestamp_millis("ts_ms").alias("at"))
+    days = file_stream(feed, "place", 8).withWatermark("at", "1 day").groupBy(F.window("at", "1 day")).agg(F.min(F.floor(F.col("ts_ms") / 86400000)).alias("day"), F.count_if(~F.col("late")).alias("in_time"), F.count_if("late").alias("late_kept"))
+    done = spark.read.parquet(run_to_table(days.select("day", "in_time", "late_kept"), mode="update"))
+    return done.groupBy("day").agg(F.max("in_time").alias("in_time"), F.max("late_kept").alias("late_kept"))
 
 
 QUERIES, SQL = REG.queries, REG.sql
