@@ -222,7 +222,7 @@ def call_sites(docs: DataFrame) -> DataFrame:
 
 @REG.add("edt_argument_imports", r"""
 WITH e AS (SELECT doc_id, coalesce(source, '') AS scope, text, unnest(regexp_extract_all(text, '[a-z]{8,},')) AS hit FROM documents),
-h AS (SELECT DISTINCT doc_id, scope FROM e), d AS (SELECT doc_id, coalesce(source, '') AS scope, regexp_replace(text, '([a-z]{8,}),', '(' || coalesce(source, '') || '),', 'g') AS body FROM documents)
+h AS (SELECT DISTINCT doc_id, scope FROM e), d AS (SELECT doc_id, coalesce(source, '') AS scope, regexp_replace(text, '([a-z]{8,}),', '\1(' || coalesce(source, '') || '),', 'g') AS body FROM documents)
 SELECT d.doc_id, CASE WHEN h.doc_id IS NULL OR contains(d.body, 'use ' || d.scope || ';') THEN 0 ELSE 1 END AS imported,
   md5(CASE WHEN h.doc_id IS NULL OR contains(d.body, 'use ' || d.scope || ';') THEN d.body ELSE 'use ' || d.scope || ';' || chr(10) || d.body END) AS text_md5 FROM d LEFT JOIN h USING (doc_id, scope)""")
 def edt_argument_imports(spark, sf_dir):
