@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from coppice.llm.common import stage
+from coppice.llm.common import maybe_broadcast, stage
 
 #: A split key has 48 bits: 12 of the dimension's cell, 24 of the text's hash, 12 of the row's hash.
 DIGIT_BITS, DIGITS = 12, 4
@@ -31,112 +29,104 @@ def text_dimensions(text: Column) -> dict[str, Column]:
     }
 
 
-def _shard_expr(tree: dict, node: int) -> Column:
-    """The leaf (or open node) that a row falls in; the tree has one split fewer than there are shards."""
-    if node not in tree:
-        return F.lit(node)
-    dim, top = tree[node]
-    return F.when(F.col(f"_k_{dim}") <= F.lit(top), _shard_expr(tree, 2 * node)).otherwise(_shard_expr(tree, 2 * node + 1))
+def _picked(dims: list[str]) -> Column:
+    """The row's key in the dimension that its node is split on."""
+    return F.coalesce(*[F.when(F.col("dim") == i, F.col(f"_k_{d}")) for i, d in enumerate(dims)])
+
 
+def _cuts(rows: DataFrame, nodes: DataFrame, dims: list[str]) -> DataFrame:
+    """node, dim, leaves, first, cut: for each node (node, dim, leaves, first, total, want) the largest key of its left part.
 
-def _weighted_cuts(rows: DataFrame, picked: dict[int, str], totals: dict[int, int], shares: dict[int, float]) -> dict[int, int]:
-    """For each node the largest key of its left part, by histograms of 4096 cells, digit by digit."""
-    prefix = {n: 0 for n in picked}
-    before = {n: 0 for n in picked}
-    cut: dict[int, int] = {}
+    The weight up to the cut is as near to `want` as a histogram of 4096 cells can tell, refined
+    inside the cell where it is reached, a digit of the key at a time, until that cell is light
+    or the key is at its end.
+    """
+    held = ["node", "dim", "leaves", "first", "total", "want"]
+    open_ = stage(nodes.select(*held, F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before")))
+    done: DataFrame | None = None
     for digit in range(DIGITS):
-        open_nodes = [n for n in picked if n not in cut]
-        if not open_nodes:
-            break
         shift = DIGIT_BITS * (DIGITS - 1 - digit)
-        key = reduce(lambda c, n: c.when(F.col("_node") == n, F.col(f"_k_{picked[n]}")), open_nodes, F.when(F.lit(False), F.lit(0).cast("long")))
-        inside = reduce(
-            lambda c, n: c | ((F.col("_node") == n) & (F.shiftright(F.col("_key"), shift + DIGIT_BITS) == prefix[n])), open_nodes, F.lit(False)
-        )
+        few, _ = maybe_broadcast(open_)
         cells = (
-            rows.withColumn("_key", key).filter(inside)
-            .groupBy("_node", F.shiftright("_key", shift).bitwiseAND(CELLS - 1).alias("_cell"))
-            .agg(F.sum("_size").alias("_w")).collect()  # at most 4096 rows a node, whatever the input
+            rows.join(few, "node").withColumn("key", _picked(dims)).filter(F.shiftright("key", shift + DIGIT_BITS) == F.col("prefix"))
+            .groupBy("node", F.shiftright("key", shift).bitwiseAND(CELLS - 1).alias("cell")).agg(F.sum("size").alias("w"))
         )
-        by_node: dict[int, list] = {n: [] for n in open_nodes}
-        for r in cells:
-            by_node[r["_node"]].append((r["_cell"], r["_w"]))
-        for n in open_nodes:
-            want = totals[n] * shares[n]
-            for cell, w in sorted(by_node[n]):
-                if before[n] + w >= want:
-                    break
-                before[n] += w
-            low = (prefix[n] << DIGIT_BITS) | cell
-            if digit == DIGITS - 1 or w <= TOLERANCE * totals[n]:
-                with_it = abs(before[n] + w - want) <= abs(before[n] - want)
-                cut[n] = ((low + 1) << shift) - 1 if with_it else (low << shift) - 1
-            else:
-                prefix[n] = low
-    return cut
+        upto = F.sum("w").over(Window.partitionBy("node").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))  # at most 4096 rows a node
+        reached = cells.withColumn("upto", upto).join(few, "node").filter(F.col("before") + F.col("upto") >= F.col("want"))
+        at = reached.groupBy(*held, "prefix", "before").agg(F.min(F.struct("cell", "w", "upto")).alias("c"))
+        low = F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("c.cell"))
+        start = F.col("before") + F.col("c.upto") - F.col("c.w")
+        at = stage(at.select(*held, low.alias("prefix"), start.alias("before"), F.col("c.w").alias("w")))
+        ends = F.lit(digit == DIGITS - 1) | (F.col("w") <= TOLERANCE * F.col("total"))
+        with_it = F.abs(F.col("before") + F.col("w") - F.col("want")) <= F.abs(F.col("before") - F.col("want"))
+        cut = F.shiftleft(F.col("prefix") + F.when(with_it, 1).otherwise(0), shift) - 1
+        found = at.filter(ends).select("node", "dim", "leaves", "first", cut.alias("cut"))
+        done = found if done is None else done.union(found)
+        open_ = at.filter(~ends).select(*held, "prefix", "before")
+        if open_.isEmpty():
+            break
+    return stage(done)
 
 
 def kd_shard(docs: DataFrame, n_shards: int = 8, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) for every row.
 
-    Law `bytes`: each split halves the bytes of its node (or cuts them in proportion to the
-    leaves on either side), exact to one row or 0.01 % of the node. Rows that tie on a
-    dimension are ordered by text hash, then row hash, so equal texts stay together unless a
-    cut falls inside their group. With target_bytes, leaves are as many as keep each at or
-    under the target. Null text counts as empty (size 1); null ids are rows like any other;
-    repeated rows get slots of their own; an empty table gives no rows.
+    Law `bytes`: each split halves the bytes of its node along its widest dimension (or cuts
+    them in proportion to the leaves on either side), exact to one row or 0.01 % of the node.
+    Rows that tie on a dimension are ordered by text hash, then by a hash of id and row, so
+    equal texts stay together unless a cut falls inside their group, and a group of repeated
+    rows may be cut anywhere. With target_bytes, leaves are as many as keep each at or under
+    the target. Null text counts as empty (size 1); a very long text is one row like any other
+    and may make its shard the larger by itself; null ids are rows like any other; repeated
+    rows get slots of their own; an empty table gives no rows; other columns are not read.
 
     Scale: texts are read once and never shuffled. Each level costs one min/max pass and one
-    to four histogram passes over a narrow staged table; histograms have 4096 cells a node.
-    Slots come from 1024 hash buckets a shard, so no shard is numbered in one task.
+    to four histogram passes over a narrow staged table; histograms have 4096 cells a node. The
+    tree is a table: its nodes are broadcast up to a bound and joined by a shuffle beyond it,
+    and the driver sees counts only. Slots come from 1024 hash buckets a shard, so no shard is
+    numbered in one task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     cells = dimensions or text_dimensions(text)
-    within = F.xxhash64(text).bitwiseAND((1 << 24) - 1) * F.lit(CELLS) + F.xxhash64(F.col(id_col), F.lit(7)).bitwiseAND(CELLS - 1)
+    dims = list(cells)
+    row = F.monotonically_increasing_id()
+    within = F.xxhash64(text).bitwiseAND((1 << 24) - 1) * F.lit(CELLS) + F.xxhash64(F.col(id_col), row).bitwiseAND(CELLS - 1)
     rows = stage(docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(SLOT_BUCKETS)).alias("_bucket"),
+        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.pmod(F.xxhash64(F.col(id_col), text, row), F.lit(SLOT_BUCKETS)).alias("bucket"),
         *[(c * F.lit(1 << 36) + within).alias(f"_k_{d}") for d, c in cells.items()],
     ))
     if target_bytes:
-        total = rows.agg(F.sum("_size")).first()[0] or 0
+        total = rows.agg(F.sum("size")).first()[0] or 0
         n_shards = max(1, -(-total // target_bytes))
-    tree: dict[int, tuple[str, int]] = {}
-    leaves = {1: n_shards}
-    while any(k > 1 for k in leaves.values()):
-        level = rows.withColumn("_node", _shard_expr(tree, 1))
-        seen = level.groupBy("_node").agg(
-            F.sum("_size").alias("total"), *[f(F.shiftright(f"_k_{d}", 36)).alias(f"{m}_{d}") for d in cells for m, f in (("lo", F.min), ("hi", F.max))]
-        ).collect()  # a row a node
-        seen = {r["_node"]: r for r in seen}
-        picked, totals, shares, nxt = {}, {}, {}, {}
-        for n, k in leaves.items():
-            if k == 1:
-                nxt[n] = k
-                continue
-            nxt[2 * n], nxt[2 * n + 1] = k // 2 + k % 2, k // 2
-            if n in seen:
-                picked[n] = max(cells, key=lambda d, r=seen[n]: r[f"hi_{d}"] - r[f"lo_{d}"])
-                totals[n], shares[n] = seen[n]["total"], nxt[2 * n] / k
-            else:
-                tree[n] = (next(iter(cells)), -1)
-        tree |= {n: (picked[n], top) for n, top in _weighted_cuts(level, picked, totals, shares).items()}
-        leaves = nxt
-    number = {n: i for i, n in enumerate(sorted(leaves, key=lambda n: f"{n:b}"))}
-    node = _shard_expr(tree, 1)
-    names = F.create_map(*[F.lit(x) for kv in number.items() for x in kv])
-    sharded = rows.select("doc_id", F.col("_size").alias("size"), "text_crc32", "_bucket", F.element_at(names, node).cast("int").alias("shard"))
-    counts = sharded.groupBy("shard", "_bucket").count().collect()  # at most n_shards x 1024 rows
-    offsets, at = [], {}
-    for r in sorted(counts, key=lambda r: (r["shard"], r["_bucket"])):
-        offsets.append((r["shard"], r["_bucket"], at.get(r["shard"], 0)))
-        at[r["shard"]] = at.get(r["shard"], 0) + r["count"]
-    start = docs.sparkSession.createDataFrame(offsets, "shard int, _bucket long, _start long")
-    place = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32")
-    return sharded.withColumn("_place", F.row_number().over(place)).join(F.broadcast(start), ["shard", "_bucket"]).select(
+    one = F.lit(1).cast("long")
+    # a node knows how many leaves it has and the number of its first one
+    rows = rows.withColumns({"node": one, "leaves": F.lit(n_shards).cast("long"), "first": F.lit(0).cast("long")})
+    for _ in range((n_shards - 1).bit_length()):
+        spread = [(F.max(F.shiftright(f"_k_{d}", 36)) - F.min(F.shiftright(f"_k_{d}", 36))).alias(f"r_{i}") for i, d in enumerate(dims)]
+        seen = rows.filter("leaves > 1").groupBy("node", "leaves", "first").agg(F.sum("size").alias("total"), *spread)
+        widest = F.greatest(*[F.col(f"r_{i}") for i in range(len(dims))]) if len(dims) > 1 else F.col("r_0")
+        dim = F.coalesce(*[F.when(F.col(f"r_{i}") == widest, i) for i in range(len(dims))])
+        left = F.ceil(F.col("leaves") / 2)
+        nodes = stage(seen.select("node", dim.alias("dim"), "leaves", "first", "total", (F.col("total") * left / F.col("leaves")).alias("want")))
+        cuts, _ = maybe_broadcast(_cuts(rows.select("node", "size", *[f"_k_{d}" for d in dims]), nodes, dims).select("node", "dim", "cut"))
+        split = rows.join(cuts, "node", "left")
+        right, inner = _picked(dims) > F.col("cut"), F.col("cut").isNotNull()
+        rows = stage(split.select(
+            "doc_id", "size", "text_crc32", "bucket", *[f"_k_{d}" for d in dims],
+            F.when(inner, F.col("node") * 2 + F.when(right, 1).otherwise(0)).otherwise(F.col("node")).alias("node"),
+            F.when(~inner, F.col("leaves")).when(right, F.col("leaves") - left).otherwise(left).alias("leaves"),
+            (F.col("first") + F.when(inner & right, left).otherwise(0)).alias("first"),
+        ))
+    sharded = rows.select("doc_id", "size", "text_crc32", "bucket", F.col("first").cast("int").alias("shard"))
+    counts = sharded.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 1024 rows a shard
+    start, _ = maybe_broadcast(stage(counts.select("shard", "bucket", before.alias("start"))))
+    place = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")
+    return sharded.withColumn("place", F.row_number().over(place)).join(start, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("_start") + F.col("_place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("start") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

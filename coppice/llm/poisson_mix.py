@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import maybe_broadcast, stage, table
+from coppice.llm.common import columns_of, free_name, maybe_broadcast, stage, table
 
 SEED = 17
 #: Sources get shares in proportion to (their bytes) ** ALPHA.
@@ -43,12 +43,16 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, budget_bytes
                  source_col: str = "source", text_col: str = "text") -> DataFrame:
     """source, mass, rate: the mean number of times that a document of the source is repeated.
 
-    weights has (source, weight); without it, weight is mass ** alpha. The budget is the
-    input's own mass unless given. Mass counts UTF-8 bytes plus one a row.
+    weights has (source, weight), one row a source; without it, weight is mass ** alpha. The
+    budget is the input's own mass unless given. Mass counts UTF-8 bytes plus one a row, so
+    that null and empty texts have a mass too. A null source is a source of its own. An empty
+    table gives no rows. Other columns are not read.
     """
-    mass = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).alias("mass"))
+    mine = docs.select(F.col(source_col).alias("source"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
+    mass = mine.groupBy("source").agg(F.sum(F.col("n") + 1).alias("mass"))
     if weights is not None:
-        mass = mass.join(weights.select("source", "weight"), mass["source"].eqNullSafe(weights["source"])).select(mass["*"], "weight")
+        given = weights.select(F.col("source").alias("given"), "weight")
+        mass = mass.join(given, F.col("source").eqNullSafe(F.col("given"))).select("source", "mass", "weight")
     else:
         mass = mass.withColumn("weight", F.pow(F.col("mass").cast("double"), F.lit(alpha)))
     mass = stage(mass)
@@ -61,16 +65,25 @@ def poisson_mix(docs: DataFrame, rates: DataFrame, seed: int = SEED, id_col: str
     """docs repeated as Poisson draws say and shuffled; adds copy (from 1) and mix_key.
 
     A document's draw depends on seed and id alone, so a rerun repeats it; rows that share an
-    id share its count. A source without a rate (or with rate 0) gives no rows; a null source
-    is a source of its own. The number of sources decides whether the rates are broadcast;
-    beyond the bound the join is shuffled and AQE splits a hot source.
+    id, repeated rows too, share its count, and rows with a null id share one. A source
+    without a rate (or with rate 0, or a null rate) gives no rows; a null source is a source of
+    its own. Texts are carried along whole, null, empty or very long. An empty table gives no
+    rows. All columns of docs stay as they are, whatever their names: where one of them is
+    named copy or mix_key, the added column has an underscore before its name.
+
+    The number of sources decides whether the rates are broadcast; beyond the bound the join
+    is shuffled and AQE splits a hot source. The shuffle at the end deals rows by an MD5 of
+    their own, so a hot source or id is spread over all tasks.
     """
-    small, _ = maybe_broadcast(stage(rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    drawn = docs.join(small, docs[source_col].eqNullSafe(small["_source"])).withColumn("_n", copies_of(F.col("_rate"), seed, key)).filter("_n > 0")
-    out = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), key, F.col("copy").cast("string"))))
-    return out.repartition("mix_key").sortWithinPartitions("mix_key")
+    mine, key_name = columns_of(docs), F.col(id_col).cast("string")
+    copy, mix_key = free_name(docs, "copy"), free_name(docs, "mix_key")
+    row = docs.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(mine)]).alias("row"), F.coalesce(key_name, F.lit("null")).alias("key"), F.col(source_col).alias("from_source"))
+    small, _ = maybe_broadcast(stage(rates.select(F.col("source").alias("rate_source"), "rate")))
+    met = row.join(small, F.col("from_source").eqNullSafe(F.col("rate_source"))).withColumn("n", copies_of(F.col("rate"), seed, F.col("key"))).filter("n > 0")
+    out = met.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), "key", F.col("copy").cast("string"))))
+    out = out.repartition("mix_key").sortWithinPartitions("mix_key")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("copy").alias(copy), F.col("mix_key").alias(mix_key))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

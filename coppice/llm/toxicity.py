@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,12 @@ from coppice.llm.language_id import fold
 
 #: Hashed features; weights are 4 bytes each.
 SLOTS = 1 << 19
-#: FTRL-proximal: learning rate, its smoothing, L1 and L2.
+#: FTRL-proximal: learning rate, its smoothing, L1 and L2. Chosen by cross-validation inside the learned folds.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 16.0, 0.1
+#: What the logarithm of a feature's rareness is divided by.
+RARE = 4.0
+#: A stem comes densely from one in so many words on.
+DENSE = 256
 EPOCHS = 4
 #: The fit takes about this many labelled rows at most, chosen by a hash of their ids. They are read by one task.
 ROWS_MOST = 12_000
@@ -37,13 +42,23 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(text: str) -> Iterator[np.ndarray]:
-    """Slots of the words, of their stems, of neighbouring pairs, and of pairs with one word between, a block of words at a time."""
+    """Slots of the words, of their stems, of neighbouring pairs, of pairs with one word between, a block of words at a time; then of the stems that come densely.
+
+    A stem comes densely if two different words have it (or, as another feature, two words do)
+    and one in DENSE words or more.
+    """
     words = _WORD.findall(text.lower())
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(words), WORD_BLOCK):
         h = np.array([digest(w) for w in words[at : at + WORD_BLOCK + 2]], np.uint64)
         stems = np.array([digest(w[:STEM], 1) for w in words[at : at + WORD_BLOCK + 2]], np.uint64)
         yield np.concatenate([_slots(h), _slots(stems), _slots(h[:-1] * _PAIR + h[1:]), _slots(h[:-2] * _SKIP + h[2:])])
+    least = max(2, -(-len(words) // DENSE))
+    found = []
+    for seed, counts in ((2, Counter(w[:STEM] for w in set(words))), (3, Counter(w[:STEM] for w in words))):
+        found += [digest(stem, seed) for stem, n in counts.items() if n >= least]
+    if found:
+        yield _slots(np.array(found, np.uint64))
 
 
 def distinct(text: str) -> np.ndarray:
@@ -52,28 +67,36 @@ def distinct(text: str) -> np.ndarray:
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias after EPOCHS passes in a fixed random order; the rarer class is weighted up to balance."""
-    z, n, bias, bias_n = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0
+    """Weights and bias after EPOCHS passes in a fixed random order; the rarer class is weighted up to balance.
+
+    A feature's value is the logarithm of how rare it is among the rows, over RARE, so that
+    rare words can carry a verdict and frequent ones hardly count; weights come multiplied by it.
+    """
+    z, n, bias, bias_n, seen = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0, np.zeros(SLOTS)
     labels = np.array([y for _, y in rows])
+    for x, _ in rows:
+        seen[x] += 1
+    value = np.log((1 + len(rows)) / (1 + seen)) / RARE
     share = max(labels.mean(), 1e-6) if len(rows) else 0.5
     rise = {1: min(0.5 / share, 10.0), 0: min(0.5 / max(1 - share, 1e-6), 10.0)}
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(seed + epoch).permutation(len(rows)).tolist():
             x, y = rows[i]
-            zi, ni = z[x], n[x]
+            zi, ni, vi = z[x], n[x], value[x]
             w = np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            p = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35)))
-            g = (p - y) * rise[y]
+            p = 1 / (1 + np.exp(-np.clip((w * vi).sum() + bias, -35, 35)))
+            loss = (p - y) * rise[y]
+            g = loss * vi
             z[x] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[x] = ni + g * g
-            bias_n += g * g
-            bias -= ALPHA / (BETA + np.sqrt(bias_n)) * g
-    return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2)), bias
+            bias_n += loss * loss
+            bias -= ALPHA / (BETA + np.sqrt(bias_n)) * loss
+    return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2)) * value, bias
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = [(i, distinct(t), y) for ids, texts, labels in rows_of(batches) for i, t, y in zip(ids, texts, labels, strict=True)]
-    found.sort(key=lambda r: r[0])  # the order of arrival says nothing
+    found.sort(key=lambda r: (r[0], r[2], r[1].tobytes()))  # the order of arrival says nothing
     weights, bias = ftrl([(x, y) for _, x, y in found])
     used = np.flatnonzero(weights)
     yield pa.RecordBatch.from_arrays(
@@ -84,20 +107,37 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_toxicity(docs: DataFrame, labels: DataFrame, rows_most: int = ROWS_MOST, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[int, float]:
     """Sparse weights (slot -1 is the bias) from rows whose label is 0 or 1.
 
-    At most about rows_most labelled rows, by a hash of their ids; the driver gets at most
-    SLOTS weights, whatever the input.
+    At most about rows_most labelled rows, by a hash of their ids, half of them of either label
+    as far as there are as many; the driver gets at most SLOTS weights, whatever the input. An
+    id with both labels counts as toxic; labels of a null id, and null labels, are left out;
+    rows that share a labelled id all count. Without labels the bias is all there is.
     """
     ship(docs.sparkSession)
     marked = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    marked = stage(marked.groupBy("id").agg(F.max("label").alias("label")))
-    keep = min(1.0, rows_most / max(1, marked.count()))
-    chosen = marked.filter(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) < int(keep * 1_000_000))
+    marked = stage(marked.filter("id is not null").groupBy("id").agg(F.max("label").alias("label")))
+    chosen = bounded_sample(marked, rows_most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "label")  # rows_most rows of 12 bytes
     fit = rows.repartition(1).mapInArrow(_fit, "slot long, weight double").collect()
     return {r["slot"]: r["weight"] for r in fit}
 
 
+def bounded_sample(marked: DataFrame, rows_most: int) -> DataFrame:
+    """About rows_most rows at most, by a hash of their ids: of each label half of them, or all where there are fewer; what one label leaves free the other may take."""
+    counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    zero, one = counts.get(0, 0), counts.get(1, 0)
+    want = {1: min(one, max(rows_most // 2, rows_most - zero)), 0: min(zero, max(rows_most // 2, rows_most - one))}
+    if zero + one <= rows_most:
+        return marked
+    place = F.xxhash64("id", F.lit("toxicity"))  # even over the whole range of 64 bits
+    keep = F.lit(False)
+    for label, n in want.items():
+        share = n / max(1, counts.get(label, 0))
+        bar = min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)) if share < 1 else (1 << 63) - 1
+        keep = keep | ((F.col("label") == label) & (place <= F.lit(bar)))
+    return marked.filter(keep)
+
+
 def _score(model: dict[int, float]):
     bias = model.get(-1, 0.0)
     slots = np.array([s for s in model if s >= 0], np.int64)
@@ -121,9 +161,9 @@ def _score(model: dict[int, float]):
 def toxicity(docs: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from the threshold on) for every row.
 
-    Features are presences, so repeated words count once, however long the text. Null text
-    counts as empty and scores the bias alone; repeated rows and null ids are rows like any
-    other; an empty table gives no rows; ids are integers.
+    Features are presences over the whole text, however long. Null text counts as empty and
+    scores the bias alone; repeated rows and null ids are rows like any other; an empty table
+    gives no rows; ids are integers; other columns are not read.
 
     Scale: one pass, no shuffle. The weights are sparse and at most 2 ** 19.
     """
