@@ -435,3 +435,43 @@ def test_preference(spark):
         (6, "chosen", 0, u + "t<|end|>\n", ""), (6, "rejected", 0, u + "t<|end|>\n", ""),
     }
     assert preference.preference_segments(frame(c).limit(0), frame(r).limit(0)).count() == 0
+
+
+def test_preference_pairs(spark):
+    """Prompt and completions in one row; spans point at what bears loss; repeated rows are one."""
+    c = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "so"), (1, 3, "assistant", "end"), (2, 0, None, None), (3, 0, "user", "alone"), (None, 0, "user", "x")]
+    r = [(1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None)]
+    frame = lambda rows: spark.createDataFrame([(*x, "p", 1) for x in rows], TURNS)
+    got = {x["pair_id"]: x for x in preference.preference_pairs(frame(c), frame(r)).collect()}
+    u, a, e = "<|user|>\n", "<|assistant|>\n", "<|end|>\n"
+    assert set(got) == {1, 2, 3} and {(x["page"], x["sub"]) for x in got.values()} == {(0, 0)}
+    assert (got[1]["prompt"], got[1]["chosen"], got[1]["rejected"]) == (f"{u}hi{e}", f"{a}yes{e}{u}so{e}{a}end{e}", f"{a}no{e}")
+    assert [got[1]["chosen"][s["from"] : s["to"]] for s in got[1]["chosen_spans"]] == [f"yes{e}", f"end{e}"]
+    assert [got[1]["rejected"][s["from"] : s["to"]] for s in got[1]["rejected_spans"]] == [f"no{e}"]
+    assert (got[2]["prompt"], got[2]["chosen"], got[2]["rejected"]) == (f"<|unknown|>\n{e}", "", "")
+    assert (got[3]["prompt"], got[3]["chosen"], got[3]["chosen_spans"]) == ("", f"{u}alone{e}", [])
+
+
+def test_long_pairs_are_paged(spark):
+    """A conversation of 200 turns, and a turn of 300 different rows, in pages that join to the whole."""
+    c = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(200)] + [(2, 70, "assistant", f"x{i:03}") for i in range(300)]
+    r = [(1, 0, "user", "t0"), (1, 1, "assistant", "other")]
+    frame = lambda rows: spark.createDataFrame([(*x, "p", 1) for x in rows], TURNS).repartition(3)
+    rows = sorted(preference.preference_pairs(frame(c), frame(r)).collect(), key=lambda x: (x["pair_id"], x["page"], x["sub"]))
+    one, two = [x for x in rows if x["pair_id"] == 1], [x for x in rows if x["pair_id"] == 2]
+    render = lambda role, t: f"<|{role}|>\n{t}<|end|>\n"
+    assert [x["page"] for x in one] == [0, 1, 2, 3] and len(two) > 3
+    assert "".join(x["prompt"] for x in one) == render("user", "t0")
+    assert "".join(x["chosen"] for x in one) == "".join(render("assistant" if i % 2 else "user", f"t{i}") for i in range(1, 200))
+    assert "".join(x["rejected"] for x in one) == render("assistant", "other")
+    assert sorted(m for x in two for s in x["chosen_spans"] for m in [x["chosen"][s["from"] : s["to"]]]) == [f"x{i:03}<|end|>\n" for i in range(300)]
+    assert all(len(x["chosen_spans"]) < 130 for x in two)
+
+
+def test_swapped_replies(spark):
+    """The next conversation's reply, over gaps of ids; repeated rows stay as many as they are."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "A"), (1, 1, "assistant", "A"), (7, 0, "user", "b"), (7, 1, "assistant", "B"), (7, 1, "assistant", "B2"), (8, 0, "user", "none"), (90, 0, "assistant", "C"), (None, 0, "assistant", "lost")]
+    got = Counter(tuple(r) for r in preference.swapped_replies(spark.createDataFrame(rows, "pair_id long, turn long, role string, text string").repartition(3)).collect())
+    assert got == Counter([(1, 0, "user", "a"), (1, 1, "assistant", "B"), (1, 1, "assistant", "B2"), (7, 0, "user", "b"), (7, 1, "assistant", "C"), (8, 0, "user", "none"), (None, 0, "assistant", "lost")])
+    many = spark.createDataFrame(rows * 40, "pair_id long, turn long, role string, text string")
+    assert preference.swapped_replies(many).count() == 40 * sum(got.values())
