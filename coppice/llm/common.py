@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from coppice.plans.staging import shared_dir, stage
 
-__all__ = ["BROADCAST_ROWS", "ROW", "TIE", "columns_of", "drop_rows", "free_name", "keep_smallest", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table", "with_rows"]
+__all__ = ["BROADCAST_ROWS", "ROW", "TIE", "bit_map", "columns_of", "drop_rows", "free_name", "keep_smallest", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table", "with_marks", "with_rows"]
 
 #: Columns that with_rows adds; no input column may have these names.
 ROW, TIE = "coppice_row", "coppice_tie"
@@ -63,6 +63,30 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bit maps have between these powers of two of bits: 64 MB at most. One row of a map has 2 ** 15, as bitmap_construct_agg makes them.
+MAP_LEAST, MAP_MOST = 15, 29
+
+
+def bit_map(hashes: DataFrame, n: int, most: int = MAP_MOST) -> tuple[DataFrame, int]:
+    """Rows (coppice_cell, coppice_bits) of a bit map in which each of n hashes (one long column, hash) is set at 16 bits a hash, and its size in bits.
+
+    A map of the largest size fills up beyond some 30 million hashes; it then says yes more often than it need.
+    """
+    size = 1 << min(most, max(MAP_LEAST, (16 * n).bit_length()))
+    slot = F.col("hash").bitwiseAND(size - 1)
+    cells = hashes.groupBy(F.bitmap_bucket_number(slot).alias("coppice_cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("coppice_bits"))
+    return stage(cells), size
+
+
+def with_marks(df: DataFrame, hash_: Column, cells: DataFrame, size: int) -> DataFrame:
+    """df with coppice_hit: whether the map has the hash's bit. The map is broadcast; its size is bounded."""
+    slot = hash_.bitwiseAND(size - 1)
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("coppice_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("coppice_cell", F.bitmap_bucket_number(slot)).join(F.broadcast(cells), "coppice_cell", "left")
+    return found.withColumn("coppice_hit", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("coppice_cell", "coppice_bits")
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list[list]]:
     """Column lists of a few hundred rows at a time, so that only these texts are Python strings at once."""
     for batch in batches:

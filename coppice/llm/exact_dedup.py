@@ -5,29 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import ROW, TIE, drop_rows, maybe_broadcast, stage, with_rows
+from coppice.llm.common import ROW, TIE, bit_map, drop_rows, maybe_broadcast, stage, with_marks, with_rows
 
 PREFIX_CHARS = 64
-#: The repeated (length, prefix hash) keys are marked in a bit map of 16 bits a key, between these powers of two of bits.
-#: The largest map is 2 ** 29 bits, 64 MB: beyond some 100 million keys it fills up, and more texts than need be are hashed in full.
-MAP_LEAST, MAP_MOST = 15, 29
 
 
-def _marked(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """Rows (_cell, _bits) of a bit map in which the hash of each key is set, and its size in bits."""
-    size = 1 << min(MAP_MOST, max(MAP_LEAST, (16 * n).bit_length()))
-    slot = _slot(size)
-    return keys.groupBy(F.bitmap_bucket_number(slot).alias("_cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits")), size
-
-
-def _slot(size: int) -> Column:
-    return F.xxhash64("_len", "_prefix").bitwiseAND(size - 1)
-
-
-def _is_marked(size: int) -> Column:
-    place = F.bitmap_bit_position(_slot(size))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (place % 8).cast("int")) == 1
+def _key_hash() -> Column:
+    return F.xxhash64("_len", "_prefix")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
@@ -57,10 +41,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *[c.alias(f"_c_{k}") for k, c in carry.items()],
     )
     carried = [f"_c_{k}" for k in carry]
-    keys = stage(base.groupBy("_len", "_prefix").count().filter("count > 1").select("_len", "_prefix"))
-    marks, size = _marked(keys, keys.count())
-    seen = base.withColumn("_cell", F.bitmap_bucket_number(_slot(size))).join(F.broadcast(stage(marks)), "_cell", "left")
-    hashed = F.when(F.coalesce(_is_marked(size), F.lit(False)), F.sha2("_text", 256))
+    keys = stage(base.groupBy("_len", "_prefix").count().filter("count > 1").select(_key_hash().alias("hash")))
+    seen = with_marks(base, _key_hash(), *bit_map(keys, keys.count()))
+    hashed = F.when(F.col("coppice_hit"), F.sha2("_text", 256))
     # texts with a hash and those without lie in folders of their own, so that each is read once
     probe = stage(seen.select("_id", "_len", hashed.alias("_full"), *carried).withColumn("_hit", F.col("_full").isNotNull()), by="_hit")
     candidates = probe.filter("_hit")

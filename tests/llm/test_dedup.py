@@ -38,10 +38,10 @@ def test_exact_by_shuffled_path(hard, monkeypatch):
 def test_exact_with_a_full_map(hard, monkeypatch):
     """A map too small for its keys costs hashes and changes no answer; so does one whose every bit is set."""
     want = sorted(str(tuple(r)[:4]) for r in exact_dedup.exact_dedup(hard).collect())
-    monkeypatch.setattr(exact_dedup, "_is_marked", lambda size: F.lit(True))
+    monkeypatch.setattr(exact_dedup, "with_marks", lambda df, *a: df.withColumn("coppice_hit", F.lit(True)))
     assert sorted(str(tuple(r)[:4]) for r in exact_dedup.exact_dedup(hard).collect()) == want
     monkeypatch.undo()
-    monkeypatch.setattr(exact_dedup, "_slot", lambda size: F.lit(0).cast("long"))
+    monkeypatch.setattr(exact_dedup, "_key_hash", lambda: F.lit(0).cast("long"))
     assert sorted(str(tuple(r)[:4]) for r in exact_dedup.exact_dedup(hard).collect()) == want
 
 
