@@ -43,11 +43,6 @@ def capped(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("~"))).otherwise(text)
 
 
-def seeded_uniform(n: int, seed: int, *parts: Column) -> Column:
-    """FUN-11: a whole number from 0 to n - 1 by seed and parts."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(n))
-
-
 def key_class(key: Column) -> Column:
     """FUN-12."""
     return F.split_part(key, F.lit(":"), F.lit(1))

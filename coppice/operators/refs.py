@@ -11,7 +11,7 @@ from coppice.operators.edits import tokens
 from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
 from coppice.plans.staging import stage
 from coppice.registration import Registry
-from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges, nodes, read, segments, with_sql
+from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges, nodes, order_lines, read, segments, with_sql
 
 REG = Registry()
 
@@ -138,7 +138,8 @@ SELECT rule, key, n FROM (
   UNION ALL SELECT 'no_target', to_id, count(*) FROM edges WHERE to_id NOT IN (SELECT id FROM nodes) GROUP BY to_id)""", nodes=NODES_SQL, edges=EDGES_SQL))
 def joi_integrity(spark, sf_dir):
     """Parts are no nodes of this tree, so lines' targets are reported."""
-    return violations(nodes(spark, sf_dir), edges(spark, sf_dir))
+    lines = stage(order_lines(spark, sf_dir).select("l_orderkey", "l_partkey", "l_returnflag", "pos"))
+    return violations(nodes(spark, sf_dir, lines), edges(spark, sf_dir, lines))
 
 
 @REG.add("joi_sources_under", with_sql("SELECT n.parent_id, e.to_id, count(*) AS n FROM edges e JOIN nodes n ON e.from_id = n.id WHERE n.parent_id LIKE 'O%' GROUP BY ALL HAVING count(*) > 1", nodes=NODES_SQL, edges=EDGES_SQL))

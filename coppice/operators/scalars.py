@@ -38,12 +38,12 @@ def fun_strings(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", F.substring(n, 3, 4).alias("part"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("padded"), n.startswith("Cust").alias("a"), n.endswith("7").alias("b"), n.contains("#0").alias("c"), F.overlay(n, F.lit("<>"), F.lit(4), F.lit(2)).alias("spliced"))
 
 
-@REG.add("fun_paths", r"""SELECT page_id, '/' || split_part(url, '/', 4) AS head, regexp_replace(p, '/[^/]*$', '') AS dir, '/x/' || split_part(url, '/', 4) AS normal FROM (SELECT *, regexp_replace(url, '^https?://[^/]*', '') AS p FROM pages)""")
+@REG.add("fun_paths", r"""SELECT page_id, '/' || split_part(url, '/', 4) AS head, regexp_replace(p, '/[^/]*$', '') AS dir, '/x/' || split_part(url, '/', 4) AS normal, regexp_replace(p, '\.[A-Za-z0-9]+$', '') AS bare FROM (SELECT *, regexp_replace(url, '^https?://[^/]*', '') AS p FROM pages)""")
 def fun_paths(spark, sf_dir):
     """FUN-5: paths of pages, and a path with dots in it brought to normal form."""
     p = F.regexp_replace("url", "^https?://[^/]*", "")
     first = F.split_part("url", F.lit("/"), F.lit(4))
-    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/"), first).alias("head"), C.directory(p).alias("dir"), C.normal_path(F.concat(F.lit("/x/./y//../"), first)).alias("normal"))
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/"), first).alias("head"), C.directory(p).alias("dir"), C.normal_path(F.concat(F.lit("/x/./y//../"), first)).alias("normal"), C.extension_stripped(p).alias("bare"))
 
 
 @REG.add("fun_numbers", "SELECT o_orderkey, greatest(0, least(1, o_totalprice / 300000)) AS share, CASE WHEN o_custkey = 0 THEN -1 ELSE o_totalprice / o_custkey END AS ratio, ceil(o_totalprice * 0.95)::BIGINT AS rank, o_orderkey / 1e6 AS ms FROM orders")

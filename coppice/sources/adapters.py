@@ -32,13 +32,13 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = """SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem"""
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, kind, parent_id, child_index, payload: regions, nations, customers, orders, order lines."""
+def nodes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """id, kind, parent_id, child_index, payload: regions, nations, customers, orders, order lines (numbered ones, if they are at hand)."""
     part = lambda df, i, kind, parent, rank, payload: df.select(
         i.alias("id"), F.lit(kind).alias("kind"), parent.alias("parent_id"), rank.alias("child_index"), F.col(payload).cast("string").alias("payload")
     )
     none, nul = F.lit(None).cast("string"), F.lit(None).cast("long")
-    lines = order_lines(spark, sf_dir)
+    lines = order_lines(spark, sf_dir) if lines is None else lines
     return (
         part(read(spark, sf_dir, "region"), _id("R", "r_regionkey"), "Module", none, nul, "r_name")
         .union(part(read(spark, sf_dir, "nation"), _id("N", "n_nationkey"), "Nation", _id("R", "n_regionkey"), _rank("n_regionkey", "n_nationkey"), "n_name"))
@@ -56,9 +56,9 @@ UNION ALL SELECT 'O' || o_orderkey, 'Order', 'C' || o_custkey, row_number() OVER
 UNION ALL SELECT 'L' || l_orderkey || '-' || pos, 'Line', 'O' || l_orderkey, pos, l_returnflag FROM ({LINES_SQL})"""
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """from_id, to_id, kind: order -> customer (value), line -> part (type); one edge a source."""
-    lines = order_lines(spark, sf_dir)
+    lines = order_lines(spark, sf_dir) if lines is None else lines
     return (
         read(spark, sf_dir, "orders").select(_id("O", "o_orderkey").alias("from_id"), _id("C", "o_custkey").alias("to_id"), F.lit("value").alias("kind"))
         .union(lines.select(F.concat(_id("L", "l_orderkey"), F.lit("-"), F.col("pos").cast("string")), _id("P", "l_partkey"), F.lit("type")))
