@@ -240,7 +240,8 @@ def bpe_roundtrip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     not lent, so results never depend on which chunks are shared.
 
     Null text counts as empty (no ids, decoded ''); repeated rows and null ids are rows like
-    any other (null ids are lent nothing); an empty table gives no rows; ids are integers.
+    any other (null ids are lent nothing); a very long text is cut like any other; an empty
+    table gives no rows; ids are integers; other columns are not read.
 
     Scale: chunk keys are counted with map-side sums; a chunk in very many documents is a hot
     key of the join to the encoded chunks, where both sides come from exchanges AQE may split.

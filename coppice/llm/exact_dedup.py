@@ -68,7 +68,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, also where ids are null or shared; all columns stay."""
+    """docs with one row of each group of equal texts, also where ids are null or shared; all columns stay.
+
+    The row with the largest id stays, among repeated rows one of them, and a null id only where
+    the group has no other. Null text counts as empty, so one row of those stays too. An empty
+    table stays empty.
+    """
     rows = with_rows(docs)
     found = exact_dedup(rows, carry={ROW: F.col(ROW), TIE: F.col(TIE)})
     verdict = stage(found.filter("group_size > 1").select("kept", "text_hash", ROW, TIE))

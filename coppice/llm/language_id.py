@@ -149,8 +149,9 @@ def language_id(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str =
     """doc_id, lang_pred, score (cosine with the nearest profile, 0 at least) for every row.
 
     `und` with score 0 if text is null or has no letter, or if nothing was learned. Ties go to
-    the language that sorts first. Repeated rows and null ids are rows like any other; an
-    empty table gives no rows; ids are integers.
+    the language that sorts first. A very long text is read whole, a block at a time. Repeated
+    rows and null ids are rows like any other; an empty table gives no rows; ids are integers;
+    other columns are not read.
 
     Scale: one pass, no shuffle. The model is one vector of 512 numbers a language.
     """
@@ -172,7 +173,11 @@ def learned_on_folds(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def drop_unidentified(docs: DataFrame, least: float = SCORE_LEAST) -> DataFrame:
-    """docs without the texts that have no letter or are like no learned language; all columns stay."""
+    """docs without the texts that have no letter or are like no learned language; all columns stay.
+
+    Rows are judged one by one by a key of their own: null, shared and repeated ids make no
+    difference, and a copy of a rejected text goes as well. An empty table stays empty.
+    """
     rows = with_rows(docs)
     said = language_id(rows, learned_on_folds(rows), id_col=ROW)
     return drop_rows(rows, stage(said.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias(ROW))))

@@ -218,7 +218,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null text counts as empty: texts without words share fingerprint zero, which links like
     any other. Repeated rows get equal results. Null ids get the component's least non-null
-    id (null if it has none). An empty table gives no rows; ids are integers.
+    id (null if it has none). A very long text is hashed whole, a block of words at a time.
+    Fingerprints that tie are one node. An empty table gives no rows; ids are integers; other
+    columns are not read.
 
     Scale: texts are read once and never shuffled. Each distinct fingerprint makes some 85
     rows of 12 bytes. A key's rows meet in one task as a sorted run in constant memory a row;

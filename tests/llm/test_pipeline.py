@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
-from test_dedup import brute_components, plain_fingerprint
+from test_near import edited, plain_kept
 from test_others import plain_poisson
 from tokenizers import Tokenizer
 
@@ -24,6 +24,7 @@ def test_pipeline(spark, tmp_path):
     from hard import hard_rows, text
 
     rows = [r[:5] for r in hard_rows()[:26]] + [(100 + i, text(i, 30 + i % 40), "en", f"s{i % 4}", 1) for i in range(80)] + [(300 + i, text(i, 30 + i % 40), "en", "s1", 1) for i in range(10)]
+    rows += [(400 + i, edited(text(60 + i, 90), 1, i), "en", "s2", 1) for i in range(6)] + [(420 + i, text(60 + i, 90), "en", "s2", 1) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(os.path.join(tmp_path, "documents.parquet"))
     said = {r["doc_id"]: r for r in language_id.language_id(docs, language_id.learned_on_folds(docs)).collect()}
@@ -32,8 +33,9 @@ def test_pipeline(spark, tmp_path):
     for r in kept:
         last[r[1]] = max(last.get(r[1], r[0]), r[0])
     kept = [r for r in kept if last[r[1]] == r[0]]
-    low = {i: c for i, _, c in brute_components([(r[0], plain_fingerprint(r[1])) for r in kept])}
-    kept = [r for r in kept if low[r[0]] == r[0]]
+    near = plain_kept([(r[0], r[1]) for r in kept])
+    assert len(near) < len(kept)
+    kept = [r for r in kept if r[0] in near]
     mass = defaultdict(int)
     for r in kept:
         mass[r[3]] += len(r[1].encode()) + 1
