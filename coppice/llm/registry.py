@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coppice.llm import bpe_roundtrip, exact_dedup, kd_shard, language_id, poisson_mix, preference, simhash, token_counts, topk, toxicity
+from coppice.llm import bpe_roundtrip, exact_dedup, fill_middle, kd_shard, language_id, poisson_mix, preference, simhash, span_dedup, token_counts, topk, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,9 +17,13 @@ def queries() -> dict:
         "op8_toxicity": toxicity.query,
         "op9_exact_topk": topk.query,
         "op10_preference": preference.query,
+        "op11_vector_codes": vector_codes.query,
+        "op12_span_dedup": span_dedup.query,
+        "op13_fill_middle": fill_middle.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Texts in SQL for what SQL can express."""
-    return {"op1_exact_dedup": exact_dedup.SQL, "op5_poisson_mix": poisson_mix.SQL, "op9_exact_topk": topk.SQL, "op10_preference": preference.SQL}
+    twins = {"op1_exact_dedup": exact_dedup, "op5_poisson_mix": poisson_mix, "op9_exact_topk": topk, "op10_preference": preference, "op11_vector_codes": vector_codes, "op13_fill_middle": fill_middle}
+    return {name: module.SQL for name, module in twins.items()}
