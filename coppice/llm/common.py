@@ -15,7 +15,7 @@ from coppice.plans.staging import shared_dir, stage
 
 __all__ = ["BROADCAST_ROWS", "ROW", "TIE", "bit_map", "columns_of", "drop_rows", "free_name", "keep_smallest", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table", "with_marks", "with_rows"]
 
-#: Columns that with_rows adds; no input column may have these names.
+#: Columns that with_rows adds.
 ROW, TIE = "coppice_row", "coppice_tie"
 
 #: Rows of a narrow key table (some 50 bytes a row) that may be broadcast: 1,000,000 rows are about 50 MB.
@@ -95,32 +95,44 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list
             yield [c.to_pylist() for c in part.columns]
 
 
+def _scan_of(docs: DataFrame) -> bool:
+    """Whether docs is Parquet files as they are, or columns of them: then each row has a file and a place."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "Project":
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString().lower().startswith("parquet")
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
     """docs with a key of its own for each row (ROW), and a hash of its columns (TIE).
 
-    The key must be the same at every read: of Parquet files it is the number of the file and
-    the place in it, and any other input is staged with a number.
+    The key must be the same at every read: of Parquet files, and of a selection of their
+    columns, it is the number of the file and the place in it, and any other input is staged
+    with a number. Columns of docs that have names used here, in any case, get underscores
+    before them; drop_rows gives the old names back.
     """
-    mine = columns_of(docs)
-    tie = F.xxhash64(*[c for c, (_, kind) in zip(mine, docs.dtypes, strict=True) if "map<" not in kind]).alias(TIE)
-    plan = docs._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() != "LogicalRelation" or not plan.relation().toString().lower().startswith("parquet"):
+    own = (ROW, TIE, "coppice_path", "coppice_file", "coppice_at", "_metadata")
+    names = [free_name(docs, "_" + c) if c.lower() in own else c for c in docs.columns]
+    tie = F.xxhash64(*[c for c, (_, kind) in zip(columns_of(docs), docs.dtypes, strict=True) if "map<" not in kind]).alias(TIE)
+    mine = [c.alias(n) for c, n in zip(columns_of(docs), names, strict=True)]
+    if not _scan_of(docs) or "_metadata" in (c.lower() for c in docs.columns):
         return stage(docs.select(*mine, tie, F.monotonically_increasing_id().alias(ROW)))
     # one short row a file; in one partition the numbers have no gaps
     files = stage(docs.select(F.col("_metadata.file_path").alias("coppice_path")).distinct().coalesce(1).withColumn("coppice_file", F.monotonically_increasing_id()))
     placed = docs.select(*mine, tie, F.col("_metadata.file_path").alias("coppice_path"), F.col("_metadata.row_index").alias("coppice_at"))
     files, _ = maybe_broadcast(files)
-    return placed.join(files, "coppice_path").select(*mine, TIE, (F.shiftleft("coppice_file", 36) + F.col("coppice_at")).alias(ROW))
+    key = (F.shiftleft("coppice_file", 36) + F.col("coppice_at")).alias(ROW)
+    return placed.join(files, "coppice_path").select(*columns_of(placed)[: len(names)], TIE, key)
 
 
-def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """What with_rows was given, without the rows whose key is in dropped (one narrow column, ROW)."""
+def drop_rows(rows: DataFrame, dropped: DataFrame, names: list[str]) -> DataFrame:
+    """What with_rows was given, whose columns had these names, without the rows whose key is in dropped (one narrow column, ROW)."""
     keys, _ = maybe_broadcast(dropped)
-    return rows.join(keys, ROW, "left_anti").drop(ROW, TIE)
+    return rows.join(keys, ROW, "left_anti").drop(ROW, TIE).toDF(*names)
 
 
-def keep_smallest(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def keep_smallest(rows: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
     """One row of each group stays: the one with the smallest non-null id. groups has ROW and component; rows not in it stay."""
     ranked = groups.join(rows.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", TIE, ROW).alias("rank")), ROW)
     stay = ranked.groupBy("component").agg(F.min("rank")[ROW].alias(ROW))
-    return drop_rows(rows, stage(groups.join(stay, ROW, "left_anti").select(ROW)))
+    return drop_rows(rows, stage(groups.join(stay, ROW, "left_anti").select(ROW)), names)

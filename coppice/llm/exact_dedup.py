@@ -78,7 +78,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     found = exact_dedup(rows, carry={ROW: F.col(ROW), TIE: F.col(TIE)})
     verdict = stage(found.filter("group_size > 1").select("kept", "text_hash", ROW, TIE))
     stay = verdict.filter("kept").groupBy("text_hash").agg(F.min(F.struct(TIE, ROW))[ROW].alias(ROW))
-    return drop_rows(rows, stage(verdict.join(stay, ROW, "left_anti").select(ROW)))
+    return drop_rows(rows, stage(verdict.join(stay, ROW, "left_anti").select(ROW)), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

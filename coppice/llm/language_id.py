@@ -180,7 +180,7 @@ def drop_unidentified(docs: DataFrame, least: float = SCORE_LEAST) -> DataFrame:
     """
     rows = with_rows(docs)
     said = language_id(rows, learned_on_folds(rows), id_col=ROW)
-    return drop_rows(rows, stage(said.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias(ROW))))
+    return drop_rows(rows, stage(said.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias(ROW))), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
