@@ -48,3 +48,19 @@ def test_whole_hard_rows(spark):
     assert len({t for _, t in got}) == len(got)
     assert {i for i, _ in got if i is None} == {None}  # only "lost", which has no id and no copy
     assert (None, "lost") in got and (None, hard_rows()[3][1]) not in got
+
+
+def test_reserved_names(spark, tmp_path):
+    """Columns with names that the row keys use, in memory and in files, come back as they were."""
+    from coppice.llm import exact_dedup, language_id, near_dedup
+
+    names = ["doc_id", "text", "lang", "source", "Coppice_Row", "coppice_tie", "coppice_path", "_coppice_row", "coppice_at"]
+    rows = [(i, text(i % 9), "en", "s", 1, "t", "p", 3, i) for i in range(12)]
+    docs = spark.createDataFrame(rows, names)
+    docs.write.parquet(f"{tmp_path}/plain")
+    docs.withColumnRenamed("coppice_at", "_metadata").write.parquet(f"{tmp_path}/meta")
+    for given in (docs, spark.read.parquet(f"{tmp_path}/plain"), spark.read.parquet(f"{tmp_path}/meta")):
+        for step, want in ((exact_dedup.drop_exact_copies, {*range(3, 12)}), (near_dedup.drop_near_copies, {*range(9)}), (language_id.drop_unidentified, {*range(12)})):
+            got = step(given)
+            assert got.columns == given.columns
+            assert {r.doc_id for r in got.collect()} == want
