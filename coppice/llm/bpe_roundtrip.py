@@ -240,7 +240,7 @@ def bpe_roundtrip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     not lent, so results never depend on which chunks are shared.
 
     Null text counts as empty (no ids, decoded ''); repeated rows and null ids are rows like
-    any other (null ids are lent nothing); a very long text is cut like any other; an empty
+    any other (null ids are lent nothing, and their chunks are not listed); a very long text is cut like any other; an empty
     table gives no rows; ids are integers; other columns are not read.
 
     Scale: chunk keys are counted with map-side sums; a chunk in very many documents is a hot
@@ -250,7 +250,7 @@ def bpe_roundtrip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     """
     ship(docs.sparkSession)
     clean = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    listed = stage(clean.mapInArrow(_list_chunks, "id long, key long"))
+    listed = stage(clean.filter("id is not null").mapInArrow(_list_chunks, "id long, key long"))
     shared = stage(listed.groupBy("key").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id < last").select("key", "id"))
     owners = shared.groupBy("id").agg(F.collect_list("key").alias("keys"))  # a document's own chunks
     owners, _ = maybe_broadcast(owners, 300_000)
@@ -263,7 +263,9 @@ def bpe_roundtrip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
         meet = clean.join(ids, "id", "left_semi").join(lent, "id", "left").select("id", "text", "lent")
         rows = meet.union(clean.join(ids, "id", "left_anti").select("id", "text", F.lit(None).cast(meet.schema["lent"].dataType)))
     else:
-        rows = clean.join(lent, "id", "left").select("id", "text", "lent")
+        # rows without an id would all meet in one task of the join
+        rows = clean.filter("id is not null").join(lent, "id", "left").select("id", "text", "lent")
+        rows = rows.union(clean.filter("id is null").select("id", "text", F.lit(None).cast(rows.schema["lent"].dataType)))
     return rows.mapInArrow(_assemble(tokenizer_file), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
