@@ -86,11 +86,11 @@ def _pack(buckets: int):
         # gaps of sorted indices, stored byte plane by byte plane, pack to half the size of the indices
         matrix = zlib.compress(b"".join([np.array([len(ids), len(index)], np.uint64).tobytes(), _planes(each), _planes(gaps), _planes(freq)]), 1)
         out = [(name, -1, ids, sizes, matrix)]
-        bounds = np.searchsorted(home[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if bounds[b] < bounds[b + 1]:
-                payload = "\0".join(parts[i].replace("\x01", "\x01b").replace("\0", "\x01a") for i in order[bounds[b] : bounds[b + 1]])
-                out.append((name, b, None, None, zlib.compress(payload.encode("utf-8", "surrogatepass"), 1)))
+        # only buckets that occur in the block: at most one a distinct pre-token
+        cut = np.flatnonzero(np.diff(home[order], prepend=-1))
+        for lo, hi in zip(cut, np.append(cut, len(order))[1:], strict=True):
+            payload = "\0".join(parts[i].replace("\x01", "\x01b").replace("\0", "\x01a") for i in order[lo:hi])
+            out.append((name, int(home[order[lo]]), None, None, zlib.compress(payload.encode("utf-8", "surrogatepass"), 1)))
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
