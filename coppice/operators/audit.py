@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coppice.plans.scans import BLOCK_ROWS, Running, blocked, scanned
 from coppice.registration import Registry
 from coppice.sources.adapters import LOG_SQL, log, read, with_sql
 
@@ -58,22 +59,15 @@ def win_hash_chain(spark, sf_dir):
     return chain_breaks(journals(spark, sf_dir), "journal")
 
 
-def numbered(rows: DataFrame, order: list[str], block: str, start: int = 0) -> DataFrame:
-    """WIN-8: rows with number, consecutive over all of them in the order of block, then order.
-
-    Counts of blocks are added up (a row a block), and rows are ranked inside their block, so
-    no task sees all rows. block must be a column that the wanted order starts with.
-    """
-    counts = rows.groupBy(block).agg(F.count("*").alias("n"))
-    offset = counts.select(block, (F.coalesce(F.sum("n").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy(block).orderBy(*order))
-    return rows.withColumn("rank", rank).join(offset, block).withColumn("number", (F.col("offset") + F.col("rank")).cast("long")).drop("rank", "offset")
+def numbered(rows: DataFrame, order: list[str], start: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """WIN-8: rows with number, consecutive over all of them in the order given: a scan over blocks, so no task sees all rows."""
+    return scanned(rows, [], order, {"number": Running("count")}, block_rows).withColumn("number", (F.col("number") + start).cast("long"))
 
 
 @REG.add("win_number_events", with_sql("SELECT seq, row_number() OVER (ORDER BY ts_ms // 86400000, kind, seq) + 1000 AS number FROM l", l=LOG_SQL))
 def win_number_events(spark, sf_dir):
     rows = log(spark, sf_dir).withColumn("day", F.floor(F.col("ts_ms") / 86400000))
-    return numbered(rows, ["kind", "seq"], "day", 1000).select("seq", "number")
+    return numbered(rows, ["day", "kind", "seq"], 1000).select("seq", "number")
 
 
 @REG.add("win_fence_tokens", with_sql("""
@@ -81,23 +75,33 @@ SELECT session, seq, token, k <= coalesce(max(k) OVER (PARTITION BY session ORDE
  SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS token FROM l)""", l=LOG_SQL))
 def win_fence_tokens(spark, sf_dir):
     """WIN-9: tokens issued per resource in order; a claim at or below the highest consumed one is stale."""
-    w = Window.partitionBy("session").orderBy("seq")
-    high = F.coalesce(F.max("k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    return log(spark, sf_dir).select("session", "seq", F.row_number().over(w).cast("long").alias("token"), (F.col("k") <= high).alias("stale"))
+    return fence_tokens(log(spark, sf_dir), "session", "seq", "k").select("session", "seq", "token", "stale")
+
+
+def fence_tokens(rows: DataFrame, key: str, order: str, claim: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    running = {"token": Running("count"), "_high": Running("max", F.col(claim), strict=True)}
+    return scanned(rows, [key], [order], running, block_rows).withColumn("stale", F.col(claim) <= F.coalesce("_high", F.lit(-1))).drop("_high")
 
 
 @REG.add("win_terminal_left", with_sql("""
-SELECT session, seq, prev, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY session, k % 5 ORDER BY seq) AS prev FROM l) WHERE prev = 'purchase'""", l=LOG_SQL))
+SELECT session, seq, 'purchase' AS prev, kind FROM (SELECT *, max(CASE WHEN kind = 'purchase' THEN 1 END) OVER (PARTITION BY session, k % 5 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM l)
+WHERE over = 1 AND kind <> 'purchase'""", l=LOG_SQL))
 def win_terminal_left(spark, sf_dir):
-    """WIN-10: transitions out of a terminal state."""
-    prev = F.lag("kind").over(Window.partitionBy("session", F.col("k") % 5).orderBy("seq"))
-    return log(spark, sf_dir).select("session", "seq", prev.alias("prev"), "kind").filter(F.col("prev").isin(*TERMINAL))
+    """WIN-10."""
+    rows = log(spark, sf_dir).withColumn("part", F.col("k") % 5)
+    return terminal_left(rows, ["session", "part"], "seq", "kind").select("session", "seq", "prev", "kind")
+
+
+def terminal_left(rows: DataFrame, keys: list[str], order: str, state: str, terminal: tuple[str, ...] = TERMINAL, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """WIN-10: rows that would leave a terminal state, with that state. They are refused, so the state stays terminal for all that follow; another terminal state is let in."""
+    ends = F.when(F.col(state).isin(*terminal), F.col(state))
+    return scanned(rows, keys, [order], {"prev": Running("last", ends, strict=True)}, block_rows).filter(F.col("prev").isNotNull() & ends.isNull())
 
 
 @REG.add("win_running_tick", with_sql("SELECT session, seq, max(k) OVER (PARTITION BY session ORDER BY seq) AS tick FROM l", l=LOG_SQL))
 def win_running_tick(spark, sf_dir):
     """WIN-11."""
-    return log(spark, sf_dir).select("session", "seq", F.max("k").over(Window.partitionBy("session").orderBy("seq")).alias("tick"))
+    return scanned(log(spark, sf_dir).select("session", "seq", "k"), ["session"], ["seq"], {"tick": Running("max", F.col("k"))}).select("session", "seq", "tick")
 
 
 def page_after(rows: DataFrame, order: str, after: int, limit: int, complete: bool = False) -> DataFrame:
@@ -136,46 +140,92 @@ LEASE = {"click": 120, "view": 30, "signup": 60}
 
 @REG.add("str_expire_leases", with_sql("""
 SELECT session, seq, kind, expires_at, expired, CASE WHEN NOT expired THEN 'none' WHEN kind = 'click' THEN 'cancelled' ELSE 'requeued' END AS outcome, CASE WHEN expired THEN 'lease_expired' END AS event FROM (
-SELECT session, seq, kind, ts_ms // 60000 + CASE kind WHEN 'click' THEN 120 WHEN 'view' THEN 30 ELSE 60 END AS expires_at, coalesce(next_at >= ts_ms // 60000 + CASE kind WHEN 'click' THEN 120 WHEN 'view' THEN 30 ELSE 60 END, true) AS expired
-FROM (SELECT *, lead(ts_ms // 60000) OVER (PARTITION BY session ORDER BY seq) AS next_at FROM l) WHERE kind IN ('click', 'view', 'signup'))""", l=LOG_SQL))
+SELECT session, seq, kind, expires_at, coalesce(next_at, (SELECT max(ts_ms) // 60000 FROM l)) >= expires_at AS expired
+FROM (SELECT *, ts_ms // 60000 + CASE kind WHEN 'click' THEN 120 WHEN 'view' THEN 30 ELSE 60 END AS expires_at, lead(ts_ms // 60000) OVER (PARTITION BY session ORDER BY seq) AS next_at FROM l) WHERE kind IN ('click', 'view', 'signup'))""", l=LOG_SQL))
 def str_expire_leases(spark, sf_dir):
-    """STR-4 (batch): a draft (click), offer (view) or claim (signup) ends at tick + 120, 30 or 60 unless the session's next event comes before that. What expires leaves an event; a draft is cancelled, the others go back to the queue."""
+    """STR-4 (batch): a draft (click), offer (view) or claim (signup) ends at tick + 120, 30 or 60 unless the session's next event comes before that; with no next event, if the last tick of the log has reached its end. What expires leaves an event; a draft is cancelled, the others go back to the queue."""
     return expired_leases(log(spark, sf_dir))
 
 
-def expired_leases(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("session").orderBy("seq")
-    tick = F.floor(F.col("ts_ms") / 60000)
+def expired_leases(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    rows = rows.select("session", "seq", "kind", F.floor(F.col("ts_ms") / 60000).alias("tick"))
+    now = rows.agg(F.max("tick")).first()[0]
     length = F.when(F.col("kind") == "click", LEASE["click"]).when(F.col("kind") == "view", LEASE["view"]).otherwise(LEASE["signup"])
-    rows = rows.withColumns({"tick": tick, "next_at": F.lead(tick).over(w)}).filter(F.col("kind").isin(*LEASE))
-    gone = F.coalesce(F.col("next_at") >= F.col("tick") + length, F.lit(True))
+    rows = scanned(rows, ["session"], ["seq"], {"next_at": Running("lag", F.col("tick"), backward=True)}, block_rows).filter(F.col("kind").isin(*LEASE))
+    gone = F.coalesce("next_at", F.lit(now)) >= F.col("tick") + length
     outcome = F.when(~gone, "none").when(F.col("kind") == "click", "cancelled").otherwise("requeued")
     return rows.select("session", "seq", "kind", (F.col("tick") + length).alias("expires_at"), gone.alias("expired"), outcome.alias("outcome"), F.when(gone, "lease_expired").alias("event"))
 
 
 #: Which state may follow which; a purchase ends a lifecycle.
 ALLOWED = {"signup": ("view", "click"), "view": ("view", "click", "purchase", "error"), "click": ("view", "click", "purchase", "error"), "error": ("view", "click"), "purchase": ()}
-ALLOWED_SQL = " OR ".join(f"(prev = '{a}' AND kind IN ({', '.join(repr(b) for b in bs)}))" for a, bs in ALLOWED.items() if bs)
+#: States by number; 0 is a machine that has not begun, which anything may begin.
+STATES = tuple(ALLOWED)
+#: Events that are folded to one function in a task.
+FOLD_ROWS = 10_000
 
 
-def may_follow(prev, kind):
-    """True where a transition is allowed; anything may come first."""
-    out = prev.isNull()
-    for a, bs in ALLOWED.items():
-        if bs:
-            out = out | ((prev == a) & kind.isin(*bs))
-    return out
+def allowed(state: str | None, kind: str) -> bool:
+    return kind in STATES if state is None else kind in ALLOWED[state]
 
 
-@REG.add("str_lifecycle", with_sql(f"""
-SELECT session, last(kind ORDER BY seq) AS state, count(*) AS transitions, count_if(NOT coalesce(prev IS NULL OR {ALLOWED_SQL}, false))::BIGINT AS refused, max(ts_ms) - min(ts_ms) AS lifetime_ms, max(dwell) AS longest_ms
-FROM (SELECT *, lag(kind) OVER (PARTITION BY session ORDER BY seq) AS prev, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY session ORDER BY seq), 0) AS dwell FROM l) GROUP BY session""", l=LOG_SQL))
+def lifecycle(rows: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """STR-5: session, state, transitions, refused, lifetime_ms, longest_ms of the machine that each session's events drive, in the order of seq.
+
+    A transition that is not allowed is refused and changes nothing; so does an event that is no
+    state. An event is thus a function from state to state. A block of a session's events is
+    folded to one function (what it makes of each of six states), and these are composed;
+    composition is associative, so a session of any length is folded in parts. Times
+    are between accepted transitions. A session whose events are all refused has a null state.
+    """
+    size = len(STATES) + 1
+    table = F.array(*[F.lit(allowed(STATES[s - 1] if s else None, STATES[k - 1]) if k else False) for s in range(size) for k in range(size)])
+    code = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("kind")), F.lit(0)).cast("int")
+    none = F.lit(None).cast("long")
+    made = lambda end, refused, accepted, first, last, longest: F.struct(end.cast("int").alias("end"), refused.alias("refused"), accepted.alias("accepted"), first.alias("first"), last.alias("last"), longest.alias("longest"))
+    zero = F.lit(0).cast("long")
+    start = F.array(*[made(F.lit(s), zero, zero, none, none, zero) for s in range(size)])
+    gap = lambda later, earlier: F.coalesce(later - earlier, zero)
+
+    def step(acc, e):
+        def one(a):
+            goes = F.element_at(table, a["end"] * size + e["code"] + 1)
+            moved = made(e["code"], a["refused"], a["accepted"] + 1, F.coalesce(a["first"], e["at"]), e["at"], F.greatest(a["longest"], gap(e["at"], a["last"])))
+            return F.when(goes, moved).otherwise(made(a["end"], a["refused"] + 1, a["accepted"], a["first"], a["last"], a["longest"]))
+
+        return F.transform(acc, one)
+
+    def compose(acc, g):
+        def one(a):
+            b = F.element_at(g["f"], a["end"] + 1)
+            longest = F.greatest(a["longest"], b["longest"], gap(b["first"], a["last"]))
+            return made(b["end"], a["refused"] + b["refused"], a["accepted"] + b["accepted"], F.coalesce(a["first"], b["first"]), F.coalesce(b["last"], a["last"]), longest)
+
+        return F.transform(acc, one)
+
+    events, _ = blocked(rows.select("session", "seq", code.alias("code"), F.col("ts_ms").alias("at")), ["seq"], fold_rows)
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "code", "at")))  # fold_rows at most
+    parts = events.groupBy("session", "_block").agg(F.aggregate(ordered, start, step).alias("f"))
+    whole = parts.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("_block", "f"))).alias("fs"))  # one for each so many events
+    end = F.element_at(F.aggregate("fs", start, compose), 1)
+    state = F.when(F.col("e.end") > 0, F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("e.end")))
+    return whole.select("session", end.alias("e")).select("session", state.alias("state"), F.col("e.accepted").alias("transitions"), F.col("e.refused").alias("refused"),
+        (F.col("e.last") - F.col("e.first")).alias("lifetime_ms"), F.col("e.longest").alias("longest_ms"))
+
+
+_GOES_SQL = " OR ".join(f"(a.state = '{a}' AND b.state IN ({', '.join(repr(b) for b in bs)}))" for a, bs in ALLOWED.items() if bs)
+#: The same as a left fold over each session's events; the first one begins.
+LIFECYCLE_SQL = f"""
+SELECT session, f.state AS state, f.accepted AS transitions, f.refused AS refused, f.last_at - f.first_at AS lifetime_ms, f.longest AS longest_ms FROM (
+  SELECT session, list_reduce(list({{'state': kind, 'accepted': 1::BIGINT, 'refused': 0::BIGINT, 'first_at': ts_ms, 'last_at': ts_ms, 'longest': 0::BIGINT}} ORDER BY seq), lambda a, b: CASE WHEN {_GOES_SQL}
+    THEN {{'state': b.state, 'accepted': a.accepted + 1, 'refused': a.refused, 'first_at': a.first_at, 'last_at': b.last_at, 'longest': greatest(a.longest, b.last_at - a.last_at)}}
+    ELSE {{'state': a.state, 'accepted': a.accepted, 'refused': a.refused + 1, 'first_at': a.first_at, 'last_at': a.last_at, 'longest': a.longest}} END) AS f FROM l GROUP BY session)"""
+
+
+@REG.add("str_lifecycle", with_sql(LIFECYCLE_SQL, l=LOG_SQL))
 def str_lifecycle(spark, sf_dir):
-    """STR-5 (batch): last state, dwell times, and transitions that the rule refuses, of each change set."""
-    w = Window.partitionBy("session").orderBy("seq")
-    rows = log(spark, sf_dir).withColumns({"prev": F.lag("kind").over(w), "dwell": F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w), F.lit(0).cast("long"))})
-    return rows.groupBy("session").agg(F.max_by("kind", "seq").alias("state"), F.count("*").alias("transitions"), F.count_if(~may_follow(F.col("prev"), F.col("kind"))).alias("refused"),
-        (F.max("ts_ms") - F.min("ts_ms")).alias("lifetime_ms"), F.max("dwell").alias("longest_ms"))
+    """STR-5 (batch)."""
+    return lifecycle(log(spark, sf_dir))
 
 
 @REG.add("str_log_audit", with_sql("""

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
 from coppice.plans.joins import as_of
+from coppice.plans.scans import BLOCK_ROWS, Running, joined_by, scanned
 from coppice.plans.staging import stage
 from coppice.registration import Registry
 from coppice.sources.adapters import LOG_SQL, log, read, with_sql
@@ -16,24 +23,19 @@ REG = Registry()
 MUTATING = ("purchase", "signup")
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], interpolated: bool = False) -> DataFrame:
+def percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], interpolated: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """AGG-1, AGG-2: keys and a column for each wanted share, exact. Nulls are no values; a group without any has no row.
 
     Nearest rank: the value at rank ceil(p n), an observed one. Interpolated: between the two
-    values around place p (n - 1). Values are counted first, counts are added up over 1024
-    blocks of values, and places are looked up block by block, so that a group's values come
-    together in one task only where they are equal or close.
+    values around place p (n - 1). Values are counted first; counts are added up by a scan in
+    blocks that a range exchange makes about equally full, whatever the values are, so an
+    outlier or a hot group changes nothing for the others.
     """
     v = F.col(value).cast("double")
     counts = rows.filter(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count("*").alias("c"))
-    span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    block = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1023)).otherwise(0).cast("int")
-    placed = counts.join(span, keys).withColumn("block", block)
-    sums = placed.groupBy(*keys, "block").agg(F.sum("c").alias("b"))
-    before = F.coalesce(F.sum("b").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 1024 rows a group
-    start = sums.select(*keys, "block", before.alias("start"))
-    upto = F.sum("c").over(Window.partitionBy(*keys, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.join(start, [*keys, "block"]).withColumn("last", F.col("start") + upto).withColumn("first", F.col("last") - F.col("c"))
+    ranked = scanned(counts, keys, ["v"], {"last": Running("sum", F.col("c"))}, block_rows).withColumn("first", F.col("last") - F.col("c"))
+    n = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
+    ranked = joined_by(ranked, n, keys) if keys else ranked.crossJoin(F.broadcast(n))  # without keys n is one row
     out = []
     for name, p in wanted.items():
         at = (F.col("n") - 1) * F.lit(p)
@@ -120,8 +122,8 @@ SELECT session, count(*) AS done, sum(k)::BIGINT AS spent FROM (
   SELECT *, coalesce(sum(k) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l) WHERE before < 500 GROUP BY session""", l=LOG_SQL))
 def agg_round_budget(spark, sf_dir, budget: int = 500):
     """AGG-7: the prefix of each ordered ledger up to and with the row that breaks the budget."""
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = log(spark, sf_dir).withColumn("before", F.coalesce(F.sum("k").over(w), F.lit(0)))
+    rows = scanned(log(spark, sf_dir).select("session", "seq", "k"), ["session"], ["seq"], {"_sum": Running("sum", F.col("k"), strict=True)})
+    rows = rows.withColumn("before", F.coalesce("_sum", F.lit(0)))
     return rows.filter(F.col("before") < budget).groupBy("session").agg(F.count("*").alias("done"), F.sum("k").alias("spent"))
 
 
@@ -205,53 +207,93 @@ def arm_checks(samples: DataFrame, first: str, second: str) -> DataFrame:
     return a.join(b, "pair", "full_outer").select("pair", state.alias("state"))
 
 
-def bootstrap_ratio(pairs: DataFrame, seed: int, resamples: int) -> DataFrame:
-    """AGG-15, AGG-16: point, lcb, ucb, verdict of the p95 ratio kernel / base over resamples of the pairs.
+#: Blocks of values for either side of the pairs: the square root of their number by eight, within these bounds.
+GRID = (4, 1024)
 
-    Distinct pairs are counted, and each bucket of equal pairs (a row) draws by itself how often
-    it comes in a resample: a Poisson number with its count as the mean. So a resample is as
-    many rows as there are distinct pairs, its size varies around n, and a percentile is a
-    running sum of counts; no draw is a row. The numbers depend on seed, resample and pair.
-    """
-    counted = pairs.groupBy("kernel", "base").agg(F.count("*").alias("c"))
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("kernel").cast("string"), F.col("base").cast("string"))
-    drawn = counted.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("c", poisson_count(key, F.col("c"))).filter("c > 0")
-    by = weighted_p95(drawn, "kernel").withColumnRenamed("at", "k").join(weighted_p95(drawn, "base").withColumnRenamed("at", "s"), "b").select((F.col("k") / F.col("s")).alias("ratio"))
-    spread = by.agg(nearest_rank("ratio", 0.05, "lcb"), nearest_rank("ratio", 0.95, "ucb"))  # a row a resample
-    whole = counted.withColumn("b", F.lit(0))
-    point = weighted_p95(whole, "kernel").withColumnRenamed("at", "k").join(weighted_p95(whole, "base").withColumnRenamed("at", "s"), "b").select((F.col("k") / F.col("s")).alias("point"))
-    verdict = F.when(F.col("ucb") <= 1.25, "PASS").when(F.col("lcb") > 1.25, "FAIL").otherwise("INCONCLUSIVE")
-    return point.join(spread).select(*[F.round(c, 6).alias(c) for c in ("point", "lcb", "ucb")], verdict.alias("verdict"))  # one row each
 
+def _blocks_of(rows: DataFrame, value: str, parts: int) -> DataFrame:
+    """rows with <value>_block: about equally full ranges of values, equal values together. The driver holds the splitters."""
+    cuts = sorted(set(rows.approxQuantile(value, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    if not cuts:
+        return rows.withColumn(f"{value}_block", F.lit(0.0))
+    splits = [-math.inf, *cuts, math.inf]
+    return Bucketizer(splits=splits, inputCol=value, outputCol=f"{value}_block").transform(rows)
+
+
+def _draw_cells(cells: pd.DataFrame, seed: int):
+    """For each resample: how often each cell comes, which block of either side holds the wanted rank, and the rank inside it."""
+    share = cells["c"].to_numpy() / cells["c"].sum()
+    n, sides = int(cells["c"].sum()), {s: cells[f"{s}_block"].to_numpy().astype(int) for s in ("kernel", "base")}
+    wanted = math.ceil(n * 95 / 100)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for b in part["id"]:
+                x = np.random.default_rng([seed, b]).multinomial(n, share)
+                out = {"b": b, "kernel_block": sides["kernel"], "base_block": sides["base"], "x": x}
+                for s, block in sides.items():
+                    upto = np.cumsum(np.bincount(block, x))
+                    at = int(np.searchsorted(upto, wanted))
+                    out[f"{s}_rank"] = np.where(block == at, wanted - (upto[at - 1] if at else 0), 0).astype(int)
+                frame = pd.DataFrame(out)
+                yield frame[(frame["x"] > 0) & ((frame["kernel_rank"] > 0) | (frame["base_rank"] > 0))]
 
-def poisson_count(key: Column, mean: Column) -> Column:
-    """A Poisson number by the key: unit means are drawn one by one, by inversion at 13 hex digits of an MD5; a count is the sum of as many."""
-    one = lambda i: (F.conv(F.substring(F.md5(F.concat_ws(":", key, i.cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402)
-    inverse = lambda u: sum((F.when(u > c, 1).otherwise(0) for c in steps), F.lit(0))
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), mean), F.lit(0), lambda s, i: s + inverse(one(i)))
+    return run
 
 
-def weighted_p95(rows: DataFrame, value: str) -> DataFrame:
-    """b, at: the value at rank ceil(0.95 n) of each b, rows counting c times."""
-    by = rows.groupBy("b", F.col(value).alias("v")).agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("b")
-    ranked = by.withColumns({"upto": F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    return ranked.filter(F.col("upto") >= F.ceil(F.col("n") * 0.95)).groupBy("b").agg(F.min("v").alias("at"))
+def _draw_pairs(seed: int):
+    """For one cell: its draws in each resample that asks for it, dealt over its pairs. The same for both sides, which keeps the pairs together."""
 
+    def run(key, asked: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values(["kernel", "base"])
+        share, out = pairs["c"].to_numpy() / pairs["c"].sum(), []
+        for r in asked.itertuples():
+            c = np.random.default_rng([seed, r.b, int(r.kernel_block), int(r.base_block)]).multinomial(r.x, share)
+            for side, s in enumerate(("kernel", "base")):
+                if getattr(r, f"{s}_rank") > 0:
+                    out.append(pd.DataFrame({"b": r.b, "side": side, "rank": getattr(r, f"{s}_rank"), "v": pairs[s].to_numpy(), "c": c})[c > 0])
+        return pd.concat(out) if out else pd.DataFrame({"b": [], "side": [], "rank": [], "v": [], "c": []})
 
-POISSON_SQL = "+".join(f"(u > {c})::INT" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402))
+    return run
+
+
+def bootstrap_ratio(pairs: DataFrame, seed: int, resamples: int, grid: int | None = None) -> DataFrame:
+    """AGG-15, AGG-16: point, lcb, ucb, verdict of the ratio of p95s (kernel / base, nearest rank) over resamples of the pairs.
+
+    Each resample has as many pairs as there are, drawn with replacement, pairs staying
+    together. Their numbers are multinomial, and are drawn down a tree: first over the cells
+    of a grid (a block of kernel values by a block of base values), then, inside the one row
+    and the one column of cells where the two ranks lie, over pairs. What the other cells hold
+    does not change the percentiles and is not drawn. Draws depend on seed, resample and cell.
+
+    Scale: the grid is at most 1024 by 1024 cells, held by the driver; a resample touches some
+    2 / grid of the pairs. No pairs give no row; a pair with a null value is none.
+    """
+    pairs = pairs.filter("kernel is not null and base is not null")
+    counted = pairs.groupBy(F.col("kernel").cast("double").alias("kernel"), F.col("base").cast("double").alias("base")).agg(F.count("*").alias("c"))
+    parts = grid or max(GRID[0], min(GRID[1], int(pairs.count() ** 0.5 / 8)))
+    held = stage(_blocks_of(_blocks_of(counted, "kernel", parts), "base", parts))
+    by = ["kernel_block", "base_block"]
+    cells = held.groupBy(*by).agg(F.sum("c").alias("c")).orderBy(*by).toPandas()  # grid squared at most
+    if not len(cells):
+        return pairs.sparkSession.createDataFrame([], "point double, lcb double, ucb double, verdict string")
+    tasks = max(1, min(resamples, 64))
+    asked = pairs.sparkSession.range(0, resamples, 1, tasks).mapInPandas(_draw_cells(cells, seed), "b long, kernel_block double, base_block double, x long, kernel_rank long, base_rank long")
+    drawn = stage(asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(_draw_pairs(seed), "b long, side int, rank long, v double, c long"))
+    values = drawn.groupBy("b", "side", "rank", "v").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("b", "side").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # one block's values
+    at = values.withColumn("upto", upto).filter(F.col("upto") >= F.col("rank")).groupBy("b", "side").agg(F.min("v").alias("v"))
+    ratio = (F.max(F.when(F.col("side") == 0, F.col("v"))) / F.max(F.when(F.col("side") == 1, F.col("v")))).alias("ratio")
+    spread = at.groupBy("b").agg(ratio).agg(nearest_rank("ratio", 0.05, "lcb"), nearest_rank("ratio", 0.95, "ucb"))  # a row a resample
+    p95 = lambda side: percentiles(pairs, [], side, {side: 0.95})
+    point = p95("kernel").crossJoin(F.broadcast(p95("base"))).select((F.col("kernel") / F.col("base")).alias("point"))  # one row each
+    verdict = F.when(F.col("ucb") <= 1.25, "PASS").when(F.col("lcb") > 1.25, "FAIL").otherwise("INCONCLUSIVE")
+    return point.crossJoin(F.broadcast(spread)).select(*[F.round(c, 6).alias(c) for c in ("point", "lcb", "ucb")], verdict.alias("verdict"))  # one row each
 
 
-@REG.add("agg_bootstrap_ratio", with_sql(f"""
-SELECT round(point, 6) AS point, round(lcb, 6) AS lcb, round(ucb, 6) AS ucb, CASE WHEN ucb <= 1.25 THEN 'PASS' WHEN lcb > 1.25 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM
- (SELECT quantile_disc(kernel, 0.95) / quantile_disc(base, 0.95) AS point FROM p),
- (SELECT quantile_disc(ratio, 0.05) AS lcb, quantile_disc(ratio, 0.95) AS ucb FROM (
-   SELECT b, (SELECT min(v) FROM (SELECT v, sum(c) OVER (ORDER BY v) AS upto, sum(c) OVER () AS n FROM (SELECT kernel AS v, sum(c) AS c FROM d WHERE d.b = r.b GROUP BY 1)) WHERE upto >= ceil(n * 0.95)) /
-     (SELECT min(v) FROM (SELECT v, sum(c) OVER (ORDER BY v) AS upto, sum(c) OVER () AS n FROM (SELECT base AS v, sum(c) AS c FROM d WHERE d.b = r.b GROUP BY 1)) WHERE upto >= ceil(n * 0.95)) AS ratio FROM (SELECT DISTINCT b FROM d) r))""", p=PAIRS_SQL,
-    d=f"""SELECT kernel, base, b, sum({POISSON_SQL}) AS c FROM (SELECT kernel, base, b, (CAST('0x' || substr(md5('7:' || b || ':' || kernel || ':' || base || ':' || i), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
-      FROM (SELECT kernel, base, count(*) AS n FROM p GROUP BY ALL), LATERAL (SELECT unnest(range(0, 100)) AS b), LATERAL (SELECT unnest(range(1, n + 1)) AS i)) GROUP BY ALL"""))
+@REG.add("agg_bootstrap_ratio")
 def agg_bootstrap_ratio(spark, sf_dir):
+    """Without SQL, which has no multinomial draws: tests hold it to draws of all pairs."""
     return bootstrap_ratio(stage(paired_by_rank(spark, sf_dir)), 7, 100)
 
 
@@ -275,7 +317,7 @@ def agg_drift(spark, sf_dir):
     """AGG-18: medians of the first and last half of each session, the middle one left out on odd counts."""
     rows = log(spark, sf_dir).select("session", "seq", "value")
     n = rows.groupBy("session").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("session").orderBy("seq"))).join(n, "session")
+    ranked = scanned(rows, ["session"], ["seq"], {"r": Running("count")}).join(n, "session")
     half = F.floor(F.col("n") / 2)
     side = F.when(F.col("r") <= half, "first").when(F.col("r") > F.col("n") - half, "last")
     halves = ranked.select("session", side.alias("side"), "value").filter("side is not null")
@@ -290,8 +332,8 @@ SELECT session, count_if(kind <> other) = 0 AS same, min(r) FILTER (WHERE kind <
 def agg_sequence_parity(spark, sf_dir):
     """AGG-19: the trace by sequence against the trace by time, place by place; traces are compared as joined rows and digested as sums."""
     rows = log(spark, sf_dir)
-    place = lambda *c: F.row_number().over(Window.partitionBy("session").orderBy(*c)).alias("r")
-    a, b = rows.select("session", "kind", place("seq")), rows.select("session", F.col("kind").alias("other"), place("ts_ms", "seq"))
+    placed = lambda *c: scanned(rows.select("session", "kind", "seq", "ts_ms"), ["session"], [*c], {"r": Running("count")})
+    a, b = placed("seq").select("session", "kind", "r"), placed("ts_ms", "seq").select("session", F.col("kind").alias("other"), "r")
     return sequence_parity(a, b, "session")
 
 
@@ -308,8 +350,8 @@ SELECT session, leg, n, starts, runs, high, (leg = 0 AND starts = 0) OR (leg > 0
   SELECT *, sum((kind = 'signup')::INT) OVER (PARTITION BY session ORDER BY seq)::BIGINT AS leg FROM l) GROUP BY ALL)""", l=LOG_SQL))
 def agg_profile_by_leg(spark, sf_dir):
     """AGG-20: records split at restarts; does each leg have exactly one start (none before the first), and as many runs as starts."""
-    leg = F.sum((F.col("kind") == "signup").cast("long")).over(Window.partitionBy("session").orderBy("seq"))
-    t = log(spark, sf_dir).withColumn("leg", leg).groupBy("session", "leg").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "signup").alias("starts"), F.count_if(F.col("kind") == "purchase").alias("runs"), F.max(F.coalesce("k", F.lit(0).cast("long"))).alias("high"))
+    rows = scanned(log(spark, sf_dir).select("session", "seq", "kind", "k"), ["session"], ["seq"], {"leg": Running("sum", (F.col("kind") == "signup").cast("long"))})
+    t = rows.groupBy("session", "leg").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "signup").alias("starts"), F.count_if(F.col("kind") == "purchase").alias("runs"), F.max(F.coalesce("k", F.lit(0).cast("long"))).alias("high"))
     return t.withColumns({"one_start": F.col("starts") == F.when(F.col("leg") == 0, 0).otherwise(1), "spawns_match": F.col("starts") == F.col("runs")})
 
 

@@ -20,7 +20,7 @@ QUERIES_MOST = 1000
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """SRT-2: query_id, rank, id, distance (rounded to 6 places after ranking): the k nearest rows by L2 for each query, ties to the smaller id.
+    """SRT-2: query_id, rank, id, raw (the distance) and distance (rounded to 6 places): the k nearest rows by L2 for each query, ties to the smaller id.
 
     queries (query_id, q) are a stated set; they are broadcast in blocks of 1000, one pass over
     the rows for each. Each task keeps k rows a query before anything is shuffled.
@@ -34,7 +34,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         scored = vectors.crossJoin(F.broadcast(block)).select("query_id", "id", l2_distance(F.col("v"), F.col("q")).alias("raw"))  # a block of stated queries against all rows
         out = scored if out is None else out.union(scored)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("raw", "id"))
-    return out.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "id", F.round("raw", 6).alias("distance"), "rank")
+    return out.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "id", "raw", F.round("raw", 6).alias("distance"), "rank")
 
 
 RAW = "sqrt(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))))"
@@ -52,13 +52,14 @@ def vec_semantic_search(spark, sf_dir, k: int = 10):
 
 
 @REG.add("vec_past_tasks", f"""
-SELECT id, round(greatest(0, least(1, 1 - raw / 2)), 6) AS similarity, rank FROM (SELECT v.vec_id AS id, {RAW} AS raw, row_number() OVER (ORDER BY {RAW}, v.vec_id) AS rank
+SELECT id, round(raw, 6) AS distance, round(greatest(0, least(1, 1 - raw)), 6) AS similarity, rank FROM (SELECT v.vec_id AS id, {RAW} AS raw, row_number() OVER (ORDER BY {RAW}, v.vec_id) AS rank
 FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 26) q WHERE v.label = 1) WHERE rank <= 5""")
 def vec_past_tasks(spark, sf_dir, k: int = 5):
-    """SRT-4, VEC-6: similarity is 1 - distance / 2, clamped; no rows on a cold start."""
+    """SRT-4, VEC-6: similarity is 1 - distance, clamped to 0 to 1; no rows on a cold start. The raw distance is rounded once, at the end."""
     rows = read(spark, sf_dir, "embeddings")
     asked = rows.filter("vec_id = 26").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return nearest(rows.filter("label = 1"), asked, k).select("id", F.round(clamp(1 - F.col("distance") / 2, 0.0, 1.0), 6).alias("similarity"), "rank")
+    found = nearest(rows.filter("label = 1"), asked, k)
+    return found.select("id", "distance", F.round(clamp(1 - F.col("raw"), 0.0, 1.0), 6).alias("similarity"), "rank")
 
 
 @REG.add("vec_context_text", """

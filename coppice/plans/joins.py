@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from coppice.plans.scans import BLOCK_ROWS, Running, scanned
 
 
 def containing_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, bin_width: int = 1024) -> DataFrame:
@@ -20,10 +21,10 @@ def containing_span(points: DataFrame, spans: DataFrame, keys: list[str], point:
     return at.join(binned, [*keys, "_bin"]).filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("_bin")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, take: list[str], forward: bool = False, strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, take: list[str], forward: bool = False, strict: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """left with the `take` columns of the nearest right row at or before it (after it, if forward), by keys.
 
-    Both sides go in one sorted window, so no pair of rows is compared; strict leaves equal
+    Both sides go in one segmented scan, so no pair of rows is compared and a hot key is spread over tasks; strict leaves equal
     times out. left keeps its rows, with nulls where nothing is found.
     """
     kind = right.select(F.struct(*take)).schema[0].dataType
@@ -31,12 +32,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, righ
     rank = F.lit(0 if forward == strict else 1)
     mine = left.select("*", F.col(left_at).alias("_at"), F.lit(True).alias("_left"), F.lit(0.5).alias("_rank"), F.lit(None).cast(kind).alias("_got"))
     other = right.select(*keys, F.col(right_at).alias("_at"), F.lit(False).alias("_left"), rank.cast("double").alias("_rank"), F.struct(*take).alias("_got"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_rank")
-    if forward:
-        got = F.first("_got", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        got = F.last("_got", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    both = mine.unionByName(other, allowMissingColumns=True).withColumn("_got", got)
+    both = mine.unionByName(other, allowMissingColumns=True).withColumnRenamed("_got", "_had")
+    both = scanned(both, keys, ["_at", "_rank"], {"_got": Running("last", F.col("_had"), backward=forward)}, block_rows)
     return both.filter("_left").select(*left.columns, *[F.col("_got")[c].alias(c) for c in take])
 
 

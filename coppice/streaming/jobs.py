@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from coppice.operators.audit import ALLOWED_SQL, LEASE, may_follow
+from coppice.operators.audit import ALLOWED, LEASE, LIFECYCLE_SQL
 from coppice.operators.versions import apply_changes, content_digest
 from coppice.plans.staging import folder, stage
 from coppice.registration import Registry
 from coppice.sources.adapters import LOG_SQL, log, read, with_sql
 from coppice.streaming.mirror import Mirror
+from coppice.streaming.processors import leases, lifecycles, rocks
 
 REG = Registry()
 #: A feed has four ranges at least, and one for each so many rows; a range has a file for each so many.
@@ -61,24 +61,6 @@ def run_to_table(stream: DataFrame, sink: Callable[[DataFrame, int], None] | Non
     return out
 
 
-def fold_batches(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]) -> str:
-    """State kept as a table: step(batch, state) gives rows and the next state; both are written by batch number, rows to the folder that is returned.
-
-    A repeated batch starts from the state before it and replaces what it wrote. State is a row
-    a key, so that a hot key is no more than a row of it.
-    """
-    spark, out, held = stream.sparkSession, folder(stream.sparkSession, "out"), folder(stream.sparkSession, "state")
-
-    def run(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{held}/batch={number - 1}") if number else None
-        rows, state = step(batch, before)
-        state.write.mode("overwrite").parquet(f"{held}/batch={number}")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    run_to_table(stream, run)
-    return out
-
-
 @REG.add("stream_resumable_read", with_sql("SELECT seq, kind FROM l WHERE seq > 50", l=LOG_SQL))
 def stream_resumable_read(spark, sf_dir):
     """STR-1, STR-13: events after a cursor from a feed of JSON lines; a reader that stops half way and starts again goes on where it was."""
@@ -110,80 +92,60 @@ def stream_idempotent(spark, sf_dir):
     return spark.read.parquet(run_to_table(keys)).select("key")
 
 
-@REG.add("stream_lifecycle", with_sql(f"""
-SELECT session, last(kind ORDER BY seq) AS state, count(*) AS transitions, count_if(NOT coalesce(prev IS NULL OR {ALLOWED_SQL}, false))::BIGINT AS refused
-FROM (SELECT *, lag(kind) OVER (PARTITION BY session ORDER BY seq) AS prev FROM l) GROUP BY session""", l=LOG_SQL))
+@REG.add("stream_lifecycle", with_sql(f"SELECT session, state, transitions, refused FROM ({LIFECYCLE_SQL})", l=LOG_SQL))
 def stream_lifecycle(spark, sf_dir):
-    """STR-5: state machines keyed by session: last state, transitions, and those that the rule refuses, also over the bounds of micro-batches."""
-    done = spark.read.parquet(fold_batches(file_stream(log(spark, sf_dir).select("session", "kind", "seq"), "seq"), lifecycle_step))
-    return done.groupBy("session").agg(F.max_by("state", "transitions").alias("state"), F.max("transitions").alias("transitions"), F.max("refused").alias("refused"))
-
-
-def lifecycle_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """State: session, state, seq, transitions, refused. Rows are the sessions that the batch touched."""
-    prev = F.lag("kind").over(Window.partitionBy("session").orderBy("seq"))
-    mine = batch.select("session", "kind", "seq")
-    if state is not None:  # the last state comes before the batch's rows, as a row that counts for nothing
-        mine = mine.withColumn("old", F.lit(0)).union(state.join(batch.select("session").distinct(), "session", "left_semi").select("session", F.col("state").alias("kind"), "seq", F.lit(1)))
-    else:
-        mine = mine.withColumn("old", F.lit(0))
-    marked = mine.select("session", "kind", "seq", "old", (~may_follow(prev, F.col("kind"))).alias("bad"))
-    per = marked.groupBy("session").agg(F.max_by("kind", "seq").alias("state"), F.max("seq").alias("seq"), F.count_if(F.col("old") == 0).alias("transitions"), F.count_if((F.col("old") == 0) & F.col("bad")).alias("refused"))
-    if state is None:
-        per = stage(per)
-        return per, per
-    before = state.select("session", F.col("transitions").alias("t"), F.col("refused").alias("r"))
-    zero = F.lit(0).cast("long")
-    per = stage(per.join(before, "session", "left").select("session", "state", "seq", (F.col("transitions") + F.coalesce("t", zero)).alias("transitions"), (F.col("refused") + F.coalesce("r", zero)).alias("refused")))
-    return per, state.join(per.select("session"), "session", "left_anti").unionByName(per)
+    """STR-5: state machines keyed by session, in the state store: what is refused changes nothing, also over the bounds of micro-batches."""
+    feed = file_stream(log(spark, sf_dir).select("session", "kind", "seq"), "seq")
+    with rocks(spark):
+        done = spark.read.parquet(run_to_table(lifecycles(feed, ALLOWED)))
+    newest = done.groupBy("session").agg(F.max_by(F.struct("state", "transitions", "refused"), "seq").alias("m"))
+    return newest.select("session", "m.*")
 
 
 @REG.add("stream_expire", with_sql("""
 SELECT session, seq, 'lease_expired' AS event, CASE WHEN kind = 'click' THEN 'cancelled' ELSE 'requeued' END AS outcome FROM (SELECT *, lead(ts_ms // 60000) OVER (PARTITION BY session ORDER BY seq) AS next_at FROM l)
-WHERE kind IN ('click', 'view', 'signup') AND next_at >= ts_ms // 60000 + CASE kind WHEN 'click' THEN 120 WHEN 'view' THEN 30 ELSE 60 END""", l=LOG_SQL))
+WHERE kind IN ('click', 'view', 'signup') AND coalesce(next_at, (SELECT max(ts_ms) // 60000 FROM l)) >= ts_ms // 60000 + CASE kind WHEN 'click' THEN 120 WHEN 'view' THEN 30 ELSE 60 END""", l=LOG_SQL))
 def stream_expire(spark, sf_dir):
-    """STR-4: leases that the session's next event finds expired leave an event; drafts are cancelled, offers and claims queued again. State is each session's last event."""
-    rows = log(spark, sf_dir).select("session", "kind", "seq", F.floor(F.col("ts_ms") / 60000).alias("tick"))
-    return spark.read.parquet(fold_batches(file_stream(rows, "seq"), expire_step)).select("session", "seq", "event", "outcome")
+    """STR-4: leases that expire leave an event, by the session's next event or by an event-time timer; drafts are cancelled, offers and claims queued again."""
+    rows = log(spark, sf_dir).select("session", "kind", "seq", F.floor(F.col("ts_ms") / 60000).alias("tick"), F.timestamp_millis("ts_ms").alias("at"))
+    with rocks(spark):
+        return spark.read.parquet(run_to_table(leases(file_stream(rows, "seq"), LEASE))).select("session", "seq", "event", "outcome")
 
 
-def expire_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    cols = ["session", "kind", "seq", "tick"]
-    mine = stage(batch.select(*cols))
-    before = None if state is None else state.join(mine.select("session").distinct(), "session", "left_semi").select(*cols)
-    w = Window.partitionBy("session").orderBy("seq")
-    length = F.when(F.col("kind") == "click", LEASE["click"]).when(F.col("kind") == "view", LEASE["view"]).when(F.col("kind") == "signup", LEASE["signup"])
-    both = (mine if before is None else mine.union(before)).withColumn("next_at", F.lead("tick").over(w))
-    gone = both.filter(F.col("next_at") >= F.col("tick") + length)
-    rows = gone.select("session", "seq", F.lit("lease_expired").alias("event"), F.when(F.col("kind") == "click", "cancelled").otherwise("requeued").alias("outcome"))
-    last = mine.groupBy("session").agg(F.max_by(F.struct("kind", "seq", "tick"), "seq").alias("l")).select("session", "l.*")
-    return rows, last if state is None else state.join(last.select("session"), "session", "left_anti").unionByName(last)
+#: Buckets of the mirror that the queries keep.
+BUCKETS = 16
 
 
 def delta_frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A table, and six frames of deltas to it with the digests that their sender states: three that fit, one far ahead, one behind, one on other data than the mirror's."""
+    """A table, and eight frames of deltas to it with the digests that their sender states.
+
+    Three fit. One is far ahead, one behind, one on other data than the mirror's; one has a row
+    that is not granted, and one has seen a clock that no key has.
+    """
     orders = read(spark, sf_dir, "orders")
     top = orders.agg(F.max("o_orderkey")).first()[0] + 1
-    rows = stage(orders.select(F.floor(F.col("o_orderkey") * 6 / top).alias("frame"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 6 == 0, "delete").otherwise("upsert").alias("op"),
-        F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("value")))
+    frame = F.floor(F.col("o_orderkey") * 8 / top)
+    rows = stage(orders.select(frame.alias("frame"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 6 == 0, "delete").otherwise("upsert").alias("op"),
+        F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("value"), (frame != 6).alias("granted"), F.when(frame == 7, 99).cast("long").alias("seen")))
     table = stage(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")))
     digest = lambda t: content_digest(t, ["key", "value"]).first()["digest"]
     states = [table]
     for i in range(3):
         states.append(stage(apply_changes(states[-1], rows.filter(F.col("frame") == i), "key", ["value"], ["pos"])))
     d = [digest(t) for t in states]
-    stated = spark.createDataFrame([(0, 0, d[0], d[1]), (1, 1, d[1], d[2]), (2, 2, d[2], d[3]), (3, 9, d[3], d[3]), (4, 1, d[1], d[2]), (5, 3, d[2], d[3])], "frame long, base long, base_digest string, target_digest string")
-    return table, rows.join(F.broadcast(stated), "frame")  # six rows
+    stated = spark.createDataFrame([(0, 0, d[0], d[1]), (1, 1, d[1], d[2]), (2, 2, d[2], d[3]), (3, 9, d[3], d[3]), (4, 1, d[1], d[2]), (5, 3, d[2], d[3]), (6, 3, d[3], d[3]), (7, 3, d[3], d[3])], "frame long, base long, base_digest string, target_digest string")
+    return table, rows.join(F.broadcast(stated), "frame")  # eight rows
 
 
-FRAMES_SQL = "SELECT o_custkey AS key, o_orderpriority AS value, CASE WHEN o_orderkey % 6 = 0 THEN 'delete' ELSE 'upsert' END AS op, o_orderkey * 6 // (SELECT max(o_orderkey) + 1 FROM orders) AS frame, o_orderkey AS pos FROM orders"
+FRAMES_SQL = "SELECT o_custkey AS key, o_orderpriority AS value, CASE WHEN o_orderkey % 6 = 0 THEN 'delete' ELSE 'upsert' END AS op, o_orderkey * 8 // (SELECT max(o_orderkey) + 1 FROM orders) AS frame, o_orderkey AS pos FROM orders"
+FRAMES = "SELECT DISTINCT o_orderkey * 8 // (SELECT max(o_orderkey) + 1 FROM orders) AS frame FROM orders"
 
 
 def mirrored(spark, sf_dir) -> Mirror:
     table, frames = delta_frames(spark, sf_dir)
-    made = Mirror(spark, folder(spark, "mirror"), "key", ["value"])
+    made = Mirror(spark, folder(spark, "mirror"), "key", ["value"], BUCKETS)
     made.hydrate(table)
-    run_to_table(file_stream(frames, "frame"), made.merge)
+    run_to_table(file_stream(frames, "frame", 8), made.merge)
     return made
 
 
@@ -192,14 +154,18 @@ SELECT key, value FROM base WHERE key NOT IN (SELECT key FROM last) UNION ALL SE
     base="SELECT c_custkey AS key, c_mktsegment AS value FROM customer", c=FRAMES_SQL,
     last="SELECT * FROM c WHERE frame < 3 QUALIFY row_number() OVER (PARTITION BY key ORDER BY frame DESC, pos DESC) = 1"))
 def stream_mirror(spark, sf_dir):
-    """STR-7, STR-16: the table after six frames, of which three are refused."""
+    """STR-7, STR-16: the table after eight frames, of which five are refused."""
     return mirrored(spark, sf_dir).rows()
 
 
-@REG.add("stream_mirror_refusals", "SELECT * FROM (VALUES (3::BIGINT, 'gap'), (4::BIGINT, 'ahead'), (5::BIGINT, 'digest-mismatch')) t(frame, reason) WHERE frame IN (SELECT o_orderkey * 6 // (SELECT max(o_orderkey) + 1 FROM orders) FROM orders)")
+@REG.add("stream_mirror_refusals", f"""
+SELECT frame, CASE frame WHEN 3 THEN 'gap' WHEN 4 THEN 'ahead' WHEN 5 THEN 'digest-mismatch' WHEN 6 THEN 'scope' WHEN 7 THEN 'stale' ELSE 'attest' END AS outcome,
+  CASE WHEN frame < 3 THEN frame + 1 ELSE -1 END AS generation FROM ({FRAMES})""")
 def stream_mirror_refusals(spark, sf_dir):
-    """STR-7: which frames were refused, and why."""
-    return mirrored(spark, sf_dir).refusals().select("frame", "reason")
+    """STR-7, STR-16: what became of each frame: the generation that it made, or why it was refused (place, digests, scope and clocks are looked at)."""
+    made = mirrored(spark, sf_dir)
+    merged = made.events().filter("event = 'attest'").select("frame", F.lit("attest").alias("outcome"), "generation")
+    return merged.unionByName(made.refusals().select("frame", F.col("reason").alias("outcome"), F.lit(-1).cast("long").alias("generation")))
 
 
 @REG.add("stream_late_rows", with_sql("""

@@ -111,3 +111,48 @@ def test_paths_and_redaction(spark):
     df = spark.createDataFrame([("/a/./b/../c",), ("../x",), ("a//b",)], "p string")
     assert [r[0] for r in df.select(C.normal_path(F.col("p"))).collect()] == ["/a/c", "../x", "a/b"]
     assert spark.range(1).select(C.redacted(F.lit("mail me@x.org at 10.1.2.3"))).first()[0] == "mail [mail] at [address]"
+
+
+# --- logs that end in a cut line ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("split", [None, 64])
+def test_only_an_open_last_line_is_a_cut_tail(spark, tmp_path, split):
+    from pyspark.sql import types as T
+
+    from coppice.sources.files import read_tolerant
+
+    schema = T._parse_datatype_string("a long, b string")
+    line = lambda i: f'{{"a": {i}, "b": "text é {i}"}}\n'
+    logs = {
+        "whole": "".join(map(line, range(20))) + "\n  \n", "cut": "".join(map(line, range(20, 30))) + '{"a": 99, "b": "te', "open": line(30) + line(31).rstrip("\n"),
+        "blank": line(40) + "   ", "empty": "", "one": '{"a"',
+    }
+    for name, text in logs.items():
+        (tmp_path / f"{name}.jsonl").write_text(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = read_tolerant(spark, str(tmp_path), schema).collect()
+        assert sorted(r["a"] for r in got if not r["truncated"]) == [*range(31), 40]
+        assert [(r["a"], r["b"]) for r in got if r["truncated"]] == [(None, None)] * 3
+        (tmp_path / "broken.jsonl").write_text(line(1) + '{"a": 2, "b"\n' + line(3))
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read_tolerant(spark, str(tmp_path), schema).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_nested_strings_are_redacted(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from coppice.sources.files import write_contract
+
+    schema = T._parse_datatype_string("id long, note string, deep struct<mails:array<string>,by:map<string,string>,n:int>")
+    rows = spark.createDataFrame([(1, "from 10.0.0.1", (["a@b.org", None], {"a@b.org": "c@d.org"}, 3)), (2, None, None)], schema)
+    write_contract(rows, f"{tmp_path}/out", schema)
+    got = {r["id"]: r for r in spark.read.schema(schema).json(f"{tmp_path}/out").collect()}
+    assert "b.org" not in str(got[1]["deep"]["mails"]) and got[1]["deep"]["mails"][1] is None
+    assert "d.org" not in got[1]["deep"]["by"]["a@b.org"] and got[1]["deep"]["n"] == 3
+    assert got[2]["deep"] is None

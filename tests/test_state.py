@@ -1,6 +1,7 @@
 """Deep trees, versions on disk, the mirror over restarts, bounds that are errors, and plain versions of folds."""
 
 import random
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from coppice.operators import admission, audit, edits, refs, stats, tree, vector
 from coppice.plans.digests import row_text, summed_digest
 from coppice.plans.staging import folder
 from coppice.sources import files
-from coppice.streaming.jobs import expire_step, lifecycle_step
+from coppice.streaming.jobs import run_to_table
 from coppice.streaming.mirror import Mirror
+from coppice.streaming.processors import leases, lifecycles, rocks
 
 
 def rows(df):
@@ -162,22 +164,102 @@ def test_mirror_compacts(spark):
     assert dict(rows(m.rows())) == content
 
 
-def test_batches_fold_as_one(spark):
+def test_refused_hydration_leaves_the_mirror(spark):
+    m = Mirror(spark, folder(spark, "mirror"), "key", ["value"], 8)
+    good = spark.createDataFrame([(1, "good")], "key long, value string")
+    bad = spark.createDataFrame([(1, "BAD"), (2, "BAD")], "key long, value string")
+    assert m.hydrate(good, digest(spark, {1: "good"})) == "attest"
+    head = m.head()
+    assert m.hydrate(bad, "no such digest") == "digest-mismatch"
+    assert dict(rows(m.rows())) == {1: "good"} and m.head() == head
+    assert m.hydrate(bad, digest(spark, {1: "BAD", 2: "BAD"}), generation=5) == "attest"
+    assert dict(rows(m.rows())) == {1: "BAD", 2: "BAD"} and m.head()["generation"] == 5
+
+
+def test_mirror_touches_only_the_buckets_of_a_frame(spark):
+    """A frame reads and writes the buckets of its keys; two mirrors find the buckets that differ."""
+    content = {i: f"v{i}" for i in range(200)}
+    table = spark.createDataFrame(sorted(content.items()), "key long, value string")
+    a, b = (Mirror(spark, folder(spark, "mirror"), "key", ["value"], 64) for _ in range(2))
+    for m in (a, b):
+        assert m.hydrate(table) == "attest"
+    assert a.depth() == 2 and a.differing(b) == []
+    assert {r["digest"] for r in a.nodes(0).collect()} == {digest(spark, content)}
+    places = {r["bucket"]: r["place"] for r in a.index().collect()}
+    after = {**content, 7: "new", 300: "more"}
+    change = spark.createDataFrame([(0, 0, "upsert", 7, "new"), (0, 1, "upsert", 300, "more")], FRAME)
+    assert a.sync({"frame": 0, "base": 0, "base_digest": digest(spark, content), "target_digest": digest(spark, after)}, change) == "attest"
+    moved = {r["bucket"] for r in a.index().collect() if r["place"] != places[r["bucket"]]}
+    of = {r["bucket"] for r in change.select(a._bucket()).collect()}
+    assert moved == of == set(a.differing(b)) and len(of) <= 2
+    assert dict(rows(a.rows())) == after and dict(rows(b.rows())) == content
+    assert [tuple(r)[1:] for r in a.events().orderBy("number").collect()] == [(0, -1, "hydrate"), (1, 0, "attest")]
+
+
+# --- machines and leases ------------------------------------------------------------------------
+
+
+def plain_lifecycle(log):
+    out = {}
+    for session, kind, seq, ts in sorted(log, key=lambda r: r[2]):
+        state, done, refused, first, last, longest = out.get(session, (None, 0, 0, None, None, 0))
+        if audit.allowed(state, kind):
+            out[session] = (kind, done + 1, refused, ts if first is None else first, ts, max(longest, ts - last if last is not None else 0))
+        else:
+            out[session] = (state, done, refused + 1, first, last, longest)
+    return {k: (s, d, r, None if f is None else la - f, lo) for k, (s, d, r, f, la, lo) in out.items()}
+
+
+LOG = "session long, kind string, seq long, ts_ms long"
+
+
+def machine_log(n=300):
     rnd = random.Random(2)
-    kinds = ["signup", "view", "click", "error", "purchase"]
-    log = [(rnd.randrange(4), rnd.choice(kinds), i, i * 7 + rnd.randrange(200)) for i in range(120)]
-    frame = lambda part: spark.createDataFrame(part, "session long, kind string, seq long, tick long").repartition(3)
-    for step, pick in ((lifecycle_step, lambda out: {r["session"]: (r["state"], r["transitions"], r["refused"]) for r in out[-1]}), (expire_step, lambda out: sorted(tuple(r) for o in out for r in o))):
-        results = []
-        for cuts in ((120,), (30, 31, 90, 120)):
-            state, out, at = None, [], 0
-            for end in cuts:
-                got, state = step(frame(log[at:end]), state)
-                out.append(got.collect())
-                state = spark.createDataFrame(state.collect(), state.schema)
-                at = end
-            results.append(pick([state.collect()] if step is lifecycle_step else out))
-        assert results[0] == results[1]
+    kinds = ["signup", "view", "click", "error", "purchase", "odd"]
+    log = [(rnd.choice([0, 0, 0, 1, 2, 3]), rnd.choices(kinds, [4, 6, 6, 3, 1, 1])[0], i, i * 7000 + rnd.randrange(9000)) for i in range(n)]
+    return [*log, (8, "signup", n, 0), (8, "purchase", n + 1, 5), (8, "view", n + 2, 9), (9, "signup", n + 3, 0), (9, "signup", n + 4, 1), (10, "odd", n + 5, 3), (11, "view", n + 6, 0), (11, "purchase", n + 7, 1), (11, "view", n + 8, 2)]
+
+
+@pytest.mark.parametrize("fold_rows", [7, 50, 10_000])
+def test_refused_transitions_change_nothing(spark, fold_rows):
+    """Functions of blocks of events, composed, give what a fold event by event gives; one session has half of all events."""
+    log = machine_log()
+    got = {r[0]: tuple(r)[1:] for r in audit.lifecycle(spark.createDataFrame(log, LOG).repartition(5), fold_rows).collect()}
+    want = plain_lifecycle(log)
+    assert got == want
+    assert got[8][:3] == ("view", 2, 1) and got[9][:3] == ("signup", 1, 1) and got[10][:3] == (None, 0, 1) and got[11][:3] == ("purchase", 2, 1)
+
+
+def streamed(spark, make, log, cuts, ddl):
+    """What a stream gives whose micro-batches end at these places."""
+    path, out = folder(spark, "feed"), folder(spark, "out")
+    ckpt = folder(spark, "ckpt")
+    spark.createDataFrame([], ddl).write.parquet(path)
+    for lo, hi in zip((0, *cuts[:-1]), cuts, strict=True):
+        spark.createDataFrame(log[lo:hi], ddl).coalesce(1).write.mode("append").parquet(path)
+        with rocks(spark):
+            run_to_table(make(spark.readStream.schema(ddl).parquet(path)), checkpoint=ckpt, out=out)
+    return spark.read.parquet(out)
+
+
+def test_stream_of_machines(spark):
+    log = machine_log(60)
+    feed = [(s, k, q) for s, k, q, _ in log]
+    got = streamed(spark, lambda f: lifecycles(f, audit.ALLOWED), feed, (31, len(feed)), "session long, kind string, seq long")
+    newest = {r["session"]: tuple(r["m"]) for r in got.groupBy("session").agg(F.max_by(F.struct("state", "transitions", "refused"), "seq").alias("m")).collect()}
+    assert newest == {k: v[:3] for k, v in plain_lifecycle(log).items()}
+
+
+def test_leases_expire_without_a_later_event(spark):
+    """A lease that nothing follows goes when the watermark passes its end; batch and stream agree."""
+    minute = 60_000
+    log = [(1, "view", 0, 0), (2, "click", 1, 1 * minute), (3, "signup", 2, 2 * minute), (1, "error", 3, 10 * minute), (4, "view", 4, 20 * minute), (3, "view", 5, 70 * minute), (9, "error", 6, 4999 * minute), (9, "view", 7, 5000 * minute)]
+    feed = [(s, k, q, t // minute, datetime.fromtimestamp(t / 1000, UTC)) for s, k, q, t in log]
+    got = streamed(spark, lambda f: leases(f, audit.LEASE), feed, (3, 6, 8), "session long, kind string, seq long, tick long, at timestamp")
+    gone = sorted(tuple(r)[:4] for r in got.select("session", "seq", "event", "outcome").collect())
+    assert gone == [(2, 1, "lease_expired", "cancelled"), (3, 2, "lease_expired", "requeued"), (3, 5, "lease_expired", "requeued"), (4, 4, "lease_expired", "requeued")]
+    batch = audit.expired_leases(spark.createDataFrame(log, LOG), 3).filter("expired").select("session", "seq", "event", "outcome")
+    assert sorted(tuple(r) for r in batch.collect()) == gone
 
 
 # --- bounds, folds, files ---------------------------------------------------------------------
