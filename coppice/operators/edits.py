@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coppice.operators.generations import SUMS, Kept, Store
 from coppice.operators.tree import LINE_EDGES_SQL, derived_id, line_edges, rekeyed, rekeyed_sql, source_map
-from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
+from coppice.plans.digests import digest_of, row_text, row_text_sql, summed_digest, summed_digest_sql
 from coppice.plans.joins import containing_span
 from coppice.plans.staging import folder, stage
 from coppice.registration import Registry
@@ -332,64 +333,32 @@ def plan(segs: DataFrame, pending: DataFrame) -> DataFrame:
 
 
 class Generations:
-    """EDT-8, EDT-9: line tables as generations in a folder; each is written once, with the log rows of the commit that made it.
-
-    A generation counts when its log rows are there: they are written last. Rolling back adds a
-    generation that holds again what an earlier one held.
-    """
+    """EDT-8, EDT-9: a store of lines alone, whose commits are pending edits of text."""
 
     def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
-
-    def _logged(self) -> DataFrame | None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-        return self.spark.read.parquet(f"{self.path}/log") if there else None
-
-    def head(self) -> int:
-        """The newest generation, -1 if there is none."""
-        found = self._logged()
-        return -1 if found is None else found.agg(F.max("generation")).first()[0]
+        self.store = Store(spark, path, {"lines": Kept(("module", "child_index"), "module long, child_index long, payload string")})
+        self.path, self.head, self.rollback = path, self.store.head, self.store.rollback
 
     def read(self, generation: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lines/generation={generation}")
+        return self.store.at("lines", generation)
 
     def log(self) -> DataFrame:
-        return self._logged()
-
-    def _write(self, lines: DataFrame, kind: str, tx: str, affected: DataFrame) -> int:
-        made = self.head() + 1
-        # what an attempt that broke off before its log rows has left is overwritten
-        lines.select("module", "child_index", "payload").write.mode("overwrite").parquet(f"{self.path}/lines/generation={made}")
-        digest = self.read(made).agg(summed_digest(row_text("module", "child_index", "payload")).alias("digest")).first()[0]
-        rows = affected.groupBy("module").agg(F.count("*").alias("n")).select(F.lit(tx).alias("tx"), F.lit(kind).alias("kind"), "module", "n", F.lit(digest).alias("digest"))
-        whole = self.spark.createDataFrame([(tx, kind, None, 0, digest)], rows.schema)
-        rows.unionByName(whole).write.parquet(f"{self.path}/log/generation={made}")
-        return made
+        """generation, tx, kind, module, n: how many lines of a module a generation touched; for each generation also a row without a module, with the digest of all lines."""
+        logged = self.store.log().select("generation", "tx", "kind", digest_of(F.col("n"), *[F.col(s) for s in SUMS]).alias("digest"))
+        per = self.store.delta("lines", 1, self.head()).groupBy("generation", "module").agg(F.count("*").alias("n"))
+        whole = logged.select("generation", F.lit(None).cast("long").alias("module"), F.lit(0).cast("long").alias("n"))
+        return per.unionByName(whole).join(logged, "generation").select("generation", "tx", "kind", "module", "n", "digest")
 
     def seed(self, lines: DataFrame) -> int:
-        return self._write(lines, "seed", "seed", lines.limit(0))
+        return self.store.seed(lines=lines)
 
     def commit(self, tx: str, pending: DataFrame) -> int:
         """The head with pending edits applied becomes the next generation. An edit that does not fit is an error, and nothing is committed."""
-        base = self.read(self.head())
-        done = stage(edited_lines(base, pending))
+        touched = self.store.at("lines", self.head(), pending)
+        done = stage(edited_lines(touched, pending))
         if not done.filter("not ok").isEmpty():
             raise ValueError("an edit does not fit the text it is for")
-        return self._write(done, "commit", tx, pending.select("module", "child_index").distinct())
-
-    def rollback(self, tx: str) -> int:
-        """What the transaction's commit changed is put back; done already, or unknown, it changes nothing. Later commits must be rolled back first."""
-        rows = [(r["generation"], r["kind"]) for r in self._logged().filter((F.col("tx") == tx) & F.col("module").isNull()).orderBy("generation").collect()]  # a row a generation of one transaction
-        if not rows or rows[-1][1] == "rollback":
-            return self.head()
-        made = rows[-1][0]
-        if made != self.head():
-            raise ValueError(f"generation {made} is not the newest")
-        before, after = self.read(made - 1), self.read(made)
-        changed = before.alias("a").join(after.alias("b"), ["module", "child_index"], "full_outer").filter(~F.col("a.payload").eqNullSafe(F.col("b.payload"))).select("module", "child_index")
-        return self._write(before, "rollback", tx, changed)
+        return self.store.commit(tx, lines=done.select("module", "child_index", "payload", F.lit(False).alias("gone")))
 
 
 @REG.add("edt_commit_rollback", with_sql(f"""

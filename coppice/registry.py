@@ -10,6 +10,7 @@ MODULES: tuple[str, ...] = (
     "coppice.operators.refs",
     "coppice.operators.versions",
     "coppice.operators.edits",
+    "coppice.operators.generations",
     "coppice.operators.stats",
     "coppice.operators.admission",
     "coppice.operators.audit",
