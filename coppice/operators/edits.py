@@ -354,6 +354,7 @@ class Generations:
 
     def commit(self, tx: str, pending: DataFrame) -> int:
         """The head with pending edits applied becomes the next generation. An edit that does not fit is an error, and nothing is committed."""
+        pending = stage(pending)
         touched = self.store.at("lines", self.head(), pending)
         done = stage(edited_lines(touched, pending))
         if not done.filter("not ok").isEmpty():

@@ -89,7 +89,7 @@ class Store:
         return self.spark.read.schema(schema).option("basePath", at).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def at(self, name: str, generation: int, keys: DataFrame | None = None) -> DataFrame:
-        """A table as of a generation; with keys, only the rows of these, read from their buckets."""
+        """A table as of a generation; with keys, only the rows of these, read from their buckets. keys are evaluated more than once: stage them if they are dear."""
         return self._merged(name, generation - generation % self.COMPACT, generation, keys)
 
     def _bucket(self, t: Kept) -> Column:
@@ -100,7 +100,7 @@ class Store:
         rows = self.spark.read.schema(f"{t.schema}, bucket int").parquet(f"{self.path}/{name}/base/generation={base}")
         changes = self.delta(name, base + 1, generation)
         if keys is not None:
-            keys = stage(keys.select(*t.keys).distinct())
+            keys = keys.select(*t.keys).distinct()
             touched = [r[0] for r in keys.select(self._bucket(t)).distinct().collect()]  # buckets at most
             rows = rows.filter(F.col("bucket").isin(touched)).join(keys, list(t.keys), "left_semi")
             changes = changes.join(keys, list(t.keys), "left_semi")
@@ -178,53 +178,65 @@ class Store:
     def _advance(self, tx: str, kind: str, changes: dict[str, DataFrame], cascade: bool) -> int:
         head = self.head()
         made, base = head + 1, head - head % self.COMPACT
+        moved: dict[str, dict] = {}
         for name, t in self.tables.items():
-            self._write_delta(name, made, head, changes.get(name), cascade)
+            along = [(c, target) for c, target in t.links if cascade and target != name and moved[target]["deleted"]]
+            self._write_delta(name, made, head, changes.get(name), along)
+            moved[name] = self._moved(name, made)
         for name in self.tables:
-            self._check_links(name, made, base)
+            self._check_links(name, made, base, moved)
         before = {r["name"]: r for r in self.log().filter(F.col("generation") == head).collect()}  # a row a table
         rows = []
-        for name, t in self.tables.items():
-            mine = self.delta(name, made, made)
-            text = lambda side: mine.filter(f"{side} is not null").select(F.lit(side).alias("side"), row_text(*[c if c in t.keys else F.col(f"{side}.{c}") for c in t.columns]).alias("text"))  # noqa: E731, B023
-            sums = {r["side"]: r for r in text("before").union(text("after")).groupBy("side").agg(*summed_parts(F.col("text"))).collect()}
-            n = mine.agg(F.count("*"), F.count_if(F.col("before").isNull()), F.count_if(F.col("after").isNull())).first()
-            move = lambda c: before[name][c] + sum(sign * sums[side][c] for side, sign in (("before", -1), ("after", 1)) if side in sums)  # noqa: E731, B023
-            rows.append((tx, kind, name, *n, move("n"), *[Decimal(move(s)) for s in SUMS]))
+        for name, m in moved.items():
+            rows.append((tx, kind, name, m["affected"], m["inserted"], m["deleted"], before[name]["n"] + m["n"], *[Decimal(before[name][s] + m[s]) for s in SUMS]))
             if made % self.COMPACT == 0:
                 self._write_base(name, made, self._merged(name, base, made))
         return self._write_log(made, rows)
 
-    def _write_delta(self, name: str, made: int, head: int, given: DataFrame | None, cascade: bool) -> None:
+    def _moved(self, name: str, made: int) -> dict:
+        """What a generation does to a table: rows affected, inserted and deleted, rows it has after, and by how much n and the sums move."""
+        t, mine = self.tables[name], self.delta(name, made, made)
+        side = lambda one, other: mine.filter(f"{one} is not null").select(F.lit(one).alias("side"), F.col(other).isNull().alias("alone"), row_text(*[c if c in t.keys else F.col(f"{one}.{c}") for c in t.columns]).alias("text"))
+        none = {"alone": 0, "n": 0, **dict.fromkeys(SUMS, 0)}
+        sums = {r["side"]: r for r in side("before", "after").union(side("after", "before")).groupBy("side").agg(F.count_if("alone").alias("alone"), *summed_parts(F.col("text"))).collect()}
+        was, now = sums.get("before", none), sums.get("after", none)
+        return {"affected": was["n"] + now["alone"], "inserted": now["alone"], "deleted": was["alone"], "after": now["n"], **{c: now[c] - was[c] for c in ("n", *SUMS)}}
+
+    def _write_delta(self, name: str, made: int, head: int, given: DataFrame | None, along: list[tuple[str, str]]) -> None:
+        """along: links to tables of which this generation has deleted rows."""
         t = self.tables[name]
         keys, at = list(t.keys), f"{self.path}/{name}/delta/generation={made}"
         kinds = [F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(t.schema)]
         if given is None:
             given = self.spark.createDataFrame([], f"{t.schema}, gone boolean")
+            if not along:
+                given.select(*keys, t.row("before"), t.row("after")).write.mode("overwrite").parquet(at)
+                return
         given = stage(given.select(*kinds, F.coalesce("gone", F.lit(False)).alias("gone")))
         self._check_keys(name, given)
-        for column, target in t.links if cascade else ():
-            if target == name:
-                continue  # rows of one table that hang on each other are for the caller to name
+        for column, target in along:  # rows of one table that hang on each other are for the caller to name
             taken = self.delta(target, made, made).filter("after is null").select(F.col(self.tables[target].keys[0]).alias(column))
-            if not taken.isEmpty():
-                along = self.at(name, head).join(taken, column, "left_semi").join(given, keys, "left_anti").withColumn("gone", F.lit(True))
-                given = stage(given.unionByName(along))
+            more = self.at(name, head).join(taken, column, "left_semi").join(given, keys, "left_anti").withColumn("gone", F.lit(True))
+            given = stage(given.unionByName(more))
         held = self.at(name, head, given).select(*keys, t.row("before"))
         put = given.select(*keys, F.when(~F.col("gone"), t.row("row")).alias("after"))
         delta = put.join(held, keys, "left").select(*keys, "before", "after").filter("before is not null or after is not null")
         delta.write.mode("overwrite").parquet(at)
 
-    def _check_links(self, name: str, made: int, base: int) -> None:
+    def _check_links(self, name: str, made: int, base: int, moved: dict[str, dict]) -> None:
         """Rows that this generation put in name what is there, and nothing that it took away is named any more."""
         t = self.tables[name]
         for column, target in t.links:
             key = self.tables[target].keys[0]
             mine, its = self.delta(name, made, made), self.delta(target, made, made)
-            named = mine.filter("after is not null").select((F.col(column) if column in t.keys else F.col(f"after.{column}")).alias(key)).filter(F.col(key).isNotNull())
-            broken = not named.isEmpty() and not named.join(self._merged(target, base, made, named), key, "left_anti").isEmpty()
-            taken = its.filter("after is null").select(F.col(key).alias(column))
-            if broken or (not taken.isEmpty() and not self._merged(name, base, made).join(taken, column, "left_semi").isEmpty()):
+            broken = False
+            if moved[name]["after"]:
+                named = mine.filter("after is not null").select((F.col(column) if column in t.keys else F.col(f"after.{column}")).alias(key)).filter(F.col(key).isNotNull())
+                broken = not named.join(self._merged(target, base, made, named), key, "left_anti").isEmpty()
+            if moved[target]["deleted"] and not broken:
+                taken = its.filter("after is null").select(F.col(key).alias(column))
+                broken = not self._merged(name, base, made).join(taken, column, "left_semi").isEmpty()
+            if broken:
                 raise ValueError(f"{name}.{column} would name a row of {target} that is not there")
 
 
