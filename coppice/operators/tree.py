@@ -224,12 +224,12 @@ def hie_cycles(spark, sf_dir):
 
 @REG.add("prj_children", with_sql("""
 SELECT p.id AS parent_id, p.payload, coalesce(c.child_index, -1) AS place, c.id AS child_id, count(c.id) OVER (PARTITION BY p.id) AS n
-FROM nodes p LEFT JOIN nodes c ON c.parent_id = p.id WHERE p.kind IN ('Module', 'Nation', 'Customer')""", nodes=NODES_SQL))
+FROM nodes p LEFT JOIN nodes c ON c.parent_id = p.id""", nodes=NODES_SQL))
 def prj_children(spark, sf_dir):
     """PRJ-3, PRJ-10: nodes with their children, a row a child with its place; a node without children has one row. No parent's children are gathered."""
-    tree = nodes(spark, sf_dir)
+    tree = stage(nodes(spark, sf_dir))
     kids = tree.filter("parent_id is not null").select(F.col("parent_id").alias("id"), F.col("child_index").alias("place"), F.col("id").alias("child_id"))
-    parents = tree.filter("kind in ('Module', 'Nation', 'Customer')").select("id", "payload")
+    parents = tree.select("id", "payload")
     n = kids.groupBy("id").agg(F.count("*").alias("n"))
     out = parents.join(n, "id", "left").join(kids, "id", "left")
     return out.select(F.col("id").alias("parent_id"), "payload", F.coalesce("place", F.lit(-1).cast("long")).alias("place"), "child_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
@@ -277,13 +277,13 @@ LINE_ENTRIES = 100
 
 @REG.add("agg_module_index", with_sql(f"""
 SELECT m.id, coalesce(d.child_index // {LINE_ENTRIES}, 0) AS page, string_agg(d.payload || CASE WHEN d.child_index % 2 = 0 THEN '*' ELSE '' END, ', ' ORDER BY d.child_index) AS line
-FROM nodes m LEFT JOIN nodes d ON d.parent_id = m.id WHERE m.kind IN ('Module', 'Nation') GROUP BY ALL""", nodes=NODES_SQL))
+FROM nodes m LEFT JOIN nodes d ON d.parent_id = m.id WHERE m.kind <> 'Line' GROUP BY ALL""", nodes=NODES_SQL))
 def agg_module_index(spark, sf_dir):
-    """AGG-32: a module's declarations in order with a flag, a hundred a line, so that a very large module is many lines."""
-    tree = nodes(spark, sf_dir)
-    modules = tree.filter("kind in ('Module', 'Nation')").select("id")
+    """AGG-32: what each node above the lines declares, at every level, in order with a flag, a hundred a line, so that a very large module is many lines."""
+    tree = stage(nodes(spark, sf_dir))
+    modules = tree.filter("kind <> 'Line'").select("id")
     entry = F.concat("payload", F.when(F.col("child_index") % 2 == 0, "*").otherwise(""))
-    kids = tree.filter("kind in ('Nation', 'Customer')").select(F.col("parent_id").alias("id"), F.floor(F.col("child_index") / LINE_ENTRIES).alias("page"), F.struct("child_index", entry.alias("s")).alias("k"))
+    kids = tree.filter("parent_id is not null").select(F.col("parent_id").alias("id"), F.floor(F.col("child_index") / LINE_ENTRIES).alias("page"), F.struct("child_index", entry.alias("s")).alias("k"))
     line = kids.groupBy("id", "page").agg(F.array_sort(F.collect_list("k")).alias("k")).select("id", "page", F.concat_ws(", ", F.transform("k", lambda x: x["s"])).alias("line"))
     return modules.join(line, "id", "left").select("id", F.coalesce("page", F.lit(0).cast("long")).alias("page"), "line")
 
