@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
 from coppice.plans.joins import as_of
+from coppice.plans.staging import stage
 from coppice.registration import Registry
 from coppice.sources.adapters import LOG_SQL, log, read, with_sql
 
@@ -208,9 +209,34 @@ def affected_ids(delta: DataFrame) -> DataFrame:
 SELECT key, first(value ORDER BY generation, pos) AS was, last(value ORDER BY generation, pos) AS now FROM c WHERE generation > 24 GROUP BY key HAVING was <> now""", c=CHANGES_SQL))
 def agg_net_renames(spark, sf_dir, since: int = 24):
     """AGG-28: the net rename of each node since a generation, no-ops dropped."""
+    return net_renames(changes(spark, sf_dir).filter(F.col("generation") > since))
+
+
+def net_renames(delta: DataFrame) -> DataFrame:
+    """AGG-28: key, was, now: the first and the last value of each key where they differ. Two values a key and task are shuffled, however often it was renamed."""
     order = F.struct("generation", "pos")
-    net = changes(spark, sf_dir).filter(F.col("generation") > since).groupBy("key").agg(F.min_by("value", order).alias("was"), F.max_by("value", order).alias("now"))
-    return net.filter("was <> now")
+    return delta.groupBy("key").agg(F.min_by("value", order).alias("was"), F.max_by("value", order).alias("now")).filter("was <> now")
+
+
+#: So many renames one report holds (the cap is the feature; the rest is counted).
+RENAMES_MOST = 256
+
+
+def rename_report(delta: DataFrame, cap: int = RENAMES_MOST) -> DataFrame:
+    """SRT-5: place, key, was, now, total, truncated: the first net renames in the order of keys, with the number of all and whether some are left out. No rows if there are none."""
+    net = stage(net_renames(delta))
+    total = net.agg(F.count("*").alias("total"))
+    first = net.orderBy("key").limit(cap)
+    place = F.row_number().over(Window.orderBy("key")).cast("long")  # cap rows
+    return first.crossJoin(F.broadcast(total)).select(place.alias("place"), "key", "was", "now", "total", (F.col("total") > cap).alias("truncated"))  # one row
+
+
+@REG.add("srt_capped_renames", with_sql(f"""
+SELECT row_number() OVER (ORDER BY key) AS place, key, was, now, (SELECT count(*) FROM net) AS total, (SELECT count(*) FROM net) > {RENAMES_MOST} AS truncated FROM net ORDER BY key LIMIT {RENAMES_MOST}""",
+    c=CHANGES_SQL, net="SELECT key, first(value ORDER BY generation, pos) AS was, last(value ORDER BY generation, pos) AS now FROM c GROUP BY key HAVING was <> now"))
+def srt_capped_renames(spark, sf_dir):
+    """SRT-5 over all generations."""
+    return rename_report(changes(spark, sf_dir))
 
 
 @REG.add("agg_resource_clocks", with_sql("SELECT k.c_custkey AS key, count(DISTINCT c.generation) AS clock FROM customer k LEFT JOIN c ON c.key = k.c_custkey GROUP BY k.c_custkey", c=CHANGES_SQL))

@@ -16,6 +16,7 @@ MODULES: tuple[str, ...] = (
     "coppice.operators.audit",
     "coppice.operators.scalars",
     "coppice.operators.vectors",
+    "coppice.operators.pivots",
     "coppice.operators.extensions",
     "coppice.sources.files",
     "coppice.streaming.jobs",

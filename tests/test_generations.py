@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coppice.operators.generations import GRAPH, SUMS, Store
+from coppice.operators.versions import rename_report
 from coppice.plans.digests import digest_of, row_text, summed_digest
 from coppice.plans.staging import folder
 
@@ -92,3 +93,11 @@ def test_many_generations_over_bases_as_in_plain_dicts(spark, monkeypatch):
         assert {r["name"]: r["d"] for r in logged.collect() if r["name"] in want} == want
     store.rollback("t2")
     assert state(store)[1] == sorted(before[1]) and state(store)[0] == before[0]
+
+
+def test_a_rename_report_is_capped_and_says_so(spark):
+    rows = [(g, p, k, v) for g, p, k, v in ((1, 0, 3, "c"), (1, 1, 2, "b"), (2, 0, 3, "C"), (2, 1, 2, "x"), (3, 0, 2, "b"), (3, 1, 1, "a"), (4, 0, 1, "A"), (4, 1, 1, "AA"))]
+    delta = spark.createDataFrame(rows, "generation long, pos long, key long, value string")
+    assert [tuple(r) for r in rename_report(delta, 1).collect()] == [(1, 1, "a", "AA", 2, True)]
+    assert sorted(tuple(r) for r in rename_report(delta, 2).collect()) == [(1, 1, "a", "AA", 2, False), (2, 3, "c", "C", 2, False)]
+    assert rename_report(delta.limit(0)).collect() == []
