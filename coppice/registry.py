@@ -13,6 +13,7 @@ MODULES: tuple[str, ...] = (
     "coppice.operators.generations",
     "coppice.operators.stats",
     "coppice.operators.admission",
+    "coppice.operators.scopes",
     "coppice.operators.audit",
     "coppice.operators.scalars",
     "coppice.operators.vectors",
