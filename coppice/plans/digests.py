@@ -16,6 +16,12 @@ def summed_parts(text: Column) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *sums]
 
 
+def row_parts(text: Column) -> list[Column]:
+    """What one row's text adds to the sums of summed_parts; zeros for a null, which is no row here."""
+    row = F.sha2(text, 256)
+    return [F.coalesce(F.conv(F.substring(row, 1 + DIGITS * i, DIGITS), 16, 10), F.lit("0")).cast("decimal(38,0)") for i in range(PARTS)]
+
+
 def digest_of(n: Column, *sums: Column) -> Column:
     """The digest that goes with such numbers."""
     return F.sha2(F.concat_ws(":", n.cast("string"), *[s.cast("string") for s in sums]), 256)

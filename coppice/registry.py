@@ -9,6 +9,7 @@ MODULES: tuple[str, ...] = (
     "coppice.operators.tree",
     "coppice.operators.refs",
     "coppice.operators.versions",
+    "coppice.operators.recovery",
     "coppice.operators.edits",
     "coppice.operators.generations",
     "coppice.operators.stats",
