@@ -380,10 +380,19 @@ def agg_stage_decomposition(spark, sf_dir):
 SELECT session, round(a, 4) AS a, round(b, 4) AS b, CASE WHEN b = 0 THEN -1.0 ELSE round(a / b, 6) END AS ratio, coalesce(a > 1.25 * b, false) AS over FROM (
  SELECT session, coalesce(sum(value) FILTER (WHERE kind = 'click'), 0) AS a, coalesce(sum(value) FILTER (WHERE kind = 'view'), 0) AS b FROM l GROUP BY session)""", l=LOG_SQL))
 def agg_arm_cost(spark, sf_dir):
-    """AGG-24: cost of two arms, their ratio (-1 on a zero base), and a threshold flag."""
-    arm = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value"))), F.lit(0.0))
-    t = log(spark, sf_dir).groupBy("session").agg(arm("click").alias("a"), arm("view").alias("b"))
-    return t.select("session", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), F.coalesce(F.round(F.try_divide("a", "b"), 6), F.lit(-1.0)).alias("ratio"), (F.col("a") > 1.25 * F.col("b")).alias("over"))
+    return arm_costs(log(spark, sf_dir))
+
+
+def arm_costs(rows: DataFrame) -> DataFrame:
+    """AGG-24: cost of two arms, their ratio (-1 on a zero base), and a threshold flag.
+
+    What the order of a sum of doubles leaves in its last places is rounded off before sums are
+    divided or compared, so that a ratio on the edge of a place does not turn on the order.
+    """
+    arm = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value"))), F.lit(0.0)), 9)
+    t = rows.groupBy("session").agg(arm("click").alias("a"), arm("view").alias("b"))
+    ratio = F.round(F.round(F.try_divide("a", "b"), 12), 6)
+    return t.select("session", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), F.coalesce(ratio, F.lit(-1.0)).alias("ratio"), (F.col("a") > F.round(1.25 * F.col("b"), 9)).alias("over"))
 
 
 @REG.add("agg_session_metrics", with_sql("""

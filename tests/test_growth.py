@@ -17,3 +17,11 @@ def test_rendered_files_of_any_module_id(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     made = [(i, hashlib.sha256((t + "\n").encode()).hexdigest(), len(t.encode()) + 1) for i, t in docs]
     assert rows(files.src_render_tree(spark, str(tmp_path))) == sorted(made, key=str)
+
+
+def test_arm_ratio_on_the_edge_of_a_place(spark):
+    parts = [(1, "click", 600.5), (1, "click", 44.02), (1, "view", 670.72), (2, "view", 0.1), (2, "view", 0.2), (2, "click", 0.375)]
+    df = spark.createDataFrame(parts, "session long, kind string, value double")
+    for order in (F.col("value"), F.col("value").desc()):
+        got = rows(stats.arm_costs(df.repartition(1).sortWithinPartitions(order)))
+        assert got == [(1, 644.52, 670.72, 0.960938, False), (2, 0.375, 0.3, 1.25, False)]  # 0.9609375, and exactly at the threshold
