@@ -49,13 +49,23 @@ SELECT e.kind, coalesce(p.kind, 'unknown') AS under, count(*) AS uses, count(DIS
 LEFT JOIN nodes n ON e.from_id = n.id AND n.kind = 'Order' LEFT JOIN nodes p ON n.parent_id = p.id GROUP BY ALL""", nodes=NODES_SQL, edges=EDGES_SQL))
 def joi_enriched_uses(spark, sf_dir):
     """JOI-4: uses with what encloses them; orphans stay as unknown."""
-    tree = nodes(spark, sf_dir)
+    lines = stage(order_lines(spark, sf_dir).select("l_orderkey", "l_partkey", "l_returnflag", "pos"))
+    tree = nodes(spark, sf_dir, lines)
     n = tree.filter("kind = 'Order'").select(F.col("id").alias("from_id"), "parent_id")
-    p = tree.select(F.col("id").alias("parent_id"), F.col("kind").alias("under"))
-    joined = edges(spark, sf_dir).join(n, "from_id", "left").join(p, "parent_id", "left")
+    joined = enriched_uses(edges(spark, sf_dir, lines), n, tree.select("id", "kind"))
     return joined.groupBy("kind", F.coalesce("under", F.lit("unknown")).alias("under")).agg(F.count("*").alias("uses"), F.countDistinct("parent_id").alias("modules"))
 
 
+def enriched_uses(refs: DataFrame, sources: DataFrame, tree: DataFrame) -> DataFrame:
+    """JOI-4: refs with parent_id (of the source, from sources: from_id, parent_id) and under, the parent's kind; nulls where there is none.
+
+    Sources get their parents' kinds before they meet the edges: edges without a source would
+    all have the same null parent, and go through one task of the second join.
+    """
+    under = sources.join(tree.select(F.col("id").alias("parent_id"), F.col("kind").alias("under")), "parent_id", "left")
+    return refs.join(under, "from_id", "left")
+
+
 #: What follows a name says how it is used: a call, passed on, given another name, or something else.
 AFTER = (("call", "^,"), ("aliased", "^[.;:]"), ("passed", "^ [a-z]"))
 
@@ -218,7 +228,8 @@ SELECT l.page_id, l.href, c.rank, p.page_id AS target FROM links l JOIN (SELECT
 JOIN names p ON p.name = lower(trim(l.href, '/')) || c.ext WHERE p.page_id <> l.page_id""", links="SELECT DISTINCT * FROM (" + LINKS_SQL + ")", names=PAGE_NAMES_SQL))
 def joi_resolve_all(spark, sf_dir):
     """JOI-15: a link to every page known by one of its spellings; all pages of one name are kept, a page itself is not."""
-    return spelled(spark, sf_dir).join(page_names(spark, sf_dir), "name").filter("target <> page_id").select("page_id", "href", "rank", "target").distinct()
+    # spellings are distinct, and so are names: what they give needs no exchange to be so
+    return spelled(spark, sf_dir).join(page_names(spark, sf_dir).distinct(), "name").filter("target <> page_id").select("page_id", "href", "rank", "target")
 
 
 @REG.add("ing_resolve_names", r"""
