@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
 from coppice.plans.staging import stage
 from coppice.registration import Registry
-from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges, nodes, read, segments, with_sql
+from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges, nodes, order_lines, read, segments, with_sql
 
 REG = Registry()
 #: A narrow frontier or a list of roots of so many rows may be broadcast.
@@ -24,29 +24,40 @@ def small(df: DataFrame, rows_most: int = BROADCAST_ROWS) -> DataFrame:
 def ancestry(tree: DataFrame, stops: DataFrame | None = None, path: bool = False) -> DataFrame:
     """id, kind, root, depth (and path, root/.../id) for every node below a root or below one of `stops` (a column id), these included.
 
-    By pointer doubling: each round a node takes over the pointer of the node it points at, so
-    rounds grow with the logarithm of the depth and no depth is too much. A node counts under
-    the nearest stop at or above it. What hangs on a missing parent or on a cycle is left out:
-    such nodes are those left when a round ends none.
+    Nodes without children come last, by one join to their parents. The others go by pointer
+    doubling: each round a node takes over the pointer of the node it points at, so rounds grow
+    with the logarithm of the depth and no depth is too much. A round whose nodes point at few
+    (near the roots, many at the same few) gets these by broadcast. A node counts under the
+    nearest stop at or above it. What hangs on a missing parent or on a cycle is left out: such
+    nodes are those left when a round ends none. tree is read twice.
     """
     rows = tree.select("id", "kind", "parent_id")
     if stops is not None:
         rows = rows.join(stops.select("id", F.lit(True).alias("stop")), "id", "left")
         rows = rows.select("id", "kind", F.when(F.col("stop").isNull(), F.col("parent_id")).alias("parent_id"))
+    parents = tree.filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("inner", F.lit(True))
     text = [F.col("id").alias("path")] if path else []
     ends = F.col("parent_id").isNull()
-    state = stage(rows.select("id", "kind", F.when(ends, F.col("id")).alias("root"), F.when(ends, 0).otherwise(1).cast("long").alias("depth"), F.col("parent_id").alias("up"), *text))
-    done, rest = state.filter("up is null"), state.filter("up is not null")
+    state = stage(rows.join(parents, "id", "left").select("id", "kind", F.when(ends, F.col("id")).alias("root"), F.when(ends, 0).otherwise(1).cast("long").alias("depth"), F.col("parent_id").alias("up"), *text, "inner"))
+    leaves = state.filter("up is not null and inner is null").drop("inner")
+    done, rest = state.filter("up is null").drop("inner"), state.filter("up is not null and inner").drop("inner")
+
+    def lifted(nodes_: DataFrame, over: DataFrame) -> DataFrame:
+        above = over.select(F.col("id").alias("up"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("up").alias("a_up"), *([F.col("path").alias("a_path")] if path else []))
+        text = [F.concat_ws("/", "a_path", "path").alias("path")] if path else []
+        wanted = stage(nodes_.select("up").distinct())
+        if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            above = F.broadcast(above.join(F.broadcast(wanted), "up", "left_semi"))
+        return nodes_.join(above, "up").select("id", "kind", F.col("a_root").alias("root"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.col("a_up").alias("up"), *text)
+
     left = rest.count()
     while left:
-        above = done.union(rest).select(F.col("id").alias("up"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("up").alias("a_up"), *([F.col("path").alias("a_path")] if path else []))
-        text = [F.concat_ws("/", "a_path", "path").alias("path")] if path else []
-        state = stage(rest.join(above, "up").select("id", "kind", F.col("a_root").alias("root"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.col("a_up").alias("up"), *text))
+        state = stage(lifted(rest, done.union(rest)))
         done, rest = done.union(state.filter("up is null")), state.filter("up is not null")
         was, left = left, rest.count()
         if left == was:
             break
-    return done.drop("up")
+    return done.union(lifted(leaves, done)).drop("up")
 
 
 def descend(tree: DataFrame, tops: DataFrame, levels: int = 16) -> DataFrame:
@@ -93,14 +104,14 @@ def recursive(body: str, walk: str = WALK_SQL, **more: str) -> str:
 
 @REG.add("hie_tree_rollup", recursive("SELECT root, kind, count(*) AS n, max(depth)::BIGINT AS depth, min(path) AS first_path FROM walk GROUP BY root, kind"))
 def hie_tree_rollup(spark, sf_dir):
-    walked = ancestry(nodes(spark, sf_dir), path=True)
+    walked = ancestry(stage(nodes(spark, sf_dir).select("id", "kind", "parent_id")), path=True)
     return walked.groupBy("root", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.min("path").alias("first_path"))
 
 
 @REG.add("hie_root_of_all", recursive("SELECT w.id, w.root, r.payload AS root_payload FROM walk w JOIN nodes r ON w.root = r.id"))
 def hie_root_of_all(spark, sf_dir):
     """HIE-1: root and its payload for every node."""
-    tree = nodes(spark, sf_dir)
+    tree = stage(nodes(spark, sf_dir).select("id", "kind", "parent_id", "payload"))
     tops = small(roots_of(tree).select(F.col("id").alias("root"), F.col("payload").alias("root_payload")))
     return ancestry(tree).join(tops, "root").select("id", "root", "root_payload")
 
@@ -132,8 +143,8 @@ def hie_enclosing(spark, sf_dir):
 
 
 def lifted_closure(tree: DataFrame, seeds: DataFrame) -> DataFrame:
-    """HIE-3: the ids under the top-level ancestors (children of roots) of the seeds, at any depth."""
-    tree = stage(tree.select("id", "kind", "parent_id"))
+    """HIE-3: the ids under the top-level ancestors (children of roots) of the seeds, at any depth. tree is read several times."""
+    tree = tree.select("id", "kind", "parent_id")
     roots = small(stage(roots_of(tree).select(F.col("id").alias("parent_id"))))
     tops = tree.join(roots, "parent_id", "left_semi").select("id")
     under = stage(ancestry(tree.filter("parent_id is not null"), tops).select("id", F.col("root").alias("top")))
@@ -153,9 +164,10 @@ LEFT JOIN inside j ON e.to_id = j.id WHERE j.id IS NULL GROUP BY e.to_id""", edg
     inside="SELECT id FROM walk WHERE split_part(path, '/', 2) IN (SELECT top FROM tops)"))
 def hie_closure_edges(spark, sf_dir):
     """HIE-3: edges that leave the closure, counted by target."""
-    tree = nodes(spark, sf_dir)
+    lines = stage(order_lines(spark, sf_dir).select("l_orderkey", "l_partkey", "l_returnflag", "pos"))
+    tree = stage(nodes(spark, sf_dir, lines).select("id", "kind", "parent_id"))
     inside = stage(lifted_closure(tree, tree.filter(F.col("id").isin("O0", "O7", "C3"))))
-    return leaving(inside, edges(spark, sf_dir)).groupBy("to_id").agg(F.count("*").alias("n"))
+    return leaving(inside, edges(spark, sf_dir, lines)).groupBy("to_id").agg(F.count("*").alias("n"))
 
 
 @REG.add("hie_deep_closure", """

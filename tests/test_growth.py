@@ -25,3 +25,18 @@ def test_arm_ratio_on_the_edge_of_a_place(spark):
     for order in (F.col("value"), F.col("value").desc()):
         got = rows(stats.arm_costs(df.repartition(1).sortWithinPartitions(order)))
         assert got == [(1, 644.52, 670.72, 0.960938, False), (2, 0.375, 0.3, 1.25, False)]  # 0.9609375, and exactly at the threshold
+
+
+def test_leaves_are_in_no_round_of_ancestry(spark, monkeypatch):
+    mids = [(f"m{i}", "mid", "r") for i in range(3)] + [(f"n{i}", "mid", f"m{i}") for i in range(3)]
+    leaves = [(f"x{i}", "leaf", f"n{i % 3}") for i in range(60)]
+    lost = [("c", "mid", "d"), ("d", "mid", "c"), ("under", "leaf", "c"), ("gone", "leaf", "nowhere"), ("alone", "root", None)]
+    df = spark.createDataFrame([("r", "root", None), *mids, *leaves, *lost], "id string, kind string, parent_id string")
+    sizes, stage = [], tree.stage
+    monkeypatch.setattr(tree, "stage", lambda d: sizes.append(d.count()) or stage(d))
+    got = {r["id"]: tuple(r)[1:] for r in tree.ancestry(df, path=True).select("id", "root", "depth", "path").collect()}
+    assert len(got) == 1 + 6 + 60 + 1
+    assert got["x4"] == ("r", 3, "r/m1/n1/x4") and got["alone"] == ("alone", 0, "alone")
+    assert max(sizes[1:]) < 60
+    under = {r["id"]: (r["root"], r["depth"]) for r in tree.ancestry(df, df.filter("id in ('m1', 'x0')").select("id")).collect()}
+    assert under["x4"] == ("m1", 2) and under["x0"] == ("x0", 0) and under["x3"] == ("r", 3)
