@@ -40,3 +40,11 @@ def test_leaves_are_in_no_round_of_ancestry(spark, monkeypatch):
     assert max(sizes[1:]) < 60
     under = {r["id"]: (r["root"], r["depth"]) for r in tree.ancestry(df, df.filter("id in ('m1', 'x0')").select("id")).collect()}
     assert under["x4"] == ("m1", 2) and under["x0"] == ("x0", 0) and under["x3"] == ("r", 3)
+
+
+def test_edges_without_source_meet_no_null_parent(spark):
+    edges = spark.createDataFrame([("o1", "c1", "value"), ("l1", "p1", "type"), ("l2", "p1", "type"), ("o2", "c9", "value")], "from_id string, to_id string, kind string")
+    sources = spark.createDataFrame([("o1", "c1"), ("o2", "c9")], "from_id string, parent_id string")
+    nodes = spark.createDataFrame([("c1", "Customer"), ("o1", "Order")], "id string, kind string")
+    out = refs.enriched_uses(edges, sources, nodes)
+    assert rows(out.select("from_id", "parent_id", "under")) == sorted([("o1", "c1", "Customer"), ("l1", None, None), ("l2", None, None), ("o2", "c9", None)], key=str)
