@@ -48,3 +48,9 @@ def test_edges_without_source_meet_no_null_parent(spark):
     nodes = spark.createDataFrame([("c1", "Customer"), ("o1", "Order")], "id string, kind string")
     out = refs.enriched_uses(edges, sources, nodes)
     assert rows(out.select("from_id", "parent_id", "under")) == sorted([("o1", "c1", "Customer"), ("l1", None, None), ("l2", None, None), ("o2", "c9", None)], key=str)
+
+
+def test_resolved_links_are_distinct_without_an_exchange(spark, sf_dir):
+    got = refs.joi_resolve_all(spark, sf_dir)
+    assert got.count() == got.distinct().count()
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
