@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 PARTS, DIGITS = 4, 15
 
 
+#: Numbers are summed in two halves, which stay longs for up to 2 ** 33 rows of a group; sums of decimals take several times as long.
+HALF = 30
+
+
 def summed_parts(text: Column) -> list[Column]:
     """Aggregates n, s0 to s3: the number of rows and the sums of their hashes. They add up and subtract over parts of a table."""
     row = F.sha2(F.coalesce(text, F.lit("\0")), 256)
-    sums = [F.sum(F.conv(F.substring(row, 1 + DIGITS * i, DIGITS), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(PARTS)]
-    return [F.count(F.lit(1)).alias("n"), *sums]
+
+    def summed(i: int) -> Column:
+        number = F.conv(F.substring(row, 1 + DIGITS * i, DIGITS), 16, 10).cast("long")
+        high, low = F.sum(F.shiftright(number, HALF)), F.sum(number.bitwiseAND((1 << HALF) - 1))
+        return (high.cast("decimal(28,0)") * F.lit(1 << HALF).cast("decimal(10,0)") + low.cast("decimal(28,0)")).cast("decimal(38,0)")
+
+    return [F.count(F.lit(1)).alias("n"), *[summed(i).alias(f"s{i}") for i in range(PARTS)]]
 
 
 def row_parts(text: Column) -> list[Column]:

@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from coppice.operators import refs, stats, tree
+from coppice.plans import digests
 from coppice.sources import files
 
 
@@ -54,3 +55,13 @@ def test_resolved_links_are_distinct_without_an_exchange(spark, sf_dir):
     got = refs.joi_resolve_all(spark, sf_dir)
     assert got.count() == got.distinct().count()
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_digest_parts_are_sums_of_longs(spark):
+    texts = [f"row {i}" for i in range(500)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    made = df.agg(*digests.summed_parts(F.col("t")))
+    hashes = [hashlib.sha256(("\0" if t is None else t).encode()).hexdigest() for t in texts]
+    assert tuple(made.first()) == (502, *[sum(int(h[15 * i : 15 * i + 15], 16) for h in hashes) for i in range(4)])
+    assert "as decimal(38,0)))" not in made._jdf.queryExecution().analyzed().toString()  # no sum takes decimals
+    assert df.filter("t = 'none'").agg(*digests.summed_parts(F.col("t"))).first()["s0"] is None
