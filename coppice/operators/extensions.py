@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from coppice.operators.edits import tokens
 from coppice.operators.refs import violations
 from coppice.operators.tree import append_child
 from coppice.registration import Registry
@@ -23,13 +22,15 @@ def name_rows(segs: DataFrame, pattern: str) -> DataFrame:
     """PRJ-9 (re-aimed): module, child_index, name, offset: the token that the declaration pattern's first group names.
 
     The match is by text and offset, so an equal word earlier in the segment (in a remark,
-    say) is not taken for the name.
+    say) is not taken for the name. Whether a whole token stands at the offset is told by the
+    segment alone: a word character before it, or more of them after the name, and there is
+    none. So a segment's tokens are no rows, and nothing is shuffled.
     """
     name = F.regexp_extract("payload", pattern, 2)
-    at = F.char_length(F.regexp_extract("payload", pattern, 1)).cast("long")
-    named = segs.filter(F.col("payload").rlike(pattern)).select("module", "child_index", name.alias("token"), at.alias("offset"))
-    found = tokens(segs, r"\w+").select("module", "child_index", "token", "offset")
-    return named.join(found, ["module", "child_index", "token", "offset"], "left_semi").select("module", "child_index", F.col("token").alias("name"), "offset")
+    at = F.char_length(F.regexp_extract("payload", pattern, 1))
+    before, rest = F.substr("payload", at, F.lit(1)), F.substr("payload", at + 1)
+    whole = (F.regexp_extract(rest, r"^\w+", 0) == name) & (name != "") & ((at == 0) | ~before.rlike(r"\w"))
+    return segs.filter(F.col("payload").rlike(pattern) & whole).select("module", "child_index", name.alias("name"), at.cast("long").alias("offset"))
 
 
 @REG.add("prj_name_rows", with_sql(r"""

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from coppice.operators import refs, stats, tree
+from coppice.operators import extensions, refs, stats, tree
 from coppice.plans import digests
 from coppice.sources import files
 
@@ -65,3 +65,12 @@ def test_digest_parts_are_sums_of_longs(spark):
     assert tuple(made.first()) == (502, *[sum(int(h[15 * i : 15 * i + 15], 16) for h in hashes) for i in range(4)])
     assert "as decimal(38,0)))" not in made._jdf.queryExecution().analyzed().toString()  # no sum takes decimals
     assert df.filter("t = 'none'").agg(*digests.summed_parts(F.col("t"))).first()["s0"] is None
+
+
+def test_name_rows_are_whole_tokens_and_shuffle_nothing(spark):
+    lines = [(1, 0, "def run(x)"), (1, 1, "def runs"), (1, 2, "defer a"), (None, 3, "def run, run"), (2, 0, "é def run"), (2, 1, "")]
+    segs = spark.createDataFrame(lines, "module long, child_index long, payload string")
+    made = extensions.name_rows(segs, r"^((?:é )?def )(run)")
+    assert rows(made) == sorted([(1, 0, "run", 4), (None, 3, "run", 4), (2, 0, "run", 6)], key=str)
+    assert rows(extensions.name_rows(segs, r"^(d)(ef)")) == []  # inside a token
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
