@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coppice.functions.columns import key_class
+from coppice.plans.scans import blocked
 from coppice.plans.staging import stage
 from coppice.registration import Registry
 from coppice.sources.adapters import EDGES_SQL, LOG_SQL, NODES_SQL, edges, log, nodes, read, with_sql
@@ -55,56 +57,96 @@ def joi_ready_items(spark, sf_dir):
 #: So many (item, key) rows are few enough for one task: 200,000 rows are some 5 MB.
 ONE_TASK_ROWS = 200_000
 
+#: Blocks of the queue that go on together, at least, and groups of such blocks, at most.
+GROUP_BLOCKS, GROUPS = 8, 16
 
-def waves(queued: DataFrame, item_keys: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """STR-6 by repetition: item, wave. A round admits the ready items and takes them away; the others age by one.
 
-    The longest chain of conflicts decides the number of rounds; each ends at least the oldest
-    item, so they end. What a round leaves is written and read back. Rounds get small long
-    before they end: once no more than one_task_rows keys are waited for, one task deals with
-    the rest in the order of the queue, to the same result.
+def waves(queued: DataFrame, item_keys: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """STR-6: item, wave: a round admits the ready items and takes them away; the number of the round that admits an item.
+
+    That is one more than the highest wave of the items before it, in the order of seq and item,
+    on any of its keys; so the rounds themselves need not be run. The queue is cut in blocks of
+    some one_task_rows (item, key) rows. A task goes through a block in order, from the highest
+    waves of its keys in the blocks before, as far as these are known; what it then knows of its
+    keys is carried on, and blocks that began from too little go again, until none did. In a
+    group of n blocks this ends after n turns at most, as the first block's waves are right at
+    once, and after few where conflicts are near one another or far apart. Groups follow each
+    other. No chain of conflicts, however long, is more jobs or a larger task.
+    """
+    rows, n = blocked(stage(queued.select("item", "seq").join(item_keys.select("item", "key"), "item", "left")), ["seq", "item"], max(one_task_rows, 1))
+    kinds = dict(rows.dtypes)
+    made = f"_block int, item {kinds['item']}, key {kinds['key']}, wave long, had long"
+    size = max(GROUP_BLOCKS, -(-n // GROUPS))
+    highs, done = rows.select("key", F.lit(0).cast("long").alias("wave")).limit(0), []
+    for first in range(0, max(n, 1), size):
+        group = rows.filter(F.col("_block").between(first, first + size - 1))
+        ends = group.filter("key is not null").select("_block", "key").distinct().select("_block", "key", F.lit(0).cast("long").alias("wave"), F.lit(None).cast("long").alias("had"))
+        todo, parts = None, []
+        while todo is None or todo:
+            known = stage(_carried(highs, ends))
+            if parts:
+                todo = [r["_block"] for r in known.filter("high > had").select("_block").distinct().collect()]  # at most the blocks of a group
+                if not todo:
+                    break
+            mine = lambda df: df.filter(F.col("_block").isin(todo)) if todo else df  # noqa: B023, E731
+            turn = mine(group).select("_block", "seq", "item", "key", F.lit(None).cast("long").alias("high")).unionByName(mine(known).select("_block", "key", "high"), allowMissingColumns=True)
+            turn = turn.repartitionById(size, (F.col("_block") - first).cast("int")).sortWithinPartitions("_block", F.col("high").isNull(), "seq", "item")
+            parts = [p.filter(~F.col("_block").isin(todo)) for p in parts] + [stage(turn.mapInArrow(_in_turn(), made))]
+            whole = reduce(DataFrame.union, parts)
+            ends = whole.filter("had is not null").select("_block", "key", "wave", "had")
+        done.append(whole.filter("had is null").select("item", "wave"))
+        if first + size < n:
+            highs = stage(highs.union(ends.select("key", "wave")).groupBy("key").agg(F.max("wave").alias("wave")))
+    return reduce(DataFrame.union, done)
+
+
+def _carried(highs: DataFrame, ends: DataFrame) -> DataFrame:
+    """ends (_block, key, wave: the highest on the key by the end of the block, had) with high: the highest wave on the key before the block."""
+    before = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    both = ends.unionByName(highs.withColumn("_block", F.lit(-1)), allowMissingColumns=True)
+    return both.withColumn("high", F.coalesce(F.max("wave").over(before), F.lit(0))).filter("_block >= 0")
+
+
+def _in_turn():
+    """Waves of items in the order of the queue, for each block by itself, and then the highest wave on each of its keys with the one it began from (had).
+
+    Rows of a block: first those with high, the highest wave on a key before it; then those of items, the rows of an item following one another.
     """
-    none = item_keys.select("key").limit(0)
-    rest, done, wave = stage(queued.select("item", "seq")), [], 0
-    left = stage(item_keys.join(rest.select("item"), "item", "left_semi"))
-    while left.count() > one_task_rows:
-        wave += 1
-        now = stage(ready(rest, left, none).select("item", F.lit(wave).cast("long").alias("wave")))
-        done.append(now)
-        rest = stage(rest.join(now, "item", "left_anti"))
-        left = stage(left.join(rest.select("item"), "item", "left_semi"))
-    kinds = dict(queued.dtypes)
-    last = rest.join(left, "item", "left").select("seq", "item", "key").repartition(1).sortWithinPartitions("seq", "item")
-    out = last.mapInPandas(_in_turn(wave), f"item {kinds['item']}, wave long")
-    for part in done:
-        out = out.union(part)
-    return out
-
-
-def _in_turn(start: int):
-    """Waves of items in the order of the queue: one more than the highest wave so far on any of an item's keys. Rows of an item follow one another."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        high: dict = {}
-        items, out, item, keys = [], [], None, []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, high, came, item, keys, out, kinds = None, {}, {}, None, None, [], None
 
         def close() -> None:
-            wave = 1 + max((high.get(k, start) for k in keys), default=start)
+            wave = 1 + max((high.get(k, 0) for k in keys), default=0)
             high.update(dict.fromkeys(keys, wave))
-            items.append(item)
-            out.append(wave)
+            out.append((block, item, None, wave, None))
+
+        def made() -> pa.RecordBatch:
+            ends = [(block, None, k, high[k], h) for k, h in came.items()]
+            cols = zip(*(out + ends), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["_block", "item", "key", "wave", "had"])
 
-        for frame in frames:
-            for i, key in zip(frame["item"].tolist(), frame["key"].tolist(), strict=True):
-                if item is not None and i != item:
+        for batch in batches:
+            kinds = [pa.int32(), batch.schema.field("item").type, batch.schema.field("key").type, pa.int64(), pa.int64()]
+            for b, i, key, h in zip(*(batch.column(c).to_pylist() for c in ("_block", "item", "key", "high")), strict=True):
+                if (b != block or i != item) and keys is not None:
                     close()
-                    keys = []
-                item = i
-                if key is not None and key == key:
+                    keys = None
+                if b != block:
+                    if out:
+                        yield made()
+                    block, high, came, out = b, {}, {}, []
+                if h is not None:
+                    high[key] = came[key] = h
+                    continue
+                if keys is None:
+                    item, keys = i, []
+                if key is not None:
                     keys.append(key)
-        if item is not None:
+        if keys is not None:
             close()
-        yield pd.DataFrame({"item": items, "wave": out})
+        if out:
+            yield made()
 
     return run
 

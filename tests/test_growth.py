@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from coppice.operators import extensions, refs, stats, tree
+from coppice.operators import admission, extensions, refs, stats, tree
 from coppice.plans import digests
 from coppice.sources import files
 
@@ -74,3 +74,14 @@ def test_name_rows_are_whole_tokens_and_shuffle_nothing(spark):
     assert rows(made) == sorted([(1, 0, "run", 4), (None, 3, "run", 4), (2, 0, "run", 6)], key=str)
     assert rows(extensions.name_rows(segs, r"^(d)(ef)")) == []  # inside a token
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_chain_of_conflicts_is_few_turns(spark, monkeypatch):
+    items = [(f"i{i}", i // 2) for i in range(300)]
+    keys = [(i, 7) for i, _ in items] + [("i5", 8), ("i290", 8), ("i9", None), ("gone", 7)]
+    staged, stage = [], admission.stage
+    monkeypatch.setattr(admission, "stage", lambda d: staged.append(1) or stage(d))
+    got = admission.waves(spark.createDataFrame([*items, ("free", None)], "item string, seq long"), spark.createDataFrame(keys, "item string, key long"), 80)
+    order = sorted(items, key=lambda r: (r[1], r[0]))
+    assert rows(got) == sorted([("free", 1), *[(i, n + 1) for n, (i, _) in enumerate(order)]], key=str)
+    assert len(staged) < 20
