@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from coppice.functions.columns import capped
 from coppice.operators.edits import tokens
 from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
+from coppice.plans.joins import dealt
 from coppice.plans.staging import stage
 from coppice.registration import Registry
 from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges, nodes, order_lines, read, segments, with_sql
@@ -60,9 +61,12 @@ def enriched_uses(refs: DataFrame, sources: DataFrame, tree: DataFrame) -> DataF
     """JOI-4: refs with parent_id (of the source, from sources: from_id, parent_id) and under, the parent's kind; nulls where there is none.
 
     Sources get their parents' kinds before they meet the edges: edges without a source would
-    all have the same null parent, and go through one task of the second join.
+    all have the same null parent, and go through one task of the second join. Both joins take
+    more tasks as the tables grow.
     """
-    under = sources.join(tree.select(F.col("id").alias("parent_id"), F.col("kind").alias("under")), "parent_id", "left")
+    sources, parents = dealt(["parent_id"], sources, tree.select(F.col("id").alias("parent_id"), F.col("kind").alias("under")))
+    under = sources.join(parents, "parent_id", "left")
+    refs, under = dealt(["from_id"], refs, under)
     return refs.join(under, "from_id", "left")
 
 

@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from coppice.plans.scans import BLOCK_ROWS, Running, scanned
 
 
+#: Rows of one task of a join of large tables, and so many tasks at least, or Spark deals the rows.
+TASK_ROWS, TASKS = 500_000, 8
+
+
+def dealt(keys: list[str], *sides: DataFrame, task_rows: int | None = None) -> list[DataFrame]:
+    """The sides of a join by keys over so many partitions that a task gets some task_rows of the largest; sides of few rows stay as they are.
+
+    Left alone, Spark puts partitions together until they are as few as its cores, so what a
+    task sorts grows with the table. The rows of one key still share a task.
+    """
+    parts = max(s.count() for s in sides) // (task_rows or TASK_ROWS)
+    if parts < TASKS:
+        return list(sides)
+    # with fewer partitions than the session's Spark would shuffle again
+    parts = max(parts, int(sides[0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return [s.repartition(parts, *keys) for s in sides]
+
+
 def containing_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, bin_width: int = 1024) -> DataFrame:
     """Each point with the spans of its keys for which start <= point < end.
 

@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from coppice.operators import admission, extensions, refs, stats, tree
-from coppice.plans import digests
+from coppice.plans import digests, joins
 from coppice.sources import files
 
 
@@ -85,3 +85,13 @@ def test_a_long_chain_of_conflicts_is_few_turns(spark, monkeypatch):
     order = sorted(items, key=lambda r: (r[1], r[0]))
     assert rows(got) == sorted([("free", 1), *[(i, n + 1) for n, (i, _) in enumerate(order)]], key=str)
     assert len(staged) < 20
+
+
+def test_large_joins_get_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    ids = spark.range(1000).selectExpr("'o' || id AS id", "'c' || id % 50 AS c")
+    edges = ids.selectExpr("id AS from_id", "c AS to_id", "'value' AS kind")
+    nodes = ids.selectExpr("c AS id", "'Customer' AS kind").distinct()
+    out = refs.enriched_uses(edges, ids.selectExpr("id AS from_id", "c AS parent_id"), nodes)
+    assert out.count() == 1000 and out.filter("under = 'Customer'").count() == 1000
+    assert "RepartitionByExpression [from_id" in out._jdf.queryExecution().optimizedPlan().toString()
