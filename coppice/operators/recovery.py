@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from coppice.operators.versions import BASE_SQL, CHANGES_SQL, apply_changes, base, changes, content_digest
 from coppice.plans.digests import PARTS, digest_of, row_parts, row_text, row_text_sql, summed_digest_sql
+from coppice.plans.joins import dealt
 from coppice.plans.scans import BLOCK_ROWS, Running, scanned
 from coppice.plans.staging import stage
 from coppice.registration import Registry
@@ -101,7 +102,9 @@ def recovery_faults(current: int, markers: DataFrame, tickets: DataFrame, events
     digests: generation, digest.
 
     The markers are five numbers, so they alone come to the driver; all else is aggregates and
-    joins by key. Of a resource that many dependencies name, one row is joined.
+    joins by key; events, index and
+    dependencies are joined in more tasks as they grow. Of a resource that many dependencies
+    name, one row is joined.
     """
     spark = markers.sparkSession
     known = {r["name"]: r["value"] for r in markers.filter(F.col("name").isin(*MARKERS)).groupBy("name").agg(F.max("value").alias("value")).collect()}
@@ -117,8 +120,9 @@ def recovery_faults(current: int, markers: DataFrame, tickets: DataFrame, events
     one = lambda df, rule, what: df.select(F.lit(rule).alias("rule"), F.col(what).cast("string").alias("what"))
     queue = tickets.agg(F.greatest(F.coalesce(F.max("queue_sequence") + 1, F.lit(1)), F.lit(1)).cast("long").alias("next"))
     head = events.agg(F.coalesce(F.max("sequence"), F.lit(0)).cast("long").alias("last"))
-    pairs = events.select("event_id", "sequence")
-    wanted = dependencies.filter("clock > 0").select("resource").distinct()
+    pairs, entries = dealt(["event_id", "sequence"], events.select("event_id", "sequence"), index.select("event_id", "sequence"))
+    named, known_ids = dealt(["event_id"], events.select("event_id", "sequence"), index.select("event_id"))
+    wanted, clocked = dealt(["resource"], dependencies.filter("clock > 0").select("resource"), clocks.select("resource"))
     joined = (
         attempts.join(change_sets.select("change_set", "state", F.col("generation").alias("committed")), "change_set", "left")
         .join(operations.select("generation", F.col("change_set").alias("operation")), "generation", "left").join(digests.select("generation", F.col("digest").alias("recorded")), "generation", "left")
@@ -128,10 +132,10 @@ def recovery_faults(current: int, markers: DataFrame, tickets: DataFrame, events
         spark.createDataFrame(own, "rule string, what string"),
         one(queue.filter(F.col("next") != value("next_queue_sequence")), "queue_marker", "next"),
         one(head.filter(F.col("last") != value("current_event_sequence")), "event_marker", "last"),
-        one(events.groupBy("event_id").count().filter("count > 1"), "event_twice", "event_id"),
-        one(index.join(pairs, ["event_id", "sequence"], "left_anti"), "index_differs", "event_id"),
-        one(pairs.join(index.select("event_id"), "event_id", "left_anti"), "index_missing", "event_id"),
-        one(wanted.join(clocks.select("resource").distinct(), "resource", "left_anti"), "clock_missing", "resource"),
+        one(named.groupBy("event_id").count().filter("count > 1"), "event_twice", "event_id"),
+        one(entries.join(pairs, ["event_id", "sequence"], "left_anti"), "index_differs", "event_id"),
+        one(named.join(known_ids, "event_id", "left_anti"), "index_missing", "event_id"),
+        one(wanted.distinct().join(clocked.distinct(), "resource", "left_anti"), "clock_missing", "resource"),
         one(joined.filter(~F.coalesce(F.col("generation").between(1, current), F.lit(False))), "attempt_generation", "attempt"),
         one(joined.filter(~bound), "attempt_unbound", "attempt"),
         one(joined.filter(~F.col("operation").eqNullSafe(F.col("change_set"))), "attempt_operation", "attempt"),

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from coppice.operators import admission, extensions, refs, stats, tree
+from coppice.operators import admission, extensions, recovery, refs, stats, tree
 from coppice.plans import digests, joins
 from coppice.sources import files
 
@@ -95,3 +95,16 @@ def test_large_joins_get_more_tasks(spark, monkeypatch):
     out = refs.enriched_uses(edges, ids.selectExpr("id AS from_id", "c AS parent_id"), nodes)
     assert out.count() == 1000 and out.filter("under = 'Customer'").count() == 1000
     assert "RepartitionByExpression [from_id" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_logs_are_audited_in_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    ev = spark.range(200).selectExpr("'e' || id AS event_id", "id AS sequence")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    found = recovery.recovery_faults(
+        1, spark.createDataFrame([(m, 0) for m in recovery.MARKERS], "name string, value long"), none("queue_sequence long"), ev, ev.filter("sequence <> 7"),
+        ev.selectExpr("event_id AS resource", "1L AS clock"), ev.filter("sequence <> 9").selectExpr("event_id AS resource"), none("attempt string, generation long, change_set long, digest string"),
+        none("change_set long, state string, generation long"), none("generation long, change_set long"), none("generation long, digest string"))
+    got = rows(found)
+    assert {("index_missing", "e7"), ("clock_missing", "e9")} <= set(got) and not [r for r in got if r[0] in ("index_differs", "event_twice")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [resource") == 2
