@@ -66,7 +66,7 @@ def enriched_uses(refs: DataFrame, sources: DataFrame, tree: DataFrame) -> DataF
     """
     sources, parents = dealt(["parent_id"], sources, tree.select(F.col("id").alias("parent_id"), F.col("kind").alias("under")))
     under = sources.join(parents, "parent_id", "left")
-    refs, under = dealt(["from_id"], refs, under)
+    refs, under = dealt(["from_id"], refs, under, counted=[refs, sources])
     return refs.join(under, "from_id", "left")
 
 

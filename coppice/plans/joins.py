@@ -12,13 +12,14 @@ from coppice.plans.scans import BLOCK_ROWS, Running, scanned
 TASK_ROWS, TASKS = 500_000, 8
 
 
-def dealt(keys: list[str], *sides: DataFrame, task_rows: int | None = None) -> list[DataFrame]:
+def dealt(keys: list[str], *sides: DataFrame, counted: list[DataFrame] | None = None, task_rows: int | None = None) -> list[DataFrame]:
     """The sides of a join by keys over so many partitions that a task gets some task_rows of the largest; sides of few rows stay as they are.
 
     Left alone, Spark puts partitions together until they are as few as its cores, so what a
-    task sorts grows with the table. The rows of one key still share a task.
+    task sorts grows with the table. The rows of one key still share a task. `counted` stands for sides that are dear
+    to count.
     """
-    parts = max(s.count() for s in sides) // (task_rows or TASK_ROWS)
+    parts = max(s.count() for s in counted or sides) // (task_rows or TASK_ROWS)
     if parts < TASKS:
         return list(sides)
     # with fewer partitions than the session's Spark would shuffle again
