@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,9 @@ from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges,
 
 REG = Registry()
 
+#: Bytes of texts in one batch for Python, and in one run of rows that are Python strings at once.
+BATCH_BYTES, RUN_BYTES = 4 << 20, 1 << 20
+
 
 def name_rows(segs: DataFrame, pattern: str) -> DataFrame:
     """PRJ-9 (re-aimed): module, child_index, name, offset: the token that the declaration pattern's first group names.
@@ -92,14 +96,32 @@ def udx_gates(spark, sf_dir):
 
 
 def split_rows(rows: DataFrame, splitter: Callable[[str], list[str]], id_col: str = "module") -> DataFrame:
-    """UDX-3: any Python splitter of a text, one row in and many out, in batches: id, place, piece."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [(i, place, piece) for i, text in zip(frame["id"], frame["text"], strict=True) for place, piece in enumerate(splitter(text or ""))]
-            yield pd.DataFrame(made, columns=["id", "place", "piece"])
+    """UDX-3: any Python splitter of a text, one row in and many out, in batches: id, place, piece.
 
-    return rows.select(F.col(id_col).alias("id"), "text").mapInPandas(run, "id long, place long, piece string")
+    Texts come to Python in batches of BATCH_BYTES, and are Python strings with their pieces for
+    some RUN_BYTES at a time, so a task's memory does not grow with the table; a text and its pieces are held whole.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    most = RUN_BYTES
+
+    def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes, at = pc.binary_length(batch.column(1)).to_pylist(), 0
+        while at < batch.num_rows:
+            end, held = at + 1, sizes[at] or 0
+            while end < batch.num_rows and held + (sizes[end] or 0) <= most:
+                held, end = held + (sizes[end] or 0), end + 1
+            yield batch.slice(at, end - at)
+            at = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch):
+                ids, made = part.column(0).to_pylist(), [splitter(text or "") for text in part.column(1).to_pylist()]
+                owner = pa.array([i for i, m in zip(ids, made, strict=True) for _ in m], pa.int64())
+                places, pieces = [place for m in made for place in range(len(m))], [piece for m in made for piece in m]
+                yield pa.RecordBatch.from_arrays([owner, pa.array(places, pa.int64()), pa.array(pieces, pa.string())], ["id", "place", "piece"])
+
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, place long, piece string")
 
 
 @REG.add("udx_split", "SELECT id, place - 1 AS place, md5(parts[place]) AS piece_md5 FROM (SELECT doc_id AS id, string_split(text, '. ') AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS place)")

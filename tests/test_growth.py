@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from coppice.operators import admission, extensions, recovery, refs, stats, tree
@@ -108,3 +109,21 @@ def test_large_logs_are_audited_in_more_tasks(spark, monkeypatch):
     got = rows(found)
     assert {("index_missing", "e7"), ("clock_missing", "e9")} <= set(got) and not [r for r in got if r[0] in ("index_differs", "event_twice")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [resource") == 2
+
+
+def test_split_texts_are_few_at_a_time(spark, monkeypatch):
+    """Pieces leave Python by runs of texts of so many bytes, and a longer text alone; null texts, ids and none at all are rows as before."""
+    monkeypatch.setattr(extensions, "RUN_BYTES", 100)
+    texts = [(i, f"a{i}. b. é" * (1 + i % 3)) for i in range(40)] + [(99, "x. " * 200), (100, None), (None, "p. q"), (101, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = [(i, k, piece) for i, t in texts for k, piece in enumerate((t or "").split(". "))]
+    made = extensions.split_rows(docs, lambda t: t.split(". "), "doc_id")
+    assert rows(made) == sorted(want, key=str)
+
+    seen = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: seen.append(f) or self)
+    extensions.split_rows(docs, lambda t: t.split(". "), "doc_id")
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts], pa.int64()), pa.array([t for _, t in texts])], ["id", "text"])
+    out = list(seen[0](iter([batch])))
+    assert len(out) > 10 and sum(b.num_rows for b in out) == len(want)
+    assert all(b.num_rows == 201 or sum(len(x) for x in b.column(2).to_pylist()) <= 100 for b in out)
