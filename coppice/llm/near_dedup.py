@@ -9,7 +9,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from coppice.llm.common import ROW, bit_map, keep_smallest, maybe_broadcast, rows_of, ship, stage, with_marks, with_rows
 from coppice.llm.components import connected_components
@@ -25,6 +24,8 @@ SHINGLE_BLOCK = 128
 STARS_MOST = 4
 #: Slots of the parities by which open pairs are joined.
 FOLD = 1024
+#: Slots in which shingles of open texts are counted, in so many rows; powers of two.
+SLOTS_MOST, CHUNKS = 1 << 21, 64
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _made: dict = {}
@@ -158,23 +159,73 @@ def _still_open(keyed: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
     return stage(marked.join(runs.select("key", "top"), "key")), left
 
 
-def _rarest(texts: DataFrame) -> DataFrame:
-    """(key, node, n): for each text the shingles among its n - ceil(0.8 n) + 1 rarest that another text has too.
+def _slot_counts(slots: int):
+    """How many shingles of a task's texts fall in each slot, as CHUNKS rows."""
 
-    In one order of all shingles, by how many of these texts have them, two sets of a Jaccard of
-    0.8 or more share one of so many of their first. Texts that have much in common but are
-    not near share only shingles that come later, so they meet no more.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.uint32)
+        for (texts,) in rows_of(batches):
+            for t in texts:
+                np.add.at(counts, (shingles(t) & np.uint64(slots - 1)).astype(np.int64), np.uint32(1))
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(CHUNKS, -1)], pa.binary())], ["chunk", "counts"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the rows of each chunk, which come one after another."""
+    at, held = None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    for batch in batches:
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            more = np.frombuffer(counts.as_buffer(), np.uint32)
+            if chunk == at:
+                held = held + more
+            else:
+                if at is not None:
+                    yield out()
+                at, held = chunk, more
+    if at is not None:
+        yield out()
+
+
+def _firsts(counted):
+    """(key, node, n): the first n - ceil(0.8 n) + 1 shingles of each text by the counts of their slots, without those that are alone in theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in counted.value])
+        for ids, texts in rows_of(batches):
+            keys, sizes, lengths = [], [], []
+            for t in texts:
+                h = shingles(t)
+                c = counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]
+                first = np.lexsort((h, c))[: len(h) + len(h) * NUM // -DEN + 1]
+                keys.append(h[first[c[first] > 1]])
+                sizes.append(len(keys[-1]))
+                lengths.append(len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(lengths, np.int64), sizes))], ["key", "node", "n"])
+
+    return run
+
+
+def _rarest(texts: DataFrame, most: int = SLOTS_MOST) -> DataFrame:
+    """(key, node, n): for each text the shingles among its n - ceil(0.8 n) + 1 rarest that another text may have too.
+
+    In one order of all shingles, two sets of a Jaccard of 0.8 or more share one of so many of
+    their first. The order is by how many shingles of these texts fall in a shingle's slot, then
+    by hash; so any number of slots misses nothing, and the more there are the nearer it is to
+    the order by how many texts have a shingle. Texts that have much in common but are not near
+    share only shingles that come later, so they meet no more. A shingle that is alone in its
+    slot is nobody's meeting point. Only what is kept becomes rows; the counts are 8 MB at most.
     """
-    sets = stage(texts.mapInArrow(_sets, "node long, hashes binary, tokens array<long>").select("node", F.explode("tokens").alias("key")))
-    busy = stage(sets.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    marked = stage(with_marks(sets, F.col("key"), *bit_map(busy.select(F.col("key").alias("hash")), busy.count())).select("node", "key", "coppice_hit"))
-    # what comes once takes the first places, but is nobody's meeting point; the map lets a few of it through
-    hits = marked.filter("coppice_hit").select("node", "key")
-    once = marked.filter("not coppice_hit").select("node", "key").union(hits.join(busy, "key", "left_anti").select("node", "key"))
-    counted = hits.join(busy, "key").select("node", "key", "c").union(once.withColumn("c", F.lit(1).cast("long")))
-    own = Window.partitionBy("node")  # no more rows than the text has shingles
-    placed = counted.withColumns({"n": F.count("*").over(own), "_at": F.row_number().over(own.orderBy("c", "key"))})
-    return stage(placed.filter((F.col("_at") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1) & (F.col("c") > 1)).select("key", "node", "n"))
+    counted = stage(texts.select("text").mapInArrow(_slot_counts(most), "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_added, "chunk int, counts binary"))
+    rows = [bytes(r["counts"]) for r in counted.orderBy("chunk").collect()]  # CHUNKS rows, 8 MB at most
+    shared = texts.sparkSession.sparkContext.broadcast(rows or [bytes(4)])
+    return stage(texts.mapInArrow(_firsts(shared), "key long, node long, n long"))
 
 
 def near_groups(rows: DataFrame, text_col: str = "text") -> DataFrame:

@@ -101,3 +101,23 @@ def test_links_among_look_alikes(spark, monkeypatch):
     _, got = candidates(spark, monkeypatch, rows)
     kept = plain_kept(rows)
     assert {c for c in got.values()} == kept
+
+
+def test_rarest_makes_rows_of_no_more_than_it_keeps(spark, monkeypatch):
+    """Near pairs share a kept shingle whatever the number of slots, and shingles that are not kept are no rows of any stage."""
+    rows = look_alikes(60) + [(1000 + i, edited(t, 2, i)) for i, t in look_alikes(20)]
+    rows += [(2000, ""), (2001, None), (2002, "one two")]
+    texts = spark.createDataFrame([(i, t or "") for i, t in rows], "_row long, text string").repartition(3)
+    sets = {i: plain_set(t or "") for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4}
+    assert len(near) >= 20
+    real, sizes = near_dedup.stage, []
+    monkeypatch.setattr(near_dedup, "stage", lambda df: sizes.append((made := real(df)).count()) or made)
+    for slots in (64, 1 << 21):
+        by = {}
+        for r in near_dedup._rarest(texts, slots).collect():
+            assert r.n == len(sets[r.node])
+            by.setdefault(r.node, set()).add(r.key)
+        assert all(by[a] & by[b] for a, b in near)
+        assert max(len(k) for k in by.values()) <= 96 - 77 + 1
+    assert max(sizes) <= sum(len(s) - -(-len(s) * 4 // 5) + 1 for s in sets.values())
