@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from coppice.plans.digests import PARTS, digest_of, row_text, row_text_sql, summed_digest, summed_digest_sql, summed_parts
 from coppice.plans.staging import folder, stage
@@ -111,6 +113,28 @@ class Store:
         put = last.filter("after is not null").select(*[c if c in t.keys else F.col(f"after.{c}").alias(c) for c in t.columns])
         return rows.join(last.select(*t.keys), list(t.keys), "left_anti").unionByName(put)
 
+    def digests(self, name: str) -> DataFrame:
+        """generation, read_digest: for every generation the summed digest of the table as at() reads it.
+
+        Each version of a row is read and hashed once, with the generations in which it is there;
+        the sums of versions that are there in the same ones (few) add up to those of the generations.
+        """
+        t, head, parts = self.tables[name], self.head(), []
+        for base in range(0, head + 1, self.COMPACT):
+            top = min(base + self.COMPACT - 1, head)
+            rows = self.spark.read.schema(t.schema).parquet(f"{self.path}/{name}/base/generation={base}")
+            changes = self.delta(name, base + 1, top)
+            until = changes.groupBy(*t.keys).agg(F.min("generation").alias("until"))
+            parts.append(rows.join(until, list(t.keys), "left").select(*t.columns, F.lit(base).alias("first"), F.coalesce(F.col("until") - 1, F.lit(top)).alias("last")))
+            last = F.coalesce(F.lead("generation").over(Window.partitionBy(*t.keys).orderBy("generation")) - 1, F.lit(top))  # a row of a key for each generation at most
+            put = changes.select(*t.keys, "after", F.col("generation").alias("first"), last.alias("last")).filter("after is not null")
+            parts.append(put.select(*[c if c in t.keys else F.col(f"after.{c}").alias(c) for c in t.columns], "first", "last"))
+        sums = reduce(DataFrame.unionByName, parts).groupBy("first", "last").agg(*summed_parts(row_text(*t.columns)))
+        every = self.spark.range(head + 1).select(F.col("id").cast("int").alias("generation"))
+        found = every.join(F.broadcast(sums), F.col("generation").between(F.col("first"), F.col("last")), "left").groupBy("generation")  # COMPACT ** 2 rows a base at most
+        whole = found.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), *[F.sum(c).alias(c) for c in SUMS])
+        return whole.select("generation", digest_of(F.col("n"), *[F.col(c) for c in SUMS]).alias("read_digest"))
+
     # --- writing ----------------------------------------------------------------------------------
 
     def _write_base(self, name: str, generation: int, rows: DataFrame) -> None:
@@ -297,11 +321,7 @@ def edt_store_rollback(spark, sf_dir):
     store.rollback("t1")
     store.rollback("t1")
     store.rollback("t2")
-    seen = None
-    for g in range(store.head() + 1):
-        for name, t in GRAPH.items():
-            one = store.at(name, g).agg(summed_digest(row_text(*t.columns)).alias("read_digest")).select(F.lit(g).alias("generation"), F.lit(name).alias("name"), "read_digest")
-            seen = one if seen is None else seen.union(one)
+    seen = reduce(DataFrame.unionByName, [store.digests(name).select("generation", F.lit(name).alias("name"), "read_digest") for name in GRAPH])
     logged = store.log().select("generation", "kind", "name", "affected", "inserted", "deleted", "n", digest_of(F.col("n"), *[F.col(s) for s in SUMS]).alias("digest"))
     return logged.join(F.broadcast(seen), ["generation", "name"])  # ten rows
 

@@ -101,3 +101,22 @@ def test_a_rename_report_is_capped_and_says_so(spark):
     assert [tuple(r) for r in rename_report(delta, 1).collect()] == [(1, 1, "a", "AA", 2, True)]
     assert sorted(tuple(r) for r in rename_report(delta, 2).collect()) == [(1, 1, "a", "AA", 2, False), (2, 3, "c", "C", 2, False)]
     assert rename_report(delta.limit(0)).collect() == []
+
+
+def test_digests_of_all_generations_read_a_base_once(spark, tmp_path, monkeypatch):
+    """The same as of each table as it is read, over bases, rows that go and come back, and no rows at all; no generation is merged for it."""
+    from coppice.operators.generations import Kept, Store
+    from coppice.plans.digests import row_text, summed_digest
+
+    monkeypatch.setattr(Store, "COMPACT", 3)
+    store = Store(spark, str(tmp_path / "store"), {"t": Kept(("k",), "k long, v string")}, 2)
+    change = lambda *rows: spark.createDataFrame(list(rows), "k long, v string, gone boolean")
+    store.seed(t=spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k long, v string"))
+    store.commit("t1", t=change((1, "b", False), (2, None, True), (4, "d", False)))
+    store.commit("t2", t=change((1, None, True), (3, None, True), (4, None, True)))
+    store.commit("t3", t=change((2, "z", False)))
+    store.commit("t4", t=change((2, "y", False), (5, "", False)))
+    want = {g: store.at("t", g).agg(summed_digest(row_text("k", "v"))).first()[0] for g in range(store.head() + 1)}
+    assert len(want) == 5 and store.at("t", 2).count() == 0
+    monkeypatch.setattr(store, "_merged", None)
+    assert {r["generation"]: r["read_digest"] for r in store.digests("t").collect()} == want
