@@ -1,4 +1,4 @@
-"""Near dedup for the pipeline: word shingles, MinHash bands for candidates, exact Jaccard on each of them."""
+"""Near dedup for the pipeline: SimHash fingerprints, then MinHash bands for what these cannot see, give candidates; exact Jaccard on each of them."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from coppice.llm.common import ROW, bit_map, keep_smallest, maybe_broadcast, rows_of, ship, stage, with_marks, with_rows
 from coppice.llm.components import connected_components
+from coppice.llm.simhash import fingerprint, linked
 
 WORDS, SEED = 5, 42
 #: Texts link at a Jaccard of NUM / DEN or more.
@@ -94,8 +95,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(ids, pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys)), pa.array([parities(s) for s in sets], pa.binary()),
+                pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)),
             ],
-            ["_row", "same", "n", "keys", "odd"],
+            ["_row", "same", "n", "keys", "odd", "fp"],
         )
 
 
@@ -149,14 +151,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
-def _still_open(keyed: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """Members of the keys that two components share (key, node, n, label, and top: the key's commonest label), and how many pairs of them are open."""
+def _still_open(keyed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Members of keys (key, node, n, label), the keys that two components share (key, and top: its commonest label), and how many pairs of these are open."""
     marked = stage(keyed.join(labels.select(F.col("a").alias("node"), F.col("b").alias("_label")), "node", "left").select("key", "node", "n", F.coalesce("_label", "node").alias("label")))
     shares = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
     squares = F.sum(F.col("c") * F.col("c")).alias("squares")
     runs = stage(shares.groupBy("key").agg(F.sum("c").alias("all"), squares, F.max(F.struct("c", "label"))["label"].alias("top")).filter("squares < all * all"))
     left = runs.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")).cast("decimal(38,0)") / 2)).first()[0] or 0  # one number
-    return stage(marked.join(runs.select("key", "top"), "key")), left
+    return marked, runs.select("key", "top"), left
 
 
 def _slot_counts(slots: int):
@@ -232,11 +234,13 @@ def near_groups(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """_row, component for every row: components of texts linked by a Jaccard of 0.8 or more over distinct five-word shingles.
 
     rows has a unique _row. Null text counts as empty; texts without words are equal to each
-    other. Rows with equal sets are one node, so copies cost nothing. Nodes that share one of
-    100 band keys are candidates. Parity bits reject most that are not near, and never one that
+    other. Rows with equal sets are one node, so copies cost nothing. Nodes whose fingerprints
+    link (operator 6) are candidates with the least of their component. At 0.8 fingerprints
+    differ in about ten bits, which no keys of four bits can see, so nodes that share one of
+    100 band keys are candidates too. Parity bits reject most that are not near, and never one that
     is; each link is checked on the sets themselves, so no link is wrong; one of exactly 0.8 is missed once in some 80,000.
 
-    First each node is checked against one pivot of each of its keys; a group of near copies
+    After the fingerprints, each node is checked against one pivot of each of its keys; a group of near copies
     comes together by this, without its pairs. Then what shares a key but not yet a component
     is checked pair by pair, if that is no more than there are texts. Else the texts that are
     still open are indexed by their rarest shingles, which misses nothing, and pairs of these are checked.
@@ -247,7 +251,7 @@ def near_groups(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """
     ship(rows.sparkSession)
     clean = rows.select("_row", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = stage(clean.mapInArrow(_sketches, "_row long, same binary, n long, keys array<long>, odd binary"))
+    made = stage(clean.mapInArrow(_sketches, "_row long, same binary, n long, keys array<long>, odd binary, fp long"))
     same = stage(made.groupBy("same").agg(F.min("_row").alias("node")))
     firsts, _ = maybe_broadcast(same.select(F.col("node").alias("_row")))
     nodes = made.select("_row", "n", "keys").join(firsts, "_row", "left_semi").select(F.col("_row").alias("node"), "n", "keys")
@@ -268,29 +272,33 @@ def near_groups(rows: DataFrame, text_col: str = "text") -> DataFrame:
         held = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         return stage(held.select("a", "b", "x", "y").mapInArrow(_check, "a long, b long"))
 
-    tried = links = labels = was = None
+    prints = stage(made.select("_row", "fp").join(firsts, "_row", "left_semi").select(F.col("_row").alias("doc_id"), "fp"))
+    stars = prints.join(linked(prints), "fp").filter("doc_id <> component_id")
+    tried = stage(_ordered(stars.select(F.col("doc_id").alias("node"), F.col("component_id").alias("other"))))
+    links = checked(tried)
+    labels = was = None
     for salt in range(STARS_MOST):
         # the least node first, which is the same for all keys of a group; then others
         rank = F.col("node") if salt == 0 else F.xxhash64("node", "key", F.lit(salt))
         pivots = keyed.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "n")).alias("p")).select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
         pairs = _ordered(keyed.join(pivots, "key").filter((F.col("node") != F.col("other")) & _close("n", "m")))
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        found = checked(pairs)
-        links = found if links is None else stage(links.union(found).distinct())
+        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        links = stage(links.union(checked(pairs)).distinct())
         labels = connected_components(links)
-        open_, left = _still_open(keyed, labels)
-        if left <= most or (was is not None and 2 * left > was):  # few are left, or stars find no more
+        marked, runs, left = _still_open(keyed, labels)
+        if left <= most or (was is not None and 2 * left > was) or salt == STARS_MOST - 1:  # few are left, or stars find no more
             break
         was = left
-        keyed = stage(open_.select("key", "node", "n"))  # keys without an open pair are done with
+        keyed = stage(marked.join(runs, "key", "left_semi").select("key", "node", "n"))  # keys without an open pair are done with
     if left > most:
         # members that share keys and yet are not near: their rarest shingles may leave fewer pairs than the keys
-        few, _ = maybe_broadcast(open_.select(F.col("node").alias("_row")).distinct())
-        by_rarest, fewer = _still_open(_rarest(clean.join(few, "_row", "left_semi")), labels)
+        few, _ = maybe_broadcast(keyed.select(F.col("node").alias("_row")).distinct())
+        by_rarest, shared, fewer = _still_open(_rarest(clean.join(few, "_row", "left_semi")), labels)
         if fewer < left:
-            open_, left = by_rarest, fewer
+            marked, runs, left = by_rarest, shared, fewer
     if left:
+        open_ = stage(marked.join(runs, "key"))
         few, _ = maybe_broadcast(open_.select(F.col("node").alias("_row")).distinct())
         folds = stage(clean.join(few, "_row", "left_semi").mapInArrow(_folds, "node long, fold array<long>"))
         open_ = stage(open_.join(folds, "node"))

@@ -209,6 +209,18 @@ def _links(bits: int):
     return run
 
 
+def linked(made: DataFrame, bits: int = BITS) -> DataFrame:
+    """fp, component_id (least doc_id reachable over links) for every fingerprint of made (doc_id, fp); made is read once."""
+    nodes = stage(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    keyed = nodes.select("fp").mapInArrow(_keys, "key int, fp long").repartition("key").sortWithinPartitions("key")
+    stars = connected_components(keyed.mapInArrow(_links(bits), "a long, b long"))
+    members = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
+    members = stage(members.join(nodes, "fp"))
+    low = stage(members.groupBy("root").agg(F.min("least").alias("component_id")))
+    grouped = stage(members.join(low, "root").select("fp", "component_id"))
+    return stage(nodes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least id reachable over links) for every row.
 
@@ -231,14 +243,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(docs.sparkSession)
     clean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = stage(clean.mapInArrow(_fingerprints(words), "doc_id long, fp long"))
-    nodes = stage(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    keyed = nodes.select("fp").mapInArrow(_keys, "key int, fp long").repartition("key").sortWithinPartitions("key")
-    stars = connected_components(keyed.mapInArrow(_links(bits), "a long, b long"))
-    members = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-    members = stage(members.join(nodes, "fp"))
-    low = stage(members.groupBy("root").agg(F.min("least").alias("component_id")))
-    grouped = stage(members.join(low, "root").select("fp", "component_id"))
-    of = stage(nodes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    of = linked(made, bits)
     return made.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -121,3 +121,34 @@ def test_rarest_makes_rows_of_no_more_than_it_keeps(spark, monkeypatch):
         assert all(by[a] & by[b] for a, b in near)
         assert max(len(k) for k in by.values()) <= 96 - 77 + 1
     assert max(sizes) <= sum(len(s) - -(-len(s) * 4 // 5) + 1 for s in sets.values())
+
+
+def test_fingerprints_link_what_they_see(spark, monkeypatch):
+    """Without any band key, near copies within four bits still come together, by the fingerprints; a text of like fingerprint that is not near does not."""
+    from coppice.llm.simhash import fingerprint
+
+    draw = random.Random(8)
+    rows, want = [], {}
+    for k in range(12):
+        base = " ".join(f"w{draw.randrange(5000)}" for _ in range(400))
+        copies = [t for j in range(40) if (fingerprint(t := edited(base, 1, 100 * k + j)) ^ fingerprint(base)).bit_count() <= 4][:3]
+        rows += [(10 * k + j, t) for j, t in enumerate([base, *copies])]
+        want |= {10 * k + j: 10 * k for j in range(len(copies) + 1)}
+    assert len(want) >= 24
+    round_ = "p q r s t " * 200
+    rows += [(500 + j, round_ + " ".join(f"own{j}x{i}" for i in range(10))) for j in range(2)]
+    assert (fingerprint(rows[-1][1]) ^ fingerprint(rows[-2][1])).bit_count() <= 4
+    want |= {500: 500, 501: 501}
+    real = near_dedup.F.explode
+    monkeypatch.setattr(near_dedup.F, "explode", lambda c: real(near_dedup.F.array().cast("array<long>")))
+    assert {r._row: r.component for r in near_dedup.near_groups(spark.createDataFrame(rows, "_row long, text string")).collect()} == want
+
+
+def test_open_keys_are_not_joined_again_each_round(spark, monkeypatch):
+    """Whatever the rounds, members of open keys are joined with their keys for the next round or the last pairs, not to be counted."""
+    kind, calls = type(spark.range(1)), []
+    real = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None: calls.append((tuple(other.columns), how)) or real(self, other, on, how))
+    got = near_dedup.near_groups(spark.createDataFrame(look_alikes(200), "_row long, text string").repartition(3))
+    assert len({r.component for r in got.collect()}) == 200
+    assert sum(columns == ("key", "top") and how is None for columns, how in calls) <= 1
