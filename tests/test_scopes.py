@@ -2,6 +2,7 @@
 
 import pytest
 
+from coppice.operators import scopes
 from coppice.operators.scopes import below, containment_gaps, intent_scopes
 
 TREE = [
@@ -100,3 +101,11 @@ def test_new_references_to_pinned_targets(spark, code, scope):
     assert gaps(spark, code, scope, ref) == {("write", "edge:x"), ("reserve", "node:x"), ("reserve", "node:hn")}  # its source is nowhere
     # another change needs the same target
     assert ("reserve", "node:hn") in gaps(spark, code, scope, new, ref, (2, "delete_ref", "u3", None, None, None, None))
+
+
+def test_a_use_is_one_row_whatever_its_parts(spark):
+    """Parts of a resource do not go through a shuffle as rows of their own."""
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "intent long, id string")
+    spread = scopes._spread(rows, scopes._uses("read validate reserve", scopes._resource("node", "id")), scopes._uses("write", scopes._resource("node", "id")))
+    assert spread.count() == 4
+    assert sorted(map(tuple, scopes._by_part([spread]).collect())) == [(1, p, "node:a") for p in ("read", "reserve", "validate", "write")]
