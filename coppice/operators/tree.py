@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
+from coppice.plans.digests import digest_of, row_text, row_text_sql, summed_digest, summed_digest_sql, summed_parts
 from coppice.plans.staging import stage
 from coppice.registration import Registry
 from coppice.sources.adapters import EDGES_SQL, NODES_SQL, SEGMENTS_SQL, edges, nodes, order_lines, read, segments, with_sql
@@ -268,21 +268,43 @@ UNION ALL SELECT 'edge:' || from_id, sha256(from_id || '|' || to_id || '|' || ki
 UNION ALL SELECT 'to:' || to_id, {summed_digest_sql(row_text_sql("from_id", "kind"))} FROM edges GROUP BY to_id""", nodes=NODES_SQL, edges=EDGES_SQL))
 def agg_resource_versions(spark, sf_dir):
     """AGG-31: a version hash per node, edge, child membership (shape, not payload) and incoming membership."""
-    return resource_versions(stage(nodes(spark, sf_dir)), edges(spark, sf_dir))
+    lines = stage(order_lines(spark, sf_dir).select("l_orderkey", "pos", "l_partkey", "l_returnflag"))
+    return resource_versions(stage(nodes(spark, sf_dir, lines)), edges(spark, sf_dir, lines))
 
 
 def resource_versions(tree: DataFrame, refs: DataFrame) -> DataFrame:
-    """resource, version. Memberships are summed up, so that a parent of very many children or a much-used target costs one row a task."""
+    """resource, version. Memberships are summed up once their rows have met; tree and refs are read more than once."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    kids = summed_digest(row_text("id", "kind", "child_index"))
     return (
         tree.select(F.concat(F.lit("node:"), "id").alias("resource"), F.sha2(F.concat_ws("|", "id", "kind", text("parent_id"), text("child_index"), "payload"), 256).alias("version"))
-        .union(tree.filter("parent_id is not null").groupBy("parent_id").agg(kids.alias("v")).select(F.concat(F.lit("children:"), "parent_id"), "v"))
+        .union(memberships(tree.filter("parent_id is not null"), "parent_id", "id", "kind", "child_index").select(F.concat(F.lit("children:"), "parent_id"), "digest"))
         .union(refs.select(F.concat(F.lit("edge:"), "from_id"), F.sha2(F.concat_ws("|", "from_id", "to_id", "kind"), 256)))
-        .union(refs.groupBy("to_id").agg(summed_digest(row_text("from_id", "kind")).alias("v")).select(F.concat(F.lit("to:"), "to_id"), "v"))
+        .union(memberships(refs, "to_id", "from_id", "kind").select(F.concat(F.lit("to:"), "to_id"), "digest"))
     )
 
 
+#: So many rows of one key are summed up by one task.
+MEMBER_ROWS = 50_000_000
+
+
+def memberships(rows: DataFrame, key: str, *columns: str, member_rows: int = MEMBER_ROWS) -> DataFrame:
+    """key, digest: the summed digest of the rows of each key.
+
+    Rows are shuffled, not sums: where a task has few rows of a key, their sums are several
+    times as wide as they, and do not compress. A table of more than member_rows is dealt by
+    shares of the tasks that read it as well, and sums of shares are added up, so that a parent
+    of very many children, or a much-used target, is a row a share.
+    """
+    rows = rows.select(key, *columns)
+    shares = rows.count() // member_rows + 1
+    if shares == 1:
+        return rows.repartition(key).groupBy(key).agg(summed_digest(row_text(*columns)).alias("digest"))
+    dealt = rows.withColumn("_share", F.pmod(F.spark_partition_id(), F.lit(shares))).repartition(key, "_share")
+    parts = dealt.groupBy(key, "_share").agg(*summed_parts(row_text(*columns)))
+    sums = [F.sum(c) for c in parts.columns[2:]]
+    return parts.groupBy(key).agg(digest_of(*sums).alias("digest"))
+
+
 #: Declarations on one line of the index.
 LINE_ENTRIES = 100
 

@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, the shuffle files of an action go as soon as it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a local folder if Spark runs in one process (tests), else an error."""
@@ -31,15 +36,27 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{above}/data"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Actions in it leave no shuffle files. For those whose plan is not run again; a frame that is run again shuffles anew either way."""
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing of it.
 
     Parquet rather than checkpoint(): it is compressed, and the reader forgets the writer's
     partitioning, so that a later join gets exchanges which AQE may split when a key is hot.
     With `by`, rows lie in folders by that column, and a filter on it reads its folders alone.
-    The files go when the driver's file system handle closes.
+    What was shuffled for it goes at once. The files go when the driver's file system handle closes.
     """
     spark = df.sparkSession
     path = folder(spark, "coppice")
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with shuffles_dropped(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,9 @@
 """Small cases of what went wrong, or grew too fast, on larger tables."""
 
+import glob
 import hashlib
+import re
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -127,3 +130,32 @@ def test_split_texts_are_few_at_a_time(spark, monkeypatch):
     out = list(seen[0](iter([batch])))
     assert len(out) > 10 and sum(b.num_rows for b in out) == len(want)
     assert all(b.num_rows == 201 or sum(len(x) for x in b.column(2).to_pylist()) <= 100 for b in out)
+
+
+def test_members_meet_as_rows_and_are_summed_up_by_shares(spark):
+    """What is shuffled is rows, not their sums; a key of very many rows is a row a share."""
+    edges = [(f"l{i}", f"p{i % 7}", "type") for i in range(300)] + [(None, "p1", "type"), ("x", None, "value")]
+    df = spark.createDataFrame(edges, "from_id string, to_id string, kind string").repartition(6)
+    want = {r[0]: r[1] for r in df.groupBy("to_id").agg(digests.summed_digest(digests.row_text("from_id", "kind"))).collect()}
+    whole = tree.memberships(df, "to_id", "from_id", "kind")
+    shares = tree.memberships(df, "to_id", "from_id", "kind", member_rows=60)
+    assert {r[0]: r[1] for r in whole.collect()} == {r[0]: r[1] for r in shares.collect()} == want
+    steps = [w for w in re.findall("Aggregate|Exchange", whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]) if w]
+    assert steps == ["Aggregate", "Aggregate", "Exchange", "Exchange"] or steps == ["Aggregate", "Aggregate", "Exchange"]  # the last one is the table's own
+    made = tree.resource_versions(spark.createDataFrame([("p1", "Part", None, None, "x")], "id string, kind string, parent_id string, child_index long, payload string"), df)
+    assert made.filter("resource = 'to:p1'").first()["version"] == want["p1"]
+    assert "RepartitionByExpression [to_id" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_staged_frame_leaves_no_shuffle_files(spark):
+    from coppice.plans import staging
+
+    kept = lambda: {f for f in glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*.data", recursive=True)}
+    before = kept()
+    made = staging.stage(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    for _ in range(20):
+        if not kept() - before:
+            break
+        time.sleep(0.2)
+    assert not kept() - before and made.count() == 7
+    assert spark.conf.get(staging.CLEANUP) == "false"
