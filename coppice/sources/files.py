@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -126,11 +127,9 @@ def write_texts(texts: DataFrame, path: str) -> int:
     for each value of a partition column. A file is moved to its name when it is whole, so a
     task that is run again changes nothing.
     """
-    local = re.sub("^file:/+", "/", path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(local) if "://" in local else (fs.LocalFileSystem(), local)
-        made = set()
+        (store, root), made = _store(path), set()
         for batch in batches:
             for shelf, module, text in zip(*batch.columns, strict=True):
                 folder_ = f"{root}/shelf={shelf}"
@@ -147,6 +146,46 @@ def write_texts(texts: DataFrame, path: str) -> int:
     return texts.select(shelf, "module", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0  # one number
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path, and the path in it."""
+    local = re.sub("^file:/+", "/", path)
+    return fs.FileSystem.from_uri(local) if "://" in local else (fs.LocalFileSystem(), local)
+
+
+#: Tasks that read shelves, bytes read at a time, and files of a batch.
+SHELF_TASKS, CHUNK, BATCH_FILES = 64, 1 << 20, 5000
+
+
+def shelved_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-9, SRC-17: module (null, if the file's name has none), sha256 and bytes of every file of write_texts.
+
+    Tasks list the shelves and read the files: Spark's reader holds the names of all files in
+    the driver, and they are as many as there are modules. A task holds the names of one shelf.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+
+        def read(name: str) -> tuple[str, int]:
+            digest, size = hashlib.sha256(), 0
+            with store.open_input_stream(name) as found:
+                while chunk := found.read(CHUNK):
+                    digest.update(chunk)
+                    size += len(chunk)
+            return digest.hexdigest(), size
+
+        for batch in batches:
+            for shelf in batch.column(0).to_pylist():
+                names = [(f.path, m[1]) for f in store.get_file_info(fs.FileSelector(f"{root}/shelf={shelf}", allow_not_found=True)) if (m := re.fullmatch(r"module=(-?\d*)\.txt", f.base_name))]
+                for at in range(0, len(names), BATCH_FILES):
+                    some = names[at : at + BATCH_FILES]
+                    digests, sizes = zip(*[read(name) for name, _ in some], strict=True)
+                    modules = pa.array([int(m) if m else None for _, m in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays([modules, pa.array(digests), pa.array(sizes, pa.int64())], ["module", "sha256", "bytes"])
+
+    return spark.range(0, SHELVES, 1, SHELF_TASKS).mapInArrow(run, "module long, sha256 string, bytes long")
+
+
 def metrics(spark, sf_dir) -> DataFrame:
     l = log(spark, sf_dir)  # noqa: E741
     return l.select("kind", "seq", "session", F.col("k").alias("wall"), "value", F.concat(F.lit("from 10.0.0."), F.col("k").cast("string"), F.lit(" by a.b@example.com")).alias("note"))
@@ -168,8 +207,7 @@ def src_render_tree(spark, sf_dir):
     path = folder(spark, "rendered")
     if not write_texts(render(segments(spark, sf_dir)), path):
         return spark.createDataFrame([], "module long, sha256 string, bytes long")
-    found = manifest(spark, path, "*.txt")
-    return found.select(F.nullif(F.regexp_extract("path", r"module=(-?\d*)", 1), F.lit("")).cast("long").alias("module"), "sha256", "bytes")
+    return shelved_manifest(spark, path)
 
 
 @REG.add("src_bulk_load", with_sql("SELECT kind, count(*) AS n, count(DISTINCT parent_id) AS parents FROM nodes GROUP BY kind", nodes=NODES_SQL))

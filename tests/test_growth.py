@@ -159,3 +159,13 @@ def test_a_staged_frame_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not kept() - before and made.count() == 7
     assert spark.conf.get(staging.CLEANUP) == "false"
+
+
+def test_rendered_files_are_listed_by_tasks(spark, sf_dir, monkeypatch):
+    """The driver has no list of the files, which are as many as the modules."""
+    monkeypatch.setattr(files, "BATCH_FILES", 3)
+    monkeypatch.setattr(files, "CHUNK", 100)
+    made = files.src_render_tree(spark, sf_dir)
+    assert made.inputFiles() == [] and "binaryFile" not in made._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert rows(made) == sorted([(r[0], hashlib.sha256((r[1] + "\n").encode()).hexdigest(), len(r[1].encode()) + 1) for r in docs], key=str)
