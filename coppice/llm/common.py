@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.plans.staging import shared_dir, stage
+from coppice.plans.staging import shared_dir, ship_package, stage
 
 __all__ = ["BROADCAST_ROWS", "ROW", "TIE", "bit_map", "columns_of", "drop_rows", "free_name", "keep_smallest", "maybe_broadcast", "rows_of", "shared_dir", "ship", "stage", "table", "with_marks", "with_rows"]
 
@@ -31,17 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, so that they need no copy of their own; and keeps Arrow batches of texts small."""
-    sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if getattr(sc, "_coppice_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="coppice-")) / "coppice_package.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for f in sorted(root.rglob("*.py")):
-            out.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(path))
-    sc._coppice_shipped = True
+    ship_package(spark)
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:

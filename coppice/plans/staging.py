@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,20 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{above}/data"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once a session, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_coppice_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="coppice-")) / "coppice_package.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._coppice_shipped = True
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Actions in it leave no shuffle files. For those whose plan is not run again; a frame that is run again shuffles anew either way."""

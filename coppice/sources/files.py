@@ -18,7 +18,7 @@ from coppice.functions.columns import redacted
 from coppice.operators.edits import render
 from coppice.operators.versions import content_digest, diff
 from coppice.plans.digests import row_text, row_text_sql, summed_digest, summed_digest_sql
-from coppice.plans.staging import folder, stage
+from coppice.plans.staging import folder, ship_package, stage
 from coppice.registration import Registry
 from coppice.sources.adapters import EDGES_SQL, LOG_SQL, NODES_SQL, edges, log, nodes, read, segments, with_sql
 
@@ -142,6 +142,7 @@ def write_texts(texts: DataFrame, path: str) -> int:
                 store.move(own, f"{folder_}/module={'' if module.as_py() is None else module}.txt")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
+    ship_package(texts.sparkSession)
     shelf = F.pmod(F.xxhash64("module"), F.lit(SHELVES)).alias("shelf")
     return texts.select(shelf, "module", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0  # one number
 
@@ -183,6 +184,7 @@ def shelved_manifest(spark: SparkSession, path: str) -> DataFrame:
                     modules = pa.array([int(m) if m else None for _, m in some], pa.int64())
                     yield pa.RecordBatch.from_arrays([modules, pa.array(digests), pa.array(sizes, pa.int64())], ["module", "sha256", "bytes"])
 
+    ship_package(spark)
     return spark.range(0, SHELVES, 1, SHELF_TASKS).mapInArrow(run, "module long, sha256 string, bytes long")
 
 
