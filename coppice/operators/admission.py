@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coppice.functions.columns import key_class
 from coppice.plans.scans import blocked
-from coppice.plans.staging import stage
+from coppice.plans.staging import ship_package, stage
 from coppice.registration import Registry
 from coppice.sources.adapters import EDGES_SQL, LOG_SQL, NODES_SQL, edges, log, nodes, read, with_sql
 
@@ -61,19 +66,100 @@ ONE_TASK_ROWS = 200_000
 GROUP_BLOCKS, GROUPS = 8, 16
 
 
-def waves(queued: DataFrame, item_keys: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+#: Keys whose highest waves one task may hold, at four bytes a key.
+KEYS_MOST = 100_000_000
+
+
+def waves(queued: DataFrame, item_keys: DataFrame, one_task_rows: int = ONE_TASK_ROWS, keys_most: int = KEYS_MOST) -> DataFrame:
     """STR-6: item, wave: a round admits the ready items and takes them away; the number of the round that admits an item.
 
     That is one more than the highest wave of the items before it, in the order of seq and item,
-    on any of its keys; so the rounds themselves need not be run. The queue is cut in blocks of
-    some one_task_rows (item, key) rows. A task goes through a block in order, from the highest
-    waves of its keys in the blocks before, as far as these are known; what it then knows of its
-    keys is carried on, and blocks that began from too little go again, until none did. In a
-    group of n blocks this ends after n turns at most, as the first block's waves are right at
-    once, and after few where conflicts are near one another or far apart. Groups follow each
-    other. No chain of conflicts, however long, is more jobs or a larger task.
+    on any of its keys; so the rounds themselves need not be run. Keys are numbered, and the
+    queue is sorted by all tasks into files of some one_task_rows (item, key) rows; one task
+    then goes through the files in order, a batch at a time. It holds the highest wave of each
+    key, and nothing of the items behind it, so its memory does not grow with the queue. Where
+    there are more than keys_most keys, the waves are found in turns (_in_turns). Both are
+    evaluated more than once.
+    """
+    queued, item_keys = queued.select("item", "seq"), item_keys.select("item", "key")
+    numbers, n = _numbered(item_keys.select("key").filter("key is not null").distinct())
+    if n > keys_most:
+        return _in_turns(queued, item_keys, one_task_rows)
+    ship_package(queued.sparkSession)
+    rows = stage(queued.join(item_keys, "item", "left").join(numbers, "key", "left").select("seq", "item", "number"))
+    parts = -(-rows.count() // max(one_task_rows, 1))
+    files = sorted(stage(rows.repartitionByRange(max(parts, 1), "seq", "item").sortWithinPartitions("seq", "item")).inputFiles(), key=lambda f: f.rsplit("/", 1)[1])  # in the order of partitions
+    return stage(queued.sparkSession.range(0, 1, 1, 1).mapInArrow(_through(files, n), f"item {dict(rows.dtypes)['item']}, wave long"))
+
+
+def _numbered(keys: DataFrame) -> tuple[DataFrame, int]:
+    """key, number from 0 without gaps, for distinct keys; and how many there are."""
+    at = stage(keys.select("key", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    sizes = at.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a task
+    starts, n = [], 0
+    for r in sizes:
+        starts.append((r["part"], n))
+        n += r["n"]
+    before = at.sparkSession.createDataFrame(starts, "part long, start long")
+    number = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)
+    return at.withColumn("part", part).join(F.broadcast(before), "part").select("key", number.cast("int").alias("number")), n
+
+
+def _through(files: list[str], n: int):
+    """Waves of the items of files (item, number of a key; in the order of the queue, the rows of an item following one another)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high = array("i", bytes(4 * n))
+
+        def admitted(keys: list[int]) -> int:
+            wave = 0
+            for k in keys:
+                if k >= 0 and high[k] > wave:
+                    wave = high[k]
+            wave += 1
+            for k in keys:
+                if k >= 0:
+                    high[k] = wave
+            return wave
+
+        for _ in batches:
+            item, keys = None, None  # the last item so far, which may go on
+            for name in files:
+                store, path = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), re.sub("^file:/+", "/", name))
+                with store.open_input_file(path) as source:
+                    for batch in pq.ParquetFile(source).iter_batches(ONE_TASK_ROWS, columns=["item", "number"]):
+                        if not batch.num_rows:
+                            continue
+                        numbers = batch.column("number").fill_null(-1).to_numpy().tolist()
+                        runs = pc.run_end_encode(batch.column("item"))
+                        ends, items = [0, *runs.run_ends.to_pylist()], runs.values
+                        held = [numbers[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+                        if keys is not None and item.equals(items[:1]):
+                            held[0] = keys + held[0]
+                        elif keys is not None:
+                            held, items = [keys, *held], pa.concat_arrays([item, items])
+                        if len(held) > 1:
+                            yield pa.RecordBatch.from_arrays([items[:-1], pa.array([admitted(h) for h in held[:-1]], pa.int64())], ["item", "wave"])
+                        item, keys = items[-1:], held[-1]
+            if keys is not None:
+                yield pa.RecordBatch.from_arrays([item, pa.array([admitted(keys)], pa.int64())], ["item", "wave"])
+
+    return run
+
+
+def _in_turns(queued: DataFrame, item_keys: DataFrame, one_task_rows: int) -> DataFrame:
+    """waves, without holding all keys.
+
+    The queue is cut in blocks of some one_task_rows (item, key) rows. A task goes through a
+    block in order, from the highest waves of its keys in the blocks before, as far as these are
+    known; what it then knows of its keys is carried on, and blocks that began from too little
+    go again, until none did. In a group of n blocks this ends after n turns at most, as the
+    first block's waves are right at once, and after few where conflicts are near one another or
+    far apart. Groups follow each other. No chain of conflicts, however long, is more jobs or a
+    larger task.
     """
-    rows, n = blocked(stage(queued.select("item", "seq").join(item_keys.select("item", "key"), "item", "left")), ["seq", "item"], max(one_task_rows, 1))
+    rows, n = blocked(stage(queued.join(item_keys, "item", "left")), ["seq", "item"], max(one_task_rows, 1))
     kinds = dict(rows.dtypes)
     made = f"_block int, item {kinds['item']}, key {kinds['key']}, wave long, had long"
     size = max(GROUP_BLOCKS, -(-n // GROUPS))

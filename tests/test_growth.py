@@ -169,3 +169,15 @@ def test_rendered_files_are_listed_by_tasks(spark, sf_dir, monkeypatch):
     assert made.inputFiles() == [] and "binaryFile" not in made._jdf.queryExecution().optimizedPlan().toString()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     assert rows(made) == sorted([(r[0], hashlib.sha256((r[1] + "\n").encode()).hexdigest(), len(r[1].encode()) + 1) for r in docs], key=str)
+
+
+def test_waves_are_one_pass_whatever_the_conflicts(spark, monkeypatch):
+    """Each row of the queue is gone through once; as in turns, over many files and batches, with texts, keys that are null and items without one."""
+    queue = [(f"i{i:03}", i // 3) for i in range(200)] + [("none", None), ("free", 7)]
+    held = [(i, f"k{(hash_ * 7) % 23}") for hash_, (i, _) in enumerate(queue[:200])] + [(i, "hot") for i, _ in queue[40:160:2]] + [("i005", None), ("gone", "hot")]
+    q, k = spark.createDataFrame(queue, "item string, seq long"), spark.createDataFrame(held, "item string, key string")
+    want = rows(admission.waves(q, k, 30, keys_most=0))
+    assert len(want) == 202 and max(w for _, w in want) > 50
+    monkeypatch.setattr(admission, "ONE_TASK_ROWS", 7)
+    monkeypatch.setattr(admission, "_in_turn", None)
+    assert rows(admission.waves(q, k, 30)) == rows(admission.waves(q, k, 10_000)) == want
