@@ -68,8 +68,8 @@ def declared(tree: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def below(tree: DataFrame, tops: DataFrame) -> DataFrame:
-    """root, id of all that lies below each of tops (a column id), whether or not one top lies below another; a top below itself is an error."""
-    links = stage(tree.select("id", "parent_id").filter("parent_id is not null"))
+    """root, id of all that lies below each of tops (a column id), whether or not one top lies below another; a top below itself is an error. tree is read once a level."""
+    links = tree.select("id", "parent_id").filter("parent_id is not null")
     level = stage(tops.select(F.col("id").alias("root"), "id").distinct())
     found = []
     while not level.isEmpty():
@@ -133,8 +133,9 @@ def intent_scopes(intents: DataFrame, tree: DataFrame, refs: DataFrame, calls: s
         touch(met.filter("role <> 'write'"), "from_id", False, False, False),
         touch(met.filter("role in ('risk', 'body')"), "to_id", False, False, False),
     ]).filter("id is not null").groupBy("intent", "id").agg(*[F.bool_or(c).alias(c) for c in ("w", "r", "cw")])
+    touched = stage(touched)  # so that the tree, when it is shuffled for these, is not on disk along with what made them
     modules = small(tree.filter("kind = 'Module'").select(F.col("id").alias("parent_id"), F.lit(True).alias("module")))
-    touched = touched.join(tree.select("id", "parent_id"), "id", "left").join(modules, "parent_id", "left")
+    touched = stage(touched.join(tree.select("id", "parent_id"), "id", "left").join(modules, "parent_id", "left"))
     loose = F.col("module").isNull()
     nodes = _spread(touched,
         _uses("read validate reserve", _resource("node", "id")), _uses("read validate", _resource("children", "parent_id")), _if(loose, _uses("reserve", _resource("node", "parent_id"))),
@@ -164,9 +165,10 @@ def containment_gaps(changes: DataFrame, scope: DataFrame, tree: DataFrame, refs
     scope reads or validates as node:, unless another change of the delta needs that target.
     A delta upserts a node once; repeated changes count as one.
     """
-    c = changes.select("intent", "op", "id", "kind", "parent_id", "child_index", "to_id").distinct()
+    c = stage(changes.select("intent", "op", "id", "kind", "parent_id", "child_index", "to_id").distinct())  # each step that shuffles the tree, or the references, is staged by itself, as the shuffle files of a step stay until its end
     old = tree.select("id", F.col("kind").alias("old_kind"), F.col("parent_id").alias("old_parent"), F.col("child_index").alias("old_index"), F.lit(True).alias("there"))
-    c = c.join(old, "id", "left").join(refs.select(F.col("from_id").alias("id"), F.col("to_id").alias("old_to")), "id", "left")
+    c = stage(c.join(old, "id", "left"))
+    c = stage(c.join(refs.select(F.col("from_id").alias("id"), F.col("to_id").alias("old_to")), "id", "left"))
     made = c.filter("op = 'upsert_node'").groupBy("intent", "id").agg(F.max(F.when(F.col("kind") == "Identifier", F.struct("parent_id"))).alias("made"))
     c = stage(c.join(made, ["intent", "id"], "left"))
 
@@ -313,10 +315,10 @@ def set_containment_gaps(spark, sf_dir):
     row = lambda df, op, i, kind=none, parent=none, place=nul, to=none: df.select("intent", F.lit(op).alias("op"), i.alias("id"), kind.alias("kind"), parent.alias("parent_id"), place.alias("child_index"), to.alias("to_id"))
     renamed, added = intents.filter("op = 'rename' and intent >= 0").withColumn("name_id", cat("I", k)), intents.filter("op = 'add_parameter'").withColumn("name_id", cat("I", k))
     whole = tree.select("id", "kind", "parent_id", "child_index")
-    uses = renamed.select("intent", F.col("name_id").alias("to_id")).join(refs, "to_id").select("intent", F.col("from_id").alias("id"))
+    uses = stage(renamed.select("intent", F.col("name_id").alias("to_id")).join(refs, "to_id").select("intent", F.col("from_id").alias("id")))
     first = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("intent")).agg(F.min("o_orderkey").alias("o"))
     brand = whole.select(F.col("id").alias("target"), "parent_id")
-    other = added.filter(k % 7 == 0).select("intent", "name_id", cat("I", k - 1).alias("to_id")).join(refs, "to_id")
+    other = stage(added.filter(k % 7 == 0).select("intent", "name_id", cat("I", k - 1).alias("to_id")).join(refs.select("from_id", "to_id"), "to_id"))
     changes = _all([
         row(renamed.select("intent", F.col("name_id").alias("id")).union(uses).join(whole, "id"), "upsert_node", F.col("id"), F.col("kind"), F.col("parent_id"), F.col("child_index")),
         row(renamed.filter(k % 3 == 0).join(first, "intent"), "delete_node", cat("O", F.col("o"))),

@@ -109,3 +109,22 @@ def test_a_use_is_one_row_whatever_its_parts(spark):
     spread = scopes._spread(rows, scopes._uses("read validate reserve", scopes._resource("node", "id")), scopes._uses("write", scopes._resource("node", "id")))
     assert spread.count() == 4
     assert sorted(map(tuple, scopes._by_part([spread]).collect())) == [(1, p, "node:a") for p in ("read", "reserve", "validate", "write")]
+
+
+def test_the_tree_is_shuffled_once_a_staged_step(spark, sf_dir, monkeypatch):
+    """Shuffle files stay until a step ends, so no step that reads the tree, or the references, has more than a few joins (eleven before)."""
+    from coppice.operators import scopes
+
+    tree, refs = scopes.code(spark, sf_dir)
+    places = {f.split("/data/")[0] for f in [*tree.inputFiles(), *refs.inputFiles()]}
+    monkeypatch.setattr(scopes, "code", lambda *_: (tree, refs))
+    joins, stage = [], scopes.stage
+
+    def seen(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins.append(plan.count("Join ") if places & {f.split("/data/")[0] for f in df.inputFiles()} else 0)
+        return stage(df)
+
+    monkeypatch.setattr(scopes, "stage", seen)
+    assert scopes.set_containment_gaps(spark, sf_dir).count() > 0
+    assert len(joins) > 10 and max(joins) <= 4
