@@ -190,25 +190,29 @@ class Store:
         if tx == "seed" or not mine or mine[-1]["kind"] == "rollback":
             return self.head()
         made, head = mine[-1]["generation"], self.head()
-        undo = {}
+        undone = {}
         for name, t in self.tables.items():
             changed = stage(self.delta(name, made, made).filter("not (before <=> after)").drop("generation"))
             now = self.at(name, head, changed).select(*t.keys, t.row("now"))
             if not changed.join(now, list(t.keys), "left").filter("not (after <=> now)").isEmpty():
                 raise ValueError(f"{name}: a row that {tx} changed has been changed since")
-            undo[name] = changed.select(*[c if c in t.keys else F.col(f"before.{c}").alias(c) for c in t.columns], F.col("before").isNull().alias("gone"))
-        return self._advance(tx, "rollback", undo, cascade=False)
+            undone[name] = changed.select(*t.keys, F.col("after").alias("before"), F.col("before").alias("after"))  # what is there now is what the commit left
+        return self._advance(tx, "rollback", {}, cascade=False, deltas=undone)
 
-    def _advance(self, tx: str, kind: str, changes: dict[str, DataFrame], cascade: bool) -> int:
+    def _advance(self, tx: str, kind: str, changes: dict[str, DataFrame], cascade: bool, deltas: dict[str, DataFrame] | None = None) -> int:
+        """deltas: those of all tables, if they are known; else they come from changes."""
         head = self.head()
         made, base = head + 1, head - head % self.COMPACT
         moved: dict[str, dict] = {}
         for name, t in self.tables.items():
-            along = [(c, target) for c, target in t.links if cascade and target != name and moved[target]["deleted"]]
-            self._write_delta(name, made, head, changes.get(name), along)
+            if deltas:
+                deltas[name].write.mode("overwrite").parquet(f"{self.path}/{name}/delta/generation={made}")
+            else:
+                along = [(c, target) for c, target in t.links if cascade and target != name and moved[target]["deleted"]]
+                self._write_delta(name, made, head, changes.get(name), along)
             moved[name] = self._moved(name, made)
         for name in self.tables:
-            self._check_links(name, made, base, moved)
+            self._check_links(name, made, base, moved, cascade)
         before = {r["name"]: r for r in self.log().filter(F.col("generation") == head).collect()}  # a row a table
         rows = []
         for name, m in moved.items():
@@ -247,21 +251,32 @@ class Store:
         delta = put.join(held, keys, "left").select(*keys, "before", "after").filter("before is not null or after is not null")
         delta.write.mode("overwrite").parquet(at)
 
-    def _check_links(self, name: str, made: int, base: int, moved: dict[str, dict]) -> None:
-        """Rows that this generation put in name what is there, and nothing that it took away is named any more."""
+    def _check_links(self, name: str, made: int, base: int, moved: dict[str, dict], cascade: bool) -> None:
+        """Rows that this generation put in name what is there, and nothing that it took away is named any more.
+
+        Columns that name the same table are looked up together. What linked to rows of another
+        table that were taken away has gone along, if cascade, so that only what was put in is left to see to.
+        """
         t = self.tables[name]
-        for column, target in t.links:
+        mine = self.delta(name, made, made)
+
+        def lost(columns: list[str], target: str) -> bool:
             key = self.tables[target].keys[0]
-            mine, its = self.delta(name, made, made), self.delta(target, made, made)
-            broken = False
-            if moved[name]["after"]:
-                named = mine.filter("after is not null").select((F.col(column) if column in t.keys else F.col(f"after.{column}")).alias(key)).filter(F.col(key).isNotNull())
-                broken = not named.join(self._merged(target, base, made, named), key, "left_anti").isEmpty()
-            if moved[target]["deleted"] and not broken:
-                taken = its.filter("after is null").select(F.col(key).alias(column))
-                broken = not self._merged(name, base, made).join(taken, column, "left_semi").isEmpty()
+            each = [mine.filter("after is not null").select((F.col(c) if c in t.keys else F.col(f"after.{c}")).alias(key)) for c in columns]
+            named = reduce(DataFrame.unionByName, each).filter(F.col(key).isNotNull())
+            return not named.join(self._merged(target, base, made, named), key, "left_anti").isEmpty()
+
+        def held(column: str, target: str) -> bool:
+            taken = self.delta(target, made, made).filter("after is null").select(F.col(self.tables[target].keys[0]).alias(column))
+            return not self._merged(name, base, made).join(taken, column, "left_semi").isEmpty()
+
+        for target in dict.fromkeys(target for _, target in t.links):
+            columns = [c for c, other in t.links if other == target]
+            broken = [c for c in columns if lost([c], target)] if moved[name]["after"] and lost(columns, target) else []
+            if not broken and moved[target]["deleted"] and (target == name or not cascade):
+                broken = [c for c in columns if held(c, target)]
             if broken:
-                raise ValueError(f"{name}.{column} would name a row of {target} that is not there")
+                raise ValueError(f"{name}.{broken[0]} would name a row of {target} that is not there")
 
 
 GRAPH = {

@@ -120,3 +120,18 @@ def test_digests_of_all_generations_read_a_base_once(spark, tmp_path, monkeypatc
     assert len(want) == 5 and store.at("t", 2).count() == 0
     monkeypatch.setattr(store, "_merged", None)
     assert {r["generation"]: r["read_digest"] for r in store.digests("t").collect()} == want
+
+
+def test_a_rollback_reads_rows_once_and_links_are_looked_up_together(spark, monkeypatch):
+    """Tables read as of a generation: in a commit those of its keys and of what hangs on them, and one look-up a linked table; in a rollback, once for what it puts back."""
+    store, read, merged = small(spark), [], Store._merged
+    monkeypatch.setattr(Store, "_merged", lambda self, name, *a: read.append(name) or merged(self, name, *a))
+    store.commit("t", nodes=nodes(spark, ("b", None), ("e", "new")), edges=edges(spark, ("e", "a", False), ("e", "e", False)))
+    assert sorted(read) == ["edges"] * 3 + ["nodes"] * 2
+    read.clear()
+    store.rollback("t")
+    assert sorted(read) == ["edges"] * 3 + ["nodes"] * 2
+    assert state(store) == SEED
+    with pytest.raises(ValueError, match="edges.from_id"):
+        store.commit("u", nodes=nodes(spark, ("a", None)), edges=edges(spark, ("a", "c", False)))
+    assert store.head() == 2
